@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm import line_dedup, sharding, warc
+from lumenledger.llm import line_dedup, packing, sharding, warc
 from lumenledger.llm.common import table
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.where("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -33,6 +36,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op4_packing": op4_packing,
         "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,
         "op10_line_dedup": op10_line_dedup,
