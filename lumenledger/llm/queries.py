@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm import line_dedup, packing, sharding, warc
+from lumenledger.llm import line_dedup, packing, quality, sharding, warc
 from lumenledger.llm.common import table
 
 
@@ -13,6 +13,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, net).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.where("record_type != 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -37,6 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op4_packing": op4_packing,
+        "op5_quality": op5_quality,
         "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,
         "op10_line_dedup": op10_line_dedup,
