@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm import line_dedup, minhash, packing, quality, sharding, warc
+from lumenledger.llm import ann, line_dedup, minhash, packing, quality, sharding, warc
 from lumenledger.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_minhash": op1_minhash,
+        "op2_ann": op2_ann,
         "op4_packing": op4_packing,
         "op5_quality": op5_quality,
         "op6_warc": op6_warc,
