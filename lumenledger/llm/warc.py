@@ -30,6 +30,9 @@ MEMBER_MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Bytes given to the inflater at once, so that what it hands back unused stays small.
+CHUNK = 8192
+
 #: Payloads shorter than this are never revisits.
 MIN_REVISIT = 100
 
@@ -113,13 +116,17 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int]:
     """The record at ``at``, gzip member or plain; None for an empty member."""
     if data.startswith(MEMBER_MAGIC, at):
         z = zlib.decompressobj(31)
+        parts, end = [], at
         try:
-            inner = z.decompress(data[at:])
+            while not z.eof and end < len(data):
+                parts.append(z.decompress(data[end : end + CHUNK]))
+                end = min(end + CHUNK, len(data))
         except zlib.error as e:
             raise _Bad(f"member: {e}") from None
         if not z.eof:
             raise _Bad("member is cut short")
-        end = len(data) - len(z.unused_data)
+        end -= len(z.unused_data)
+        inner = b"".join(parts)
         if not inner:
             return None, end
         record, used = _parse_plain(inner, 0)
