@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bytes_of, fresh, materialise, mix64, utf8
+from lumenledger.llm.common import batches_of, bytes_of, fresh, materialise, mix64, row_key, utf8
 from lumenledger.llm.graph import components
 from lumenledger.llm.shingles import shingles, words
 
@@ -78,7 +78,7 @@ def sets_of(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def _sketch_rows(k: int):
-    names = ["_id", "_n", "_class", "_bands", "_sig"]
+    names = ["_id", "_key", "_n", "_class", "_bands", "_sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1):
@@ -92,7 +92,7 @@ def _sketch_rows(k: int):
                 coordinates = sketch(items)
                 bands.append(band_keys(coordinates).tobytes())
                 sigs.append(mix64(coordinates).astype(np.uint8).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())], names=names)
 
     return run
 
@@ -181,17 +181,19 @@ def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(F.least("_id", "_node").alias("a"), F.greatest("_id", "_node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of their sets of ``k``-word shingles.
 
-    One row a row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept (it is the smallest).
+    One row a row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept (it is the smallest), and
+    with ``with_key`` the ``row_key`` of the row as _key.
 
     Null, empty and blank texts have empty sets and link with nothing.  Rows that share an id are one document: they have the
     same component and are kept alike.  Rows with a null id take the component of their equals and aren't kept;
     without equals that have ids, their component is null and they are kept.  Empty tables give empty results.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text"))
-    rows = materialise(slim.mapInArrow(_sketch_rows(k), "_id long, _n long, _class binary, _bands binary, _sig binary"), "sketches")
+    name = row_key(F.col(id_col), F.col(text_col)) if with_key else F.lit(None).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text"), name.alias("_key"))
+    rows = materialise(slim.mapInArrow(_sketch_rows(k), "_id long, _key string, _n long, _class binary, _bands binary, _sig binary"), "sketches")
     full = rows.where("_class is not null")
     classes = materialise(full.groupBy("_class").agg(F.min("_id").alias("_node")), "classes")
 
@@ -226,11 +228,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     root = labels.select(fresh(F.col("node")).alias("_l"), F.col("root").alias("_root"))
     named = classes.join(root, fresh(F.col("_node")) == F.col("_l"), "left").select("_class", F.coalesce("_root", "_node").alias("_component"))
     named = named.select(key.alias("_j"), "_component")
-    out = rows.select("_id", "_n", "_class").join(named, key == F.col("_j"), "left")
+    out = rows.select("_id", "_key", "_n", "_class").join(named, key == F.col("_j"), "left")
     component = F.when(F.col("_class").isNull(), F.col("_id")).otherwise(F.col("_component"))
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_shingles"),
         component.alias("component_id"),
         (component.isNull() | component.eqNullSafe(F.col("_id"))).alias("kept"),
+        *(["_key"] if with_key else []),
     )

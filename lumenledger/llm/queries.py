@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm import ann, html_text, line_dedup, minhash, packing, quality, sharding, warc
+from lumenledger.llm import ann, decontaminate, html_text, line_dedup, minhash, packing, quality, sharding, warc
 from lumenledger.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.similarity", "leak.start", "leak.n_words")
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -60,6 +66,7 @@ def queries() -> dict:
         "op5_quality": op5_quality,
         "op6_warc": op6_warc,
         "op7_sharding": op7_sharding,
+        "op8_decontamination": op8_decontamination,
         "op9_html": op9_html,
         "op10_line_dedup": op10_line_dedup,
     }
