@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,23 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the scratch table that ``materialise`` made for ``df``, and let Spark drop shuffles that nothing refers to.
+
+    Shuffle files go when the driver's garbage is collected; asking for it keeps a job's disk to what it still needs.
+    """
+    for path in df.inputFiles()[:1]:
+        for held in [w for w in _written if w.split(":", 1)[-1].lstrip("/") in path]:
+            _remove(held, _written.pop(held))
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def fresh_long(key: Column) -> Column:
+    """``fresh`` for a key of 64-bit integers."""
+    return key.bitwiseXOR(F.lit(1).cast("long"))
+
+
 def byte_length(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

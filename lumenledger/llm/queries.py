@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm import ann, decontaminate, html_text, line_dedup, minhash, packing, quality, sharding, warc
+from lumenledger.llm import ann, decontaminate, html_text, line_dedup, minhash, packing, quality, repeats, sharding, warc
 from lumenledger.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict:
     return {
         "op1_minhash": op1_minhash,
         "op2_ann": op2_ann,
+        "op3_repeats": op3_repeats,
         "op4_packing": op4_packing,
         "op5_quality": op5_quality,
         "op6_warc": op6_warc,
