@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Luma weights for blue, green, red.
 BGR_WEIGHTS = (0.114, 0.587, 0.299)
@@ -93,7 +94,7 @@ def quality(first: tuple, second: tuple) -> tuple[float, float]:
     return ssim(gray(a), gray(b)), psnr(gray(a), gray(b))
 
 
-@F.pandas_udf("struct<ssim:double,psnr:double>")
+@F.pandas_udf(T.StructType([T.StructField("ssim", T.DoubleType()), T.StructField("psnr", T.DoubleType())]))
 def quality_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """Over two structs (pixels, height, width, channels)."""
     take = lambda df: zip(df["pixels"], df["height"], df["width"], df["channels"])
