@@ -7,16 +7,18 @@ filled: a set of n shingles costs about max(n, SIZE log SIZE) steps instead of n
 the Jaccard similarity with concentration bounds as for independent MinHash.
 
 Linking.
-1.  Each document becomes (id, set size, class, band keys, one byte a coordinate); the class is a 128-bit digest
-    of its set, so copies of any number are one row from here on.
-2.  Classes that share a band key are candidates.  A bucket isn't expanded into pairs: its classes are compared with two of
-    them.  Candidate pairs are verified on the full shingle sets of their texts, and components are contracted.
-3.  Where a bucket still holds several components, pairs across components are tried too, if their sketches agree in
-    ``AGREE`` of the coordinates; blocks of a bucket are compared with each other, so no task holds a whole bucket.
-    So every pair that shares a band key is linked, or known to be linked already, or below that agreement.
-
-A pair at similarity 0.8 shares no band key with probability (1 - 0.8**5)**32 = 3e-6, and agrees in fewer than ``AGREE`` of the
-coordinates with probability below 1e-8.
+1.  Each document becomes (id, set size, class, band keys); the class is a 128-bit digest of its set, so copies of any number
+    are one row from here on, the row of their smallest id.
+2.  Classes that share a band key are candidates.  Buckets aren't expanded into pairs: each class points to the smallest of
+    its bucket, and the components of these pointers are the candidate groups.
+3.  A group is dealt into blocks of about ``BLOCK`` texts.  In a block all sets are compared exactly, by counting along an
+    index from shingle to texts, and the texts come out with the smallest of their component in the block.
+4.  Groups of several blocks go on: a few texts of each component found so far are dealt and compared anew, so that what
+    belongs together joins across blocks.  Then every text outside its group's largest component is compared with all
+    texts of other components of the group, block by block.  So every pair of a group is linked, known to be
+    linked through others, or known to be below the threshold.
+
+A pair at similarity 0.8 shares no band key with probability (1 - 0.8**5)**32 = 3e-6; all that follows is exact.
 """
 
 from __future__ import annotations
@@ -25,20 +27,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bytes_of, fresh, materialise, mix64, row_key, utf8
+from lumenledger.llm.common import batches_of, bytes_of, fresh, fresh_long, materialise, mix64, row_key, utf8
 from lumenledger.llm.graph import components
 from lumenledger.llm.shingles import shingles, words
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-AGREE = 0.6
-#: Rows of a bucket that one block holds when blocks are compared.
-BLOCK = 1024
+#: Texts in a block, and texts of a component that stand for it when blocks are joined.
+BLOCK = 2048
+STAND_INS = 16
 
 _SEEDS = mix64(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
@@ -78,21 +79,20 @@ def sets_of(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def _sketch_rows(k: int):
-    names = ["_id", "_key", "_n", "_class", "_bands", "_sig"]
+    names = ["_id", "_key", "_n", "_class", "_bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1):
-            n, classes, bands, sigs = [], [], [], []
+            n, classes, bands = [], [], []
             for items in sets_of(*bytes_of(batch.column(1)), k):
                 n.append(len(items))
                 if not len(items):
-                    classes.append(None), bands.append(None), sigs.append(None)
+                    classes.append(None)
+                    bands.append(None)
                     continue
                 classes.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                coordinates = sketch(items)
-                bands.append(band_keys(coordinates).tobytes())
-                sigs.append(mix64(coordinates).astype(np.uint8).tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.binary()), pa.array(sigs, pa.binary())], names=names)
+                bands.append(band_keys(sketch(items)).tobytes())
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.binary())], names=names)
 
     return run
 
@@ -104,72 +104,151 @@ def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(raw.view(np.int64)), pa.array(nodes)], names=["_k", "_node"])
 
 
-def _verify(k: int, percent: int):
-    """Pairs with both texts -> those with 100 * intersection >= percent * union."""
+class _Index:
+    """Shingles of some sets, each with the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+
+    def linked(self, items: np.ndarray, percent: int) -> np.ndarray:
+        """The sets whose similarity to ``items`` is at least ``percent``."""
+        low, high = np.searchsorted(self.flat, items), np.searchsorted(self.flat, items, side="right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= percent * (self.sizes + len(items) - both))
+
+
+class _Forest:
+    """Smallest members of joined nodes."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        self.up.setdefault(x, x)
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of sorted batches in runs that agree in the first ``keys`` columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:keys] != held[-1][:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    return sets_of(np.frombuffer(b"".join(texts), np.uint8), at, k)
+
+
+def _pairs_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["node", "root"])
+
+
+def _within(k: int, percent: int):
+    """Blocks (group, block, node, text) -> (node, root) for every node: all pairs of a block are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[object, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i in range(batch.num_rows):
-                left, right = batch.column(2)[i].as_py() or b"", batch.column(3)[i].as_py() or b""
-                if last[0] != left:
-                    last = (left, sets_of(np.frombuffer(left, np.uint8), np.array([0, len(left)]), k)[0])
-                x = last[1]
-                y = sets_of(np.frombuffer(right, np.uint8), np.array([0, len(right)]), k)[0]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                if union and 100 * both >= percent * union:
-                    keep.append(i)
-            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+        out: list[tuple[int, int]] = []
+        for block in _runs(batches, 2):
+            forest = _Forest()
+            sets = _sets([r[3] for r in block], k)
+            index = _Index(sets)
+            for row, items in zip(block, sets):
+                for other in index.linked(items, percent).tolist():
+                    forest.join(row[2], block[other][2])
+            out += [(node, forest.root(node)) for node in sorted({r[2] for r in block})]
+            if len(out) > 20_000:
+                yield _pairs_batch(out)
+                out = []
+        yield _pairs_batch(out)
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links among candidate pairs (a, b); texts: _node, _text of the classes."""
-    nodes = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
-    needed = materialise(texts.join(nodes.withColumnRenamed("_node", "_want"), F.col("_node") == F.col("_want"), "left_semi"), "texts")
-    left = needed.select(fresh(F.col("_node")).alias("_ja"), F.col("_text").alias("_ta"))
-    right = needed.select(fresh(F.col("_node")).alias("_jb"), F.col("_text").alias("_tb"))
-    both = pairs.join(left, fresh(F.col("a")) == F.col("_ja")).join(right, fresh(F.col("b")) == F.col("_jb"))
-    return materialise(both.select("a", "b", "_ta", "_tb").mapInArrow(_verify(k, percent), "a long, b long"), "links")
-
-
-def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket that are in different components, with sketches that may agree enough."""
-    out: dict[str, list] = {"a": [], "b": []}
-    if len(left) and len(right):
-        x = np.frombuffer(b"".join(left["_sig"]), np.uint8).reshape(len(left), SIZE)
-        y = np.frombuffer(b"".join(right["_sig"]), np.uint8).reshape(len(right), SIZE)
-        xr, yr = left["_root"].to_numpy(), right["_root"].to_numpy()
-        xn, yn = left["_node"].to_numpy(), right["_node"].to_numpy()
-        for i in range(len(left)):
-            fit = np.flatnonzero((yr != xr[i]) & ((y == x[i]).sum(axis=1) >= AGREE * SIZE))
-            out["a"] += np.minimum(xn[i], yn[fit]).tolist()
-            out["b"] += np.maximum(xn[i], yn[fit]).tolist()
-    return pd.DataFrame(out, dtype="int64")
-
-
-def _left_over(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, tried: DataFrame) -> DataFrame:
-    """Candidate pairs across components within buckets, less those tried."""
-    label = labels.select(fresh(F.col("node")).alias("_l"), F.col("root").alias("_root"))
-    marked = buckets.join(label, fresh(F.col("_node")) == F.col("_l"), "left").select("_k", "_node", F.coalesce("_root", "_node").alias("_root"))
-    marked = materialise(marked, "marked")
-    mixed = marked.groupBy("_k").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).where("_lo != _hi")
-    mixed = mixed.select(fresh(F.col("_k")).alias("_j"), "_lo", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    rows = marked.join(mixed, fresh(F.col("_k")) == F.col("_j")).drop("_j")
-    sig = sigs.select(fresh(F.col("_node")).alias("_s"), "_sig")
-    rows = rows.join(sig, fresh(F.col("_node")) == F.col("_s")).drop("_s")
-    # a row outside the bucket's first component meets every row of it: its own block goes to all blocks
-    rows = materialise(rows.withColumn("_b", F.pmod(F.xxhash64("_node"), F.col("_blocks"))), "mixed")
-    strays = rows.where("_root != _lo").withColumn("_to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks").cast("bigint") - 1)))
-    strays = strays.select("_k", F.col("_to").cast("long").alias("_to"), F.col("_b").cast("long").alias("_b"), "_node", "_root", "_sig")
-    members = rows.select("_k", F.col("_b").cast("long").alias("_to"), "_node", "_root", "_sig")
-    pairs = strays.groupBy("_k", "_to").cogroup(members.groupBy("_k", "_to")).applyInPandas(_across, "a long, b long").distinct()
-    done = tried.select(F.col("a").alias("_da"), F.col("b").alias("_db"))
-    return materialise(pairs.join(done, (F.col("a") == F.col("_da")) & (F.col("b") == F.col("_db")), "left_anti"), "across")
+def _across(k: int, percent: int):
+    """Cells (group, block, stray block, stray, node, root, text) -> one link a stray and component that it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _runs(batches, 3):
+            strays, members = [r for r in cell if r[3]], [r for r in cell if not r[3]]
+            if not strays or not members:
+                continue
+            index = _Index(_sets([r[6] for r in members], k))
+            roots = np.array([r[5] for r in members])
+            out = []
+            for stray, items in zip(strays, _sets([r[6] for r in strays], k)):
+                found = index.linked(items, percent)
+                found = found[roots[found] != stray[5]]
+                _, one = np.unique(roots[found], return_index=True)
+                out += [(stray[4], members[j][4]) for j in found[one].tolist()]
+            yield _pairs_batch(out)
+
+    return run
+
+
+def _compared(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root) after comparing the blocks of ``members`` (_q, _b, _node); texts: _node, _text."""
+    shown = members.select("_q", "_b", fresh_long(F.col("_node")).alias("_j")).join(texts, F.col("_j") == fresh_long(F.col("_node")))
+    blocks = shown.select("_q", "_b", "_node", "_text").repartition("_q", "_b").sortWithinPartitions("_q", "_b")
+    return materialise(blocks.mapInArrow(_within(k, percent), "node long, root long"), "linked")
+
+
+def _dealt(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows (_q, _node) with a block _b of about BLOCK rows of their group, and the number of its blocks _m."""
+    size = rows.groupBy("_q").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_m")).select(fresh_long(F.col("_q")).alias("_j"), "_m")
+    return rows.join(size, fresh_long(F.col("_q")) == F.col("_j")).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_node"), F.col("_m"))).drop("_j")
+
+
+def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with _node and the root of their component, _root."""
+    named = labels.select(fresh_long(F.col("node")).alias("_l"), F.col("root").alias("_root"))
+    return rows.join(named, fresh_long(F.col("_node")) == F.col("_l"), "left").withColumn("_root", F.coalesce("_root", "_node")).drop("_l")
+
+
+def _join_blocks(many: DataFrame, edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across the blocks of groups that have several; ``many``: _q, _node, _b, _m."""
+    few = Window.partitionBy("_root").orderBy(F.xxhash64("_node"))
+    marked = materialise(_label(many, edges), "marked")
+    stand_ins = marked.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= STAND_INS).select("_q", "_node")
+    more = _compared(materialise(_dealt(stand_ins, 2), "stand_ins"), texts, k, percent)
+    labels = components(edges.unionByName(more).select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+    marked = materialise(_label(many, labels), "marked")
+    sizes = marked.groupBy("_q", "_root").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy("_q").agg(F.max(F.struct("_n", "_root"))["_root"].alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
+    largest = largest.where("_all > _most").select(
+        fresh_long(F.col("_q")).alias("_j"), "_main", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("long").alias("_s")
+    )
+    open_rows = materialise(marked.join(largest, fresh_long(F.col("_q")) == F.col("_j")).drop("_j"), "open")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    members = open_rows.select("_q", "_b", every(F.col("_s")).alias("_sb"), F.lit(False).alias("_stray"), "_node", "_root")
+    strays = open_rows.where("_root != _main").withColumn("_sb", F.pmod(F.xxhash64(F.lit(3), "_node"), F.col("_s")))
+    strays = strays.select("_q", every(F.col("_m")).alias("_b"), "_sb", F.lit(True).alias("_stray"), "_node", "_root")
+    cells = strays.unionByName(members)
+    shown = cells.withColumnRenamed("_node", "_node_").join(texts, fresh_long(F.col("_node_")) == fresh_long(F.col("_node")))
+    shown = shown.select("_q", "_b", "_sb", "_stray", "_node", "_root", "_text").repartition("_q", "_b", "_sb").sortWithinPartitions("_q", "_b", "_sb")
+    last = materialise(shown.mapInArrow(_across(k, percent), "node long, root long"), "across")
+    return more.unionByName(last)
 
 
 def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
@@ -193,37 +272,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     name = row_key(F.col(id_col), F.col(text_col)) if with_key else F.lit(None).cast("string")
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text"), name.alias("_key"))
-    rows = materialise(slim.mapInArrow(_sketch_rows(k), "_id long, _key string, _n long, _class binary, _bands binary, _sig binary"), "sketches")
+    rows = materialise(slim.mapInArrow(_sketch_rows(k), "_id long, _key string, _n long, _class binary, _bands binary"), "sketches")
     full = rows.where("_class is not null")
     classes = materialise(full.groupBy("_class").agg(F.min("_id").alias("_node")), "classes")
 
     # of each class, the row of its smallest id stands for it
     key = fresh(F.hex("_class"))
     rep = classes.where("_node is not null").select(key.alias("_j"), "_node")
-    stand = full.join(rep, (key == F.col("_j")) & (F.col("_id") == F.col("_node"))).select("_node", "_class", "_bands", "_sig")
-    stand = materialise(stand.dropDuplicates(["_class"]), "stand")
-
-    bands = materialise(stand.select("_node", "_bands").mapInArrow(_explode_bands, "_k long, _node long"), "bands")
-    chosen = bands.groupBy("_k").agg(
-        F.count("*").alias("_n"),
-        F.min("_node").alias("_c0"),
-        F.min(F.struct(F.xxhash64("_node").alias("h"), F.col("_node").alias("node")))["node"].alias("_c1"),
-    ).where("_n > 1")
-    chosen = chosen.select(fresh(F.col("_k")).alias("_j"), "_c0", "_c1")
-    buckets = materialise(bands.join(chosen, fresh(F.col("_k")) == F.col("_j")).select("_k", "_node", "_c0", "_c1"), "buckets")
-    pairs = buckets.select("_node", F.col("_c0").alias("_c")).union(buckets.select("_node", "_c1"))
-    pairs = materialise(pairs.where("_node != _c").select(F.least("_node", "_c").alias("a"), F.greatest("_node", "_c").alias("b")).distinct(), "pairs")
-
-    classed = stand.select("_node", "_class")
+    stand = full.join(rep, (key == F.col("_j")) & (F.col("_id") == F.col("_node"))).select("_node", "_bands")
+    bands = materialise(stand.mapInArrow(_explode_bands, "_k long, _node long"), "bands")
+    least = bands.groupBy("_k").agg(F.min("_node").alias("_c"), F.max("_node").alias("_top")).where("_c != _top")
+    least = least.select(fresh_long(F.col("_k")).alias("_j"), "_c")
+    pointers = bands.join(least, fresh_long(F.col("_k")) == F.col("_j")).where("_node != _c").select(F.col("_node").alias("a"), F.col("_c").alias("b"))
+    groups = components(pointers).select(F.col("root").alias("_q"), F.col("node").alias("_node"))
+    members = materialise(_dealt(groups, 1), "members")
+
     # rows that share a stand-in's id but not its text come along: they are the same document
-    texts = slim.join(classed.select(F.col("_node").alias("_want")).distinct(), F.col("_id") == F.col("_want"), "left_semi").select(F.col("_id").alias("_node"), "_text")
-    links = _links(pairs, texts, k, percent).unionByName(_same_id(full, classes))
+    want = members.select(fresh_long(F.col("_node")).alias("_want"))
+    texts = slim.join(want, fresh_long(F.col("_id")) == F.col("_want"), "left_semi").select(F.col("_id").alias("_node"), "_text")
+    texts = materialise(texts, "texts")
+    edges = _compared(members, texts, k, percent)
+    many = members.where("_m > 1")
+    links = edges
+    if many.limit(1).count():
+        links = links.unionByName(_join_blocks(many, edges, texts, k, percent))
+    links = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_same_id(full, classes))
     labels = components(links)
-    more = _left_over(buckets.select("_k", "_node").distinct(), labels, stand.select("_node", "_sig"), pairs)
-    if more.limit(1).count():
-        extra = _links(more, texts, k, percent)
-        if extra.limit(1).count():
-            labels = components(links.unionByName(extra))
 
     root = labels.select(fresh(F.col("node")).alias("_l"), F.col("root").alias("_root"))
     named = classes.join(root, fresh(F.col("_node")) == F.col("_l"), "left").select("_class", F.coalesce("_root", "_node").alias("_component"))
