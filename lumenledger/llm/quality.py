@@ -1,7 +1,8 @@
 """A byte-level convolutional network for document quality, in numpy.
 
-The bytes of a whole document are laid out in cells of 256.  Filters of eight bytes, over learned byte vectors, move
-over them in steps of four; a cell keeps each filter's maximum, and a chunk is two neighbouring cells (512 bytes, half
+The bytes of a whole document are laid out in cells of 256.  A byte is a learned vector and one more channel, which says whether
+it ends ``SAME`` bytes that stood at most ``LAGS`` bytes before as well, as in words said over and over.  Filters of eight
+bytes move over them in steps of four; a cell keeps each filter's maximum, and a chunk is two neighbouring cells (512 bytes, half
 overlapping the next chunk).  The chunks' maxima are combined over the document by their mean and their maximum, and
 one logistic unit turns these into a probability.  Nothing but bytes goes in.
 
@@ -25,6 +26,8 @@ from lumenledger.llm.common import batches_of, bytes_of, utf8
 
 CELL, WIDTH, STEP, DIM, FILTERS = 256, 8, 4, 8, 24
 SPOTS = CELL // STEP
+INPUTS = DIM + 1
+LAGS, SAME = 24, 5
 CUT = 1024
 FOLDS = 5
 
@@ -32,33 +35,54 @@ FOLDS = 5
 @dataclass
 class Net:
     embed: np.ndarray  # (256, DIM)
-    kernel: np.ndarray  # (WIDTH * DIM, FILTERS)
+    kernel: np.ndarray  # (WIDTH * INPUTS, FILTERS)
     bias: np.ndarray  # (FILTERS,)
     out: np.ndarray  # (2 * FILTERS + 1,), the last one the intercept
 
 
-def layout(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts end to end -> bytes of their cells (cells, CELL + WIDTH - STEP) and the first cell of each text.
+def repeats(flat: np.ndarray) -> np.ndarray:
+    """Whether the SAME bytes that end here, none of them zero, stood up to LAGS bytes before."""
+    out = np.zeros(len(flat), bool)
+    for lag in range(2, LAGS + 1):
+        if len(flat) < lag + SAME:
+            break
+        same = (flat[lag:] == flat[:-lag]) & (flat[lag:] != 0)
+        run = same[SAME - 1 :].copy()
+        for j in range(1, SAME):
+            run &= same[SAME - 1 - j : len(same) - j]
+        out[lag + SAME - 1 :] |= run
+    return out
 
-    A filter at the end of a cell sees the start of the next one of the same text, and zeros beyond the text.
+
+def layout(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end -> bytes and repeat marks of their cells, both (cells, CELL + WIDTH - STEP), and the first cell of
+    each text.
+
+    A filter at the end of a cell sees the start of the next one of the same text, and zeros beyond the text.  Texts
+    are followed by enough zeros that nothing repeats across them.
     """
     n = np.diff(at)
-    cells = np.maximum(1, -(-n // CELL))
+    cells = -(-(n + LAGS + SAME) // CELL)
     first = np.concatenate([[0], np.cumsum(cells)])
     flat = np.zeros(int(first[-1]) * CELL, np.uint8)
     if len(raw):
         flat[np.arange(len(raw)) + np.repeat(first[:-1] * CELL - at[:-1], n)] = raw
-    grid = flat.reshape(-1, CELL)
-    over = np.zeros((len(grid), WIDTH - STEP), np.uint8)
-    over[:-1] = grid[1:, : WIDTH - STEP]
-    over[first[1:] - 1] = 0
-    return np.concatenate([grid, over], axis=1), first
-
-
-def _windows(net: Net, grid: np.ndarray) -> np.ndarray:
-    x = np.take(net.embed, grid, axis=0)
+    out = []
+    for plane in (flat, repeats(flat).astype(np.uint8)):
+        grid = plane.reshape(-1, CELL)
+        over = np.zeros((len(grid), WIDTH - STEP), np.uint8)
+        over[:-1] = grid[1:, : WIDTH - STEP]
+        over[first[1:] - 1] = 0
+        out.append(np.concatenate([grid, over], axis=1))
+    return out[0], out[1], first
+
+
+def _windows(net: Net, grid: np.ndarray, again: np.ndarray) -> np.ndarray:
+    x = np.empty((*grid.shape, INPUTS), np.float32)
+    x[:, :, :DIM] = np.take(net.embed, grid, axis=0)
+    x[:, :, DIM] = again
     s = x.strides
-    return np.lib.stride_tricks.as_strided(x, (len(grid), SPOTS, WIDTH * DIM), (s[0], STEP * s[1], s[2]))
+    return np.lib.stride_tricks.as_strided(x, (len(grid), SPOTS, WIDTH * INPUTS), (s[0], STEP * s[1], s[2]))
 
 
 def _combine(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,10 +106,10 @@ def scores(net: Net, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Probability of label 1 for each text."""
     if len(at) <= 1:
         return np.zeros(0)
-    grid, first = layout(raw, at)
+    grid, again, first = layout(raw, at)
     h = np.empty((len(grid), FILTERS), np.float32)
     for i in range(0, len(grid), 256):
-        conv = _windows(net, grid[i : i + 256]) @ net.kernel
+        conv = _windows(net, grid[i : i + 256], again[i : i + 256]) @ net.kernel
         h[i : i + 256] = np.maximum(conv.max(axis=1) + net.bias, 0)
     return _sigmoid(_combine(h, first)[0].astype(np.float64) @ net.out)
 
@@ -95,7 +119,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 5) -
     rng = np.random.default_rng(seed)
     net = Net(
         rng.normal(0, 0.5, (256, DIM)).astype(np.float32),
-        rng.normal(0, 0.15, (WIDTH * DIM, FILTERS)).astype(np.float32),
+        rng.normal(0, 0.15, (WIDTH * INPUTS, FILTERS)).astype(np.float32),
         np.zeros(FILTERS, np.float32),
         np.zeros(2 * FILTERS + 1),
     )
@@ -114,8 +138,8 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 5) -
             some = order[b : b + 32]
             parts = [np.frombuffer(texts[i], np.uint8) for i in some]
             at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            grid, first = layout(np.concatenate(parts), at)
-            win = _windows(net, grid)
+            grid, again, first = layout(np.concatenate(parts), at)
+            win = _windows(net, grid, again)
             conv = win @ net.kernel
             spot = conv.argmax(axis=1)  # (cells, FILTERS)
             h = np.take_along_axis(conv, spot[:, None, :], 1)[:, 0, :] + net.bias
@@ -143,7 +167,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 5) -
                 g, at_spot = dh[live, f], spot[live, f]
                 gk[:, f] = g @ win[live, at_spot]
                 bytes_ = grid[live[:, None], at_spot[:, None] * STEP + np.arange(WIDTH)]
-                np.add.at(ge, bytes_, g[:, None, None] * net.kernel[:, f].reshape(WIDTH, DIM))
+                np.add.at(ge, bytes_, g[:, None, None] * net.kernel[:, f].reshape(WIDTH, INPUTS)[:, :DIM])
             grad["kernel"], grad["embed"] = gk, ge
             step += 1
             for name in params:
