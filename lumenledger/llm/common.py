@@ -102,6 +102,11 @@ def utf8(text: Column) -> Column:
     return F.coalesce(F.encode(text, "UTF-8"), F.lit(b"").cast("binary"))
 
 
+def boxed(df: DataFrame, *beside: Column) -> DataFrame:
+    """All columns of ``df`` in one struct ``row`` with others beside it, so that no names clash; ``row.*`` unpacks it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *beside)
+
+
 def row_key(id_col: Column, text: Column) -> Column:
     """A key for a row made from its content: equal rows share it and get equal results.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import fresh, materialise, row_key
+from lumenledger.llm.common import boxed, fresh, materialise, row_key
 
 #: The characters stripped at both ends of a line.
 BLANKS = " \t\n\v\f\r"
@@ -155,20 +155,22 @@ def apply_bitmap(text: str | None, keep: bytes | None) -> str:
     return "\n".join(x for i, x in enumerate(lines) if i >= len(bits) or bits[i])
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with the text that is left, and beside them _lost (lines dropped).
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", lost: str = "_lost") -> DataFrame:
+    """All rows and columns of ``docs`` with the text that is left, and beside them ``lost``, the lines dropped (it takes
+    the place of a column of that name).
 
     A line whose key has at least ``min_chars`` code points and lies in at least ``min_docs`` documents goes from all but
     the largest id that holds it.  A null or empty text is one empty line.  A null id is below all others; where only
     null ids hold a line, all of them keep it.  Rows that share an id keep or lose alike.  Empty tables give empty results.
     """
     bits = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col)
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
-    bits = bits.select(F.col("_key").alias("__key"), F.col("_keep").alias("__keep"), F.col("_lost").alias("__lost"))
-    left = F.pandas_udf(lambda text, keep: _applied(text, keep), "string")
-    joined = keyed.join(bits, "__key", "left")
-    out = [F.when(F.col("__keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(left(F.col(text_col), F.col("__keep"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.coalesce("__lost", F.lit(0)).cast("long").alias("_lost"))
+    keyed = boxed(docs, row_key(F.col(id_col), F.col(text_col)).alias("_own"))
+    apply = F.pandas_udf(lambda text, keep: _applied(text, keep), "string")
+    joined = keyed.join(bits, F.col("_own") == F.col("_key"), "left")
+    text = F.col("row")[text_col]
+    left = F.when(F.col("_keep").isNull(), F.coalesce(text, F.lit(""))).otherwise(apply(text, F.col("_keep")))
+    out = [(left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c != lost]
+    return joined.select(*out, F.coalesce("_lost", F.lit(0)).cast("long").alias(lost))
 
 
 def _applied(text: pd.Series, keep: pd.Series) -> pd.Series:
