@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenledger.llm import decontaminate, line_dedup, minhash, packing, quality
-from lumenledger.llm.common import materialise, row_key, table
+from lumenledger.llm.common import boxed, materialise, row_key, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     net = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, net).where("predicted = 1").select(*docs.columns)
+    rows = boxed(docs, F.col("doc_id"), F.col("text"))
+    return quality.score_documents(rows, net).where("predicted = 1").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +30,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id; repeated rows become one."""
-    kept = minhash.near_duplicates(docs, with_key=True).where("kept").select(F.col("_key").alias("__kept")).distinct()
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    kept = minhash.near_duplicates(docs, with_key=True).where("kept").select(F.col("_key").alias("kept_key")).distinct()
+    rows = boxed(docs, row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    return rows.join(kept, F.col("key") == F.col("kept_key"), "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    marked = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), "__leaks")
-    return marked.where(F.size("__leaks") == 0).select(*docs.columns)
+    marked = decontaminate.with_leaks(boxed(docs, F.col("text")), table(spark, sf_dir, "benchmark"))
+    return marked.where(F.size("leaks") == 0).select("row.*")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
