@@ -30,6 +30,9 @@ MEMBER_MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Bytes of records, before compression, that an archive holds on average at most; one task reads an archive.
+ARCHIVE_BYTES = 64 << 20
+
 #: Bytes given to the inflater at once, so that what it hands back unused stays small.
 CHUNK = 8192
 
@@ -210,7 +213,9 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, id_col: s
     records = joined.select("_id", "_url", F.when(again, "revisit").otherwise("response").alias("_kind"), "_digest", F.when(again, F.col("_first")).alias("_refers"), "_html")
     values = records.mapInArrow(_as_sink_value(compress), "value binary").select(F.col("value").cast("string").alias("value"))
     sep = EMPTY_MEMBER.decode("latin-1") if compress else "\r\n"
-    values.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", 20_000).text(path)
+    mean = slim.agg(F.avg(byte_length(F.col("_html")) + 500)).first()[0] or 500.0
+    most = max(1, int(ARCHIVE_BYTES / mean))
+    values.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", most).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
