@@ -129,6 +129,10 @@ ORACLES: dict[str, str] = {
         case when doc_id % 13 <> 0 then substr(md5(text), 1, 16) end as phash from documents)
         select hash_kind, phash, min(id) as id from e where trim(hash_kind) <> '' and phash is not null
         and (hash_kind, phash) not in (select (hash_kind, phash) from e where id < 20 and phash is not null) group by 1, 2""",
+    "known_hashes": f"with {HASHES} select id from h where lo in (select lo from h where id % 10 = 0)",
+    "token_expiry": f"{CTE} select id, created_at + interval 90 minute as expires_at from images",
+    "uuid_guard": f"""{CTE} select id, case when id % 4 <> 2 then substr(md5(id::varchar), 1, 8) || '-' || substr(md5(id::varchar), 9, 4) || '-'
+        || substr(md5(id::varchar), 13, 4) || '-' || substr(md5(id::varchar), 17, 4) || '-' || substr(md5(id::varchar), 21, 12) end as uuid from users""",
     "hamming_pairs": _pairs(1),
     "hamming_banded": _pairs(4),
     "hamming_classes": f"with {HASHES} select h.id, r.id as class_id from h join r using (hi, lo)",

@@ -13,7 +13,8 @@ from lumenledger.functions import vectors
 from lumenledger.functions.image_metrics import psnr_of, ssim
 from lumenledger.functions.names import base, extension
 from lumenledger.functions.rounding import half_up
-from lumenledger.operators import hashmatch, ingest, lookup, mutate, paging, relations, summary
+from lumenledger.functions.values import as_uuid, expiry
+from lumenledger.operators import hashmatch, ingest, lookup, membership, mutate, paging, relations, summary
 from lumenledger.sources import ledger
 from lumenledger.sources.schema import add_column
 from lumenledger.streaming.jobs import outcome
@@ -249,6 +250,20 @@ def add_column_default(spark, sf_dir):
     return add_column(add_column(old, "watermark_enabled", "boolean", True), "watermark_id", "string", "")
 
 
+@query
+def token_expiry(spark, sf_dir):
+    return ledger.images(spark, sf_dir).select("id", expiry(F.col("created_at"), 90).alias("expires_at"))
+
+
+@query
+def uuid_guard(spark, sf_dir):
+    """Identifiers in several spellings, some broken."""
+    h = F.md5(F.col("id").cast("string"))
+    dashed = F.regexp_replace(h, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    text = F.when(F.col("id") % 4 == 0, dashed).when(F.col("id") % 4 == 1, F.upper(h)).when(F.col("id") % 4 == 2, F.substring(h, 1, 31)).otherwise(F.concat(F.lit("{"), dashed, F.lit("}")))
+    return ledger.users(spark, sf_dir).select("id", as_uuid(text).alias("uuid"))
+
+
 # ---- ingest
 
 
@@ -414,6 +429,12 @@ def hash_dedupe(spark, sf_dir):
     return hashmatch.dedupe(entries, held)
 
 
+@query
+def known_hashes(spark, sf_dir):
+    rows = _hashes(spark, sf_dir)
+    return membership.known(rows, rows.where("id % 10 = 0").select("lo"), "lo").select("id")
+
+
 @query
 def hamming_pairs(spark, sf_dir):
     return hashmatch.near_pairs(_hashes(spark, sf_dir), 1)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lumenledger.functions import image_metrics as im
 from lumenledger.functions.names import allowed_set, base, extension
-from lumenledger.operators import hashmatch, ingest, lookup, mutate, paging, relations, summary
+from lumenledger.functions.values import as_uuid, elapsed_ms
+from lumenledger.operators import hashmatch, ingest, lookup, membership, mutate, paging, relations, summary
 from lumenledger.sources import files, ledger
 from lumenledger.sources.schema import IMAGE_DEFAULTS, IMAGES, conform
 from lumenledger.streaming import jobs
@@ -187,6 +188,21 @@ def test_hash_dedupe(spark):
     assert [r[0] for r in shapes.collect()] == [True, False, False, False]
 
 
+def test_bloom(spark):
+    held = spark.createDataFrame([("0123456789abcdef",), ("f" * 16,), (None,)], "h string")
+    b = membership.Bloom(held, "h", 3)
+    assert b.capacity == 10_000 and "f" * 16 in b and b.bits > 100_000
+    assert sum(f"{i:016x}" in b for i in range(200)) < 5
+    assert membership.known(held, held.limit(0), "h").count() == 0
+
+
+def test_values(spark):
+    rows = [("{12345678-1234-5678-1234-567812345678}",), ("12345678123456781234567812345678",), ("nope",), (None,), ("",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(as_uuid(F.col("t"))).collect()]
+    assert got == ["12345678-1234-5678-1234-567812345678"] * 2 + [None] * 3
+    assert spark.range(1).select(elapsed_ms(F.lit(1.0), F.lit(2.9996))).first()[0] == 1999
+
+
 def test_ingest(spark):
     df = spark.createDataFrame([("a.jpg", 10), ("b.exe", 10), ("c.png", None), ("d.png", 99), (None, 1)], "name string, length long")
     taken, refused = ingest.split(df, max_bytes=50)
