@@ -141,14 +141,19 @@ class Index:
                 near |= size.near[b][prints[:, b]]
             w, i = np.nonzero(near)
             apart = _ONES[prints[w] ^ size.prints[i]].sum(axis=1)
-            w, i, apart = w[apart <= RADIUS], i[apart <= RADIUS], apart[apart <= RADIUS]
+            # shingles that no item has can't be shared: a bound on the similarity of a window that is within the radius
+            shared = (has[starts + width] - has[starts])[w]
+            fits = (apart <= RADIUS) & (shared >= SIMILARITY * (size.width + width - shared) - 1e-9)
+            w, i, apart = w[fits], i[fits], apart[fits]
+            most = shared[fits] / (size.width + width - shared[fits])
             best: dict[int, tuple[float, int]] = {}
             for x in np.lexsort((w, apart)).tolist():
                 j, start = int(size.which[i[x]]), int(starts[w[x]])
-                if j in best and best[j][0] == 1.0:
+                held = best.get(j, (0.0, 0))
+                if held[0] == 1.0 or most[x] < held[0] - 1e-9:
                     continue
                 s = self.similarity(found[start : start + width], j)
-                if s >= SIMILARITY and s > best.get(j, (0.0, 0))[0]:
+                if s >= SIMILARITY and (-s, start) < (-held[0], held[1]):
                     best[j] = (s, start)
             out += [(self.ids[j], s, start, width + k - 1) for j, (s, start) in best.items()]
         return out
@@ -201,6 +206,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text_
     """
     out = docs.withColumn(name, F.expr(f"cast(array() as {LEAKS})"))
     for index in _slices(benchmark, item_col, item_text_col):
-        find = F.pandas_udf(_finder(docs.sparkSession.sparkContext.broadcast(index)), LEAKS)
+        # not deterministic, or the optimiser computes it once more for a filter on its result
+        find = F.pandas_udf(_finder(docs.sparkSession.sparkContext.broadcast(index)), LEAKS).asNondeterministic()
         out = out.withColumn(name, F.concat(F.col(name), find(F.lower(F.coalesce(F.col(text_col), F.lit(""))))))
     return out
