@@ -27,6 +27,18 @@ _own_dirs: dict[int, str] = {}
 _written: dict[str, object] = {}
 
 
+#: Rows and bytes of one Arrow batch between Spark and a Python worker: texts have no bound, batches do.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, if they are larger."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        said = spark.conf.get(key, None)
+        if said is None or not said.lstrip("-").isdigit() or not 0 < int(said) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, by Spark's own reader, so any store that Spark reaches will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,6 +84,7 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and no executor holds it."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

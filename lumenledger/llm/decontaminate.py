@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bytes_of, mix64
+from lumenledger.llm.common import batches_of, bound_batches, bytes_of, mix64
 from lumenledger.llm.shingles import shingles, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -204,6 +204,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text_
     Null and empty texts hold nothing.  Equal items are all reported; an item with a null id is reported as -1.  A
     text shorter than an item is one window.  With an empty benchmark the arrays are empty.
     """
+    bound_batches(docs.sparkSession)
     out = docs.withColumn(name, F.expr(f"cast(array() as {LEAKS})"))
     for index in _slices(benchmark, item_col, item_text_col):
         # not deterministic, or the optimiser computes it once more for a filter on its result

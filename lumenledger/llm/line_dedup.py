@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import boxed, fresh, materialise, row_key
+from lumenledger.llm.common import bound_batches, boxed, fresh, materialise, row_key
 
 #: The characters stripped at both ends of a line.
 BLANKS = " \t\n\v\f\r"
@@ -163,6 +163,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     the largest id that holds it.  A null or empty text is one empty line.  A null id is below all others; where only
     null ids hold a line, all of them keep it.  Rows that share an id keep or lose alike.  Empty tables give empty results.
     """
+    bound_batches(docs.sparkSession)
     bits = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col)
     keyed = boxed(docs, row_key(F.col(id_col), F.col(text_col)).alias("_own"))
     apply = F.pandas_udf(lambda text, keep: _applied(text, keep), "string")

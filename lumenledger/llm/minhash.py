@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bytes_of, fresh, fresh_long, materialise, mix64, row_key, utf8
+from lumenledger.llm.common import batches_of, bound_batches, bytes_of, fresh, fresh_long, materialise, mix64, row_key, utf8
 from lumenledger.llm.graph import components
 from lumenledger.llm.shingles import shingles, words
 
@@ -270,6 +270,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     same component and are kept alike.  Rows with a null id take the component of their equals and aren't kept;
     without equals that have ids, their component is null and they are kept.  Empty tables give empty results.
     """
+    bound_batches(docs.sparkSession)
     name = row_key(F.col(id_col), F.col(text_col)) if with_key else F.lit(None).cast("string")
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text"), name.alias("_key"))
     rows = materialise(slim.mapInArrow(_sketch_rows(k), "_id long, _key string, _n long, _class binary, _bands binary"), "sketches")

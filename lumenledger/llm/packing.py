@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import materialise
+from lumenledger.llm.common import bound_batches, materialise
 
 #: Lengths above this share of the capacity take part in configurations; the others are filled in by best fit.
 LARGE = 0.125
@@ -332,6 +332,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
     than a sequence are cut.  Rows with equal or null ids are packed each by itself.  Columns: id, piece, start, length,
     ids_crc32, sequence_id, offset.  An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     pieces = materialise(pieces_of(docs, capacity, tokenizer, end_id, id_col, text_col), "pieces")
     counts = materialise(pieces.groupBy("_part", "length").agg(F.count("*").alias("_n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most

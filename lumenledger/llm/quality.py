@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bytes_of, utf8
+from lumenledger.llm.common import batches_of, bound_batches, bytes_of, utf8
 
 CELL, WIDTH, STEP, DIM, FILTERS = 256, 8, 4, 8, 24
 SPOTS = CELL // STEP
@@ -223,6 +223,7 @@ def score_documents(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col:
 
     A null text scores as an empty one.  A null id isn't held out. 
     """
+    bound_batches(docs.sparkSession)
     held = net
 
     @F.pandas_udf("double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bytes_of, discard, fresh_long, materialise, mix64, utf8
+from lumenledger.llm.common import batches_of, bound_batches, bytes_of, discard, fresh_long, materialise, mix64, utf8
 from lumenledger.llm.segments import segments
 from lumenledger.llm.shingles import prefix_hash, span_hash
 
@@ -308,6 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, heavy: int = HEAVY, id_co
     repeated rows remove each other's strings.  Texts shorter than ``length`` bytes keep all.  Bytes kept needn't be
     valid UTF-8.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d1"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_d2"), utf8(F.col(text_col)).alias("_text"))
     spans = repeated_spans(slim.select("_d1", "_d2", "_text"), length, heavy)
     lists = spans.groupBy("_d1", "_d2").agg(F.collect_list(F.struct(F.col("_from").alias("start"), F.col("_to").alias("end"))).alias("_spans"))

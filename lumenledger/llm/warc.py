@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import byte_length, fresh, materialise, new_scratch_path, utf8
+from lumenledger.llm.common import bound_batches, byte_length, fresh, materialise, new_scratch_path, utf8
 
 #: Fixed values of the formats.
 VERSION = b"WARC/1.1"
@@ -198,6 +198,7 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, id_col: s
     with the smallest id is a response and the others revisit it, without a block of their own; rows that share this
     smallest id are all responses.  Rows with a null id are responses, and revisits of a row that has one.
     """
+    bound_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     slim = slim.withColumn("_digest", F.sha2(utf8(F.col("_html")), 256))
     # only digests that occur twice: their number and the join's other side shrink before anything wide moves
