@@ -165,7 +165,7 @@ def number_rows(df: DataFrame, *order: str, name: str = "_row") -> tuple[DataFra
     return out.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start"), int(total)
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], text_column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def batches_of(batches: Iterator[pa.RecordBatch], text_column: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text, or one longer text."""
     for batch in batches:
         column = batch.column(text_column)

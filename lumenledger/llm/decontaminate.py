@@ -188,7 +188,7 @@ def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> list[Index]:
 def _finder(held):
     def found(texts: pd.Series) -> pd.Series:
         result: list[list[dict]] = []
-        for part in batches_of(iter([pa.record_batch([pa.array(texts, pa.string())], names=["t"])]), 0, 1 << 20):
+        for part in batches_of(iter([pa.record_batch([pa.array(texts, pa.string())], names=["t"])]), 0):
             for leaks in held.value.leaks(*bytes_of(part.column(0))):
                 result.append([dict(zip(("item_id", "similarity", "start", "n_words"), x)) for x in leaks])
         return pd.Series(result, dtype=object)

@@ -230,7 +230,7 @@ def score_documents(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col:
     def scored(texts: pd.Series) -> pd.Series:
         out = []
         column = pa.array(texts, pa.binary())
-        for part in batches_of(iter([pa.record_batch([column], names=["t"])]), 0, 1 << 20):
+        for part in batches_of(iter([pa.record_batch([column], names=["t"])]), 0):
             out.append(scores(held, *bytes_of(part.column(0))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
