@@ -2,22 +2,23 @@
 
 1.  Every page becomes a skeleton: its element tree with neighbouring siblings of the same tag and class merged into one
     repeating node, and a hash of each node's own text.
-2.  For each host the page with the smallest id is the reference.  Every other page of the host is aligned with it by simple
-    tree matching (Yang 1991: the best order-preserving matching of children, recursively).  A matched node whose
-    text is the same votes for constant, one whose text differs for varying.  A page with nothing but equal texts is a copy
-    and has no vote.  Votes are counted in each task first, so one host with a third of all pages costs no more.
-3.  Nodes that are constant on almost all pages (and ``MIN_VOTES`` of them) are the host's template; the others are
-    slots.  A page's text is that of its content slots: within its article or main element if it has one, and
-    without the elements that never hold content: menus, footers, sidebars, notices, adverts, forms, comments.
-
-Hosts with a single page have no votes, so only the last part works for them.
+2.  Every page of a host votes for each of its nodes, by the hash of the node's path of tags and classes and of its text.
+    No page is a reference, so what an empty or odd page lacks, or has alone, counts as one page's vote.
+    Copies of a page have one vote together.  Votes are counted in each task first, so one host with a third of all
+    pages costs no more.
+3.  Nodes that recur on almost all pages that have text at their path (and ``MIN_VOTES`` others at least) are the host's
+    template; the others are slots.  A page's text is that of its content slots: within its article or main element if
+    it has one, and without the elements that never hold content: menus, footers, sidebars, notices, adverts, forms, comments.
+
+Hosts of one or two pages have too few votes, so only the last part works for them.  Simple tree matching of two
+skeletons (``tree_match``, ``votes``) is kept for comparing pages; templates don't depend on it.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as html_std
-import json
 import re
 from collections.abc import Iterator
 
@@ -249,31 +250,57 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for page in batch.column(2):
-            tree = skeleton(blocks(page.as_py() or "")[0])
-            out.append(None if tree is None else json.dumps(tree, separators=(",", ":"), ensure_ascii=False))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["_host", "_id", "_tree"])
+@functools.lru_cache(1 << 16)
+def _step(path: int, sig: str) -> int:
+    """The hashed path of a child."""
+    return _hash(path, sig)
+
+
+def _hash(path: int, text: str) -> int:
+    raw = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=path.to_bytes(8, "little", signed=True)).digest()
+    return int.from_bytes(raw, "little", signed=True)
+
+
+def slots(root: Node) -> Iterator[tuple[int, int, list[Node]]]:
+    """(hashed path, hash of path and text, nodes) of the merged nodes that have text."""
+    todo = [([root], 0, 0)]
+    left = MAX_NODES
+    while todo:
+        group, path, depth = todo.pop()
+        left -= len(group)
+        if left < 0 or depth > MAX_DEPTH:
+            return
+        texts = [t for n in group for t in n.texts]
+        if texts:
+            yield path, _hash(path, "\x1f".join(texts)), group
+        groups: list[list[Node]] = []
+        for node in group:
+            for kid in node.kids:
+                if kid.tag in INLINE and not kid.kids and not kid.texts:
+                    continue
+                if groups and groups[-1][0].sig == kid.sig:
+                    groups[-1].append(kid)
+                else:
+                    groups.append([kid])
+        todo += [(g, _step(path, g[0].sig), depth + 1) for g in groups]
+
+
+def content_key(found: list[tuple[Node, str]]) -> bytes:
+    """What copies of a page share: its texts."""
+    return hashlib.blake2b("\x1f".join(text for _, text in found).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees: dict[str, list] = {}
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: dict[tuple[str, str, str], list[int]] = {}
-        for host, tree, reference in zip(*(c.to_pylist() for c in batch.columns)):
-            if reference not in trees:
-                if len(trees) > 500:
-                    trees.clear()
-                trees[reference] = json.loads(reference)
-            for path, digest, same in votes(trees[reference], json.loads(tree)):
-                n = counts.setdefault((host, path, digest), [0, 0])
-                n[0] += same
-                n[1] += 1
-        keys = list(zip(*counts)) or [(), (), ()]
-        numbers = list(zip(*counts.values())) or [(), ()]
-        yield pa.record_batch([*(pa.array(list(k), pa.string()) for k in keys), *(pa.array(list(n), pa.int64()) for n in numbers)], names=["_host", "_path", "_digest", "_same", "_all"])
+        keys, paths, nodes = [], [], []
+        for page in batch.column(2):
+            root, found = blocks(page.as_py() or "")
+            own = {(path, node) for path, node, group in slots(root) if not all(n.skip for n in group)}
+            keys.append(content_key(found))
+            paths.append([path for path, _ in own])
+            nodes.append([node for _, node in own])
+        longs = pa.list_(pa.int64())
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(paths, longs), pa.array(nodes, longs)], names=["_host", "_id", "_key", "_paths", "_nodes"])
 
 
 def _join_hosts(rows: DataFrame, small: DataFrame, size: int, how: str) -> DataFrame:
@@ -285,50 +312,30 @@ def _join_hosts(rows: DataFrame, small: DataFrame, size: int, how: str) -> DataF
 
 
 def templates(pages: DataFrame) -> tuple[DataFrame, int]:
-    """(_host, _nodes) with the constant nodes "path digest" of each host that has any, and the table's size in bytes.
+    """(_host, _nodes) with the hashed constant nodes of each host that has any, and the table's size in bytes.
 
     ``pages``: _host, _id, _html.
     """
-    trees = materialise(pages.select("_host", "_id", "_html").mapInArrow(_skeletons, "_host string, _id long, _tree string").where("_tree is not null"), "trees")
-    chosen = trees.groupBy("_host").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tree"))["_tree"].alias("_reference"), F.count("*").alias("_n"))
-    chosen = materialise(chosen.where(f"_n > {MIN_VOTES}").select("_host", "_reference"), "references")
-    size = chosen.agg(F.sum(F.length("_reference") + F.length("_host") + 64)).first()[0] or 0
-    pairs = _join_hosts(trees, chosen, size, "inner").select("_host", "_tree", "_reference")
-    counted = pairs.mapInArrow(_vote_rows, "_host string, _path string, _digest string, _same long, _all long")
-    nodes = counted.groupBy("_host", "_path", "_digest").agg(F.sum("_same").alias("_same"), F.sum("_all").alias("_all"))
-    constant = nodes.where((F.col("_digest") != "") & (F.col("_same") >= MIN_VOTES) & (F.col("_same") >= SHARE * F.col("_all")))
-    # as many nodes a host as its reference has
-    out = materialise(constant.groupBy("_host").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "_path", "_digest"))).alias("_nodes")), "templates")
-    return out, out.agg(F.sum(F.length(F.concat_ws("", "_nodes")) + 96)).first()[0] or 0
-
-
-def _constant_nodes(root: Node, nodes: set[str]) -> set[int]:
+    rows = pages.select("_host", "_id", "_html").mapInArrow(_slot_rows, "_host string, _id long, _key binary, _paths array<bigint>, _nodes array<bigint>")
+    first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", F.arrays_zip("_paths", "_nodes").alias("s")))["s"]
+    # one vote a content, cast by the copy with the smallest id
+    voting = materialise(rows.where("size(_nodes) > 0").groupBy("_host", "_key").agg(first.alias("_slots")), "slots")
+    nodes = voting.select("_host", F.explode("_slots").alias("s")).groupBy("_host", F.col("s._paths").alias("_path"), F.col("s._nodes").alias("_node")).agg(F.count("*").alias("_same"))
+    paths = voting.select("_host", F.explode(F.array_distinct(F.col("_slots._paths"))).alias("_path")).groupBy("_host", "_path").agg(F.count("*").alias("_all"))
+    # a page's node against the other pages
+    often = nodes.where(F.col("_same") > MIN_VOTES)
+    constant = often.join(paths, ["_host", "_path"]).where(F.col("_same") - 1 >= SHARE * (F.col("_all") - 1))
+    # no more nodes a host than its pages share
+    out = materialise(constant.groupBy("_host").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")), "templates")
+    return out, out.agg(F.sum(8 * F.size("_nodes") + F.length("_host") + 96)).first()[0] or 0
+
+
+def _constant_nodes(root: Node, nodes: set[int]) -> set[int]:
     """Ids of the nodes whose merged group is in the template."""
-    found: set[int] = set()
-
-    def walk(group: list[Node], path: str, depth: int) -> None:
-        if depth > MAX_DEPTH:
-            return
-        texts = [t for n in group for t in n.texts]
-        if texts and f"{path} {_digest(texts)}" in nodes:
-            found.update(id(n) for n in group)
-        groups: list[list[Node]] = []
-        for node in group:
-            for kid in node.kids:
-                if kid.tag in INLINE and not kid.kids and not kid.texts:
-                    continue
-                if groups and groups[-1][0].sig == kid.sig:
-                    groups[-1].append(kid)
-                else:
-                    groups.append([kid])
-        for g in groups:
-            walk(g, f"{path}/{g[0].sig}", depth + 1)
-
-    walk([root], "", 0)
-    return found
+    return {id(n) for _, node, group in slots(root) if node in nodes for n in group}
 
 
-def main_text(page: str | None, template: list[str] | None = None) -> str:
+def main_text(page: str | None, template: list[int] | None = None) -> str:
     """The text of a page's content slots: blocks in page order, joined by one space."""
     root, found = blocks(page or "")
     constant = _constant_nodes(root, set(template)) if template else set()
@@ -342,7 +349,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row a row of ``pages``: id, url, text, n_chars (code points).
 
     A null or empty html has an empty text.  Pages without a host (null or odd url) count as one host.  Rows that share
-    an id are pages of their own.  Pages with null ids come last when a host's reference is chosen.
+    an id are pages of their own.  Of copies the one with the smallest id votes, null ids last.
     """
     bound_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))

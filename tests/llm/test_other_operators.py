@@ -124,6 +124,20 @@ def test_constant_nodes_become_template(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def host_texts(spark, htmls):
+    """The texts of pages of one host, ids in the order given."""
+    rows = [(i, "http://a.example/x", h) for i, h in enumerate(htmls)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_template_comes_from_all_pages(spark):
+    page = "<body><div class='strap'>Daily News</div><h2>Title {0}</h2><div class='story'><p>Text {0}</p></div><div class='tail'>All rights reserved</div></body>"
+    want = [f"Title {i} Text {i}" for i in range(5)]
+    for odd in (None, "", "<body><p>Error 404</p></body>", "<body><table><tr><td>other layout</table></body>"):
+        assert host_texts(spark, [odd, *(page.format(i) for i in range(5))])[1:] == want, odd
+
+
 def test_articles_come_out_whole(spark, sf):
     rows = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
     import html as std
