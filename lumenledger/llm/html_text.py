@@ -4,10 +4,10 @@
     repeating node, and a hash of each node's own text.
 2.  Every page of a host votes for each of its nodes, by the hash of the node's path of tags and classes and of its text.
     No page is a reference, so what an empty or odd page lacks, or has alone, counts as one page's vote.
-    Copies of a page have one vote together.  Votes are counted in each task first, so one host with a third of all
-    pages costs no more.
-3.  Nodes that recur on almost all pages that have text at their path (and ``MIN_VOTES`` others at least) are the host's
-    template; the others are slots.  A page's text is that of its content slots: within its article or main element if
+    Pages of one content (``content_key``) have one vote together, so copies don't make an article a template.  Votes are
+    counted in each task first, so one host with a third of all pages costs no more.
+3.  Nodes that recur with almost all contents that have text at their path (``MIN_VOTES`` beside the first at least) and
+    aren't inside an article or main element are the host's template; the others are slots.  A page's text is that of its content slots: within its article or main element if
     it has one, and without the elements that never hold content: menus, footers, sidebars, notices, adverts, forms, comments.
 
 Hosts of one or two pages have too few votes, so only the last part works for them.  Simple tree matching of two
@@ -43,6 +43,7 @@ CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("ul ol dl table article main section div body html aside nav footer header form td th".split())
 NEVER_NAMED = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
@@ -286,21 +287,30 @@ def slots(root: Node) -> Iterator[tuple[int, int, list[Node]]]:
 
 
 def content_key(found: list[tuple[Node, str]]) -> bytes:
-    """What copies of a page share: its texts."""
-    return hashlib.blake2b("\x1f".join(text for _, text in found).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    """What copies of one content share, whatever advert, menu or date is around it.
+
+    The text in the article or main element; without one the headings, the longest paragraph and the longest block.
+    """
+    left = [(node, text) for node, text in found if not node.skip]
+    key = [text for node, text in left if node.content]
+    if not key:
+        key = [text for node, text in left if node.tag in HEADINGS]
+        rest = [(len(text), text, node.tag) for node, text in left if node.tag not in HEADINGS]
+        key += [max(some)[1] for some in ([r for r in rest if r[2] == "p"], rest) if some]
+    return hashlib.blake2b("\x1f".join(key).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, paths, nodes = [], [], []
-        for page in batch.column(2):
+        for page in batch.column(1):
             root, found = blocks(page.as_py() or "")
-            own = {(path, node) for path, node, group in slots(root) if not all(n.skip for n in group)}
+            own = {(path, node) for path, node, group in slots(root) if not all(n.skip or n.content for n in group)}
             keys.append(content_key(found))
             paths.append([path for path, _ in own])
             nodes.append([node for _, node in own])
         longs = pa.list_(pa.int64())
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(paths, longs), pa.array(nodes, longs)], names=["_host", "_id", "_key", "_paths", "_nodes"])
+        yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(paths, longs), pa.array(nodes, longs)], names=["_host", "_key", "_paths", "_nodes"])
 
 
 def _join_hosts(rows: DataFrame, small: DataFrame, size: int, how: str) -> DataFrame:
@@ -314,15 +324,15 @@ def _join_hosts(rows: DataFrame, small: DataFrame, size: int, how: str) -> DataF
 def templates(pages: DataFrame) -> tuple[DataFrame, int]:
     """(_host, _nodes) with the hashed constant nodes of each host that has any, and the table's size in bytes.
 
-    ``pages``: _host, _id, _html.
+    ``pages``: _host, _html.
     """
-    rows = pages.select("_host", "_id", "_html").mapInArrow(_slot_rows, "_host string, _id long, _key binary, _paths array<bigint>, _nodes array<bigint>")
-    first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", F.arrays_zip("_paths", "_nodes").alias("s")))["s"]
-    # one vote a content, cast by the copy with the smallest id
-    voting = materialise(rows.where("size(_nodes) > 0").groupBy("_host", "_key").agg(first.alias("_slots")), "slots")
-    nodes = voting.select("_host", F.explode("_slots").alias("s")).groupBy("_host", F.col("s._paths").alias("_path"), F.col("s._nodes").alias("_node")).agg(F.count("*").alias("_same"))
-    paths = voting.select("_host", F.explode(F.array_distinct(F.col("_slots._paths"))).alias("_path")).groupBy("_host", "_path").agg(F.count("*").alias("_all"))
-    # a page's node against the other pages
+    rows = pages.select("_host", "_html").mapInArrow(_slot_rows, "_host string, _key binary, _paths array<bigint>, _nodes array<bigint>")
+    voting = materialise(rows.where("size(_nodes) > 0"), "slots")
+    # one vote a content, however many copies it has; distinct first, so a hot node spreads over all tasks
+    each = voting.select("_host", "_key", F.explode(F.arrays_zip("_paths", "_nodes")).alias("s")).select("_host", "_key", F.col("s._paths").alias("_path"), F.col("s._nodes").alias("_node")).distinct()
+    nodes = each.groupBy("_host", "_path", "_node").agg(F.count("*").alias("_same"))
+    paths = voting.select("_host", "_key", F.explode(F.array_distinct("_paths")).alias("_path")).distinct().groupBy("_host", "_path").agg(F.count("*").alias("_all"))
+    # a content's node against the other contents
     often = nodes.where(F.col("_same") > MIN_VOTES)
     constant = often.join(paths, ["_host", "_path"]).where(F.col("_same") - 1 >= SHARE * (F.col("_all") - 1))
     # no more nodes a host than its pages share
@@ -332,7 +342,7 @@ def templates(pages: DataFrame) -> tuple[DataFrame, int]:
 
 def _constant_nodes(root: Node, nodes: set[int]) -> set[int]:
     """Ids of the nodes whose merged group is in the template."""
-    return {id(n) for _, node, group in slots(root) if node in nodes for n in group}
+    return {id(n) for _, node, group in slots(root) if node in nodes for n in group if not n.content}
 
 
 def main_text(page: str | None, template: list[int] | None = None) -> str:
@@ -349,7 +359,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row a row of ``pages``: id, url, text, n_chars (code points).
 
     A null or empty html has an empty text.  Pages without a host (null or odd url) count as one host.  Rows that share
-    an id are pages of their own.  Of copies the one with the smallest id votes, null ids last.
+    an id are pages of their own.  Copies of one content have one vote on a host's template; ids don't matter for it.
     """
     bound_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))

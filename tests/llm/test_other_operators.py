@@ -138,6 +138,17 @@ def test_template_comes_from_all_pages(spark):
         assert host_texts(spark, [odd, *(page.format(i) for i in range(5))])[1:] == want, odd
 
 
+def test_copies_do_not_make_an_article_a_template(spark):
+    page = "<body><div class='strap'>Daily News</div><div class='date'>{2} May</div><div class='offer'>Buy {2}</div><h2>{0}</h2><div class='story'><p>{1}</p><p>more of it</p></div></body>"
+    copies = [page.format("Storm over town", "Rain fell all night.", i) for i in range(30)]
+    assert host_texts(spark, copies[:3]) == [f"Daily News {i} May Buy {i} Storm over town Rain fell all night. more of it" for i in range(3)]
+    others = [page.format(f"Title {i}", f"Text of page {i}.", 40 + i) for i in range(3)]
+    got = host_texts(spark, copies + others)
+    assert got[0] == "0 May Buy 0 Storm over town Rain fell all night. more of it" and got[30] == "40 May Buy 40 Title 0 Text of page 0. more of it"
+    inside = "<body><p>strap</p><article><h1>Recipe of the day</h1><p>Take {0} eggs</p><p class='end'>Serve hot</p></article></body>"
+    assert host_texts(spark, [inside.format(i) for i in range(5)]) == [f"Recipe of the day Take {i} eggs Serve hot" for i in range(5)]
+
+
 def test_articles_come_out_whole(spark, sf):
     rows = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
     import html as std
