@@ -36,13 +36,17 @@ MAX_NODES, MAX_DEPTH = 4000, 60
 
 # Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("nav footer aside form menu dialog button select fieldset head".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes template svg canvas audio video annotation annotation-xml".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover""".split())
+#: Stand-ins for what a browser shows: text only within an article.
+STAND_IN = frozenset("noscript object".split())
+NEVER = frozenset("nav footer aside menu dialog button select fieldset head".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
+MAIN = frozenset("article main h1".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("ul ol dl table article main section div body html aside nav footer header form td th".split())
 NEVER_NAMED = frozenset(
@@ -60,39 +64,56 @@ _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "sig", "skip", "kids", "texts", "content")
+    __slots__ = ("tag", "sig", "skip", "kids", "texts", "content", "hard", "soft", "size", "main")
 
-    def __init__(self, tag: str, sig: str, skip: bool, content: bool):
+    def __init__(self, tag: str, sig: str, skip: bool, content: bool, hard: bool = False, soft: bool = False):
         self.tag, self.sig, self.skip, self.content = tag, sig, skip, content
+        # never holds content; or only if it holds the page's content
+        self.hard, self.soft = hard, soft
+        # signs of text in it, and whether it is or holds an article, main or h1
+        self.size, self.main = 0, tag in MAIN and not hard
         self.kids: list[Node] = []
         self.texts: list[str] = []
 
 
-def _open(token: str, tag: str, parent: Node) -> Node:
+def _open(token: str, tag: str, parent: Node, number: int, spared: frozenset[int]) -> Node:
     """The node of a start tag."""
     names: list[str] = []
-    skip = parent.skip or tag in NEVER or (tag == "header" and not parent.content)
+    hard = tag in NEVER or (tag == "header" or tag in STAND_IN) and not parent.content
+    soft = tag == "form"
     if len(token) > len(tag) + 2:
         for name, a, b, c in _ATTR.findall(token):
             value, name = (a or b or c).lower(), name.lower()
             if name in ("class", "id"):
                 names += value.split()
             elif name == "role":
-                skip = skip or value in NEVER_ROLES
+                hard = hard or value in NEVER_ROLES
             elif name == "hidden" or value == "true":
-                skip = True
-    if names and tag not in ("body", "html"):
+                hard = True
+    if names and tag not in ("body", "html", "main"):
         for n in names:
-            if n in NEVER_NAMED or not NEVER_NAMED.isdisjoint(re.split(r"[-_]+", n)):
-                skip = True
-    return Node(tag, ".".join([tag, *sorted(set(names))]), skip, parent.content or tag in ("article", "main"))
+            if n in NEVER_NAMED:
+                hard = True
+            elif tag not in MAIN and not NEVER_NAMED.isdisjoint(re.split(r"[-_]+", n)):
+                soft = True
+    soft = soft and not hard
+    skip = parent.skip or hard or soft and number not in spared
+    return Node(tag, ".".join([tag, *sorted(set(names))]), skip, parent.content or tag in ("article", "main"), hard, soft)
 
 
 def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of a page, and its blocks of text in page order with the nodes that hold them.
 
-    Parsing forgives: unclosed elements end with their parents, stray end tags are ignored.
+    Parsing forgives: unclosed elements end with their parents, stray end tags are ignored.  Forms and elements with a word of
+    ``NEVER_NAMED`` in a name hold no content, but not if an article, main or h1 is in them or nearly all of the page's text.
     """
+    root, out, spared = _parse(page, frozenset())
+    return _parse(page, spared)[:2] if spared else (root, out)
+
+
+def _parse(page: str, spared: frozenset[int]) -> tuple[Node, list[tuple[Node, str]], frozenset[int]]:
+    """As ``blocks``, with the numbers of elements to spare; also of those that ought to be."""
+    opened: list[tuple[Node, Node]] = []
     root = Node("", "", False, False)
     stack = [root]
     out: list[tuple[Node, str]] = []
@@ -112,6 +133,7 @@ def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         nonlocal holder
         if not text:
             return
+        stack[-1].size += len("".join(text.split()))
         if not held:
             block = next((n for n in reversed(stack) if n.tag not in INLINE), root)
             holder = block
@@ -159,11 +181,18 @@ def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                     break
         if tag in VOID or token.endswith("/>") and tag not in INLINE:
             continue
-        node = _open(token, tag, stack[-1])
+        node = _open(token, tag, stack[-1], len(opened), spared)
+        opened.append((node, stack[-1]))
         stack[-1].kids.append(node)
         stack.append(node)
     flush()
-    return root, out
+    if spared or not any(node.soft for node, _ in opened):
+        return root, out, spared
+    for node, parent in reversed(opened):
+        if not node.hard:
+            parent.size += node.size
+            parent.main = parent.main or node.main
+    return root, out, frozenset(n for n, (node, _) in enumerate(opened) if node.soft and (node.main or node.size and node.size >= SHARE * root.size))
 
 
 # ---------------------------------------------------------------- skeletons and their alignment

@@ -138,6 +138,23 @@ def test_template_comes_from_all_pages(spark):
         assert host_texts(spark, [odd, *(page.format(i) for i in range(5))])[1:] == want, odd
 
 
+def test_names_do_not_drop_what_holds_the_article():
+    text = html_text.main_text
+    article = "<article><h1>T</h1><p>one</p></article>"
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-ads", "menu-open"):
+        assert text(f"<body><div class='{name}'>{article}<div class='sidebar'>s</div></div></body>") == "T one", name
+        assert text(f"<body><div id='{name}'><h1>T</h1><div>one</div></div><div class='ad'>buy</div></body>") == "T one", name
+        assert text(f"<body><nav>menu</nav><div id='{name}'><div>only text</div></div></body>") == "only text", name
+    assert text("<body><article class='related-story'><h1 class='banner-title'>T</h1><p>one</p></article></body>") == "T one"
+    assert text(f"<body><form id='aspnetForm'><nav>n</nav>{article}<div class='share-bar'>share</div></form></body>") == "T one"
+    assert text("<body><form><input><div>whole page in a form</div></form></body>") == "whole page in a form"
+    assert text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p><noscript><p>plain</p></noscript><object data='a'>o</object></article>") == "If x=1 then plain o"
+    assert text("<body><noscript>switch it on</noscript><p>text</p></body>") == "text"
+    # what holds no article still goes
+    assert text(f"<body><div class='site-banner'>b</div>{article}<form>search</form></body>") == "T one"
+    assert text("<body><div class='top-banner'>b</div><p>a text of some length</p><form>search</form></body>") == "a text of some length"
+
+
 def test_copies_do_not_make_an_article_a_template(spark):
     page = "<body><div class='strap'>Daily News</div><div class='date'>{2} May</div><div class='offer'>Buy {2}</div><h2>{0}</h2><div class='story'><p>{1}</p><p>more of it</p></div></body>"
     copies = [page.format("Storm over town", "Rain fell all night.", i) for i in range(30)]
