@@ -31,7 +31,7 @@ from lumenledger.llm.common import bound_batches, fresh, materialise
 MIN_VOTES, SHARE = 2, 0.9
 #: Tables up to this size go to all executors; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Nodes and depth of a skeleton beyond which a page isn't aligned (its text is still extracted whole).
+#: Nodes and depth beyond which ``skeleton`` gives none.  Templates don't use it: pages of any size vote and are cut.
 MAX_NODES, MAX_DEPTH = 4000, 60
 
 # Element names by what they do.
@@ -293,13 +293,9 @@ def _hash(path: int, text: str) -> int:
 
 def slots(root: Node) -> Iterator[tuple[int, int, list[Node]]]:
     """(hashed path, hash of path and text, nodes) of the merged nodes that have text."""
-    todo = [([root], 0, 0)]
-    left = MAX_NODES
+    todo = [([root], 0)]
     while todo:
-        group, path, depth = todo.pop()
-        left -= len(group)
-        if left < 0 or depth > MAX_DEPTH:
-            return
+        group, path = todo.pop()
         texts = [t for n in group for t in n.texts]
         if texts:
             yield path, _hash(path, "\x1f".join(texts)), group
@@ -312,7 +308,7 @@ def slots(root: Node) -> Iterator[tuple[int, int, list[Node]]]:
                     groups[-1].append(kid)
                 else:
                     groups.append([kid])
-        todo += [(g, _step(path, g[0].sig), depth + 1) for g in groups]
+        todo += [(g, _step(path, g[0].sig)) for g in groups]
 
 
 def content_key(found: list[tuple[Node, str]]) -> bytes:

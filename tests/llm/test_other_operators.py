@@ -138,6 +138,14 @@ def test_template_comes_from_all_pages(spark):
         assert host_texts(spark, [odd, *(page.format(i) for i in range(5))])[1:] == want, odd
 
 
+def test_template_of_long_and_deep_pages(spark):
+    page = "<body><div class='strap'>Daily News</div><h2>Title {0}</h2><div class='story'>{1}</div>{2}<div class='tail'>All rights reserved</div>{3}</body>"
+    long = [page.format(i, "".join(f"<p>Text {i} {k}</p>" for k in range(5000)), "", "") for i in range(4)]
+    assert host_texts(spark, long) == [" ".join([f"Title {i}", *(f"Text {i} {k}" for k in range(5000))]) for i in range(4)]
+    deep = [page.format(i, f"<p>Text {i}</p>", "<div class='x'>" * 2000, "</div>" * 2000) for i in range(4)]
+    assert host_texts(spark, deep) == [f"Title {i} Text {i}" for i in range(4)]
+
+
 def test_names_do_not_drop_what_holds_the_article():
     text = html_text.main_text
     article = "<article><h1>T</h1><p>one</p></article>"
