@@ -9,7 +9,9 @@ shingles, counted with their multiplicity.
 
 Windows that share no shingle with any item have similarity 0 and get no fingerprint; finding them is one table lookup a
 shingle.  At the similarity threshold a window differs from its item in 0.15 of the bits, 10 +- 3, so the radius
-misses none but by 5 standard deviations.
+misses none but by 5 standard deviations.  That holds for distinct shingles only: one that repeats weighs on all bits at
+once.  So where a window or an item of its size repeats shingles, the window is compared exactly with all items of
+the size, by a table of their shingles, if its known shingles can reach the threshold.
 """
 
 from __future__ import annotations
@@ -57,6 +59,17 @@ class Sized:
     which: np.ndarray  # places of the items
     prints: np.ndarray  # (items, 8) bytes
     near: list[np.ndarray]  # for each block: (256, items), within reach
+    repeats: bool  # an item has a shingle more than once
+    posted: tuple[np.ndarray, np.ndarray, np.ndarray]  # shingles in order, for each the item (place in ``which``) and its count
+
+    def shared(self, window: np.ndarray) -> np.ndarray:
+        """For each item the shingles that it shares with a window, counted with their multiplicity."""
+        values, n = np.unique(window, return_counts=True)
+        posted, items, counts = self.posted
+        low, high = np.searchsorted(posted, values), np.searchsorted(posted, values, side="right")
+        many = high - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(items[at], np.minimum(counts[at], np.repeat(n, many)), len(self.which)).astype(np.int64)
 
 
 class Index:
@@ -87,7 +100,10 @@ class Index:
         for (width, k), js in sorted(by_size.items()):
             p = prints[js]
             near = [_ONES[np.arange(256, dtype=np.uint8)[:, None] ^ p[None, :, b]] <= reach for b in range(BLOCKS)]
-            self.sizes.append(Sized(width, k, np.array(js), p, near))
+            own = [self.counts[j] for j in js]
+            posted, items, counts = np.concatenate([v for v, _ in own]), np.repeat(np.arange(len(js)), [len(v) for v, _ in own]), np.concatenate([n for _, n in own])
+            order = np.argsort(posted, kind="stable")
+            self.sizes.append(Sized(width, k, np.array(js), p, near, bool((counts > 1).any()), (posted[order], items[order].astype(np.int32), counts[order].astype(np.int32))))
         self.known = {k: np.unique(np.concatenate(v)) for k, v in every.items()}
         self.table = {}
         for k, v in self.known.items():
@@ -126,6 +142,12 @@ class Index:
         row[live] = np.arange(len(live))
         sums = np.zeros((len(live) + 1, BITS), np.int32)
         np.cumsum(_planes(found[live]), axis=0, out=sums[1:])
+        # the place before at which the same shingle stands, -1 for none; and sums that tell equal windows
+        order = np.argsort(found, kind="stable")
+        same = found[order[1:]] == found[order[:-1]]
+        last = np.full(len(found), -1, np.int64)
+        last[order[1:][same]] = order[:-1][same]
+        marks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(found), dtype=np.uint64)])
         for size in self.sizes:
             if size.k != k:
                 continue
@@ -147,10 +169,17 @@ class Index:
             w, i, apart = w[fits], i[fits], apart[fits]
             most = shared[fits] / (size.width + width - shared[fits])
             best: dict[int, tuple[float, int]] = {}
+            for start in self.exact(size, starts, width, has, last, marks).tolist():
+                both = size.shared(found[start : start + width])
+                for x in np.flatnonzero(both >= SIMILARITY * (size.width + width - both) - 1e-9).tolist():
+                    j, s = int(size.which[x]), int(both[x]) / (size.width + width - int(both[x]))
+                    held = best.get(j, (0.0, 0))
+                    if s >= SIMILARITY and (-s, start) < (-held[0], held[1]):
+                        best[j] = (s, start)
             for x in np.lexsort((w, apart)).tolist():
                 j, start = int(size.which[i[x]]), int(starts[w[x]])
                 held = best.get(j, (0.0, 0))
-                if held[0] == 1.0 or most[x] < held[0] - 1e-9:
+                if held[0] == 1.0 and held[1] <= start or most[x] < held[0] - 1e-9:
                     continue
                 s = self.similarity(found[start : start + width], j)
                 if s >= SIMILARITY and (-s, start) < (-held[0], held[1]):
@@ -158,6 +187,21 @@ class Index:
             out += [(self.ids[j], s, start, width + k - 1) for j, (s, start) in best.items()]
         return out
 
+    def exact(self, size: Sized, starts: np.ndarray, width: int, has: np.ndarray, last: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Windows whose fingerprints can't be relied on, as they or items repeat shingles; the first of equal ones."""
+        shared = has[starts + width] - has[starts]
+        starts = starts[shared >= SIMILARITY * (size.width + width - shared) - 1e-9]
+        if not size.repeats and starts.size:
+            # a window repeats a shingle if one of its places has an earlier one that is in the window too
+            again = np.flatnonzero(last >= 0)
+            edge = np.zeros(len(last) + 2, np.int64)
+            low, high = np.maximum(again - width + 1, 0), last[again] + 1
+            np.add.at(edge, low[low < high], 1)
+            np.add.at(edge, high[low < high], -1)
+            starts = starts[np.cumsum(edge)[starts] > 0]
+        _, first = np.unique(marks[starts + width] - marks[starts], return_index=True)
+        return np.sort(starts[first])
+
     def leaks(self, raw: np.ndarray, at: np.ndarray) -> list[list[tuple[int, float, int, int]]]:
         """For each lower-cased text the items found in it."""
         _, _, hashes, first = words(raw, at, SEPARATORS)

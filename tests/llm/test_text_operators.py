@@ -316,6 +316,28 @@ def test_leaks(spark, docs, sf):
     assert decontaminate.with_leaks(frame(spark, rows).limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [46, 100, 200])
+def test_leaks_with_repeated_shingles(n):
+    rng = np.random.default_rng(n)
+    make = lambda k: [f"w{x}" for x in rng.integers(0, 10**6, k)]
+    items, docs = [], []
+    edge = -(-8 * n // 9)  # shared shingles at a similarity of 0.8
+    for i in range(8):
+        words = make(n + 4)
+        items.append((i, " ".join(words)))
+        # about the threshold: the item's start or end, and one word over and over
+        for shared in (edge - 1, edge, edge + 1):
+            kept, pad = shared + 4, ["x"] * (n - shared)
+            docs += [(0, " ".join(words[:kept] + pad)), (0, " ".join(make(9) + pad + words[-kept:] + make(9)))]
+        # the other way round: the item repeats a word, the text doesn't
+        items.append((100 + i, " ".join(words[: edge + 4] + ["x"] * (n - edge))))
+    docs += [(0, " ".join(make(30) + ["x"] * 700 + make(30))), (0, items[1][1]), (0, items[0][1])]
+    raw = [t.encode() for _, t in docs]
+    found = decontaminate.Index(items).leaks(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    got = {(d, i): round(s, 9) for d, x in enumerate(found) for i, s, *_ in x}
+    assert got == brute_leaks(docs, items) and len(got) > 32
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     index = decontaminate.Index([(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 24))) for i in range(40)])
