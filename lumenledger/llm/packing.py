@@ -9,8 +9,9 @@
     few sizes that are left, column generation optimises how often each configuration is used (Gilmore and Gomory
     1961).  Actual lengths then take the places of the rounded ones, and small pieces go where they fit best.
     The plan consists of runs: so many pieces of a length, from this rank on, into consecutive sequences at an offset.
-4.  A piece's rank among all of its length is its ordinal plus what earlier tasks hold; looking it up in the runs gives
-    sequence and offset.  No step gathers the pieces of a length.
+4.  Pieces are numbered in the order of length, task and ordinal by one range exchange; a piece's number less that of the first
+    of its length is its rank, and looking it up in the runs gives sequence and offset.  No step gathers the pieces of a
+    length, and what is broadcast are runs and one number a partition.
 """
 
 from __future__ import annotations
@@ -24,66 +25,103 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import bound_batches, materialise
+from lumenledger.llm.common import bound_batches, materialise, number_rows
 
-#: Lengths above this share of the capacity take part in configurations; the others are filled in by best fit.
-LARGE = 0.125
+#: Lengths above this share of the capacity take part in configurations; the others are filled in by best fit.  A plan is
+#: made for each share, and the one with the fewest sequences stays.
+LARGE = (0.3, 0.4, 0.5)
 GROUPS = 40
-MAX_COLUMNS = 400
 
 #: White space to Python, but not to the tokenizer.
-ODD_SPACES = re.compile("[\x1c-\x1f]")
+ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 #: Fixed values of the tokenizer: how it cuts lower-cased words, for words of ASCII and Latin-1 letters.
 SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+WORD_END = "</w>"
 
-#: Words kept in a memo before it starts again.
-MEMO_WORDS = 600_000
+#: Words kept in a memo, and their characters, before it starts again.
+MEMO_WORDS, MEMO_CHARS = 600_000, 32 << 20
 
 
 class WordIds:
     """Token ids of texts by a tokenizer whose tokens never span white space, with two memos.
 
     One holds words as they stand between white space, the other the lower-cased runs of letters, single digits and
-    runs of other signs that the tokenizer makes of them, so each run is encoded once a task or so.  Words with other
-    characters than ASCII and Latin-1 letters go to the tokenizer as they are.
+    runs of other signs that the tokenizer makes of them.  Words are looked up first; what a batch of texts misses is
+    encoded in one go, lower-cased and cut already, so that only merging is left to the tokenizer.  Words with other characters
+    than ASCII and Latin-1 letters are encoded as they are, and texts with one of the tokenizer's added tokens as a whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.merger = Tokenizer.from_file(path)
+        self.merger.encode_special_tokens = True
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.chars = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merge(self, runs: list[str]) -> None:
+        """Ids of runs, a token's word end telling where one stops."""
+        for at in range(0, len(runs), 256):
+            some = runs[at : at + 256]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(cut) == len(some) + 1:
+                raw = ids.tobytes()
+                self.runs.update((r, raw[a:b]) for r, a, b in zip(some, cut, cut[1:]))
+            else:
+                self.runs.update(zip(some, self._encode(some)))
+
     def _learn(self, words: list[str]) -> None:
-        parts = [RUNS.findall(w.lower()) if SIMPLE.fullmatch(w) else [w] for w in words]
-        if len(self.runs) > MEMO_WORDS:
-            self.runs.clear()
         runs = self.runs
-        missing = list({x for p in parts for x in p if x not in runs})
-        runs.update(zip(missing, self._encode(missing)))
-        self.words.update((w, b"".join([runs[x] for x in p])) for w, p in zip(words, parts))
+        simple = [w for w in words if SIMPLE.fullmatch(w)]
+        parts = [RUNS.findall(w.lower()) for w in simple]
+        self._merge(list({r for p in parts for r in p if r not in runs}))
+        self.words.update((w, b"".join([runs[r] for r in p])) for w, p in zip(simple, parts))
+        odd = [w for w in words if w not in self.words]
+        self.words.update(zip(odd, self._encode(odd)))
+        self.chars += sum(map(len, words))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > MEMO_WORDS:
+        if len(self.words) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.words.clear()
-        split = [[t] if ODD_SPACES.search(t) else t.split() for t in texts]
-        words = self.words
-        missing = {w for ws in split for w in set(ws) if w not in words}
-        if missing:
-            self._learn(list(missing))
-        get = words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            self.runs.clear()
+            self.chars = 0
+        get = self.words.__getitem__
+        out: list[bytes] = []
+        later: list[tuple[int, list[str]]] = []
+        for text in texts:
+            if any(t in text for t in self.added) or any(c in text for c in ODD_SPACES):
+                out += self._encode([text])
+                continue
+            words = text.split()
+            try:
+                out.append(b"".join(map(get, words)))
+            except KeyError:
+                later.append((len(out), words))
+                out.append(b"")
+        if later:
+            known = self.words
+            self._learn(list({w for _, words in later for w in words if w not in known}))
+            for k, words in later:
+                out[k] = b"".join(map(get, words))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -168,14 +206,17 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
     """How often to use which configuration so that all counts are placed: (items of each size, times).
 
     Column generation with a revised simplex over as many rows as there are sizes, then rounding down, and best-fit
-    decreasing for what rounding leaves.
+    decreasing for what rounding leaves.  Counts are raised by less than a millionth each, all by different amounts, so that no
+    ratios tie: every step lowers the objective and no basis recurs.  The loop ends when no configuration is worth
+    more than it costs, or a step no longer lowers the objective by what doubles can show.
     """
     m = len(sizes)
     columns = [np.where(np.arange(m) == i, capacity // sizes[i], 0) for i in range(m)]
     basis = list(range(m))
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
-    x = inverse @ counts
-    for _ in range(MAX_COLUMNS):
+    asked = counts + 1e-6 * np.arange(1, m + 1) / (m + 1)
+    x = inverse @ asked
+    while True:
         price = np.ones(m) @ inverse
         value, use = _knapsack(sizes, price, capacity)
         if value <= 1 + 1e-9:
@@ -191,7 +232,11 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
         for r in range(m):
             if r != leave:
                 inverse[r] -= step[r] * inverse[leave]
-        x = inverse @ counts
+        lower = inverse @ asked
+        if not lower.sum() < x.sum():
+            x = lower
+            break
+        x = lower
     left = counts.astype(np.int64).copy()
     plan: list[tuple[np.ndarray, int]] = []
     for b, times in sorted(zip(basis, x), key=lambda p: -p[1]):
@@ -214,7 +259,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
                 use[i] += 1
                 rest[k] = (room - int(sizes[i]), use)
                 n -= 1
-            elif n > 4 * m * (capacity // sizes[i]):  # only if the simplex stopped early: whole bins of one size
+            elif n > 4 * m * (capacity // sizes[i]):  # whole bins of one size, should rounding leave so many
                 per = int(capacity // sizes[i])
                 plan.append((np.where(np.arange(m) == i, per, 0), n // per))
                 n -= n // per * per
@@ -230,10 +275,15 @@ def plan_packing(histogram: dict[int, int], capacity: int = 2048) -> np.ndarray:
     """Runs (length, rank, count, sequence, offset): ``count`` pieces of ``length`` from ``rank`` on go into consecutive
     sequences from ``sequence`` on, at ``offset``.  Their number is bounded by the capacity, not by the counts.
 
-    Two substitutions are tried, and the one with fewer sequences stays: one in which only the smallest slot of each
-    configuration is left to best fit, and one in which only its largest slot is not.
+    A plan is made for each share of ``LARGE`` and the one with the fewest sequences stays.
     """
-    large = sorted((n for n in histogram if n > capacity * LARGE and n < capacity), reverse=True)
+    plans = [_planned(histogram, capacity, share) for share in LARGE]
+    return min(plans, key=lambda p: p[1])[0]
+
+
+def _planned(histogram: dict[int, int], capacity: int, share: float) -> tuple[np.ndarray, int]:
+    """Runs and number of sequences, with lengths above this share of the capacity in configurations."""
+    large = sorted((n for n in histogram if n > capacity * share and n < capacity), reverse=True)
     counts = np.array([histogram[n] for n in large], np.int64)
     total = int(counts.sum())
     ends = np.cumsum(counts)
@@ -250,12 +300,15 @@ def plan_packing(histogram: dict[int, int], capacity: int = 2048) -> np.ndarray:
             sizes.append(size)
             held.append([a, b])
     config = configurations(np.array(sizes), np.array([b - a for a, b in held]), capacity) if large else []
-    plans = [_substitute(histogram, capacity, large, counts, ends, held, config, keep) for keep in (lambda n: max(1, n - 1), lambda n: 1)]
-    return min(plans, key=lambda p: p[1])[0]
+    return _substitute(histogram, capacity, share, large, counts, ends, held, config)
+
 
+def _substitute(histogram, capacity, share, large, counts, ends, held, config) -> tuple[np.ndarray, int]:
+    """Runs and number of sequences when actual lengths take the places of rounded ones.
 
-def _substitute(histogram, capacity, large, counts, ends, held, config, keep) -> tuple[np.ndarray, int]:
-    """Runs and number of sequences; ``keep`` says how many slots of a configuration of n items are filled by it."""
+    Of a configuration of several items the smallest slot stays open: filled from its group, it would leave rooms smaller than any
+    piece that is left, whereas best fit finds a length of that group, or several smaller ones, that fill the room.
+    """
     runs: list[tuple[int, int, int, int, int]] = []
     fill: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> runs of sequences (first, count)
     pool: list[tuple[int, int, int]] = []  # (length, rank, count) for best fit
@@ -270,12 +323,11 @@ def _substitute(histogram, capacity, large, counts, ends, held, config, keep) ->
         place = [a for a, _ in held]
         for use, times in config:
             # substitute actual lengths: each slot of the configuration takes ``times`` consecutive places of its
-            # group; where any slot's length changes, the bins split into a new run.  The smallest slot of a
-            # configuration (or more) stays open: rounding slack and it are room for the best fit below
+            # group; where any slot's length changes, the bins split into a new run
             groups_used = [int(g) for g in np.flatnonzero(use) for _ in range(int(use[g]))]
             slots = []
             cuts = {0, times}
-            for g in groups_used[: keep(len(groups_used))]:
+            for g in groups_used[: max(1, len(groups_used) - 1)]:
                 a = place[g]
                 place[g] += times
                 slots.append(a)
@@ -295,7 +347,7 @@ def _substitute(histogram, capacity, large, counts, ends, held, config, keep) ->
                 n = min(b, int(ends[k])) - a
                 pool.append((large[k], a - int(ends[k] - counts[k]), n))
                 a += n
-    pool += [(n, 0, histogram[n]) for n in histogram if n <= capacity * LARGE and n < capacity]
+    pool += [(n, 0, histogram[n]) for n in histogram if n <= capacity * share and n < capacity]
 
     fill.pop(0, None)
     rooms = sorted(fill)
@@ -334,22 +386,23 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
     """
     bound_batches(docs.sparkSession)
     pieces = materialise(pieces_of(docs, capacity, tokenizer, end_id, id_col, text_col), "pieces")
-    counts = materialise(pieces.groupBy("_part", "length").agg(F.count("*").alias("_n")), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = plan_packing(histogram, capacity)
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    held = docs.sparkSession.sparkContext.broadcast(plan)
+    numbered, _ = number_rows(pieces, "length", "_part", "_ord")
+    lengths = np.array(sorted(histogram), np.int64)
+    start = np.concatenate([[0], np.cumsum([histogram[n] for n in sorted(histogram)])])
+    held = docs.sparkSession.sparkContext.broadcast((plan, lengths, start))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = held.value
+        runs, lengths, start = held.value
         key = runs[:, 0] << 40 | runs[:, 1]
         for batch in batches:
-            length, rank = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("length", "_rank"))
+            length, number = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("length", "_row"))
+            rank = number - start[np.searchsorted(lengths, length)]
             k = np.searchsorted(key, length << 40 | rank, side="right") - 1
             sequence = runs[k, 3] + rank - runs[k, 1]
             yield pa.record_batch([*batch.columns[:-1], pa.array(sequence), pa.array(runs[k, 4])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    ranked = pieces.join(starts, ["_part", "length"]).select("_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_ord")).alias("_rank"))
+    ranked = numbered.select("_id", "piece", "start", "length", "ids_crc32", "_row")
     placed = ranked.mapInArrow(place, "_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed.withColumnRenamed("_id", id_col)

@@ -1,5 +1,6 @@
 """The document operators against brute force on small fixtures, and on odd rows."""
 
+import bisect
 import collections
 import hashlib
 import re
@@ -8,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lumenledger.llm import common, decontaminate, line_dedup, minhash, packing, quality, repeats, sharding
 from lumenledger.llm.common import discard, materialise, shared_dir
@@ -201,10 +203,11 @@ def test_lines(spark, docs):
 
 
 def test_packing(spark, docs):
-    words = packing.WordIds(packing.default_tokenizer())
-    rows = docs[:80] + ODD
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    marked = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> a<|", "one\x1ctwo \x85three", "é e\u0301 ſtraße İ 'S don't"]
+    rows = docs[:80] + ODD + [(900 + i, t) for i, t in enumerate(marked)]
     got = packing.pack_documents(frame(spark, rows), capacity=256).collect()
-    direct = [np.array([*e.ids, 0], "<u4") for e in words.tokenizer.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
+    direct = [np.array([*e.ids, 0], "<u4") for e in plain.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
     want = collections.Counter()
     for (i, _), ids in zip(rows, direct):
         for k, a in enumerate(range(0, len(ids), 256)):
@@ -240,6 +243,12 @@ def test_plan(seed, low, high):
             assert offset == end
             end += length
         assert end <= 2048
+    rooms: list[int] = []  # plain best-fit decreasing
+    for n in sorted(histogram.elements(), reverse=True):
+        k = bisect.bisect_left(rooms, n)
+        room = rooms.pop(k) if k < len(rooms) else 2048
+        bisect.insort(rooms, room - n)
+    assert len(bins) <= len(rooms)
     assert len(packing.plan_packing({})) == 0
 
 
