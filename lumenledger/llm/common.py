@@ -125,13 +125,12 @@ def row_key(id_col: Column, text: Column) -> Column:
 
     It needs no numbering of rows, so it is the same in every scan and after every retry.
     """
-    whole = F.concat_ws(
-        "\x1f",
-        F.coalesce(id_col.cast("string"), F.lit("~")),
-        F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"),
-        F.crc32(utf8(text)).cast("string"),
-    )
-    return whole
+    return key_of_parts(id_col, F.xxhash64(F.coalesce(text, F.lit(""))), F.crc32(utf8(text)))
+
+
+def key_of_parts(id_col: Column, text_hash: Column, checksum: Column) -> Column:
+    """``row_key`` from an id and two hashes of the text."""
+    return F.concat_ws("\x1f", F.coalesce(id_col.cast("string"), F.lit("~")), text_hash.cast("string"), checksum.cast("string"))
 
 
 def fresh(key: Column) -> Column:

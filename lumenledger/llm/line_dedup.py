@@ -2,13 +2,15 @@
 
 1.  Each document is split at \\n; a line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lowered.  Keys of
     at least ``min_chars`` code points become 128-bit hashes.
-2.  Each task first folds its own lines to (hash, documents, largest document), so a line that a third of all
-    documents hold is one row a task.
-3.  These rows are range-partitioned by hash, with document and position as the secondary sort (largest document first),
-    and one pass streams them: the first occurrence of a hash names the document that keeps it, and the run's
-    count says whether it is repeated.  The pass keeps a few numbers in memory.
-4.  Documents' lines meet the repeated hashes in a join that adaptive execution may split, and each document gets a
-    compressed bitmap of the lines that it keeps.  Texts move once, when a caller applies bitmaps to them.
+2.  One row a long line (hash, document, position) is range-partitioned by hash with document and position as the secondary sort,
+    the largest document first.  Ranges are cut within a hash too, so a line that a third of all documents hold spreads over
+    many partitions.
+3.  One pass streams each partition.  The first occurrence of a hash names the document that keeps it; once enough documents
+    are seen, all later ones stream out as drops.  The pass holds the few rows up to that point and nothing else.
+4.  Only a partition's first and last hash may lie in other partitions too.  Their rows leave undecided, and a table of these
+    hashes, two a partition, decides them.
+5.  Drops are gathered by document into a compressed bitmap of the lines that it keeps.  Texts move once, when a caller
+    applies bitmaps to them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import bound_batches, boxed, fresh, materialise, row_key
+from lumenledger.llm.common import bound_batches, boxed, fresh, key_of_parts, materialise, row_key, utf8
+
+#: Rows that the stream holds until enough documents are seen.
+HELD = 10_000
 
 #: The characters stripped at both ends of a line.
 BLANKS = " \t\n\v\f\r"
@@ -57,28 +62,23 @@ def _hashes(text: str | None, min_chars: int, seen: dict[str, bytes]) -> list[tu
 
 
 def _emit_lines(min_chars: int):
-    """Rows (hash, id, key, position, first) of the long lines; first marks a hash's first line in its document."""
-    names = ["_h", "_id", "_key", "_pos", "_first"]
-    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
+    """Rows (hash, id, text's hash and checksum, position) of the long lines."""
+    names = ["_h", "_id", "_d", "_c", "_pos"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, bytes] = {}
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in names]
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for id_, key, text in zip(ids, keys, batch.column(2)):
+            for text, *key in zip(batch.column(3), *(batch.column(c).to_pylist() for c in range(3))):
                 found = _hashes(text.as_py(), min_chars, seen)
-                held: set[bytes] = set()
-                for pos, h in found:
-                    out[0].append(h)
-                    out[3].append(pos)
-                    out[4].append(h not in held)
-                    held.add(h)
-                out[1] += [id_] * len(found)
-                out[2] += [key] * len(found)
+                out[0] += [h for _, h in found]
+                out[4] += [pos for pos, _ in found]
+                for column, value in zip(out[1:], key):
+                    column += [value] * len(found)
                 if len(out[0]) >= 20_000:
                     yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in names]
         if out[0]:
             yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
 
@@ -86,38 +86,71 @@ def _emit_lines(min_chars: int):
 
 
 def _stream_first(min_docs: int):
-    """Over rows sorted by (hash, document desc): the keeper of each hash that enough documents hold."""
-    schema = pa.schema([("_h", pa.binary()), ("_keeper", pa.int64())])
+    """Rows sorted by (hash, document desc, position) -> the rows that go, with null hashes, and undecided rows with theirs.
+
+    Undecided are all rows of the partition's first hash, which may have begun before.  Of the last, which may go on, the first
+    row of each of ``min_docs`` documents comes along, enough to name the keeper and reach the count; so do rows of a
+    document with more than ``HELD`` equal lines.
+    """
+    names = ["_h", "_id", "_d", "_c", "_pos"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keeper, docs = None, None, 0
+        out: list[list] = [[] for _ in names]
+        first: list[tuple] = []  # of the hash of now, the first row of each document
+        held: list[tuple] = []  # its rows that wait for the count
+        now, opening, spilled = None, True, False
+
+        def put(rows: list[tuple], h: bytes | None) -> None:
+            if rows:
+                out[0].extend([h] * len(rows))
+                for column, values in zip(out[1:], zip(*rows)):
+                    column.extend(values)
+
         for batch in batches:
-            hs, keepers = [], []
-            for h, top, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for h, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != now:
-                    if now is not None and docs >= min_docs:
-                        hs.append(now), keepers.append(keeper)
-                    now, keeper, docs = h, top, 0
-                docs += n
-            if hs:
-                yield pa.record_batch([pa.array(hs, pa.binary()), pa.array(keepers, pa.int64())], schema=schema)
-        if now is not None and docs >= min_docs:
-            yield pa.record_batch([pa.array([now], pa.binary()), pa.array([keeper], pa.int64())], schema=schema)
+                    if spilled:
+                        put(first, now)
+                    opening, now, first, held, spilled = now is None, h, [row], [], False
+                elif row[0] != first[-1][0] and len(first) < min_docs:
+                    first.append(row)
+                if opening:
+                    put([row], h)
+                elif row[0] != first[0][0]:
+                    if len(first) < min_docs:
+                        held.append(row)
+                        if len(held) > HELD:
+                            put(held, h)
+                            held, spilled = [], True
+                    else:
+                        put([*held, row], None)
+                        held = []
+            if len(out[0]) >= 20_000:
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
+                out = [[] for _ in names]
+        if not opening:
+            put(first + held, now)
+        if out[0]:
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
 
     return run
 
 
-def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
-    """(_h, _keeper) of the line hashes found in at least ``min_docs`` documents; lines: _h, _id, _first.
+def dropped_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Rows (_id, _d, _c, _pos) of the lines that go; lines: _h, _id, _d, _c, _pos.
 
-    A document is a row of the input, so repeated rows count one each.
+    A document is an id; rows without one are one document, below all others.
     """
-    folded = lines.groupBy("_h").agg(
-        F.max("_id").alias("_top"),
-        F.count(F.when(F.col("_first"), 1)).alias("_n"),
-    )
-    ordered = folded.repartitionByRange("_h").sortWithinPartitions(F.asc("_h"), F.desc_nulls_last("_top"))
-    return ordered.mapInArrow(_stream_first(min_docs), "_h binary, _keeper long")
+    ordered = lines.repartitionByRange(F.asc("_h"), F.desc_nulls_last("_id"), F.asc("_pos")).sortWithinPartitions(F.asc("_h"), F.desc_nulls_last("_id"), F.asc("_pos"))
+    streamed = materialise(ordered.mapInArrow(_stream_first(min_docs), "_h binary, _id long, _d long, _c long, _pos int"), "streamed")
+    sure = streamed.where("_h is null").drop("_h")
+    edge = streamed.where("_h is not null")
+    # documents first, so a hot hash folds in each task
+    hot = edge.groupBy("_h", "_id").agg(F.lit(1).alias("_one")).groupBy("_h").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
+    hot = hot.select(fresh(F.hex("_h")).alias("_j"), "_keeper")
+    met = edge.join(hot, fresh(F.hex("_h")) == F.col("_j")).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
+    return sure.unionByName(met.select(*sure.columns))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,12 +158,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
 
     ``_key`` is ``row_key(id, text)``; rows absent here keep all their lines.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
-    lines = slim.mapInArrow(_emit_lines(min_chars), "_h binary, _id long, _key string, _pos int, _first boolean")
-    lines = materialise(lines, "lines")
-    hot = repeated_lines(lines, min_docs)
-    meets = lines.join(hot.withColumn("_j", fresh(F.hex("_h"))).drop("_h"), fresh(F.hex(F.col("_h"))) == F.col("_j"))
-    lost = meets.where(~F.col("_id").eqNullSafe(F.col("_keeper"))).groupBy("_key").agg(F.collect_set("_pos").alias("_at"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_d"), F.crc32(utf8(F.col(text_col))).alias("_c"), F.col(text_col).alias("_text"))
+    lines = materialise(slim.mapInArrow(_emit_lines(min_chars), "_h binary, _id long, _d long, _c long, _pos int"), "lines")
+    lost = dropped_lines(lines, min_docs).groupBy(key_of_parts(F.col("_id"), F.col("_d"), F.col("_c")).alias("_key")).agg(F.collect_set("_pos").alias("_at"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +191,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     the place of a column of that name).
 
     A line whose key has at least ``min_chars`` code points and lies in at least ``min_docs`` documents goes from all but
-    the largest id that holds it.  A null or empty text is one empty line.  A null id is below all others; where only
-    null ids hold a line, all of them keep it.  Rows that share an id keep or lose alike.  Empty tables give empty results.
+    the largest id that holds it.  A document is an id: rows that share one count once and keep or lose alike.  Rows with a
+    null id are one document, below all others.  A null or empty text is one empty line.  Empty tables give empty results.
     """
     bound_batches(docs.sparkSession)
     bits = keep_bitmaps(docs, min_chars, min_docs, id_col, text_col)

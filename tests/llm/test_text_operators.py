@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from lumenledger.llm import common, decontaminate, line_dedup, minhash, packing, quality, repeats, sharding
 from lumenledger.llm.common import discard, materialise, shared_dir
 from lumenledger.llm.graph import components
+from lumenledger.llm.oracle import ORACLES
 from lumenledger.llm.segments import segments
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,8 +135,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("heavy", [4 << 20, 2000])
-def test_repeats(spark, docs, heavy):
+@pytest.mark.parametrize("heavy,stretch", [(4 << 20, 1 << 20), (2000, 300), (0, 1000)])
+def test_repeats(spark, docs, heavy, stretch, monkeypatch):
+    monkeypatch.setattr(repeats, "STRETCH", stretch)
     base = bytes(np.random.default_rng(0).integers(97, 101, 2000, dtype=np.uint8)).decode()
     rows = docs[:60] + ODD + [(900, base[:500] + base[100:400]), (901, "ab" * 300), (902, "zz" + base[50:320] + "yy"), (903, base[60:259]), (904, base[1000:1200]), (905, "q" + base[1000:1200])]
     got = repeats.remove_repeats(frame(spark, rows), heavy=heavy, with_bytes=True).collect()
@@ -175,22 +177,49 @@ def brute_lines(rows):
     strip = " \t\n\v\f\r"
     key = lambda x: x.strip(strip).translate(LOWER)
     held = collections.defaultdict(set)
-    for n, (i, t) in enumerate(rows):
+    for i, t in rows:
         for x in (t or "").split("\n"):
-            held[key(x)].add(n)
+            held[key(x)].add(i)
     out = []
     for i, t in rows:
         lines, kept = (t or "").split("\n"), []
         for x in lines:
             own = held[key(x)]
-            top = max((rows[n][0] for n in own if rows[n][0] is not None), default=None)
+            top = max((d for d in own if d is not None), default=None)
             if len(key(x)) < 20 or len(own) < 3 or i == top:
                 kept.append(x)
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 
 
-def test_lines(spark, docs):
+@pytest.mark.parametrize("parts,held", [(1, 10_000), (7, 1), (64, 0)])
+def test_lines(spark, docs, parts, held, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that hashes lie across partitions
+    try:
+        check_lines(spark, docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_lines_of_rows_that_share_an_id_as_in_sql(spark):
+    import duckdb
+
+    line = "This line is longer than twenty"
+    rows = [(1, line), (1, line + "\nx"), (2, line), (3, "one other line of some length"), (4, "one other line of some length"), (4, "b"), (5, "one other line of some length")]
+    kept = [(r["doc_id"], r["_lost"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()]
+    duck = duckdb.connect()
+    duck.execute("create table documents as select * from (values " + ",".join(f"({i}, '{t}')" for i, t in rows).replace("\n", "' || chr(10) || '") + ") t(doc_id, text)")
+    want = {i: n for i, _, n, _ in duck.execute(ORACLES["op10_line_dedup"]).fetchall()}
+    got = collections.Counter()
+    for i, n in kept:
+        got[i] += n
+    assert dict(got) == want and want[1] == 0 and want[3] == 1 and want[5] == 0
+
+
+def check_lines(spark, docs):
     line = "This line is longer than twenty"
     more = [(700, line + "\nx"), (701, "  " + line.upper() + "\t\n" + line), (702, "y\n" + line), (703, line + "\n" + line), (None, line), (None, "\n".join([line] * 3))]
     rows = docs[:80] + ODD + more + [(None, "only nobody holds this line"), (None, "only nobody holds this line"), (None, "only nobody holds this line\nq")]
@@ -347,15 +376,31 @@ def test_leaks_with_repeated_shingles(n):
     assert got == brute_leaks(docs, items) and len(got) > 32
 
 
-def test_hamming_blocks_find_all_within_the_radius():
+@pytest.mark.parametrize("n", [40, 3000])
+def test_hamming_blocks_find_all_within_the_radius(n):
     rng = np.random.default_rng(0)
-    index = decontaminate.Index([(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 24))) for i in range(40)])
-    size = index.sizes[0]
-    near = size.prints[:1].repeat(200, 0)
-    for row in near:
-        for bit in rng.choice(64, decontaminate.RADIUS, replace=False):
-            row[bit // 8] ^= 1 << (bit % 8)
-    assert all(any(size.near[b][row[b], 0] for b in range(8)) for row in near)
+    prints = rng.integers(0, 1 << 16, (n, decontaminate.BLOCKS)).astype(np.uint16)
+    prints[5] = prints[0]
+    blocks = decontaminate.Blocks(prints)
+    asked = prints[:1].repeat(200, 0)
+    for row in asked:
+        for bit in rng.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False):
+            row[bit // 16] ^= np.uint16(1 << (bit % 16))
+    found = set(zip(*(x.tolist() for x in blocks.candidates(asked))))
+    assert all((r, 0) in found and (r, 5) in found for r in range(len(asked)))
+    assert sum(i not in (0, 5) for _, i in found) < 0.35 * len(asked) * n  # the blocks prune
+    w, i, apart = blocks.within(asked)
+    assert (apart <= decontaminate.RADIUS).all() and {(r, 0) for r in range(len(asked))} <= set(zip(w.tolist(), i.tolist()))
+
+
+@pytest.mark.parametrize("slice_bytes", [4 << 20, 400])
+def test_leaks_of_slices_and_null_items(spark, slice_bytes, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", slice_bytes)
+    text = " ".join(f"word{i}" for i in range(12))
+    items = [(None, text), (-1, text), (-1, text), (3, text)] + [(10 + i, f"item {i} of the list with some more words {i * 7}") for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.with_leaks(frame(spark, [(1, "a " + text), (2, "nothing")]), bench).collect()
+    assert sorted(([x["item_id"] for x in r["leaks"]] for r in got), key=len) == [[], [None, -1, 3]] or {frozenset(x["item_id"] for x in r["leaks"]) for r in got} == {frozenset(), frozenset([None, -1, 3])}
 
 
 # ---- sharding
