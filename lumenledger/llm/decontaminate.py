@@ -1,21 +1,24 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, weighted-shingle similarity.
 
 Every text is lower-cased and cut into words (letters, digits and all non-ASCII signs).  Its five-word shingles slide past
-in windows as large as a benchmark item.  A window's fingerprint is the SimHash of its shingles, one sign a bit.
-Fingerprints of items of that size are indexed in eight blocks of eight bits: if two fingerprints differ in at most ``RADIUS``
-bits, then by the pigeonhole principle one block differs in at most ``RADIUS // 8``, so looking up all values that near in
-every block finds all of them.  What is found within the radius is verified by the weighted Jaccard similarity of the
-shingles, counted with their multiplicity.
-
-Windows that share no shingle with any item have similarity 0 and get no fingerprint; finding them is one table lookup a
-shingle.  At the similarity threshold a window differs from its item in 0.15 of the bits, 10 +- 3, so the radius
-misses none but by 5 standard deviations.  That holds for distinct shingles only: one that repeats weighs on all bits at
-once.  So where a window or an item of its size repeats shingles, the window is compared exactly with all items of
-the size, by a table of their shingles, if its known shingles can reach the threshold.
+in windows as large as a benchmark item.  Shingles that no item has can't be shared, so the known ones in a window bound its similarity
+to any item; windows whose bound is below the threshold go, which takes one table lookup a shingle and a difference of sums a window.
+
+A window that is left is fingerprinted by SimHash, one sign a bit.  Fingerprints of items of that size are indexed in sixteen
+blocks of sixteen bits with a reach each.  If two fingerprints differ in at most ``RADIUS`` bits, then by the pigeonhole
+principle some block differs in no more than its reach (a block each beyond its reach would take more than RADIUS bits), so
+looking up all values that near in every block finds all of them.  What is found within the radius is verified by the
+weighted Jaccard similarity of the shingles, counted with their multiplicity.
+
+At the similarity threshold a window differs from its item in 0.15 of the bits, 39 +- 6, so the radius misses none but by 5
+standard deviations; an unrelated item is 128 +- 8 bits away.  That holds for distinct shingles only: one that repeats weighs on
+all bits at once.  So where a window or an item of its size repeats shingles, the window is compared exactly with all items of
+the size, by a table of their shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bound_batches, bytes_of, mix64
+from lumenledger.llm.common import batches_of, bound_batches, bytes_of, materialise, mix64
 from lumenledger.llm.shingles import shingles, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, BLOCKS, RADIUS = 64, 8, 24
-#: Items are held in slices of at most this many bytes of text; a larger benchmark takes several passes.
-SLICE_BYTES = 32 << 20
-
-_TABLE_BITS = 22
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+BITS, BLOCKS, RADIUS = 256, 16, 67
+WIDTH = BITS // BLOCKS
+#: The reach of each block: together RADIUS - BLOCKS + 1.
+REACH = [(RADIUS - BLOCKS + 1) // BLOCKS + (b < (RADIUS - BLOCKS + 1) % BLOCKS) for b in range(BLOCKS)]
+#: Items are held in slices of about this many bytes of text, a tenth or so of their index; several slices make a pass.
+SLICE_BYTES = 4 << 20
+SLICES_A_PASS = 4
+#: Windows of a text that are fingerprinted at once start within so many shingles.
+STRETCH = 2048
+
+_MASKS = {r: np.flatnonzero(np.bitwise_count(np.arange(1 << WIDTH)) <= r).astype(np.uint16) for r in set(REACH)}
 
 #: Separators: all ASCII bytes but letters and digits.
 SEPARATORS = np.zeros(256, bool)
@@ -41,13 +49,59 @@ SEPARATORS[:128] = [not chr(i).isalnum() for i in range(128)]
 
 
 def _planes(items: np.ndarray) -> np.ndarray:
-    """Signs (n, 64) of hashed shingles."""
-    raw = mix64(items ^ np.uint64(0x5851F42D4C957F2D))
-    return np.unpackbits(raw.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    """Signs (n, BITS) of hashed shingles."""
+    seeds = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)
+    raw = mix64(items[:, None] ^ seeds)
+    return np.unpackbits(raw.view(np.uint8).reshape(-1, BITS // 8), axis=1).view(np.int8) * np.int8(2) - np.int8(1)
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1)
+    """Fingerprints (n, BLOCKS) of sums of signs."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+class Blocks:
+    """Fingerprints in tables by block: distinct values, and the fingerprints that have each."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.tables = []
+        for b in range(BLOCKS):
+            order = np.argsort(prints[:, b], kind="stable").astype(np.int32)
+            values, first, count = np.unique(prints[order, b], return_index=True, return_counts=True)
+            self.tables.append((values, first, count, order))
+
+    def candidates(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of asked, fingerprint) of which a block differs in no more than its reach."""
+        found = []
+        for b, (values, first, count, order) in enumerate(self.tables):
+            by = np.argsort(asked[:, b], kind="stable")
+            own, at, many = np.unique(asked[by, b], return_index=True, return_counts=True)
+            masks = _MASKS[REACH[b]]
+            if len(values) <= len(masks):  # fewer values than neighbours of one
+                a, v = np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= REACH[b])
+            else:
+                probe = own[:, None] ^ masks[None, :]
+                v = np.minimum(np.searchsorted(values, probe), len(values) - 1)
+                a, m = np.nonzero(values[v] == probe)
+                v = v[a, m]
+            rows = _spread(at[a], many[a])
+            v = np.repeat(v, many[a])
+            found.append(np.repeat(by[rows], count[v]).astype(np.int64) * len(self.prints) + order[_spread(first[v], count[v])])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.prints), pairs % len(self.prints)
+
+    def within(self, asked: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (row of asked, fingerprint, distance) within the radius."""
+        w, i = self.candidates(asked)
+        apart = np.bitwise_count(asked[w] ^ self.prints[i]).sum(axis=1, dtype=np.int64)
+        near = apart <= radius
+        return w[near], i[near], apart[near]
 
 
 @dataclass
@@ -57,8 +111,7 @@ class Sized:
     width: int  # shingles in a window
     k: int  # words in a shingle
     which: np.ndarray  # places of the items
-    prints: np.ndarray  # (items, 8) bytes
-    near: list[np.ndarray]  # for each block: (256, items), within reach
+    blocks: Blocks
     repeats: bool  # an item has a shingle more than once
     posted: tuple[np.ndarray, np.ndarray, np.ndarray]  # shingles in order, for each the item (place in ``which``) and its count
 
@@ -75,14 +128,14 @@ class Sized:
 class Index:
     """All items of a benchmark slice."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.ids = [i for i, _ in items]
         raw = [t.lower().encode("utf-8", "surrogatepass") for _, t in items]
         at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         _, _, hashes, first = words(np.frombuffer(b"".join(raw), np.uint8), at, SEPARATORS)
         self.counts: list[tuple[np.ndarray, np.ndarray]] = []
         by_size: dict[tuple[int, int], list[int]] = {}
-        prints = np.zeros((len(items), 8), np.uint8)
+        prints = np.zeros((len(items), BLOCKS), np.uint16)
         every: dict[int, list[np.ndarray]] = {}
         for j in range(len(items)):
             w = hashes[first[j] : first[j + 1]]
@@ -92,28 +145,25 @@ class Index:
                 continue
             s, _ = shingles(w, np.array([0, len(w)]), k)
             self.counts.append(np.unique(s, return_counts=True))
-            prints[j] = _pack(_planes(s).sum(axis=0, keepdims=True))[0]
+            prints[j] = _pack(_planes(s).sum(axis=0, keepdims=True, dtype=np.int32))[0]
             by_size.setdefault((len(s), k), []).append(j)
             every.setdefault(k, []).append(s)
         self.sizes: list[Sized] = []
-        reach = RADIUS // BLOCKS
         for (width, k), js in sorted(by_size.items()):
-            p = prints[js]
-            near = [_ONES[np.arange(256, dtype=np.uint8)[:, None] ^ p[None, :, b]] <= reach for b in range(BLOCKS)]
             own = [self.counts[j] for j in js]
             posted, items, counts = np.concatenate([v for v, _ in own]), np.repeat(np.arange(len(js)), [len(v) for v, _ in own]), np.concatenate([n for _, n in own])
             order = np.argsort(posted, kind="stable")
-            self.sizes.append(Sized(width, k, np.array(js), p, near, bool((counts > 1).any()), (posted[order], items[order].astype(np.int32), counts[order].astype(np.int32))))
+            self.sizes.append(Sized(width, k, np.array(js), Blocks(prints[js]), bool((counts > 1).any()), (posted[order], items[order].astype(np.int32), counts[order].astype(np.int32))))
         self.known = {k: np.unique(np.concatenate(v)) for k, v in every.items()}
         self.table = {}
         for k, v in self.known.items():
-            t = np.zeros(1 << _TABLE_BITS, bool)
-            t[v & np.uint64((1 << _TABLE_BITS) - 1)] = True
+            t = np.zeros(1 << max(10, (16 * len(v)).bit_length()), bool)
+            t[v & np.uint64(len(t) - 1)] = True
             self.table[k] = t
 
     def known_at(self, found: np.ndarray, k: int) -> np.ndarray:
         """Places of shingles that some item has."""
-        maybe = np.flatnonzero(self.table[k][found & np.uint64((1 << _TABLE_BITS) - 1)])
+        maybe = np.flatnonzero(self.table[k][found & np.uint64(len(self.table[k]) - 1)])
         known = self.known[k]
         at = np.minimum(np.searchsorted(known, found[maybe]), len(known) - 1)
         return maybe[known[at] == found[maybe]]
@@ -128,69 +178,60 @@ class Index:
 
     def search(self, found: np.ndarray, hits: np.ndarray, k: int) -> list[tuple[int, float, int, int]]:
         """(item id, similarity, first word, words) of the items that a text's shingles hold, the best window of each."""
-        out = []
         has = np.zeros(len(found) + 1, np.int64)
         has[hits + 1] = 1
         has = np.cumsum(has)
-        # signs are summed over the stretch that windows with a hit can reach
-        widest = max((s.width for s in self.sizes if s.k == k), default=0)
-        touched = np.zeros(len(found) + 1, np.int64)
-        np.add.at(touched, np.maximum(hits - widest + 1, 0), 1)
-        np.add.at(touched, np.minimum(hits + widest, len(found)), -1)
-        live = np.flatnonzero(np.cumsum(touched)[:-1])
-        row = np.full(len(found) + 1, -1, np.int64)
-        row[live] = np.arange(len(live))
-        sums = np.zeros((len(live) + 1, BITS), np.int32)
-        np.cumsum(_planes(found[live]), axis=0, out=sums[1:])
+        # the windows that can reach the threshold
+        asked: list[tuple[Sized, int, np.ndarray, np.ndarray]] = []
+        for size in self.sizes:
+            if size.k != k:
+                continue
+            width = min(size.width, len(found))
+            shared = has[width:] - has[:-width]
+            starts = np.flatnonzero(shared >= SIMILARITY * (size.width + width - shared) - 1e-9)
+            if starts.size:
+                asked.append((size, width, starts, shared[starts]))
+        if not asked:
+            return []
         # the place before at which the same shingle stands, -1 for none; and sums that tell equal windows
         order = np.argsort(found, kind="stable")
         same = found[order[1:]] == found[order[:-1]]
         last = np.full(len(found), -1, np.int64)
         last[order[1:][same]] = order[:-1][same]
         marks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(found), dtype=np.uint64)])
-        for size in self.sizes:
-            if size.k != k:
-                continue
-            width = min(size.width, len(found))
-            starts = np.arange(len(found) - width + 1)
-            starts = starts[has[starts + width] > has[starts]]
-            if not starts.size:
-                continue
-            low = row[starts]
-            prints = _pack(sums[low + width] - sums[low])
-            near = np.zeros((len(starts), len(size.which)), bool)
-            for b in range(BLOCKS):
-                near |= size.near[b][prints[:, b]]
-            w, i = np.nonzero(near)
-            apart = _ONES[prints[w] ^ size.prints[i]].sum(axis=1)
-            # shingles that no item has can't be shared: a bound on the similarity of a window that is within the radius
-            shared = (has[starts + width] - has[starts])[w]
-            fits = (apart <= RADIUS) & (shared >= SIMILARITY * (size.width + width - shared) - 1e-9)
-            w, i, apart = w[fits], i[fits], apart[fits]
-            most = shared[fits] / (size.width + width - shared[fits])
+        out = []
+        for size, width, starts, shared in asked:
             best: dict[int, tuple[float, int]] = {}
-            for start in self.exact(size, starts, width, has, last, marks).tolist():
+            for start in self.exact(size, starts, width, last, marks).tolist():
                 both = size.shared(found[start : start + width])
                 for x in np.flatnonzero(both >= SIMILARITY * (size.width + width - both) - 1e-9).tolist():
                     j, s = int(size.which[x]), int(both[x]) / (size.width + width - int(both[x]))
                     held = best.get(j, (0.0, 0))
                     if s >= SIMILARITY and (-s, start) < (-held[0], held[1]):
                         best[j] = (s, start)
-            for x in np.lexsort((w, apart)).tolist():
-                j, start = int(size.which[i[x]]), int(starts[w[x]])
-                held = best.get(j, (0.0, 0))
-                if held[0] == 1.0 and held[1] <= start or most[x] < held[0] - 1e-9:
-                    continue
-                s = self.similarity(found[start : start + width], j)
-                if s >= SIMILARITY and (-s, start) < (-held[0], held[1]):
-                    best[j] = (s, start)
+            at = 0
+            while at < len(starts):
+                begin = starts[at]
+                some = starts[at : np.searchsorted(starts, begin + STRETCH)] - begin
+                sums = np.zeros((some[-1] + width + 1, BITS), np.int32)
+                np.cumsum(_planes(found[begin : begin + some[-1] + width]), axis=0, out=sums[1:])
+                w, i, apart = size.blocks.within(_pack(sums[some + width] - sums[some]))
+                w += at
+                at += len(some)
+                most = shared[w] / (size.width + width - shared[w])
+                for x in np.lexsort((w, apart)).tolist():
+                    j, start = int(size.which[i[x]]), int(starts[w[x]])
+                    held = best.get(j, (0.0, 0))
+                    if held[0] == 1.0 and held[1] <= start or most[x] < held[0] - 1e-9:
+                        continue
+                    s = self.similarity(found[start : start + width], j)
+                    if s >= SIMILARITY and (-s, start) < (-held[0], held[1]):
+                        best[j] = (s, start)
             out += [(self.ids[j], s, start, width + k - 1) for j, (s, start) in best.items()]
         return out
 
-    def exact(self, size: Sized, starts: np.ndarray, width: int, has: np.ndarray, last: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    def exact(self, size: Sized, starts: np.ndarray, width: int, last: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Windows whose fingerprints can't be relied on, as they or items repeat shingles; the first of equal ones."""
-        shared = has[starts + width] - has[starts]
-        starts = starts[shared >= SIMILARITY * (size.width + width - shared) - 1e-9]
         if not size.repeats and starts.size:
             # a window repeats a shingle if one of its places has an earlier one that is in the window too
             again = np.flatnonzero(last >= 0)
@@ -215,18 +256,20 @@ class Index:
             owner = np.searchsorted(start, places, side="right") - 1
             for d in np.unique(owner).tolist():
                 out[d] += self.search(found[start[d] : start[d + 1]], places[owner == d] - start[d], k)
-        return [sorted(x) for x in out]
+        return [sorted(x, key=lambda leak: (leak[0] is not None, leak)) for x in out]
 
 
 LEAKS = "array<struct<item_id:bigint,similarity:double,start:bigint,n_words:bigint>>"
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> list[Index]:
-    """The benchmark in slices of bounded size, each collected by itself."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("t != ''")
+def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
+    """The benchmark in slices of bounded size, each collected when its turn comes."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("t != ''").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // SLICE_BYTES)
-    return [Index(sorted((-1 if r["i"] is None else r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == s).collect())) for s in range(n)]
+    for s in range(n):
+        rows = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(n)) == s).collect()
+        yield Index(sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[0] is not None, r)))
 
 
 def _finder(held):
@@ -245,12 +288,16 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text_
 
     An item is held if a window of its size has a weighted similarity of 0.8 or more; of several, the most similar and then
     the first counts.  Items of fewer than five words are one shingle of all their words; empty ones are held by nothing.
-    Null and empty texts hold nothing.  Equal items are all reported; an item with a null id is reported as -1.  A
+    Null and empty texts hold nothing.  Equal items are all reported; an item with a null id is reported with a null id.  A
     text shorter than an item is one window.  With an empty benchmark the arrays are empty.
+
+    Slices of the benchmark are looked for one after another, SLICES_A_PASS of them in one pass over the texts.
     """
     bound_batches(docs.sparkSession)
     out = docs.withColumn(name, F.expr(f"cast(array() as {LEAKS})"))
-    for index in _slices(benchmark, item_col, item_text_col):
+    for n, index in enumerate(_slices(benchmark, item_col, item_text_col)):
+        if n and n % SLICES_A_PASS == 0:
+            out = materialise(out, "leaks")
         # not deterministic, or the optimiser computes it once more for a filter on its result
         find = F.pandas_udf(_finder(docs.sparkSession.sparkContext.broadcast(index)), LEAKS).asNondeterministic()
         out = out.withColumn(name, F.concat(F.col(name), find(F.lower(F.coalesce(F.col(text_col), F.lit(""))))))
