@@ -11,14 +11,16 @@ What is wanted: every byte covered by a ``length``-byte string that also starts
     increasing common prefix, breadth first (Beller, Gog, Ohlebusch and Schnattinger 2013): the boundaries that a value
     l + 1 adds are those at l extended to the left by every character.  It stops at ``length``; suffixes with no
     boundary between them share that many bytes, and strings whose class weighs two or more are repeated.
-4.  A key with more contents than one task should hold (``HEAVY`` bytes) is decided string by string, by counting 128-bit
-    hashes with partial sums; this is exact as well and bounded.
+4.  A key with more contents than one task should hold (``HEAVY`` bytes), such as that of a passage in thousands of different
+    surroundings, is split: its contents are cut into segments once more by shorter grams, in the end by whole strings, whose
+    keys have a few contents each.  Every part comes to the transform like any other key.
 5.  Spans meet their texts in one join.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bound_batches, bytes_of, discard, fresh_long, materialise, mix64, utf8
+from lumenledger.llm.common import batches_of, bound_batches, bytes_of, discard, fresh_long, materialise, utf8
 from lumenledger.llm.segments import segments
-from lumenledger.llm.shingles import prefix_hash, span_hash
 
 BATCH = 1 << 18
 HEAVY = 4 << 20
+#: Grams by which heavy keys are split; after them come whole strings.
+SPLITS = (24, 8)
+#: Strings of a text that are cut into segments at once.
+STRETCH = 1 << 20
 #: Every so many positions of the transform the counts of all characters are kept.
 SAMPLED = 4
 
@@ -134,15 +139,45 @@ def repeated_starts(texts: list[bytes], weights: list[int], length: int) -> list
     return [np.flatnonzero(again[a : a + n]) for a, n in zip(first[:-1].tolist(), lengths.tolist())]
 
 
+def _stretches(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Texts end to end as they are, or one long text in stretches that overlap by what a string needs; and where each begins."""
+    if len(at) > 2 or len(raw) < STRETCH + length:
+        yield raw, at, 0
+        return
+    for begin in range(0, len(raw) - length + 1, STRETCH):
+        part = raw[begin : begin + STRETCH + length - 1]
+        yield part, np.array([0, len(part)]), begin
+
+
 def _emit_segments(length: int):
-    names = ["_k", "_g", "_d1", "_d2", "_p"]
+    names = ["_k", "_g", "_d1", "_d2", "_p", "_w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 2):
             d1, d2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            s = segments(*bytes_of(batch.column(2)), length)
-            place = s["start"].astype(np.int64) << 20 | s["strings"].astype(np.int64) << 1 | s["twice"].astype(np.int64)
-            yield pa.record_batch([pa.array(x) for x in (s["key"].astype(np.int64), s["digest"].astype(np.int64), d1[s["text"].astype(np.int64)], d2[s["text"].astype(np.int64)], place)], names=names)
+            for raw, at, begin in _stretches(*bytes_of(batch.column(2)), length):
+                s = segments(raw, at, length)
+                place = (s["start"].astype(np.int64) + begin) << 20 | s["strings"].astype(np.int64) << 1 | s["twice"].astype(np.int64)
+                text = s["text"].astype(np.int64)
+                yield pa.record_batch([pa.array(x) for x in (s["key"].astype(np.int64), s["digest"].astype(np.int64), d1[text], d2[text], place, np.ones(len(text), np.int32))], names=names)
+
+    return run
+
+
+def _split_segments(length: int, gram: int):
+    """Contents of heavy keys -> their segments by another gram, with bytes."""
+    names = ["_k", "_g", "_d1", "_d2", "_p", "_w", "_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 5, 1 << 16):
+            raw, at = bytes_of(batch.column(5))
+            w, d1, d2, shift = (np.asarray(batch.column(c)) for c in (1, 2, 3, 4))
+            s = segments(raw, at, length, gram)
+            text = s["text"].astype(np.int64)
+            start, strings = s["start"].astype(np.int64), s["strings"].astype(np.int64)
+            place = (start + shift[text]) << 20 | strings << 1 | s["twice"].astype(np.int64)
+            own = [raw[a : a + n + length - 1].tobytes() for a, n in zip((at[text] + start).tolist(), strings.tolist())]
+            yield pa.record_batch([*(pa.array(x) for x in (s["key"].astype(np.int64), s["digest"].astype(np.int64), d1[text], d2[text], place, w[text])), pa.array(own, pa.binary())], names=names)
 
     return run
 
@@ -207,58 +242,33 @@ def _decide(length: int):
     return run
 
 
-def _string_hashes(length: int):
-    """Each string of heavy keys' segments with two hashes, one row a string."""
-    names = ["_h1", "_h2", "_w", "_d1", "_d2", "_s"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 6, 1 << 16):
-            raw, at = bytes_of(batch.column(6))
-            sizes = np.maximum(np.diff(at) - length + 1, 0)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            start = at[:-1][owner] + inside
-            one = span_hash(prefix_hash(raw), start, start + length)
-            turned = np.ascontiguousarray(raw[::-1])
-            two = span_hash(prefix_hash(turned), len(raw) - start - length, len(raw) - start)
-            take = [np.asarray(batch.column(c))[owner] for c in (1, 3, 4, 5)]
-            yield pa.record_batch([pa.array(x) for x in (one.view(np.int64), mix64(two).view(np.int64), take[0].astype(np.int32), take[1], take[2], take[3] + inside)], names=names)
-
-    return run
-
-
-def _string_spans(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(a, b, s, np.zeros(1, np.int64)) for a, b, s in zip(*(c.to_pylist() for c in batch.columns))]
-            yield _span_batch(rows, length)
-
-    return run
-
-
 def _repeated_keys(rows: DataFrame) -> DataFrame:
     """Segments under keys that hold something repeated, perhaps; _mixed: under several contents or in themselves."""
     keys = rows.groupBy("_k").agg(
-        F.count("*").alias("_c"), F.min("_g").alias("_lo"), F.max("_g").alias("_hi"), F.max(F.col("_p").bitwiseAND(1)).alias("_t")
+        F.sum("_w").alias("_c"), F.min("_g").alias("_lo"), F.max("_g").alias("_hi"), F.max(F.col("_p").bitwiseAND(1)).alias("_t")
     )
     keys = keys.where("_c > 1 or _t = 1").select(fresh_long(F.col("_k")).alias("_j"), ((F.col("_lo") != F.col("_hi")) | (F.col("_t") == 1)).alias("_mixed"))
     return rows.join(keys, fresh_long(F.col("_k")) == F.col("_j")).drop("_j")
 
 
-def _undecided(near: DataFrame, length: int, heavy: int) -> tuple[DataFrame, DataFrame]:
-    """(segments all of whose strings are repeated, contents to be compared under their keys)."""
+def _undecided(near: DataFrame, length: int, heavy: int | None) -> tuple[DataFrame, DataFrame]:
+    """(segments all of whose strings are repeated, contents to be compared under their keys, _o a segment of each)."""
     mixed = near.where("_mixed")
-    contents = mixed.groupBy("_k", "_g").agg(F.count("*").alias("_c"), F.min(F.struct("_d1", "_d2", "_p")).alias("_o"))
+    own = [c for c in ("_d1", "_d2", "_p", "_b") if c in near.columns]
+    contents = mixed.groupBy("_k", "_g").agg(F.sum("_w").alias("_c"), F.min(F.struct(*own)).alias("_o"))
     contents = materialise(contents, "contents")
     often = contents.where("_c > 1").select(fresh_long(F.col("_k")).alias("_j"), fresh_long(F.col("_g")).alias("_i"))
     sure = near.where("not _mixed").unionByName(mixed.join(often, (fresh_long(F.col("_k")) == F.col("_j")) & (fresh_long(F.col("_g")) == F.col("_i")), "left_semi"))
     open_keys = contents.groupBy("_k").agg(F.count("*").alias("_n"), F.count(F.when(F.col("_c") == 1, 1)).alias("_single")).where("_single > 0")
-    open_keys = open_keys.select(fresh_long(F.col("_k")).alias("_j"), (F.col("_n") * (length + 70) > heavy).alias("_heavy"))
-    compare = contents.join(open_keys, fresh_long(F.col("_k")) == F.col("_j")).select(
-        F.col("_o._d1").alias("_d1"), F.col("_o._d2").alias("_d2"),
-        F.struct(F.col("_k").alias("k"), F.least(F.col("_c"), F.lit(2)).cast("int").alias("w"), F.col("_heavy").alias("heavy"), F.col("_o._p").alias("p")).alias("_want"),
-    )
-    return sure, compare
+    too_many = F.lit(False) if heavy is None else F.col("_n") * (length + 70) > heavy
+    open_keys = open_keys.select(fresh_long(F.col("_k")).alias("_j"), too_many.alias("_heavy"))
+    compare = contents.join(open_keys, fresh_long(F.col("_k")) == F.col("_j"))
+    return sure, compare.select("_k", F.least(F.col("_c"), F.lit(2)).cast("int").alias("_w"), "_heavy", "_o")
+
+
+def _sure_spans(sure: DataFrame, length: int) -> DataFrame:
+    start = F.shiftright("_p", 20)
+    return sure.select("_d1", "_d2", start.alias("_from"), (start + F.shiftright("_p", 1).bitwiseAND(0x7FFFF) + (length - 1)).alias("_to"))
 
 
 def repeated_spans(slim: DataFrame, length: int = 200, heavy: int = HEAVY) -> DataFrame:
@@ -266,25 +276,33 @@ def repeated_spans(slim: DataFrame, length: int = 200, heavy: int = HEAVY) -> Da
 
     (_d1, _d2) names a row by its content; rows that share it are equal and have equal spans.
     """
-    rows = materialise(slim.mapInArrow(_emit_segments(length), "_k long, _g long, _d1 long, _d2 long, _p long"), "segments")
+    rows = materialise(slim.mapInArrow(_emit_segments(length), "_k long, _g long, _d1 long, _d2 long, _p long, _w int"), "segments")
     near = materialise(_repeated_keys(rows), "near")
     discard(rows)
     sure, compare = _undecided(near, length, heavy)
-    lists = compare.groupBy("_d1", "_d2").agg(F.collect_list("_want").alias("_wants"))
+    want = F.struct(F.col("_k").alias("k"), F.col("_w").alias("w"), F.col("_heavy").alias("heavy"), F.col("_o._p").alias("p"))
+    lists = compare.select(F.col("_o._d1").alias("_d1"), F.col("_o._d2").alias("_d2"), want.alias("_want")).groupBy("_d1", "_d2").agg(F.collect_list("_want").alias("_wants"))
     lists = lists.select(fresh_long(F.col("_d1")).alias("_i"), fresh_long(F.col("_d2")).alias("_j"), "_wants")
     texts = slim.join(lists, (fresh_long(F.col("_d1")) == F.col("_i")) & (fresh_long(F.col("_d2")) == F.col("_j"))).select("_d1", "_d2", "_text", "_wants")
-    held = "_k long, _w int, _heavy boolean, _d1 long, _d2 long, _s long, _b binary"
-    pieces = materialise(texts.mapInArrow(_emit_bytes(length), held), "pieces")
+    pieces = materialise(texts.mapInArrow(_emit_bytes(length), "_k long, _w int, _heavy boolean, _d1 long, _d2 long, _s long, _b binary"), "pieces")
     near.sparkSession.sparkContext._jvm.System.gc()
 
-    light = pieces.where("not _heavy").repartition("_k").sortWithinPartitions("_k").mapInArrow(_decide(length), _SPANS)
-    strings = pieces.where("_heavy").mapInArrow(_string_hashes(length), "_h1 long, _h2 long, _w int, _d1 long, _d2 long, _s long")
-    often = strings.groupBy("_h1", "_h2").agg(F.sum("_w").alias("_n")).where("_n > 1").select(fresh_long(F.col("_h1")).alias("_i"), fresh_long(F.col("_h2")).alias("_j"))
-    alone = strings.where("_w = 1").join(often, (fresh_long(F.col("_h1")) == F.col("_i")) & (fresh_long(F.col("_h2")) == F.col("_j")), "left_semi")
-    heavy_spans = alone.select("_d1", "_d2", "_s").mapInArrow(_string_spans(length), _SPANS)
-    start = F.shiftright("_p", 20)
-    whole = sure.select("_d1", "_d2", start.alias("_from"), (start + F.shiftright("_p", 1).bitwiseAND(0x7FFFF) + (length - 1)).alias("_to"))
-    found = materialise(whole.unionByName(light).unionByName(heavy_spans), "spans")
+    decide = lambda some: some.repartition("_k").sortWithinPartitions("_k").mapInArrow(_decide(length), _SPANS)
+    spans = [_sure_spans(sure, length), decide(pieces.where("not _heavy"))]
+    much = pieces.where("_heavy").select("_k", "_w", "_d1", "_d2", "_s", "_b")
+    for gram in itertools.chain(SPLITS, [length]):
+        if gram > length or not much.limit(1).count():
+            continue
+        parts = materialise(much.mapInArrow(_split_segments(length, gram), "_k long, _g long, _d1 long, _d2 long, _p long, _w int, _b binary"), "parts")
+        sure, compare = _undecided(_repeated_keys(parts), length, heavy if gram < length else None)
+        compare = materialise(compare.select("_k", "_w", "_heavy", "_o._d1", "_o._d2", F.shiftright("_o._p", 20).alias("_s"), "_o._b"), "split")
+        # strings of contents that weigh two are repeated already
+        spans += [_sure_spans(sure.where("_w = 1"), length), decide(compare.where("not _heavy"))]
+        much = compare.where("_heavy").drop("_heavy")
+    found = spans[0]
+    for more in spans[1:]:
+        found = found.unionByName(more)
+    found = materialise(found, "spans")
     discard(pieces)
     return found
 
@@ -311,7 +329,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, heavy: int = HEAVY, id_co
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_d1"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_d2"), utf8(F.col(text_col)).alias("_text"))
     spans = repeated_spans(slim.select("_d1", "_d2", "_text"), length, heavy)
-    lists = spans.groupBy("_d1", "_d2").agg(F.collect_list(F.struct(F.col("_from").alias("start"), F.col("_to").alias("end"))).alias("_spans"))
+    lists = spans.groupBy("_d1", "_d2").agg(F.collect_set(F.struct(F.col("_from").alias("start"), F.col("_to").alias("end"))).alias("_spans"))
     lists = lists.select(fresh_long(F.col("_d1")).alias("_i"), fresh_long(F.col("_d2")).alias("_j"), "_spans")
     joined = slim.join(lists, (fresh_long(F.col("_d1")) == F.col("_i")) & (fresh_long(F.col("_d2")) == F.col("_j")), "left").select("_id", "_text", "_spans")
     schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * with_bytes

@@ -1,6 +1,6 @@
 """Content-defined segments: where a text's long substrings must be looked up to find equal ones elsewhere.
 
-A string of ``length`` bytes is keyed by the smallest hash among its ``GRAM``-byte grams.  The key depends on the string
+A string of ``length`` bytes is keyed by the smallest hash among its grams of some bytes (``GRAM`` at first).  The key depends on the string
 alone, so equal strings meet under equal keys wherever they are.  Neighbouring strings mostly share their key; a run of
 them is a segment: one row for some seventy strings.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 from lumenledger.llm.common import mix64
-from lumenledger.llm.shingles import powers, prefix_hash, span_hash, _BASE_INVERSE
+from lumenledger.llm.shingles import _BASE_INVERSE, SpanDigests, powers, prefix_hash
 
 GRAM = 64
 #: Strings in a segment at most.
@@ -28,7 +28,7 @@ def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def segments(raw: np.ndarray, at: np.ndarray, length: int = 200) -> dict[str, np.ndarray]:
+def segments(raw: np.ndarray, at: np.ndarray, length: int = 200, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Segments of texts laid end to end: key, digest (of the bytes covered), text, start (in its text), strings, and
     twice: whether the key's gram lies in the segment more than once, so that its own strings may be equal."""
     empty = {k: np.zeros(0, np.int64) for k in ("key", "digest", "text", "start", "strings", "twice")}
@@ -37,8 +37,9 @@ def segments(raw: np.ndarray, at: np.ndarray, length: int = 200) -> dict[str, np
         return empty
     prefix = prefix_hash(raw)
     back = powers(_BASE_INVERSE, len(raw))
-    grams = mix64((prefix[GRAM:] - prefix[:-GRAM]) * back[: len(raw) - GRAM + 1])
-    window = length - GRAM + 1
+    # another size of gram has another order, not only another window
+    grams = mix64((prefix[gram:] - prefix[:-gram]) * back[: len(raw) - gram + 1] + np.uint64(gram))
+    window = length - gram + 1
     key = _slide_min(grams, window)[:n]
     inside = np.zeros(n + 1, np.int64)
     lengths = np.diff(at)
@@ -85,7 +86,7 @@ def segments(raw: np.ndarray, at: np.ndarray, length: int = 200) -> dict[str, np
     twice |= size > window
     return {
         "key": key[begin].view(np.int64),
-        "digest": span_hash(prefix, begin, end + length - 1).view(np.int64),
+        "digest": SpanDigests(raw).of(begin, end + length - 1).view(np.int64),
         "text": text,
         "start": begin - at[text],
         "strings": size,

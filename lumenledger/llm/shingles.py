@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from lumenledger.llm.common import mix64
@@ -28,17 +30,75 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] = sum of (byte + 1) * base**t over i <= t < j."""
+    """h with h[j] - h[i] = sum of (byte + 1) * base**t over i <= t < j.
+
+    Good for keys that only bring equal strings together: some families of strings collide.
+    """
     out = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(raw)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of bytes[start:end]; the same for equal bytes anywhere."""
-    n = (end - start).astype(np.uint64)
-    back = powers(_BASE_INVERSE, int(start.max()) + 1 if len(start) else 1)
-    return mix64((prefix[end] - prefix[start]) * back[start] + n * np.uint64(0xD6E8FEB86659FD93))
+#: Primes, and a base and its inverse for each: fixed values, chosen at random.
+_PRIMES = [(p, b, pow(b, -1, p)) for p, b in ((2147483647, 1482716203), (2147483629, 913405127))]
+_prime_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def prime_powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo a prime below 2**31."""
+    held = _prime_powers.get((base, prime))
+    if held is None:
+        held = np.array([1], np.uint64)
+    while len(held) < n:
+        held = np.concatenate([held, held * np.uint64(pow(base, len(held), prime)) % np.uint64(prime)])
+    _prime_powers[base, prime] = held
+    return held[:n]
+
+
+class SpanDigests:
+    """62-bit digests of spans of some bytes: polynomials modulo two primes, for telling contents apart."""
+
+    def __init__(self, raw: np.ndarray):
+        self.sums = []
+        for prime, base, _ in _PRIMES:
+            terms = (raw.astype(np.uint64) + np.uint64(1)) * prime_powers(base, prime, len(raw)) % np.uint64(prime)
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)]))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Digests of bytes[start:end]; the same for equal bytes anywhere."""
+        out = np.zeros(len(start), np.uint64)
+        for sums, (prime, _, inverse) in zip(self.sums, _PRIMES):
+            back = prime_powers(inverse, prime, int(start.max()) + 1 if len(start) else 1)
+            out = out << np.uint64(31) | (sums[end] - sums[start]) % np.uint64(prime) * back[start] % np.uint64(prime)
+        return out
+
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each bytes[start:end].
+
+    Eight bytes at a time are mixed in, each step a bijection of what it mixes, so words of up to eight bytes and one length never
+    collide, and no family of words does by its structure, as under polynomials modulo 2**64.  Longer ones than LONG_WORD get
+    a digest.
+    """
+    size = end - start
+    acc = mix64(size.astype(np.uint64) * np.uint64(_BASE))
+    wide = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(wide, (len(raw) + 1, 8), (1, 1))
+    live = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        live = live[size[live] > at]
+        if not live.size:
+            break
+        value = eight[start[live] + at].view("<u8").ravel() & _KEEP[np.minimum(size[live] - at, 8)]
+        acc[live] = mix64(acc[live] ^ value) + np.uint64((at + 1) * _BASE % 2**64)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        acc[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return acc
 
 
 def words(raw: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +117,7 @@ def words(raw: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE) -> tu
     last[cut - 1] = inside[1:-1][cut - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
     first = np.searchsorted(start, at)
-    return start, end, span_hash(prefix_hash(low), start, end), first
+    return start, end, word_hashes(low, start, end), first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
