@@ -1,16 +1,18 @@
 """Nearest neighbours by multi-index hashing on learned rotated binary codes.
 
 Codes.  Vectors are given one more coordinate, sqrt(M**2 - |x|**2), that turns largest inner product into smallest
-angle.  ``TURNS`` orthogonal rotations are learned on a bounded sample (iterative quantisation: alternate between signs and
-the Procrustes rotation onto them), and the signs of all rotated coordinates are the code.
+angle.  Orthogonal rotations are learned on a bounded sample (iterative quantisation: alternate between signs and the
+Procrustes rotation onto them), and the signs of rotated coordinates are the code of ``TABLES * WIDTH`` bits.
 
-Index.  All distinct vectors are indexed, in blocks of about ``BLOCK``.  In a block the code is split into substrings of eight
-bits, each with its own table from value to codes.  By the pigeonhole principle a code within Hamming radius r of a
-query's has a substring within r // m of the query's substring, so probing those values in every table finds all of
-them; codes found are checked on the whole code and reranked by inner products of the original vectors in doubles.
+Index.  Every distinct vector is indexed, in one block of the base; the code is split into ``TABLES`` substrings of ``WIDTH`` bits,
+each with its own table from value to codes.  A query looks up all values that differ from its own substring in no more bits than the
+table's reach.  By the pigeonhole principle this retrieves every code within Hamming radius sum(reach + 1) - 1: a code beyond
+the reach in every table is further away than that.  Codes found are checked on the whole code against a second, wider radius
+and reranked by inner products of the original vectors in doubles.
 
-Radius.  It is learned on the sample so that all of a query's nearest neighbours are likely within it, and it is widened, for one query
-and block, until the block has as many codes in it as neighbours are asked for (or no more codes).
+Reach.  Reaches and the wider radius are learned on the sample: reaches rise, one table after another, until the share ``HELD`` of
+sampled neighbours is found.  In a larger table neighbours are nearer, so this errs to the safe side.  For a query and block that
+give fewer candidates than neighbours are asked for (or than the block has), reach and radius widen until they do.
 
 Queries.  They are a stated set that meets every block, in blocks.  Equal vectors are one entry with its smallest
 ids, as many as a query can return, so thousands of copies neither fill a table nor repeat a search.
@@ -18,34 +20,43 @@ ids, as many as a query can return, so thousands of copies neither fill a table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import fresh, materialise
+from lumenledger.llm.common import bound_batches, fresh, materialise
 
-TURNS = 4
-BLOCK = 8192
-QUERY_BLOCK = 4096
+TABLES, WIDTH = 32, 16
+#: Vectors in a block: this share of all, between the two bounds.
+BLOCK, BLOCK_SHARE, BLOCK_MOST = 8192, 64, 1 << 17
 SAMPLE = 4000
-#: Share of sampled nearest neighbours that the radius must hold.
-HELD = 0.985
+#: Share of sampled nearest neighbours that probing must find, and that the wider radius must hold.
+HELD, HELD_FAR = 0.95, 0.995
+#: Queries probed at once.
+TOGETHER = 64
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_APART = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
+_BY_ONES = np.argsort(np.bitwise_count(np.arange(1 << WIDTH)), kind="stable").astype(np.uint16)
+_UP_TO = np.cumsum(np.bincount(np.bitwise_count(np.arange(1 << WIDTH))))
+
+
+def masks(reach: int) -> np.ndarray:
+    """All substrings of at most ``reach`` ones."""
+    return _BY_ONES[: _UP_TO[min(reach, WIDTH)]]
 
 
 @dataclass
 class Coder:
     largest: float
-    turns: np.ndarray  # (TURNS, d + 1, d + 1)
+    turns: np.ndarray  # (turns, d + 1, d + 1)
+    reach: np.ndarray  # of each table
     radius: int
 
     def bits(self, x: np.ndarray) -> np.ndarray:
-        """Codes of base vectors as packed bytes, in whole 64-bit words."""
+        """Codes of base vectors: (n, TABLES) substrings."""
         return self._signs(lift(x, self.largest))
 
     def query_bits(self, q: np.ndarray) -> np.ndarray:
@@ -53,9 +64,8 @@ class Coder:
         return self._signs(np.concatenate([unit, np.zeros((len(q), 1))], axis=1))
 
     def _signs(self, x: np.ndarray) -> np.ndarray:
-        bits = np.concatenate([(x @ r) > 0 for r in self.turns], axis=1)
-        whole = max(64, bits.shape[1] // 64 * 64)
-        return np.packbits(np.pad(bits, ((0, 0), (0, max(0, whole - bits.shape[1]))))[:, :whole], axis=1)
+        bits = np.concatenate([(x @ r) > 0 for r in self.turns], axis=1)[:, : TABLES * WIDTH]
+        return np.packbits(bits, axis=1).view(np.uint16)
 
 
 def lift(x: np.ndarray, largest: float) -> np.ndarray:
@@ -65,95 +75,122 @@ def lift(x: np.ndarray, largest: float) -> np.ndarray:
 
 
 def learn(sample: np.ndarray, neighbours: int, seed: int = 2) -> Coder:
-    """Rotations by iterative quantisation and a radius, from sampled vectors (each row one vector)."""
+    """Rotations by iterative quantisation, reaches and radius, from sampled vectors (each row one vector)."""
     rng = np.random.default_rng(seed)
     x = np.asarray(sample, np.float64)
     largest = float(np.sqrt((x * x).sum(axis=1)).max()) * 1.0001
     wide = lift(x, largest)
     turns = []
-    for _ in range(TURNS):
+    for _ in range(-(-TABLES * WIDTH // wide.shape[1])):
         r, _ = np.linalg.qr(rng.normal(size=(wide.shape[1], wide.shape[1])))
         for _ in range(15):
             signs = np.where(wide @ r > 0, 1.0, -1.0)
             u, _, vt = np.linalg.svd(wide.T @ signs)
             r = u @ vt
         turns.append(r)
-    coder = Coder(largest, np.array(turns), 0)
-    coder.radius = _radius(coder, x, neighbours, rng)
-    return coder
-
-
-def _radius(coder: Coder, x: np.ndarray, neighbours: int, rng) -> int:
-    """The Hamming distance within which a share HELD of sampled nearest neighbours lies.
-
-    In a larger table neighbours are nearer, so the radius errs to the safe side.
-    """
+    coder = Coder(largest, np.array(turns), np.zeros(TABLES, np.int64), TABLES * WIDTH)
     pick = rng.permutation(len(x))[:200]
     score = x[pick] @ x.T
     score[np.arange(len(pick)), pick] = -np.inf
     k = min(neighbours, len(x) - 1)
     if k < 1:
-        return 0
+        return coder
     near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    codes, asked = coder.bits(x), coder.query_bits(x[pick])
-    apart = _ONES[codes[near] ^ asked[:, None, :]].sum(axis=2)
-    return int(np.ceil(np.quantile(apart, HELD)))
+    apart = np.bitwise_count(coder.bits(x)[near] ^ coder.query_bits(x[pick])[:, None, :]).reshape(-1, TABLES)
+    coder.radius = int(np.ceil(np.quantile(apart.sum(axis=1, dtype=np.int64), HELD_FAR)))
+    for step in range(TABLES * WIDTH):
+        if (apart <= coder.reach).any(axis=1).mean() >= HELD:
+            break
+        coder.reach[step % TABLES] += 1
+    return coder
 
 
 class Block:
     """The tables of one block."""
 
     def __init__(self, codes: np.ndarray):
-        self.columns = np.ascontiguousarray(codes.T)
+        self.n = len(codes)
+        self.codes = codes
         self.words = np.ascontiguousarray(codes).view(np.uint64)
-        self.n, self.m = codes.shape
-        self.order = [np.argsort(c, kind="stable") for c in self.columns]
-        self.start = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(self.columns, self.order)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All codes within ``radius`` of ``code``."""
-        reach = radius // self.m
-        found = np.zeros(self.n, bool)
-        for j in range(self.m):
-            probe = _APART[code[j]] <= reach
-            values = np.flatnonzero(probe)
-            if len(values) > 16:  # so many values are marked quicker by going over the substrings
-                found |= probe[self.columns[j]]
-            else:
-                for v in values.tolist():
-                    found[self.order[j][self.start[j][v] : self.start[j][v + 1]]] = True
-            if found.all():
-                break
-        hit = np.flatnonzero(found)
-        words = self.words if len(hit) == self.n else self.words[hit]
-        apart = np.bitwise_count(words ^ np.ascontiguousarray(code).view(np.uint64)).sum(axis=1, dtype=np.int32)
+        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in codes.T]
+        self.start = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=1 << WIDTH))]).astype(np.int32) for c in codes.T]
+
+    def probed(self, asked: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """(queries, n): the codes of which a substring is within reach of the query's."""
+        found = np.zeros((len(asked), self.n), bool)
+        for j, (order, start) in enumerate(zip(self.order, self.start)):
+            value = asked[:, j, None] ^ masks(int(reach[j]))[None, :]
+            low = start[value].ravel()
+            count = start[value.astype(np.int32) + 1].ravel() - low
+            hit = np.flatnonzero(count)
+            low, count = low[hit], count[hit]
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            found[np.repeat(hit // value.shape[1], count), order[at]] = True
+        return found
+
+    def near(self, code: np.ndarray, hit: np.ndarray, radius: int) -> np.ndarray:
+        """Those of the codes found that are within the radius as a whole."""
+        apart = np.bitwise_count(self.words[hit] ^ np.ascontiguousarray(code).view(np.uint64)).sum(axis=1, dtype=np.int32)
         return hit[apart <= radius]
 
 
+def _best(block: Block, coder: Coder, x: np.ndarray, q: np.ndarray, neighbours: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places of its best candidates in the block (ties at the end included) and their scores."""
+    codes = coder.query_bits(q)
+    enough = min(neighbours, block.n)
+    for at in range(0, len(q), TOGETHER):
+        found = block.probed(codes[at : at + TOGETHER], coder.reach)
+        for i in range(len(found)):
+            hit = block.near(codes[at + i], np.flatnonzero(found[i]), coder.radius)
+            reach, radius = coder.reach, coder.radius
+            while len(hit) < enough:
+                reach, radius = np.minimum(reach + 1, WIDTH), radius + WIDTH
+                hit = block.near(codes[at + i], np.flatnonzero(block.probed(codes[at + i : at + i + 1], reach)[0]), radius)
+            score = (x[hit] * q[at + i]).sum(axis=1)
+            if len(hit) > neighbours:
+                edge = np.partition(score, len(score) - neighbours)[len(score) - neighbours]
+                top = np.flatnonzero(score >= edge)
+                hit, score = hit[top], score[top]
+            yield hit, score
+
+
 def _search(coder: Coder, neighbours: int):
-    def run(base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"_q": [], "_v": [], "_score": []}
-        if len(base) and len(asked):
-            x = np.array(base["_x"].tolist(), np.float64)
-            q = np.array(asked["_x"].tolist(), np.float64)
-            block, codes = Block(coder.bits(x)), coder.query_bits(q)
-            vs, qs = base["_v"].to_numpy(), asked["_v"].to_numpy()
-            most = coder.turns.shape[0] * coder.turns.shape[1]
-            for i in range(len(q)):
-                radius = coder.radius
-                hit = block.within(codes[i], radius)
-                while len(hit) < min(neighbours, len(x)) and radius < most:
-                    radius += max(1, block.m // 2)
-                    hit = block.within(codes[i], radius)
-                score = (x[hit] * q[i]).sum(axis=1)
-                if len(hit) > neighbours:
-                    edge = np.partition(score, len(score) - neighbours)[len(score) - neighbours]
-                    top = np.flatnonzero(score >= edge)
-                    hit, score = hit[top], score[top]
-                out["_q"] += [qs[i]] * len(hit)
-                out["_v"] += vs[hit].tolist()
-                out["_score"] += score.tolist()
-        return pd.DataFrame(out).astype({"_score": "float64"})
+    """Rows of blocks in order, the base of each before its queries -> the best of each query in each block.
+
+    A block's base is held, its queries stream past.
+    """
+    names = ["_q", "_v", "_score"]
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, x, vs = None, None, [], []
+        for batch in batches:
+            number = np.asarray(batch.column(0)) * 2 + batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(number)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(number)]):
+                if b == a:
+                    continue
+                part, of = batch.slice(a, b - a), int(number[a]) // 2
+                if of != now:
+                    now, block, x, vs = of, None, [], []
+                if number[a] % 2 == 0:
+                    x.append(matrix(part.column(3)))
+                    vs += part.column(2).to_pylist()
+                    continue
+                if not vs:
+                    continue
+                if block is None:
+                    x = np.concatenate(x)
+                    block = Block(coder.bits(x))
+                out: list[list] = [[], [], []]
+                for name, (hit, score) in zip(part.column(2).to_pylist(), _best(block, coder, x, matrix(part.column(3)), neighbours)):
+                    out[0].append([name] * len(hit))
+                    out[1].append([vs[k] for k in hit.tolist()])
+                    out[2].append(score.tolist())
+                flat = [[v for row in c for v in row] for c in out]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(flat, (pa.string(), pa.string(), pa.float64()))], names=names)
 
     return run
 
@@ -172,6 +209,7 @@ def nearest(vectors: DataFrame, is_query: Column, neighbours: int = 20, id_col:
     length isn't the table's commonest (the smaller on a tie).  Of rows that share an id and a vector one counts; an id
     with several vectors may be found, and ask, once for each.  A query with fewer candidates gets them all.
     """
+    bound_batches(vectors.sparkSession)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("_id"),
         F.transform(F.col(vector_col), lambda v: v.cast("double")).alias("_x"),
@@ -200,11 +238,13 @@ def nearest(vectors: DataFrame, is_query: Column, neighbours: int = 20, id_col:
     asked = entries.where("_asked").count()
     sample = entries.orderBy("_v").limit(SAMPLE).select("_x").collect()  # SAMPLE vectors at most
     coder = learn(np.array([r["_x"] for r in sample]), neighbours)
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    span = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    base = entries.select("_v", "_x", F.pmod("_z", F.lit(blocks)).cast("int").alias("_b")).withColumn("_qb", span(query_blocks))
-    query = entries.where("_asked").select("_v", "_x", F.pmod(F.shiftright("_z", 20), F.lit(query_blocks)).cast("int").alias("_qb")).withColumn("_b", span(blocks))
-    found = base.groupBy("_b", "_qb").cogroup(query.groupBy("_b", "_qb")).applyInPandas(_search(coder, neighbours + 1), "_q string, _v string, _score double")
+    size = min(max(BLOCK, n // BLOCK_SHARE), BLOCK_MOST)
+    blocks = max(1, -(-n // size)) if asked else 1
+    # every vector in one block, every query in all of them
+    base = entries.select(F.pmod("_z", F.lit(blocks)).cast("int").alias("_b"), F.lit(False).alias("_asks"), "_v", "_x")
+    query = entries.where("_asked").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), F.lit(True).alias("_asks"), "_v", "_x")
+    cells = base.unionByName(query).repartition(2 * blocks, "_b").sortWithinPartitions("_b", "_asks")
+    found = cells.mapInArrow(_search(coder, neighbours + 1), "_q string, _v string, _score double")
     # each entry found stands for up to neighbours + 1 ids; more than that can't be returned
     found = materialise(found, "found")
     ids = entries.select(F.col("_v").alias("_w"), "_ids", F.element_at("_ids", 1).alias("_least"))
