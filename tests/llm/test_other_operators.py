@@ -21,7 +21,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_duckdb(name, spark, sf):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.queries()[name](spark, sf)
     cols = sorted(df.columns)

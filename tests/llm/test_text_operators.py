@@ -16,6 +16,7 @@ from lumenledger.llm.common import discard, materialise, shared_dir
 from lumenledger.llm.graph import components
 from lumenledger.llm.oracle import ORACLES
 from lumenledger.llm.segments import segments
+from lumenledger.llm.shingles import SpanDigests
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, _text string, _id long, _key string, n_chars long"
@@ -68,10 +69,10 @@ def brute_components(rows, k):
     return {i: root(i) for i in up}
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [2 << 20, 1200])
 def test_near_duplicates(spark, docs, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "STAND_INS", 1 if block == 3 else 16)
+    monkeypatch.setattr(minhash, "STAND_INS", 1 if block == 1200 else 16)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi omicron pi rho sigma tau ups".split()
     rng = np.random.default_rng(4)
     chain = [words * 3]
@@ -87,6 +88,20 @@ def test_near_duplicates(spark, docs, block, monkeypatch):
     assert all(r["n_shingles"] == len(shingle_set(dict(rows)[r["doc_id"]], 2)) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_words_of_thue_and_morse_do_not_collide():
+    """Strings whose polynomial hashes modulo 2**64 are equal, whatever the base."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [one.encode(), two.encode(), b"abc", b"abd", b"abcdefgh", b"abcdefghi", b"x" * 64, b"x" * 65, b"ABC"]
+    sets = minhash.sets_of(np.frombuffer(b" ".join(texts), np.uint8), np.cumsum([0, *(len(t) + 1 for t in texts[:-1]), len(texts[-1])]), 2)
+    assert len({s.tobytes() for s in sets}) == len(texts) - 1 and sets[2].tolist() == sets[8].tolist()
+    raw = np.frombuffer((one + two)[:2048].encode(), np.uint8)
+    whole = SpanDigests(raw).of(np.array([0, 1024, 0]), np.array([1024, 2048, 1023]))
+    assert len(set(whole.tolist())) == 3
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash.near_duplicates(frame(spark, ODD), k=2).collect()
     assert len(got) == len(ODD)
@@ -376,8 +391,9 @@ def test_leaks_with_repeated_shingles(n):
     assert got == brute_leaks(docs, items) and len(got) > 32
 
 
-@pytest.mark.parametrize("n", [40, 3000])
-def test_hamming_blocks_find_all_within_the_radius(n):
+@pytest.mark.parametrize("n,few", [(40, 1 << 20), (40, 0), (3000, 0)])
+def test_hamming_blocks_find_all_within_the_radius(n, few, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FEW_PAIRS", few)
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 1 << 16, (n, decontaminate.BLOCKS)).astype(np.uint16)
     prints[5] = prints[0]
