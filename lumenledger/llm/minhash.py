@@ -11,7 +11,7 @@ Linking.
     are one row from here on, the row of their smallest id.
 2.  Classes that share a band key are candidates.  Buckets aren't expanded into pairs: each class points to the smallest of
     its bucket, and the components of these pointers are the candidate groups.
-3.  A group is dealt into blocks of about ``BLOCK`` texts.  In a block all sets are compared exactly, by counting along an
+3.  A group is dealt into blocks of about ``BLOCK`` bytes of text.  In a block all sets are compared exactly, by counting along an
     index from shingle to texts, and the texts come out with the smallest of their component in the block.
 4.  Groups of several blocks go on: a few texts of each component found so far are dealt and compared anew, so that what
     belongs together joins across blocks.  Then every text outside its group's largest component is compared with all
@@ -37,8 +37,8 @@ from lumenledger.llm.shingles import shingles, words
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-#: Texts in a block, and texts of a component that stand for it when blocks are joined.
-BLOCK = 2048
+#: Bytes of text in a block, and texts of a component that stand for it when blocks are joined.
+BLOCK = 2 << 20
 STAND_INS = 16
 
 _SEEDS = mix64(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -214,8 +214,8 @@ def _compared(members: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
 
 
 def _dealt(rows: DataFrame, seed: int) -> DataFrame:
-    """Rows (_q, _node) with a block _b of about BLOCK rows of their group, and the number of its blocks _m."""
-    size = rows.groupBy("_q").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_m")).select(fresh_long(F.col("_q")).alias("_j"), "_m")
+    """Rows (_q, _node, _w) with a block _b of about BLOCK bytes of their group, and the number of its blocks _m."""
+    size = rows.groupBy("_q").agg(F.ceil(F.sum("_w") / BLOCK).cast("long").alias("_m")).select(fresh_long(F.col("_q")).alias("_j"), "_m")
     return rows.join(size, fresh_long(F.col("_q")) == F.col("_j")).withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_node"), F.col("_m"))).drop("_j")
 
 
@@ -226,15 +226,15 @@ def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _join_blocks(many: DataFrame, edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links across the blocks of groups that have several; ``many``: _q, _node, _b, _m."""
+    """Links across the blocks of groups that have several; ``many``: _q, _node, _w, _b, _m."""
     few = Window.partitionBy("_root").orderBy(F.xxhash64("_node"))
     marked = materialise(_label(many, edges), "marked")
-    stand_ins = marked.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= STAND_INS).select("_q", "_node")
+    stand_ins = marked.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= STAND_INS).select("_q", "_node", "_w")
     more = _compared(materialise(_dealt(stand_ins, 2), "stand_ins"), texts, k, percent)
     labels = components(edges.unionByName(more).select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     marked = materialise(_label(many, labels), "marked")
-    sizes = marked.groupBy("_q", "_root").agg(F.count("*").alias("_n"))
+    sizes = marked.groupBy("_q", "_root").agg(F.sum("_w").alias("_n"))
     largest = sizes.groupBy("_q").agg(F.max(F.struct("_n", "_root"))["_root"].alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
     largest = largest.where("_all > _most").select(
         fresh_long(F.col("_q")).alias("_j"), "_main", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("long").alias("_s")
@@ -285,13 +285,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least = bands.groupBy("_k").agg(F.min("_node").alias("_c"), F.max("_node").alias("_top")).where("_c != _top")
     least = least.select(fresh_long(F.col("_k")).alias("_j"), "_c")
     pointers = bands.join(least, fresh_long(F.col("_k")) == F.col("_j")).where("_node != _c").select(F.col("_node").alias("a"), F.col("_c").alias("b"))
-    groups = components(pointers).select(F.col("root").alias("_q"), F.col("node").alias("_node"))
-    members = materialise(_dealt(groups, 1), "members")
+    groups = materialise(components(pointers).select(F.col("root").alias("_q"), F.col("node").alias("_node")), "groups")
 
     # rows that share a stand-in's id but not its text come along: they are the same document
-    want = members.select(fresh_long(F.col("_node")).alias("_want"))
-    texts = slim.join(want, fresh_long(F.col("_id")) == F.col("_want"), "left_semi").select(F.col("_id").alias("_node"), "_text")
-    texts = materialise(texts, "texts")
+    want = groups.select(fresh_long(F.col("_node")).alias("_want"))
+    texts = slim.join(want, fresh_long(F.col("_id")) == F.col("_want"), "left_semi")
+    texts = materialise(texts.select(F.col("_id").alias("_node"), "_text", F.octet_length("_text").alias("_bytes")), "texts")
+    weights = texts.groupBy(F.col("_node").alias("_n")).agg(F.sum("_bytes").alias("_w"))
+    members = groups.join(weights, fresh_long(F.col("_node")) == fresh_long(F.col("_n"))).select("_q", "_node", "_w")
+    members = materialise(_dealt(members, 1), "members")
+    texts = texts.drop("_bytes")
     edges = _compared(members, texts, k, percent)
     many = members.where("_m > 1")
     links = edges

@@ -32,7 +32,7 @@ from lumenledger.llm.common import batches_of, bound_batches, bytes_of, discard,
 from lumenledger.llm.segments import segments
 
 BATCH = 1 << 18
-HEAVY = 4 << 20
+HEAVY = 1 << 20
 #: Grams by which heavy keys are split; after them come whole strings.
 SPLITS = (24, 8)
 #: Strings of a text that are cut into segments at once.
