@@ -6,14 +6,13 @@ bytes move over them in steps of four; a cell keeps each filter's maximum, and a
 overlapping the next chunk).  The chunks' maxima are combined over the document by their mean and their maximum, and
 one logistic unit turns these into a probability.  Nothing but bytes goes in.
 
-Fitting takes a bounded sample: at most ``sample`` labelled rows, and of each at most ``sample_bytes`` bytes, in evenly spaced
-cuts of ``CUT`` bytes.  Scoring reads every byte.
+Fitting takes a bounded sample: at most ``sample`` labelled rows, whole, none of more than ``sample_bytes`` bytes.  Scoring reads
+every byte of every text.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,6 @@ CELL, WIDTH, STEP, DIM, FILTERS = 256, 8, 4, 8, 24
 SPOTS = CELL // STEP
 INPUTS = DIM + 1
 LAGS, SAME = 24, 5
-CUT = 1024
 FOLDS = 5
 
 
@@ -115,7 +113,7 @@ def scores(net: Net, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: list[int], epochs: int = 8, seed: int = 5) -> Net:
-    """Train on cut texts by Adam on the logistic loss."""
+    """Train on whole texts by Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
     net = Net(
         rng.normal(0, 0.5, (256, DIM)).astype(np.float32),
@@ -184,44 +182,27 @@ def fold(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def _cut(text: bytes, most: int) -> bytes:
-    if len(text) <= most:
-        return text
-    k = most // CUT
-    starts = np.linspace(0, len(text) - CUT, k).astype(np.int64)
-    return b"".join(text[s : s + CUT] for s in starts)
+def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, sample_bytes: int = 16384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
+    """Fit on at most ``sample`` rows with labels outside fold 0 and texts of at most ``sample_bytes`` bytes.
 
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, sample_bytes: int = 8192, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
-    """Fit on the ``sample`` labelled rows outside fold 0 whose ids hash lowest; texts are cut to ``sample_bytes``.
-
-    Labels that are null, or of null ids, don't count; an id with several takes their rounded mean.  So the driver
-    gets at most ``sample * sample_bytes`` bytes, and the ids broadcast are ``sample`` at most.
+    They are those of lowest hash among the ``2 * sample`` labelled ids of lowest hash, which are broadcast.  Labels that are null, or
+    of null ids, don't count; an id with several takes their rounded mean.  Rows of one id come in the order of their texts' hashes,
+    equal ones once, so the sample is the same in every run.  The driver gets at most ``sample * sample_bytes`` bytes.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna()
-    chosen = (
-        known.where(fold(F.col("_id")) != 0)
-        .groupBy("_id")
-        .agg(F.round(F.avg("_y")).cast("int").alias("_y"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(sample)
-    )
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_cut(t.as_py(), sample_bytes) for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["_id", "_y", "_text"])
-
-    joined = texts.join(F.broadcast(chosen), "_id").select("_id", "_y", "_text").mapInArrow(cut, "_id long, _y int, _text binary")
-    rows = sorted(((zlib.crc32(str(r[0]).encode()), r[0], bytes(r[2]), r[1]) for r in joined.limit(2 * sample).collect()))
+    known = labels.select(F.col(id_col).cast("long").alias("_i"), F.col(label_col).cast("double").alias("_y")).dropna()
+    known = known.where(fold(F.col("_i")) != 0).groupBy("_i").agg(F.round(F.avg("_y")).cast("int").alias("_y"))
+    chosen = known.orderBy(F.xxhash64("_i"), "_i").limit(2 * sample)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text")).where(F.octet_length("_text") <= sample_bytes)
+    joined = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_i")).select("_id", "_text", "_y")
+    lowest = joined.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_text").limit(sample).distinct().collect()
+    rows = sorted((zlib.crc32(str(r[0]).encode()), r[0], bytes(r[1]), r[2]) for r in lowest)
     return fit([r[2] for r in rows], [r[3] for r in rows])
 
 
 def score_documents(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """All rows and columns of ``docs`` with held_out, score and predicted.
 
-    A null text scores as an empty one.  A null id isn't held out. 
+    A null text scores as an empty one.  A null id isn't held out.
     """
     bound_batches(docs.sparkSession)
     held = net
