@@ -40,6 +40,8 @@ SLICE_BYTES = 4 << 20
 SLICES_A_PASS = 4
 #: Windows of a text that are fingerprinted at once start within so many shingles.
 STRETCH = 2048
+#: Pairs of windows and items of a size up to which blocks are compared side by side.
+FEW_PAIRS = 4096
 
 _MASKS = {r: np.flatnonzero(np.bitwise_count(np.arange(1 << WIDTH)) <= r).astype(np.uint16) for r in set(REACH)}
 
@@ -78,6 +80,8 @@ class Blocks:
 
     def candidates(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of asked, fingerprint) of which a block differs in no more than its reach."""
+        if len(asked) * len(self.prints) <= FEW_PAIRS:  # the same pairs, without looking values up
+            return np.nonzero((np.bitwise_count(asked[:, None] ^ self.prints[None]) <= np.array(REACH)).any(axis=2))
         found = []
         for b, (values, first, count, order) in enumerate(self.tables):
             by = np.argsort(asked[:, b], kind="stable")
