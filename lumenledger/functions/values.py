@@ -16,6 +16,19 @@ def as_uuid(text: Column) -> Column:
     return F.when(dashed.rlike(_UUID), dashed)
 
 
+def new_id() -> Column:
+    """A random identifier for each row, of version 4."""
+    return F.expr("uuid()")
+
+
+def has_prefix(text: Column, *prefixes: str) -> Column:
+    """Whether the text begins with one of the prefixes; false for null."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | F.startswith(text, F.lit(p))
+    return F.coalesce(found, F.lit(False))
+
+
 def expiry(issued: Column, minutes: int) -> Column:
     return issued + F.make_interval(mins=F.lit(minutes))
 

@@ -1,4 +1,4 @@
-"""Vector arithmetic on array columns, in doubles, within generated code."""
+"""Vector arithmetic on array columns, in doubles, on the JVM: higher-order functions, whose lambdas Spark interprets."""
 
 from __future__ import annotations
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenledger.functions.names import extension
@@ -16,6 +16,16 @@ def judged(uploads: DataFrame, name: str = "name", length: str = "length", max_b
     return uploads.withColumn("extension", ext).withColumn("refused", reason)
 
 
+def message(allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """What a refused extension is answered with: the column extension and those allowed, in order."""
+    return F.concat(F.lit("."), F.col("extension"), F.lit(" is not allowed, only "), F.lit(", ".join(sorted(allowed))))
+
+
+def as_images(taken: DataFrame, name: str = "name", length: str = "length") -> DataFrame:
+    """Uploads that were taken (id, user_id, ...) as rows of the image table that wait for their turn."""
+    return taken.select("id", "user_id", F.col(name).alias("original_filename"), F.concat(F.lit("in/"), F.col("id")).alias("original_path"), F.col(length).cast("int").alias("original_size_bytes"), F.lit("pending").alias("status"))
+
+
 def split(uploads: DataFrame, **rules) -> tuple[DataFrame, DataFrame]:
     """(taken, quarantined)."""
     rows = judged(uploads, **rules)

@@ -9,7 +9,12 @@ from lumenledger.functions.names import download_name, media_type
 from lumenledger.sources.schema import FETCHABLE
 
 PROFILE = ("id", "email", "display_name", "is_active", "vault_salt")
-STATUS = ("id", "status", "ssim_score", "psnr_score", "processing_time_ms")
+STATUS = ("id", "status", "ssim_score", "psnr_score", "processing_time_ms", "error_message", "vault_sealed")
+#: Columns of an image in a list.
+LISTED = (
+    "id", "original_filename", "status", "protection_strength", "width", "height", "original_size_bytes", "protected_size_bytes",
+    "ssim_score", "psnr_score", "epsilon_used", "processing_time_ms", "error_message", "vault_sealed", "created_at",
+)
 
 
 def by_key(df: DataFrame, key: str, value: object) -> DataFrame:
@@ -31,7 +36,7 @@ def owned(images: DataFrame, image_id: object, user_id: object) -> DataFrame:
 
 
 def status_of(images: DataFrame, image_id: object, user_id: object) -> DataFrame:
-    return owned(images, image_id, user_id).select(*[c for c in STATUS if c in images.columns])
+    return owned(images, image_id, user_id).select(*STATUS)
 
 
 def active(users: DataFrame) -> DataFrame:
@@ -48,6 +53,26 @@ def files_of(images: DataFrame, where: Column | None = None) -> DataFrame:
     )
 
 
+def resolved(requests: DataFrame, images: DataFrame, files: DataFrame) -> DataFrame:
+    """Requests (image_id, user_id) for downloads, each with its outcome, and name and media type where it is ``found``.
+
+    Another user's image is ``unknown``, like one that isn't there; one that isn't finished ``not ready``; one whose file isn't in the listing
+    (path, ...) ``missing``.
+    """
+    rows = images.select("id", F.col("user_id").alias("__owner"), "status", "protected_path", "original_filename", "vault_sealed")
+    listed = files.select(F.col("path").alias("__listed")).distinct()
+    held = requests.join(rows, (F.col("image_id") == F.col("id")) & (F.col("user_id") == F.col("__owner")), "left")
+    held = held.join(listed, F.col("protected_path") == F.col("__listed"), "left")
+    outcome = (
+        F.when(F.col("id").isNull(), "unknown").when(~F.col("status").isin(*FETCHABLE), "not ready").when(F.col("__listed").isNull(), "missing").otherwise("found")
+    )
+    taken = outcome == "found"
+    return held.select(
+        "image_id", "user_id", outcome.alias("outcome"),
+        F.when(taken, download_name(F.col("original_filename"), F.col("vault_sealed"))).alias("file_name"), F.when(taken, media_type(F.col("vault_sealed"))).alias("media_type"),
+    )
+
+
 def existing(rows: DataFrame, path_col: str, files: DataFrame) -> DataFrame:
     """Rows whose file is in the listing (path, ...)."""
     listed = files.select(F.col("path").alias("__listed"))
@@ -55,5 +80,5 @@ def existing(rows: DataFrame, path_col: str, files: DataFrame) -> DataFrame:
 
 
 def as_json(df: DataFrame, name: str = "body") -> DataFrame:
-    """Every row as one JSON document; nulls are left out."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+    """Every row as one JSON document; nulls are written as nulls."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))

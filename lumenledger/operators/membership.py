@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_CAPACITY = 10_000
@@ -15,18 +19,39 @@ def known(rows: DataFrame, held: DataFrame, column: str) -> DataFrame:
 
 
 class Bloom:
-    """A Bloom filter built by executors in one pass; its size follows from capacity and error rate.
+    """A Bloom filter as a column operator: bits are set by executors and tested where the rows are.
 
-    It may call a value held that isn't, with the given rate, and never the other way round.
+    Its size follows from capacity and error rate (public formulas): it may call a value held that isn't, with the given rate, and never the
+    other way round.  ``bits / 8`` bytes go to the driver and to every executor: 1.8 MB a million values at 0.1 %.
     """
 
     def __init__(self, held: DataFrame, column: str, expected: int, rate: float = 0.001):
         self.capacity = max(expected, MIN_CAPACITY)
-        self._filter = held.where(F.col(column).isNotNull())._jdf.stat().bloomFilter(column, self.capacity, rate)
-
-    def __contains__(self, value: object) -> bool:
-        return bool(self._filter.mightContain(value))
-
-    @property
-    def bits(self) -> int:
-        return self._filter.bitSize()
+        self.bits = 64 * math.ceil(-self.capacity * math.log(rate) / math.log(2) ** 2 / 64)
+        self.hashes = max(1, round(self.bits / self.capacity * math.log(2)))
+        spots = held.where(F.col(column).isNotNull()).select(F.explode(self._spots(F.col(column))).alias("s")).distinct()
+        words = spots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v"))
+        self.words = np.zeros(self.bits // 64, np.int64)
+        for row in words.toLocalIterator():
+            self.words[row["w"]] = row["v"]
+        self._held = held.sparkSession.sparkContext.broadcast(self.words)
+
+    def _spots(self, value: Column) -> Column:
+        """The bits of a value, by double hashing."""
+        one, two = F.xxhash64(value, F.lit(1)), F.xxhash64(value, F.lit(2))
+        # 32 bits of each, so that sums don't overflow
+        low = lambda h: h.bitwiseAND(0xFFFFFFFF)
+        return F.array(*[(low(one) + low(two) * i) % self.bits for i in range(self.hashes)])
+
+    def might_contain(self, value: Column) -> Column:
+        """Whether the filter holds the value; null for null."""
+        held = self._held
+
+        @F.pandas_udf("boolean")
+        def all_set(spots: pd.Series) -> pd.Series:
+            if not len(spots):
+                return pd.Series([], dtype=bool)
+            at = np.stack(spots.to_numpy())
+            return pd.Series((held.value[at >> 6] >> (at & 63) & 1).all(axis=1))
+
+        return F.when(value.isNotNull(), all_set(self._spots(value)))

@@ -28,8 +28,9 @@ def mark_processing(images: DataFrame, where: Column) -> DataFrame:
     return update(images, where, status=F.lit("processing"))
 
 
-def mark_failed(images: DataFrame, where: Column, message: Column, elapsed_ms: Column) -> DataFrame:
-    return update(images, where, status=F.lit("failed"), error_message=F.substring(message, 1, MESSAGE_CHARS), processing_time_ms=elapsed_ms)
+def mark_failed(images: DataFrame, where: Column, message: Column) -> DataFrame:
+    """Status and message; times and scores stay as they are."""
+    return update(images, where, status=F.lit("failed"), error_message=F.substring(message, 1, MESSAGE_CHARS))
 
 
 def persist_results(images: DataFrame, results: DataFrame) -> DataFrame:
@@ -37,9 +38,15 @@ def persist_results(images: DataFrame, results: DataFrame) -> DataFrame:
     return overlay(images, results, "id", *[c for c in results.columns if c != "id"])
 
 
-def seal(images: DataFrame, where: Column, sealed_bytes: Column) -> DataFrame:
-    """Seal whatever the status is, as sealing doesn't look at it."""
-    return update(images, where, vault_sealed=F.lit(True), protected_size_bytes=sealed_bytes)
+def seal(images: DataFrame, where: Column, sealed_bytes: Column, path: Column) -> DataFrame:
+    """Seal images that aren't yet, whatever their status; sealed ones keep their file and its size."""
+    return update(images, where & ~F.col("vault_sealed"), vault_sealed=F.lit(True), protected_size_bytes=sealed_bytes, protected_path=path)
+
+
+def delete_owned(images: DataFrame, requests: DataFrame) -> DataFrame:
+    """Without the images asked for (image_id, user_id) by their owners; nobody deletes another's."""
+    gone = requests.select(F.col("image_id").alias("__id"), F.col("user_id").alias("__user"))
+    return images.join(gone, (F.col("id") == F.col("__id")) & (F.col("user_id") == F.col("__user")), "left_anti")
 
 
 def backfill_salt(users: DataFrame, salt: Column) -> DataFrame:
@@ -48,8 +55,8 @@ def backfill_salt(users: DataFrame, salt: Column) -> DataFrame:
 
 
 def random_salt() -> Column:
-    """32 random bytes as 64 hex digits."""
-    return F.lower(F.concat(*[F.lpad(F.hex((F.rand() * 4294967296.0).cast("long")), 8, "0") for _ in range(8)]))
+    """32 bytes as 64 hex digits, a digest of two random UUIDs (from the JVM's secure generator) for each row."""
+    return F.sha2(F.concat(F.expr("uuid()"), F.expr("uuid()")).cast("binary"), 256)
 
 
 def delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -77,13 +84,23 @@ def register(users: DataFrame, new: DataFrame, key: str = "email") -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, version: int) -> str:
-    """Write a version of a table and point to it; readers see the old or the new one, whole."""
+    """Write a version of a table beside the others; a version that exists already is refused.
+
+    Nothing is overwritten.  Spark's commit writes ``_SUCCESS`` last, and a version counts from then on, so readers see the old
+    table or the new one, whole, and a job that dies leaves the old one current.
+    """
     path = f"{root}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{root}/_current")
+    df.write.mode("error").parquet(path)
     return path
 
 
+def committed(spark: SparkSession, root: str) -> list[int]:
+    """Versions whose commit is complete, in rising order."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(int(f.getPath().getParent().getName()[2:]) for f in found)
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.parquet(f"{root}/_current").first()["version"]
-    return spark.read.parquet(f"{root}/v={version}")
+    """The highest version that is committed."""
+    return spark.read.parquet(f"{root}/v={committed(spark, root)[-1]}")

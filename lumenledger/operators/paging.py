@@ -29,6 +29,14 @@ def total_of(images: DataFrame, user_id: object) -> DataFrame:
     return images.where(F.col("user_id") == F.lit(user_id)).agg(F.count("*").alias("total"))
 
 
+def response(images: DataFrame, user_id: object, page: int, page_size: int, *columns: str) -> DataFrame:
+    """The whole answer in one row: images (a list of structs, newest first), total, and page and page_size as they were asked for."""
+    shown = page_of(images, user_id, page, page_size)
+    rows = shown.agg(F.collect_list(F.struct("created_at", "id", F.struct(*columns).alias("image"))).alias("rows"))  # a page at most
+    newest = F.reverse(F.array_sort("rows"))
+    return rows.join(F.broadcast(total_of(images, user_id))).select(F.transform(newest, lambda r: r["image"]).alias("images"), "total", F.lit(page).alias("page"), F.lit(page_size).alias("page_size"))
+
+
 def page_of_all(images: DataFrame, page: int, page_size: int = PAGE_SIZE) -> DataFrame:
     """The same page for every user; rows beyond it are dropped before the exchange (window group limit)."""
     offset, limit = bounds(page, page_size)

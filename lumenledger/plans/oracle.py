@@ -28,6 +28,12 @@ def six(x: str) -> str:
 
 
 CTE = _cte()
+#: Columns of an image in a list.
+LISTED = """id, original_filename, status, protection_strength, width, height, original_size_bytes, protected_size_bytes,
+  ssim_score, psnr_score, epsilon_used, processing_time_ms, error_message, vault_sealed, created_at"""
+EXTENSION = "case when strpos(original_filename, '.') > 0 then lower(string_split(original_filename, '.')[-1]) else 'unknown' end"
+BASE = """case when original_filename like '_%.%' then
+  left(original_filename, length(original_filename) - strpos(reverse(original_filename), '.')) else original_filename end"""
 ONE = "(select embedding::double[] from embeddings where vec_id = 3)"
 E = "embedding::double[]"
 #: Halves of the stand-in hash.
@@ -41,8 +47,8 @@ def _pairs(most: int) -> str:
     return f"with {HASHES} select a.id as a_id, b.id as b_id, {APART} as distance from r a join r b on a.id < b.id and {APART} <= {most}"
 
 
-def _at(i: int, x: str) -> str:
-    return f"({x})[{i + 1}]"
+#: Two sums over all components of v, the second weighted by place.
+DIGEST = f"{six('list_sum(v)')} as total, floor(list_sum(list_transform(v, lambda x, i: x * i)) * 1e4 + 0.5e0) / 1e4 as placed"
 
 
 ORACLES: dict[str, str] = {
@@ -51,13 +57,21 @@ ORACLES: dict[str, str] = {
     "summary_idle_users": f"{CTE} select u.id as user_id, {_measures('i.')} from users u left join (select * from images where status = 'failed') i on i.user_id = u.id group by u.id",
     "status_breakdown": f"{CTE} select status, count(*)::bigint as n from images group by status",
     "image_count": f"{CTE} select count(*)::bigint as total from images where user_id = 7",
-    "list_page": f"{CTE} select id, user_id, created_at, status from images where user_id = 7 order by created_at desc, id desc limit 5",
-    "list_page_past_end": f"{CTE} select id, user_id, created_at, status from images where user_id = 7 order by created_at desc, id desc limit 20 offset 199980",
+    "list_page": f"{CTE} select {LISTED} from images where user_id = 7 order by created_at desc, id desc limit 5",
+    "list_page_past_end": f"{CTE} select {LISTED} from images where user_id = 7 order by created_at desc, id desc limit 20 offset 199980",
     "list_page_ties": f"{CTE} select id, status from images order by date_trunc('month', created_at) desc, id desc limit 20 offset 40",
     "list_page_all_users": f"""{CTE}, p as (select id, user_id, created_at, status,
         row_number() over (partition by user_id order by created_at desc, id desc)::int as position from images)
         select * from p where position between 4 and 6""",
-    "status_lookup": f"{CTE} select id, status, ssim_score, psnr_score, processing_time_ms from images where id = 1",
+    "list_response": f"""{CTE}, p as (select id, status, row_number() over (order by created_at desc, id desc) as n from images where user_id = 7)
+        select count(*)::bigint as total, 0 as page, 4 as page_size, coalesce(string_agg(id || ':' || status, ',' order by n) filter (where n <= 4), '') as images from p""",
+    "status_lookup": f"{CTE} select id, status, ssim_score, psnr_score, processing_time_ms, error_message, vault_sealed from images where id = 1",
+    "download_resolve": f"""{CTE}, a as (select *, user_id + case when id % 5 = 0 then 1 else 0 end as asker,
+          case when id % 5 = 0 then 'unknown' when status not in ('completed', 'failed') then 'not ready'
+            when protected_path is null or id % 7 = 0 then 'missing' else 'found' end as outcome from images)
+        select id as image_id, asker as user_id, outcome,
+          case when outcome = 'found' then 'protected_' || {BASE} || case when vault_sealed then '.enc' else '.png' end end as file_name,
+          case when outcome = 'found' then case when vault_sealed then 'application/octet-stream' else 'image/png' end end as media_type from a""",
     "image_by_owner": f"{CTE} select id, user_id, status from images where id = 2",
     "user_by_key": f"{CTE} select id, email, display_name, is_active, vault_salt from users where email = 'customer#000000007@example.com'",
     "active_users": f"{CTE} select id, display_name from users where is_active",
@@ -67,7 +81,7 @@ ORACLES: dict[str, str] = {
         case when vault_sealed then 'application/octet-stream' else 'image/png' end as media_type
         from images where status in ('completed', 'failed')""",
     "existing_files": f"{CTE} select id from images where id in (select l_orderkey from lineitem where l_quantity < 3)",
-    "json_response": f"""{CTE} select '{{"id":' || id || ',"email":"' || email || '","is_active":' || is_active::varchar || '}}' as body from users""",
+    "json_response": f"""{CTE} select '{{"id":' || id || ',"email":"' || email || '","salt":' || case when vault_salt = '' then 'null' else '"' || vault_salt || '"' end || ',"is_active":' || is_active::varchar || '}}' as body from users""",
     "eager_load_semi": f"{CTE} select id, user_id, status from images where user_id in (select id from users where segment = 'BUILDING')",
     "image_with_owner": f"{CTE} select i.id, i.user_id, u.display_name as owner_display_name, u.is_active as owner_is_active from images i join users u on u.id = i.user_id",
     "images_nested": f"""{CTE} select u.id, count(i.id)::bigint as n_images, coalesce(string_agg(i.id::varchar, ',' order by i.id), '') as image_ids
@@ -77,18 +91,21 @@ ORACLES: dict[str, str] = {
     "register_user": f"{CTE} select id, email, display_name from users union all select -3, 'new@example.com', 'first'",
     "mark_processing": f"{CTE} select id, case when status = 'pending' and id % 4 = 0 then 'processing' else status end as status from images",
     "mark_failed": f"""{CTE} select id, case when hit then 'failed' else status end as status,
-        case when hit then left(repeat('error ' || id || ';', 80), 500) end as error_message,
-        case when hit then 9 else processing_time_ms end as processing_time_ms
+        case when hit then left(repeat('error ' || id || ';', 80), 500) else error_message end as error_message, processing_time_ms
         from (select *, status = 'processing' and id % 2 = 1 as hit from images)""",
     "persist_result": f"""{CTE} select id, case when status <> 'processing' then status when id % 7 = 0 then 'failed'
         when (90 + id % 10) / 100e0 < 0.95e0 then 'quality_warning' else 'completed' end as status,
         {six("case when status = 'processing' then (90 + id % 10) / 100e0 else ssim_score end")} as ssim_score,
         {six("case when status = 'processing' then 30.5e0 else psnr_score end")} as psnr_score,
-        case when status = 'processing' then floor(original_size_bytes / 3)::int else protected_size_bytes end as protected_size_bytes from images""",
-    "seal_vault": f"""{CTE} select id, status, vault_sealed or id % 10 = 1 as vault_sealed,
-        case when id % 10 = 1 then original_size_bytes + 16 else protected_size_bytes end as protected_size_bytes from images""",
+        case when status = 'processing' then floor(original_size_bytes / 3)::int else protected_size_bytes end as protected_size_bytes,
+        {six("case when status = 'processing' then 0.03125e0 else epsilon_used end")} as epsilon_used,
+        case when status <> 'processing' then original_path end as original_path,
+        case when status = 'processing' then 'store/' || id else protected_path end as protected_path from images""",
+    "seal_vault": f"""{CTE}, x as (select *, user_id % 2 = 0 and not vault_sealed as hit from images) select id, status, vault_sealed or hit as vault_sealed,
+        case when hit then original_size_bytes + 16 else protected_size_bytes end as protected_size_bytes,
+        case when hit then 'vault/' || id else protected_path end as protected_path from x""",
     "backfill_salt": f"{CTE} select id, case when vault_salt = '' then sha256(id::varchar) else vault_salt end as vault_salt from users",
-    "delete_one": f"{CTE} select id from images where id <> 3",
+    "delete_one": f"{CTE} select id from images where id <> 3",  # 4 is asked for by another user
     "purge_user": f"{CTE} select id, user_id from images where user_id <> 7",
     "terminate_user": f"""{CTE} select u.id, count(i.id)::bigint as n_images from users u left join images i on i.user_id = u.id
         where u.is_active or u.segment <> 'MACHINERY' group by u.id""",
@@ -101,6 +118,13 @@ ORACLES: dict[str, str] = {
         then lower(string_split(original_filename, '.')[-1]) else 'unknown' end as extension from images)
         select case when extension not in ('jpg', 'jpeg', 'png', 'webp') then 'extension'
         when length > 200000 then 'size' when length = 0 then 'empty' else 'taken' end as refused, count(*)::bigint as n from x group by 1""",
+    "upload_message": f"""{CTE}, x as (select id, {EXTENSION} as extension from images)
+        select id, '.' || extension || ' is not allowed, only jpeg, jpg, png, webp' as message from x where extension not in ('jpg', 'jpeg', 'png', 'webp')""",
+    "protect_chain": f"""{CTE}, x as (select id, id % 11 = 0 as broken, 0.9e0 + id % 10 / 100e0 as score from images
+          where {EXTENSION} in ('jpg', 'jpeg', 'png', 'webp') and original_size_bytes between 1 and 200000)
+        select id, case when broken then 'failed' when score < 0.95e0 then 'quality_warning' else 'completed' end as status,
+          (id % 5000)::int as processing_time_ms, case when broken then 'no face' end as error_message, 0.5e0 as protection_strength, true as watermark_enabled from x""",
+    "prefix_test": f"{CTE} select id, coalesce(protected_path like 'store/1%' or protected_path like 'store/3%', false) as stored from images",
     "upload_count_cap": f"""{CTE} select user_id || '/' || year(created_at) as request, count(*)::bigint as n_files from images group by 1 having count(*) > 4""",
     "extension_of": f"""{CTE} select id, case when strpos(original_filename, '.') > 0 then lower(string_split(original_filename, '.')[-1]) else 'unknown' end as extension,
         case when original_filename like '_%.%' then left(original_filename, length(original_filename) - strpos(reverse(original_filename), '.')) else original_filename end as base from images""",
@@ -110,17 +134,25 @@ ORACLES: dict[str, str] = {
     "nearest_under_threshold": f"""select * from (select vec_id, {six(f'list_distance({E}, {ONE})')} as distance from embeddings where vec_id <> 3)
         where distance < 1.2e0 order by distance, vec_id limit 1""",
     "dynamic_weights": "with d as (select vec_id, " + ", ".join(f"abs(embedding[{i + 1}]::double) as d{i}" for i in range(3)) + " from embeddings) select vec_id, " + ", ".join(f"{six(f'd{i} / (d0 + d1 + d2 + 1e-6)')} as w{i}" for i in range(3)) + " from d",
-    "clamp_linf": f"with x as (select vec_id, {E} as e, {ONE} as q from embeddings) select vec_id, " + ", ".join(
-        f"{six(f'least(greatest(least(greatest({_at(i, "e")}, {_at(i, "q")} - 0.03e0), {_at(i, "q")} + 0.03e0), 0e0), 1e0)')} as x{i}" for i in (0, 31, 63)) + " from x",
-    "signed_step": f"with x as (select vec_id, {E} as e, {ONE} as q from embeddings) select vec_id, " + ", ".join(
-        f"{six(f'{_at(i, "e")} - 2.5e0 * 0.0313e0 / 100e0 * sign({_at(i, "q")})')} as x{i}" for i in (0, 63)) + " from x",
+    "clamp_linf": f"""with x as (select vec_id, [least(greatest(least(greatest(p[1], p[2] - 0.03e0), p[2] + 0.03e0), 0e0), 1e0) for p in list_zip({E}, {ONE})] as v from embeddings)
+        select vec_id, {DIGEST} from x""",
+    "signed_step": f"""with x as (select vec_id, [p[1] - 2.5e0 * 0.0313e0 / 100e0 * sign(p[2]) for p in list_zip({E}, {ONE})] as v from embeddings)
+        select vec_id, {DIGEST} from x""",
     "max_abs_diff": f"""with x as (select vec_id, list_max([abs(p[1] - p[2]) for p in list_zip({E}, {ONE})]) as s from embeddings)
         select vec_id, {six('s')} as shift, s <= ceil(0.25e0 * 255e0) / 255e0 + 1e-4 as within from x""",
-    "channel_normalise": "select vec_id, " + ", ".join(
-        f"{six(f'(embedding[{i + 1}]::double - {m}e0) / {s}e0')} as c{i}" for i, (m, s) in enumerate(((0.485, 0.229), (0.456, 0.224), (0.406, 0.225)))) + " from embeddings",
+    "channel_normalise": f"""with x as (select vec_id, list_transform(range(1, 64), lambda i: (embedding[i]::double - [0.406e0, 0.485e0, 0.456e0][i % 3 + 1])
+          / [0.225e0, 0.229e0, 0.224e0][i % 3 + 1]) as v from embeddings where len(embedding) = 64) select vec_id, {DIGEST} from x""",
     "trace_sample": "select conv_id, turn from (select conv_id, turn, max(turn) over (partition by conv_id) as last from conversations) where turn % 10 = 0 or turn = last",
-    "psnr_pairs": f"""select vec_id, {six(f"10e0 * log10(65025e0 / (list_sum([(p[1] - p[2]) * (p[1] - p[2]) * 65025e0 for p in list_zip({E}, {ONE})]) / len(embedding)))")} as psnr
-        from embeddings where vec_id <> 3""",
+    "psnr_pairs": f"""with x as (select vec_id, list_sum([(p[1] - p[2]) * (p[1] - p[2]) * 65025e0 for p in list_zip({E}, {ONE})]) / len(embedding) as mse from embeddings)
+        select vec_id, case when mse = 0 then 'infinity'::double else {six("10e0 * log10(65025e0 / nullif(mse, 0))")} end as psnr from x""",
+    "ssim_pairs": f"""with e as (select vec_id, {E} as a, {ONE} as b from embeddings where len(embedding) = 64), p as (
+          select vec_id, k // 8 as r, k % 8 as c, least(greatest(floor((a[k + 1] + 0.5e0) * 255e0), 0), 255) as x, least(greatest(floor((b[k + 1] + 0.5e0) * 255e0), 0), 255) as y
+          from (select vec_id, a, b, unnest(range(64)) as k from e)
+        ), w as (select i, j from (values (0), (1)) s(i), (values (0), (1)) t(j)), m as (
+          select vec_id, avg(x) as mx, avg(y) as my, 49e0 / 48e0 * (avg(x * x) - avg(x) * avg(x)) as vx, 49e0 / 48e0 * (avg(y * y) - avg(y) * avg(y)) as vy,
+            49e0 / 48e0 * (avg(x * y) - avg(x) * avg(y)) as vxy
+          from p join w on r between i and i + 6 and c between j and j + 6 group by vec_id, i, j)
+        select vec_id, {six("avg((2 * mx * my + 6.5025e0) * (2 * vxy + 58.5225e0) / ((mx * mx + my * my + 6.5025e0) * (vx + vy + 58.5225e0)))")} as ssim from m group by vec_id""",
     "job_outcomes": f"""{CTE} select id, case when id % 9 = 0 then 'failed' when ssim_score < 0.95e0 then 'quality_warning' else 'completed' end as status
         from images where ssim_score is not null""",
     "hash_shape": """select doc_id, regexp_full_match(case doc_id % 3 when 0 then upper(substr(md5(text), 1, 16)) when 1 then substr(md5(text), 1, 15)
@@ -130,6 +162,9 @@ ORACLES: dict[str, str] = {
         select hash_kind, phash, min(id) as id from e where trim(hash_kind) <> '' and phash is not null
         and (hash_kind, phash) not in (select (hash_kind, phash) from e where id < 20 and phash is not null) group by 1, 2""",
     "known_hashes": f"with {HASHES} select id from h where lo in (select lo from h where id % 10 = 0)",
+    "known_by_bloom": f"with {HASHES} select id from h where lo in (select lo from h where id % 10 = 0)",
+    "hash_candidates": """with c as (select doc_id, substr(md5(text), 1, 8) as a, substr(md5(text), 9, 8) as b, case when doc_id % 2 = 0 then substr(md5(text), 17, 8) end as c from documents)
+        select doc_id, case when doc_id % 3 = 0 then concat_ws(',', a, c, b) else concat_ws(',', a, b, c) end as candidates from c""",
     "token_expiry": f"{CTE} select id, created_at + interval 90 minute as expires_at from images",
     "uuid_guard": f"""{CTE} select id, case when id % 4 <> 2 then substr(md5(id::varchar), 1, 8) || '-' || substr(md5(id::varchar), 9, 4) || '-'
         || substr(md5(id::varchar), 13, 4) || '-' || substr(md5(id::varchar), 17, 4) || '-' || substr(md5(id::varchar), 21, 12) end as uuid from users""",
@@ -139,6 +174,9 @@ ORACLES: dict[str, str] = {
     "match_cascade": f"""with {HASHES}, m as (
           select a.id as q_id, b.id, 0 as place, {APART}::double as distance, 'whole' as method from h a join h b on a.id % 20 = 0 and b.id % 20 <> 0 and {APART} <= 1
           union all
-          select a.id, b.id, 1, 0e0, 'region' from h a join h b on a.id % 20 = 0 and b.id % 20 <> 0 and a.hi = b.hi)
-        select q_id, id, distance, method from m qualify row_number() over (partition by q_id order by place, distance, id) = 1""",
+          select a.id, b.id, 1, 0e0, 'region' from h a join h b on a.id % 20 = 0 and b.id % 20 <> 0 and a.hi = b.hi
+          union all
+          select a.vec_id, b.vec_id, 2, list_distance(a.embedding::double[], b.embedding::double[]), 'vector' from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id % 20 <> 0
+          where list_distance(a.embedding::double[], b.embedding::double[]) < 1.25e0)
+        select q_id, id, floor(distance * 1e3 + 0.5e0) / 1e3 as distance, method from m qualify row_number() over (partition by q_id order by place, distance, id) = 1""",
 }

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenledger.functions import vectors
+from lumenledger.functions import image_metrics as im
 from lumenledger.functions.image_metrics import psnr_of, ssim
 from lumenledger.functions.names import base, extension
 from lumenledger.functions.rounding import half_up
-from lumenledger.functions.values import as_uuid, expiry
+from lumenledger.functions.values import as_uuid, expiry, has_prefix
 from lumenledger.operators import hashmatch, ingest, lookup, membership, mutate, paging, relations, summary
 from lumenledger.sources import ledger
-from lumenledger.sources.schema import add_column
-from lumenledger.streaming.jobs import outcome
+from lumenledger.sources.schema import IMAGE_DEFAULTS, IMAGES, add_column, conform
+from lumenledger.streaming.jobs import finished, outcome
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -70,7 +71,8 @@ def image_count(spark, sf_dir):
 
 # ---- pages
 
-_PAGE = ("id", "user_id", "created_at", "status")
+_PAGE = lookup.LISTED
+_SHORT = ("id", "user_id", "created_at", "status")
 
 
 @query
@@ -92,7 +94,15 @@ def list_page_ties(spark, sf_dir):
 
 @query
 def list_page_all_users(spark, sf_dir):
-    return paging.page_of_all(ledger.images(spark, sf_dir), 2, 3).select(*_PAGE, "position")
+    return paging.page_of_all(ledger.images(spark, sf_dir), 2, 3).select(*_SHORT, "position")
+
+
+@query
+def list_response(spark, sf_dir):
+    """Total, page and images of one answer; the page is shown as it was asked for."""
+    rows = paging.response(ledger.images(spark, sf_dir), USER, 0, 4, *lookup.LISTED)
+    ids = F.array_join(F.transform("images", lambda x: F.concat_ws(":", x["id"].cast("string"), x["status"])), ",")
+    return rows.select("total", "page", "page_size", ids.alias("images"))
 
 
 # ---- lookups and projections
@@ -131,6 +141,15 @@ def download_name(spark, sf_dir):
     return lookup.files_of(ledger.images(spark, sf_dir))
 
 
+@query
+def download_resolve(spark, sf_dir):
+    """Every image asked for by its owner, or each fifth by another user; every seventh file is gone."""
+    images = ledger.images(spark, sf_dir)
+    requests = images.select(F.col("id").alias("image_id"), (F.col("user_id") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("user_id"))
+    files = images.where("protected_path is not null and id % 7 != 0").select(F.col("protected_path").alias("path"))
+    return lookup.resolved(requests, images, files)
+
+
 @query
 def existing_files(spark, sf_dir):
     """Images whose file is in a listing."""
@@ -141,7 +160,8 @@ def existing_files(spark, sf_dir):
 
 @query
 def json_response(spark, sf_dir):
-    return lookup.as_json(ledger.users(spark, sf_dir).select("id", "email", "is_active"))
+    salt = F.nullif(F.col("vault_salt"), F.lit("")).alias("salt")
+    return lookup.as_json(ledger.users(spark, sf_dir).select("id", "email", salt, "is_active"))
 
 
 # ---- relations and integrity
@@ -195,9 +215,9 @@ def mark_processing(spark, sf_dir):
 
 @query
 def mark_failed(spark, sf_dir):
-    images = ledger.images(spark, sf_dir).withColumn("error_message", F.lit(None).cast("string"))
+    images = ledger.images(spark, sf_dir)
     message = F.repeat(F.concat(F.lit("error "), F.col("id").cast("string"), F.lit(";")), 80)
-    rows = mutate.mark_failed(images, (F.col("status") == "processing") & (F.col("id") % 2 == 1), message, F.lit(9).cast("int"))
+    rows = mutate.mark_failed(images, (F.col("status") == "processing") & (F.col("id") % 2 == 1), message)
     return rows.select("id", "status", "error_message", "processing_time_ms")
 
 
@@ -207,15 +227,21 @@ def persist_result(spark, sf_dir):
     done = images.where("status = 'processing'").select(
         "id", outcome((F.lit(90) + F.col("id") % 10) / F.lit(100.0), F.when(F.col("id") % 7 == 0, "x")).alias("status"),
         ((F.lit(90) + F.col("id") % 10) / F.lit(100.0)).alias("ssim_score"), F.lit(30.5).alias("psnr_score"),
-        F.floor(F.col("original_size_bytes") / 3).cast("int").alias("protected_size_bytes"),
+        F.floor(F.col("original_size_bytes") / 3).cast("int").alias("protected_size_bytes"), F.lit(0.03125).alias("epsilon_used"),
+        F.lit(None).cast("string").alias("original_path"), F.concat(F.lit("store/"), F.col("id").cast("string")).alias("protected_path"),
+    )
+    return mutate.persist_results(images, done).select(
+        "id", "status", _six(F.col("ssim_score")).alias("ssim_score"), _six(F.col("psnr_score")).alias("psnr_score"), "protected_size_bytes",
+        _six(F.col("epsilon_used")).alias("epsilon_used"), "original_path", "protected_path",
     )
-    return mutate.persist_results(images, done).select("id", "status", _six(F.col("ssim_score")).alias("ssim_score"), _six(F.col("psnr_score")).alias("psnr_score"), "protected_size_bytes")
 
 
 @query
 def seal_vault(spark, sf_dir):
+    """Images of users with even ids are sealed for the first time; sealed ones aren't again."""
     images = ledger.images(spark, sf_dir)
-    return mutate.seal(images, F.col("id") % 10 == 1, (F.col("original_size_bytes") + 16).cast("int")).select("id", "status", "vault_sealed", "protected_size_bytes")
+    path = F.concat(F.lit("vault/"), F.col("id").cast("string"))
+    return mutate.seal(images, F.col("user_id") % 2 == 0, (F.col("original_size_bytes") + 16).cast("int"), path).select("id", "status", "vault_sealed", "protected_size_bytes", "protected_path")
 
 
 @query
@@ -226,8 +252,10 @@ def backfill_salt(spark, sf_dir):
 
 @query
 def delete_one(spark, sf_dir):
+    """Two images, one asked for by its owner and one by another user: only the first goes."""
     images = ledger.images(spark, sf_dir)
-    return mutate.delete(images, images.where("id = 3").select("id"), "id").select("id")
+    asked = images.where("id in (3, 4)").select(F.col("id").alias("image_id"), (F.col("user_id") + F.col("id") - 3).alias("user_id"))
+    return mutate.delete_owned(images, asked).select("id")
 
 
 @query
@@ -283,6 +311,29 @@ def upload_quarantine(spark, sf_dir):
     return taken.agg(F.count("*").alias("n")).select(F.lit("taken").alias("refused"), "n").unionByName(count)
 
 
+@query
+def upload_message(spark, sf_dir):
+    rows = ingest.judged(_uploads(spark, sf_dir)).where("refused = 'extension'")
+    return rows.select("id", ingest.message().alias("message"))
+
+
+@query
+def protect_chain(spark, sf_dir):
+    """Uploads that are taken, as waiting images, through the work of a batch: status after each of the two steps."""
+    uploads = _uploads(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "name", "length").withColumn("user_id", F.lit(str(USER)))
+    taken, _ = ingest.split(uploads, max_bytes=200_000)
+    waiting = conform(ingest.as_images(taken), IMAGES, IMAGE_DEFAULTS)
+    score = F.lit(0.9) + (F.col("id").cast("long") % 10) / F.lit(100.0)
+    jobs = waiting.select("id", score.alias("ssim_score"), F.lit(30.0).alias("psnr_score"), F.timestamp_millis(F.lit(0)).alias("started"), F.timestamp_millis(F.col("id").cast("long") % 5000).alias("ended"), F.when(F.col("id").cast("long") % 11 == 0, "no face").alias("error"))
+    after = mutate.persist_results(mutate.mark_processing(waiting, F.col("status") == "pending"), finished(jobs))
+    return after.select(F.col("id").cast("long").alias("id"), "status", "processing_time_ms", "error_message", "protection_strength", "watermark_enabled")
+
+
+@query
+def prefix_test(spark, sf_dir):
+    return ledger.images(spark, sf_dir).select("id", has_prefix(F.col("protected_path"), "store/1", "store/3").alias("stored"))
+
+
 @query
 def upload_count_cap(spark, sf_dir):
     rows = ledger.images(spark, sf_dir).withColumn("request", F.concat_ws("/", F.col("user_id").cast("string"), F.year("created_at").cast("string")))
@@ -309,6 +360,13 @@ def _against(spark: SparkSession, sf_dir: str, vec_id: int) -> DataFrame:
     return rows.join(F.broadcast(one))
 
 
+def _digest(v):
+    """Two sums over all components, the second weighted by place."""
+    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    placed = F.aggregate(F.transform(v, lambda x, i: x * (i + 1).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return _six(total).alias("total"), half_up(placed, 4).alias("placed")
+
+
 @query
 def cosine_to_query(spark, sf_dir):
     return _against(spark, sf_dir, 3).select("vec_id", _six(vectors.cosine(F.col("embedding"), F.col("query"))).alias("cosine"))
@@ -342,14 +400,14 @@ def dynamic_weights(spark, sf_dir):
 
 @query
 def clamp_linf(spark, sf_dir):
-    rows = _against(spark, sf_dir, 3)
-    return rows.select("vec_id", *[_six(vectors.project_linf(F.col("embedding"), F.col("query"), 0.03)[i]).alias(f"x{i}") for i in (0, 31, 63)])
+    moved = vectors.project_linf(F.col("embedding"), F.col("query"), 0.03)
+    return _against(spark, sf_dir, 3).select("vec_id", *_digest(moved))
 
 
 @query
 def signed_step(spark, sf_dir):
-    rows = _against(spark, sf_dir, 3)
-    return rows.select("vec_id", *[_six(vectors.signed_step(F.col("embedding"), F.col("query"), 0.0313, 100)[i]).alias(f"x{i}") for i in (0, 63)])
+    moved = vectors.signed_step(F.col("embedding"), F.col("query"), 0.0313, 100)
+    return _against(spark, sf_dir, 3).select("vec_id", *_digest(moved))
 
 
 @query
@@ -360,9 +418,10 @@ def max_abs_diff(spark, sf_dir):
 
 @query
 def channel_normalise(spark, sf_dir):
-    v = F.slice(F.col("embedding"), 1, 3)
-    out = vectors.standardised(v, [0.485, 0.456, 0.406], [0.229, 0.224, 0.225])
-    return _vectors(spark, sf_dir).select("vec_id", *[_six(out[i]).alias(f"c{i}") for i in range(3)])
+    """All components, taken as pixels of three channels in turn."""
+    v = F.slice(F.col("embedding"), 1, 63)
+    out = vectors.standardised(v, list(im.IMAGENET_MEAN) * 21, list(im.IMAGENET_STD) * 21)
+    return _vectors(spark, sf_dir).where(F.size("embedding") == 64).select("vec_id", *_digest(out))
 
 
 @query
@@ -379,7 +438,7 @@ def psnr_pairs(spark, sf_dir):
     rows = _against(spark, sf_dir, 3)
     diff = F.zip_with(vectors.doubles(F.col("embedding")), vectors.doubles(F.col("query")), lambda x, y: (x - y) * (x - y) * F.lit(65025.0))
     mse = F.aggregate(diff, F.lit(0.0), lambda s, x: s + x) / F.size("embedding")
-    return rows.where("vec_id != 3").select("vec_id", _six(psnr_of(mse)).alias("psnr"))
+    return rows.select("vec_id", _six(psnr_of(mse)).alias("psnr"))
 
 
 @query
@@ -435,6 +494,23 @@ def known_hashes(spark, sf_dir):
     return membership.known(rows, rows.where("id % 10 = 0").select("lo"), "lo").select("id")
 
 
+@query
+def known_by_bloom(spark, sf_dir):
+    """The same through a Bloom filter as a first sieve: what it lets through is joined."""
+    rows = _hashes(spark, sf_dir)
+    held = rows.where("id % 10 = 0").select("lo").distinct()
+    sieve = membership.Bloom(held, "lo", held.count())
+    return membership.known(rows.where(sieve.might_contain(F.col("lo"))), held, "lo").select("id")
+
+
+@query
+def hash_candidates(spark, sf_dir):
+    """Whole image, then crops, each once; some crops are equal to others or absent."""
+    h = F.md5(F.col("text"))
+    crops = [F.when(F.col("doc_id") % 3 == 0, F.substring(h, 1, 8)).otherwise(F.substring(h, 9, 8)), F.when(F.col("doc_id") % 2 == 0, F.substring(h, 17, 8)), F.substring(h, 9, 8)]
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(hashmatch.candidates(F.substring(h, 1, 8), *crops), ",").alias("candidates"))
+
+
 @query
 def hamming_pairs(spark, sf_dir):
     return hashmatch.near_pairs(_hashes(spark, sf_dir), 1)
@@ -452,10 +528,12 @@ def hamming_classes(spark, sf_dir):
 
 @query
 def match_cascade(spark, sf_dir):
-    """Suspects against the others: by whole hash, then by a region's hash (the high half)."""
+    """Suspects against the others: by whole hash, by a region's hash (the high half), then by the nearest vector."""
     rows = _hashes(spark, sf_dir)
     suspects = rows.where("id % 20 = 0")
     others = rows.where("id % 20 != 0")
     whole = hashmatch.search(suspects, others, 1)
     region = suspects.select(F.col("id").alias("q_id"), F.col("hi").alias("q_hi")).join(others, F.col("hi") == F.col("q_hi")).select("q_id", "id", F.lit(0).alias("distance"))
-    return hashmatch.cascade(("whole", whole), ("region", region)).select("q_id", "id", half_up(F.col("distance"), 3).alias("distance"), "method")
+    shown = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    faces = hashmatch.vector_search(shown.where("id % 20 = 0"), shown.where("id % 20 != 0"), 1.25)
+    return hashmatch.cascade(("whole", whole), ("region", region), ("vector", faces)).select("q_id", "id", half_up(F.col("distance"), 3).alias("distance"), "method")

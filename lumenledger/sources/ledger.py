@@ -32,6 +32,13 @@ IMAGE_COLUMNS = {
     "original_size_bytes": "cast(floor(o_totalprice) as int)",
     "protected_size_bytes": "case when o_orderstatus = 'F' then cast(floor(o_totalprice / 2e0) as int) end",
     "vault_sealed": "(o_orderkey % 3 = 0 and o_orderstatus = 'F')",
+    "width": "cast(200 + o_orderkey % 1800 as int)",
+    "height": "cast(100 + o_orderkey % 900 as int)",
+    "protection_strength": "(o_orderkey % 10) / 10e0",
+    "epsilon_used": "case when o_orderstatus = 'F' then (1 + o_orderkey % 16) / 255e0 end",
+    "error_message": """case when o_orderstatus = 'P' and o_orderpriority = '1-URGENT' then concat('no face in ', cast(o_orderkey as string)) end""",
+    "original_path": "case when o_orderstatus <> 'F' then concat('in/', cast(o_orderkey as string)) end",
+    "protected_path": "case when o_orderstatus = 'F' then concat('store/', cast(o_orderkey as string)) end",
     "original_filename": """concat('shot', cast(o_orderkey as string), case o_orderkey % 5 when 0 then '.PNG' when 1 then '.jpeg'
         when 2 then '.tar.webp' when 3 then '' else '.' end)""",
 }

@@ -21,7 +21,7 @@ def outcome(ssim, error):
 
 def finished(batch: DataFrame) -> DataFrame:
     """Jobs (id, ssim_score, psnr_score, started, ended, error) as results to overlay."""
-    elapsed = ((F.col("ended").cast("double") - F.col("started").cast("double")) * 1000).cast("int")
+    elapsed = F.expr("cast((unix_micros(ended) - unix_micros(started)) div 1000 as int)")
     return batch.select(
         "id", outcome(F.col("ssim_score"), F.col("error")).alias("status"), "ssim_score", "psnr_score",
         elapsed.alias("processing_time_ms"), F.substring("error", 1, MESSAGE_CHARS).alias("error_message"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lumenledger.functions import image_metrics as im
 from lumenledger.functions.names import allowed_set, base, extension
-from lumenledger.functions.values import as_uuid, elapsed_ms
+from lumenledger.functions.rounding import half_up
+from lumenledger.functions.values import as_uuid, elapsed_ms, has_prefix, new_id
 from lumenledger.operators import hashmatch, ingest, lookup, membership, mutate, paging, relations, summary
 from lumenledger.sources import files, ledger
 from lumenledger.sources.schema import IMAGE_DEFAULTS, IMAGES, conform
@@ -81,8 +82,15 @@ def test_mutations(spark, golden, tmp_path):
     assert all(len(r["s"]) == 64 and int(r["s"], 16) >= 0 for r in salts)
     root = str(tmp_path / "t")
     mutate.publish(golden, root, 1)
-    mutate.publish(golden.where("id > 2"), root, 2)
+    mutate.publish(golden.where("id > 2"), root, 10)
+    assert mutate.current(spark, root).count() == 2 and mutate.committed(spark, root) == [1, 10]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        mutate.publish(golden, root, 1)
+    (tmp_path / "t" / "v=11").mkdir()  # a job that died before its commit
+    (tmp_path / "t" / "v=11" / "part-0.parquet").write_bytes(b"half")
     assert mutate.current(spark, root).count() == 2
+    failed = mutate.mark_failed(golden.withColumn("error_message", F.lit(None).cast("string")), F.col("id") == 1, F.lit("x" * 600)).where("id = 1").first()
+    assert failed["status"] == "failed" and len(failed["error_message"]) == 500 and failed["processing_time_ms"] == 100
 
 
 def test_cascade_and_integrity(spark, golden):
@@ -119,6 +127,11 @@ def test_image_files(spark, tmp_path):
     png(tmp_path / "b.png", np.clip(rgb.astype(int) + 3, 0, 255).astype(np.uint8))
     (tmp_path / "c.png").write_bytes(b"not an image")
     (tmp_path / "d.txt").write_bytes(b"x")
+    riff = lambda body: b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+    (tmp_path / "e.webp").write_bytes(riff(b"VP8L" + struct.pack("<IB", 5, 0x2F) + struct.pack("<I", 23 | 31 << 14)))
+    (tmp_path / "f.WebP").write_bytes(riff(b"VP8X" + struct.pack("<I", 10) + b"\0" * 4 + struct.pack("<I", 639)[:3] + struct.pack("<I", 479)[:3]))
+    (tmp_path / "g.webp").write_bytes(riff(b"VP8 " + struct.pack("<I", 10) + b"\x10\0\0\x9d\x01\x2a" + struct.pack("<HH", 320, 200)))
+    (tmp_path / "h.webp").write_bytes(b"RIFF\xff\0\0\0WEBPVP8X cut short")
     rows = {r["path"].rsplit("/", 1)[1]: r for r in files.decoded(spark, str(tmp_path)).collect()}
     assert rows["c.png"]["height"] < 0 and (rows["a.png"]["width"], rows["a.png"]["height"]) == (24, 32)
     shown = im.pixels(bytes(rows["a.png"]["pixels"]), 32, 24, 3)
@@ -126,7 +139,9 @@ def test_image_files(spark, tmp_path):
     s, p = im.quality(*[(bytes(rows[k]["pixels"]), rows[k]["height"], rows[k]["width"], 3) for k in ("a.png", "b.png")])
     assert 0.9 < s < 1 and abs(p - 10 * np.log10(65025 / 9)) < 0.2
     refused = {r["path"].rsplit("/", 1)[1]: r["refused"] for r in files.judged_uploads(spark, str(tmp_path)).collect()}
-    assert refused == {"a.png": None, "b.png": None, "c.png": "unreadable", "d.txt": "extension"}
+    assert refused == {"a.png": None, "b.png": None, "c.png": "unreadable", "d.txt": "extension", "e.webp": None, "f.WebP": None, "g.webp": None, "h.webp": "unreadable"}
+    webp = spark.read.format("binaryFile").load(str(tmp_path / "*[bB][pP]")).select("path", files.webp_size(F.col("content")).alias("s")).collect()
+    assert {r["path"][-6]: tuple(r["s"]) for r in webp if r["s"]} == {"e": (24, 32), "f": (640, 480), "g": (320, 200)}
     assert files.dimensions(spark, str(tmp_path)).count() == 2
     both = files.decoded(spark, str(tmp_path)).where("height > 0").select(F.struct("pixels", "height", "width", "channels").alias("x"))
     assert all(r["q"]["ssim"] == 1.0 and r["q"]["psnr"] == float("inf") for r in both.select(im.quality_udf("x", "x").alias("q")).collect())
@@ -148,13 +163,47 @@ def test_metrics():
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=5), st.integers(0, 8))
 def test_bands_find_every_near_hash(value, flips, most):
-    """Pigeonhole: hashes within ``most`` bits agree in one of most + 1 bands."""
+    """Pigeonhole: hashes within ``most`` bits agree in two of most + 2 bands."""
     other = value
     for f in flips:
         other ^= 1 << f
-    edges = [64 * i // (most + 1) for i in range(most + 2)]
-    same = any((value >> (64 - b)) % (1 << (b - a)) == (other >> (64 - b)) % (1 << (b - a)) for a, b in zip(edges, edges[1:]))
-    assert same or len(flips) > most
+    edges = [64 * i // (most + 2) for i in range(most + 3)]
+    same = sum((value >> (64 - b)) % (1 << (b - a)) == (other >> (64 - b)) % (1 << (b - a)) for a, b in zip(edges, edges[1:]))
+    assert same >= 2 or len(flips) > most
+
+
+def test_protect_chain(spark, tmp_path):
+    """Upload rules, insert, queue, overlay and publish as one flow."""
+    uploads = spark.createDataFrame([("a", "7", "one.jpg", 10), ("b", "7", "two.exe", 10), ("c", "8", "three.png", 20), ("d", "8", "four.png", 0)], "id string, user_id string, name string, length long")
+    taken, refused = ingest.split(uploads)
+    assert {r["id"]: r["refused"] for r in refused.collect()} == {"b": "extension", "d": "empty"}
+    store = str(tmp_path / "images")
+    ledger.append_images(ingest.as_images(taken), store)
+    images = ledger.read_images(spark, store)
+    assert {r["id"]: (r["status"], r["original_path"]) for r in images.collect()} == {"a": ("pending", "in/a"), "c": ("pending", "in/c")}
+    schema = "id string, ssim_score double, psnr_score double, started timestamp, ended timestamp, error string"
+    queued = images.selectExpr("id", "0.97D as ssim_score", "31D as psnr_score", "timestamp'2024-01-01 00:00:00' as started", "timestamp'2024-01-01 00:00:00.0299' as ended", "if(id = 'c', 'no face', null) as error")
+    queued.write.parquet(str(tmp_path / "queue"))
+    jobs.run_queue(spark, str(tmp_path / "queue"), queued.schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    done = spark.read.schema(spark.read.parquet(str(tmp_path / "out")).schema).parquet(str(tmp_path / "out")).drop("batch")
+    after = mutate.persist_results(mutate.mark_processing(images, F.col("status") == "pending"), done)
+    mutate.publish(after, str(tmp_path / "table"), 1)
+    rows = {r["id"]: (r["status"], r["processing_time_ms"], r["error_message"], r["watermark_enabled"]) for r in mutate.current(spark, str(tmp_path / "table")).collect()}
+    assert rows == {"a": ("completed", 29, None, True), "c": ("failed", 29, "no face", True)} and schema
+
+
+def test_vector_search(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = {(r["q_id"], r["id"]): r["distance"] for r in hashmatch.vector_search(df.where("id % 10 = 0"), df, 1.5, block=2).collect()}
+    assert got == {(q, q + d): float(abs(d)) for q in (0, 10, 20, 30) for d in (-1, 0, 1) if q + d >= 0}
+    assert hashmatch.vector_search(df.limit(0), df, 1.0).count() == 0
+
+
+def test_salts_are_sealed_once(spark):
+    df = spark.createDataFrame([(1, False, 5, "p"), (2, True, 6, "v")], "id long, vault_sealed boolean, protected_size_bytes int, protected_path string")
+    rows = mutate.seal(df, F.lit(True), F.lit(9), F.lit("vault/x")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, True, 9, "vault/x"), (2, True, 6, "v")]
 
 
 def test_hamming_join_is_complete(spark):
@@ -191,8 +240,14 @@ def test_hash_dedupe(spark):
 def test_bloom(spark):
     held = spark.createDataFrame([("0123456789abcdef",), ("f" * 16,), (None,)], "h string")
     b = membership.Bloom(held, "h", 3)
-    assert b.capacity == 10_000 and "f" * 16 in b and b.bits > 100_000
-    assert sum(f"{i:016x}" in b for i in range(200)) < 5
+    assert b.capacity == 10_000 and b.bits > 100_000 and b.hashes == 10
+    assert [r[0] for r in held.select(b.might_contain(F.col("h"))).collect()] == [True, True, None]
+    other = spark.range(2000).select(F.lpad(F.hex("id"), 16, "0").alias("h"))
+    assert other.where(b.might_contain(F.col("h"))).count() < 5
+    assert other.limit(0).where(b.might_contain(F.col("h"))).count() == 0
+    full = membership.Bloom(spark.range(5000), "id", 5000)
+    assert spark.range(5000).where(full.might_contain(F.col("id"))).count() == 5000
+    assert spark.range(10**6, 10**6 + 20_000).where(full.might_contain(F.col("id"))).count() < 60
     assert membership.known(held, held.limit(0), "h").count() == 0
 
 
@@ -200,6 +255,12 @@ def test_values(spark):
     rows = [("{12345678-1234-5678-1234-567812345678}",), ("12345678123456781234567812345678",), ("nope",), (None,), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(as_uuid(F.col("t"))).collect()]
     assert got == ["12345678-1234-5678-1234-567812345678"] * 2 + [None] * 3
+    ids = [r[0] for r in spark.range(50).select(as_uuid(new_id())).collect()]
+    assert len(set(ids)) == 50 and all(i[14] == "4" for i in ids)
+    big = [0.0, 1.25, -1.25, float("inf"), float("-inf"), 1e300, None]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in big], "x double").select(half_up(F.col("x"), 1)).collect()] == [0.0, 1.3, -1.2, float("inf"), float("-inf"), 1e300, None]
+    texts = spark.createDataFrame([("store/1",), ("in/1",), (None,), ("",)], "t string")
+    assert [r[0] for r in texts.select(has_prefix(F.col("t"), "store/", "vault/")).collect()] == [True, False, False, False]
     assert spark.range(1).select(elapsed_ms(F.lit(1.0), F.lit(2.9996))).first()[0] == 1999
 
 
