@@ -15,6 +15,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _own_dirs: dict[int, str] = {}
 _written: dict[str, object] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 #: Rows and bytes of one Arrow batch between Spark and a Python worker: texts have no bound, batches do.
@@ -47,11 +49,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests on one machine, a temporary folder takes its place.
+    Where it is unset, as in tests on one machine, a temporary folder takes its place; on a cluster that is an error, as executors would
+    write to disks of their own.
     """
     said = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if said:
         return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
     key = id(spark.sparkContext)
     if key not in _own_dirs:
         _own_dirs[key] = "file://" + tempfile.mkdtemp(prefix="lumen-scratch-")
@@ -87,17 +92,25 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     bound_batches(spark)
     path = new_scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the scratch tables that ``materialise`` returned as these frames; frames made from them become invalid."""
+    for df in frames:
+        path = _paths.pop(df, None)
+        if path in _written:
+            _remove(path, _written.pop(path))
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the scratch table that ``materialise`` made for ``df``, and let Spark drop shuffles that nothing refers to.
+    """``release``, and let Spark drop shuffles that nothing refers to.
 
     Shuffle files go when the driver's garbage is collected; asking for it keeps a job's disk to what it still needs.
     """
-    for path in df.inputFiles()[:1]:
-        for held in [w for w in _written if w.split(":", 1)[-1].lstrip("/") in path]:
-            _remove(held, _written.pop(held))
+    release(df)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bound_batches, bytes_of, fresh, fresh_long, materialise, mix64, row_key, utf8
+from lumenledger.llm.common import batches_of, bound_batches, bytes_of, fresh, fresh_long, materialise, mix64, release, row_key, utf8
 from lumenledger.llm.graph import components
 from lumenledger.llm.shingles import shingles, words
 
@@ -231,7 +231,7 @@ def _join_blocks(many: DataFrame, edges: DataFrame, texts: DataFrame, k: int, pe
     marked = materialise(_label(many, edges), "marked")
     stand_ins = marked.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= STAND_INS).select("_q", "_node", "_w")
     more = _compared(materialise(_dealt(stand_ins, 2), "stand_ins"), texts, k, percent)
-    labels = components(edges.unionByName(more).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    labels = components(edges.unionByName(more).select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
 
     marked = materialise(_label(many, labels), "marked")
     sizes = marked.groupBy("_q", "_root").agg(F.sum("_w").alias("_n"))
@@ -285,7 +285,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least = bands.groupBy("_k").agg(F.min("_node").alias("_c"), F.max("_node").alias("_top")).where("_c != _top")
     least = least.select(fresh_long(F.col("_k")).alias("_j"), "_c")
     pointers = bands.join(least, fresh_long(F.col("_k")) == F.col("_j")).where("_node != _c").select(F.col("_node").alias("a"), F.col("_c").alias("b"))
-    groups = materialise(components(pointers).select(F.col("root").alias("_q"), F.col("node").alias("_node")), "groups")
+    found = components(pointers)
+    release(bands)
+    groups = found.select(F.col("root").alias("_q"), F.col("node").alias("_node"))
 
     # rows that share a stand-in's id but not its text come along: they are the same document
     want = groups.select(fresh_long(F.col("_node")).alias("_want"))
@@ -294,14 +296,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     weights = texts.groupBy(F.col("_node").alias("_n")).agg(F.sum("_bytes").alias("_w"))
     members = groups.join(weights, fresh_long(F.col("_node")) == fresh_long(F.col("_n"))).select("_q", "_node", "_w")
     members = materialise(_dealt(members, 1), "members")
-    texts = texts.drop("_bytes")
-    edges = _compared(members, texts, k, percent)
+    edges = _compared(members, texts.drop("_bytes"), k, percent)
     many = members.where("_m > 1")
     links = edges
     if many.limit(1).count():
-        links = links.unionByName(_join_blocks(many, edges, texts, k, percent))
+        links = links.unionByName(_join_blocks(many, edges, texts.drop("_bytes"), k, percent))
     links = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_same_id(full, classes))
     labels = components(links)
+    release(found, members, texts, edges)
 
     root = labels.select(fresh(F.col("node")).alias("_l"), F.col("root").alias("_root"))
     named = classes.join(root, fresh(F.col("_node")) == F.col("_l"), "left").select("_class", F.coalesce("_root", "_node").alias("_component"))
