@@ -289,12 +289,12 @@ def content_key(found: list[tuple[Node, str]]) -> bytes:
 
 
 #: What ``_slot_rows`` notes of each group: path, parent, hash of path and text, signs of its texts and of those in links, and whether
-#: it votes and may be a region.
-_GROUPS = "_host string, _key binary, _paths array<bigint>, _parents array<int>, _nodes array<bigint>, _signs array<int>, _links array<int>, _votes array<boolean>, _may array<boolean>"
+#: it votes, may be a region, and never holds content.
+_GROUPS = "_host string, _key binary, _paths array<bigint>, _parents array<int>, _nodes array<bigint>, _signs array<int>, _links array<int>, _votes array<boolean>, _may array<boolean>, _skips array<boolean>"
 
 
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.list_(k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())]
+    kinds = [pa.list_(k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_())]
     for batch in batches:
         keys: list[bytes] = []
         columns: list[list] = [[] for _ in kinds]
@@ -305,11 +305,11 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             within: list[bool] = []  # an article is a region as a whole
             for path, parent, group in groups(root):
                 within.append(group[0].tag == "article" or parent >= 0 and within[parent])
-                own = [n for n in group if not n.skip]
-                votes = any(not n.content for n in own)
+                votes = any(not n.content for n in group)
                 node = node_hash(path, group) if votes else None
-                signs = sum(len(t) - t.count(" ") for n in own for t in n.texts)
-                rows.append((path, parent, node, signs, sum(n.links for n in own), votes, group[0].tag in REGIONS and not (parent >= 0 and within[parent])))
+                signs = sum(len(t) - t.count(" ") for n in group for t in n.texts)
+                may = group[0].tag in REGIONS and not (parent >= 0 and within[parent])
+                rows.append((path, parent, node, signs, sum(n.links for n in group), votes, may, all(n.skip for n in group)))
             for column, values in zip(columns, zip(*rows)):
                 column.append(list(values))
         yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[x.split()[0] for x in _GROUPS.split(", ")])
@@ -319,9 +319,9 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of pages with their host's constant nodes and link paths -> varying text of each path and all below, and its depth."""
     for batch in batches:
         out: dict[tuple[str, int, int], int] = {}
-        for host, paths, parents, nodes, signs, links, votes, may, constant, menus in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_host", "_paths", "_parents", "_nodes", "_signs", "_links", "_votes", "_may", "_constant", "_menus"))):
+        for host, paths, parents, nodes, signs, links, votes, may, skips, constant, menus in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_host", "_paths", "_parents", "_nodes", "_signs", "_links", "_votes", "_may", "_skips", "_constant", "_menus"))):
             constant, menus = set(constant or []), set(menus or [])
-            mass = [0 if v and (n in constant or p in menus) else s - k for p, n, s, k, v in zip(paths, nodes, signs, links, votes)]
+            mass = [0 if x or v and (n in constant or p in menus) else s - k for p, n, s, k, v, x in zip(paths, nodes, signs, links, votes, skips)]
             depth = [0] * len(paths)
             for i in range(1, len(paths)):
                 depth[i] = depth[parents[i]] + 1
