@@ -227,8 +227,11 @@ def test_copies_do_not_make_an_article_a_template(spark):
     assert host_texts(spark, copies[:3]) == [f"Daily News {i} May Buy {i} Storm over town Rain fell all night. more of it" for i in range(3)]
     others = [page.format(f"Title {i}", f"Text of page {i}.", 40 + i) for i in range(3)]
     got = host_texts(spark, copies + others)
-    # date and offer vary too, but lie outside the host's region; the headline is right before it
-    assert got[0] == "Storm over town Rain fell all night. more of it" and got[30] == "Title 0 Text of page 0. more of it"
+    # stories too short for a region of their own: what varies stays
+    assert got[0] == "0 May Buy 0 Storm over town Rain fell all night. more of it" and got[30] == "40 May Buy 40 Title 0 Text of page 0. more of it"
+    long = page.replace("more of it", "and on and on it went with no end in sight, until the river rose and the bridge was closed to all")
+    got = host_texts(spark, [long.format(f"Title {i}", f"Text of page {i}, which is longer than what lies around it by far.", 40 + i) for i in range(4)])
+    assert got[0] == "Title 0 Text of page 0, which is longer than what lies around it by far. and on and on it went with no end in sight, until the river rose and the bridge was closed to all"
     inside = "<body><p>strap</p><article><h1>Recipe of the day</h1><p>Take {0} eggs</p><p class='end'>Serve hot</p></article></body>"
     assert host_texts(spark, [inside.format(i) for i in range(5)]) == [f"Recipe of the day Take {i} eggs Serve hot" for i in range(5)]
 
