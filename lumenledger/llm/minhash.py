@@ -38,7 +38,7 @@ from lumenledger.llm.shingles import shingles, words
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 #: Bytes of text in a block, and texts of a component that stand for it when blocks are joined.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 STAND_INS = 16
 
 _SEEDS = mix64(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))

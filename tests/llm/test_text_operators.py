@@ -462,3 +462,28 @@ def test_scratch_goes_to_the_folder_that_the_session_names(spark, tmp_path, monk
     assert df.count() == 5 and list(tmp_path.glob("lumen-t-*"))
     discard(df)
     assert not list(tmp_path.glob("lumen-t-*"))
+
+
+# ---- very long texts
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte, one of a single word, one of a single line."""
+    rng = np.random.default_rng(11)
+    prose = " ".join(f"w{x}" for x in rng.integers(0, 10**7, 160_000))
+    item = " ".join(f"item{i}" for i in range(40))
+    line = "a line that several documents hold"
+    rows = [(1, prose), (2, prose[:-300] + " " + item), (3, "x" * 1_200_000), (4, "x" * 1_200_001), (5, "\n".join([line, *(f"line {i} of the long document {i * i}" for i in range(40_000))])), (6, line), (7, line + "\nend")]
+    df = frame(spark, rows)
+    near = {r["doc_id"]: r for r in minhash.near_duplicates(df, k=2).collect()}
+    assert {i: r["component_id"] for i, r in near.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+    assert all(near[i]["n_shingles"] == len(shingle_set(t, 2)) for i, t in rows)
+    gone = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(df).collect()}
+    assert gone[1] == (len(prose), len(prose) - 300, 1) and gone[2][1:] == (len(prose) - 300, 1)
+    assert gone[3] == (1_200_000, 1_200_000, 1) and gone[4] == (1_200_001, 1_200_001, 1) and gone[6] == (len(line), 0, 0)
+    kept = {r["doc_id"]: (r["_lost"], r["text"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert kept[5] == (1, rows[4][1][len(line) + 1 :]) and kept[6] == (1, "") and kept[7] == (0, line + "\nend") and kept[3][1] == rows[2][1]
+    leaks = {r["doc_id"]: [(x["item_id"], x["similarity"]) for x in r["leaks"]] for r in decontaminate.with_leaks(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert leaks == {1: [], 2: [(9, 1.0)], 3: [], 4: [], 5: [], 6: [], 7: []}
+    packed = packing.pack_documents(df.where("doc_id in (1, 5)")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+    assert all(r["pieces"] == -(-r["n"] // 2048) for r in packed)
