@@ -410,7 +410,9 @@ def main_text(page: str | None, constant: list[int] | None = None, menus: list[i
     left = [(node, text) for node, text in found if not node.skip and id(node) not in gone]
     if any(id(node) in inside for node, _ in left):
         first = next(k for k, (node, _) in enumerate(left) if id(node) in inside)
-        left = [(node, text) for k, (node, text) in enumerate(left) if id(node) in inside or k < first and id(node) in before]
+        # an article or main element in the region is more exact than the region
+        article = any(node.content for node, _ in left if id(node) in inside)
+        left = [(node, text) for k, (node, text) in enumerate(left) if id(node) in inside and (node.content or not article) or k < first and id(node) in before]
     elif any(node.content for node, _ in left):
         left = [(node, text) for node, text in left if node.content]
     return " ".join(text for _, text in left)

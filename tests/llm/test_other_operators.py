@@ -90,6 +90,15 @@ def test_archives_round_trip(spark, tmp_path, compress):
 # ---- pages
 
 
+def test_an_article_narrows_a_region():
+    page = "<html><body><div class='x'>teaser of the day</div><h2>before</h2><article><h1>T</h1><p>one</p></article><div class='y'>more</div></body></html>"
+    path = {group[0].sig: path for path, _, group in html_text.groups(html_text.blocks(page)[0])}
+    assert html_text.main_text(page, region=path["body"]) == "T one"
+    assert html_text.main_text(page, region=path["article"]) == "before T one"
+    assert html_text.main_text(page.replace("article", "section"), region=path["body"]) == "teaser of the day before T one more"
+    assert html_text.main_text(page, region=12345) == "T one"
+
+
 def test_text_of_odd_pages():
     text = html_text.main_text
     assert text(None) == "" and text("") == "" and text("plain &amp; simple") == "plain & simple"
