@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lumenledger.llm.common import fresh, materialise, release
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """Follow (node, parent), where parent <= node, to the roots by doubling."""
+def roots(parents: DataFrame) -> DataFrame:
+    """Follow (node, parent) to the roots, which are their own parents, by doubling; pointers have no cycles."""
     before = None
     while True:
         up = parents.select(fresh(F.col("node")).alias("_up"), F.col("parent").alias("_top"))
@@ -37,9 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        table = _roots(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least")).select("node", F.least("node", "_least").alias("parent")))
-        roots = table.select("node", "root")
-        top = roots.select(fresh(F.col("node")).alias("_n"), F.col("root").alias("_r"))
+        table = roots(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least")).select("node", F.least("node", "_least").alias("parent")))
+        ends = table.select("node", "root")
+        top = ends.select(fresh(F.col("node")).alias("_n"), F.col("root").alias("_r"))
         done = [left, table]
         if labels is None:
             labels = table
