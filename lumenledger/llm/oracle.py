@@ -127,22 +127,27 @@ def _mixed(x: int) -> int:
     return x ^ x >> 31
 
 
-def op7(shards: int = 8, seed: int = 20, rounds: int = 6) -> str:
-    """Checksums a byte at a time, and the Feistel network a round at a time, until a value below the row count comes at a round's end."""
-    keys = [_mixed((i * 0x9E3779B97F4A7C15 + seed) % TWO_64) for i in range(1, rounds + 1)]
+def _crc32(b: str) -> str:
+    """The unsigned checksum of the bytes ``b``, a byte at a time."""
     table = []
     for byte in range(256):
         for _ in range(8):
             byte = byte >> 1 ^ (CRC_POLYNOMIAL if byte & 1 else 0)
         table.append(byte)
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex({b}), '..'), lambda x: ('0x' || x)::bigint)),
+      lambda c, x: xor(c >> 8, ([{', '.join(map(str, table))}]::bigint[])[(xor(c, x) & 255) + 1])))::bigint"""
+
+
+def op7(shards: int = 8, seed: int = 20, rounds: int = 6) -> str:
+    """Checksums a byte at a time, and the Feistel network a round at a time, until a value below the row count comes at a round's end."""
+    keys = [_mixed((i * 0x9E3779B97F4A7C15 + seed) % TWO_64) for i in range(1, rounds + 1)]
     two64 = f"{TWO_64}::uhugeint"
     return f"""
 with recursive d as (
   select doc_id, encode(coalesce(text, '')) as b from documents
 ), c as (
   select doc_id, octet_length(b)::bigint + 1 as size,
-    xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::bigint)),
-      lambda c, x: xor(c >> 8, ([{', '.join(map(str,table))}]::bigint[])[(xor(c, x) & 255) + 1])))::bigint as text_crc32
+    {_crc32('b')} as text_crc32
   from d
 ), num as (
   select *, (row_number() over (order by doc_id nulls first, text_crc32, size) - 1)::ubigint as k, (count(*) over ())::ubigint as n from c
@@ -166,4 +171,34 @@ select doc_id, size, text_crc32, 'rows' as law, (place % {shards})::int as shard
 """
 
 
-ORACLES = {"op1_minhash": OP1, "op3_repeats": OP3, "op6_warc": OP6, "op7_sharding": op7(), "op8_decontamination": OP8, "op10_line_dedup": OP10}
+OP11 = f"""
+with recursive t as (
+  select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as r from documents) where length(r) >= 6
+), h as (
+  select r, c, {_crc32("encode(doc_id::varchar || ':' || r)")} as h from (select doc_id, r, count(*) as c from t group by all)
+), w as (
+  select case when h % 199 = 0 then r[1:(h % length(r))] || r[(h % length(r)) + 2:] else r end as word, sum(c)::bigint as n from h group by 1
+), v as (
+  select word, n from w where length(word) >= 6 and n >= 5
+), d as (
+  select word, i, word[1:i - 1] || word[i + 1:] as rest from (select word, unnest(range(1, length(word) + 1)) as i from v)
+), near as (
+  select a.word as a, b.word as b from d a join d b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select d.word, v.word from d join v on d.rest = v.word
+  union select v.word, d.word from d join v on d.rest = v.word
+), best as (
+  select a, count(*) as n_near, min_by(b, (-v.n, b)) as b, max(v.n) as m from near join v on v.word = b group by a
+), f as (
+  select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 5 * v.n then b end as form, case when m >= 5 * v.n then m end as form_n
+  from v left join best on best.a = v.word
+), r(word, root) as (
+  select word, word from f union all select r.word, f.form from r join f on f.word = r.root where f.form is not null
+), last as (
+  select r.word, r.root from r join f on f.word = r.root where f.form is null
+)
+select word, form, root, n, n_near, form_n from f join last using (word)
+"""
+
+
+ORACLES = {"op11_spelling": OP11, "op1_minhash": OP1, "op3_repeats": OP3, "op6_warc": OP6, "op7_sharding": op7(), "op8_decontamination": OP8, "op10_line_dedup": OP10}

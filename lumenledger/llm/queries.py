@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.llm import ann, decontaminate, html_text, line_dedup, minhash, packing, quality, repeats, sharding, warc
+from lumenledger.llm import ann, decontaminate, html_text, line_dedup, minhash, packing, quality, repeats, sharding, simhash, spelling, warc, whitening
 from lumenledger.llm.common import table
 
 
@@ -64,6 +64,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_minhash": op1_minhash,
@@ -76,6 +88,9 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_html": op9_html,
         "op10_line_dedup": op10_line_dedup,
+        "op11_spelling": op11_spelling,
+        "op12_whitening": op12_whitening,
+        "op13_simhash": op13_simhash,
     }
 
 
