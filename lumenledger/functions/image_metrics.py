@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Luma weights for blue, green, red.
-BGR_WEIGHTS = (0.114, 0.587, 0.299)
+#: Luma weights for blue, green, red, in thousandths.
+BGR_WEIGHTS = (114, 587, 299)
 #: Channel means and deviations (red, green, blue) of the two usual image encoders.
 CLIP_MEAN, CLIP_STD = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
 IMAGENET_MEAN, IMAGENET_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -27,7 +27,8 @@ def to_unit(image: np.ndarray) -> np.ndarray:
 def gray(image: np.ndarray) -> np.ndarray:
     if image.shape[2] == 1:
         return image[:, :, 0]
-    return np.floor(image[:, :, :3].astype(np.float64) @ np.array(BGR_WEIGHTS) + 0.5).clip(0, 255).astype(np.uint8)
+    # whole numbers, so that halves round alike everywhere
+    return ((image[:, :, :3].astype(np.int32) @ np.array(BGR_WEIGHTS, np.int32) + 500) // 1000).astype(np.uint8)
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -52,6 +53,53 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return out if image.ndim == 3 else out[:, :, 0]
 
 
+def lanczos_weights(n: int, m: int, lobes: int = 3) -> np.ndarray:
+    """m x n weights that resample n pixels to m: a windowed sinc of ``lobes`` lobes, each row of sum one.
+
+    When shrinking, the window is stretched by n / m, so that every pixel counts; at the borders it is cut off and made whole again.
+    """
+    stretch = max(1.0, n / m)
+    centre = (np.arange(m) + 0.5) * n / m - 0.5
+    x = (np.arange(n) - centre[:, None]) / stretch
+    out = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return out / out.sum(1, keepdims=True)
+
+
+def lanczos(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resampled along columns, then along rows; values may leave the range of bytes."""
+    x = image.astype(np.float64)
+    x = np.tensordot(lanczos_weights(x.shape[0], height), x, (1, 0))
+    return np.moveaxis(np.tensordot(lanczos_weights(x.shape[1], width), x, (1, 1)), 0, 1)
+
+
+#: How the second of two images of different sizes takes the size of the first.
+RESIZE = {"bilinear": resize, "lanczos": lanczos}
+
+
+def to_bytes(x: np.ndarray) -> np.ndarray:
+    return np.floor(x + 0.5).clip(0, 255).astype(np.uint8)
+
+
+def gaussian(sigma: float, reach: float = 3.0) -> np.ndarray:
+    """Weights of a Gaussian blur out to ``reach`` deviations, of sum one."""
+    r = max(1, int(np.ceil(reach * sigma)))
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return w / w.sum()
+
+
+def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
+    """A separable Gaussian blur; borders are mirrored without repeating the edge."""
+    w = gaussian(sigma)
+    x = image.astype(np.float64)
+    for axis in (0, 1):
+        n, r = x.shape[axis], len(w) // 2
+        fold = np.abs(np.arange(-r, n + r))
+        fold = np.where(fold >= n, 2 * (n - 1) - fold, fold) % n if n > 1 else np.zeros(n + 2 * r, np.int64)
+        padded = np.take(x, fold, axis)
+        x = sum(wj * np.take(padded, np.arange(j, j + n), axis) for j, wj in enumerate(w))
+    return x
+
+
 def psnr(a: np.ndarray, b: np.ndarray) -> float:
     mse = float(np.mean((a.astype(np.float64) - b.astype(np.float64)) ** 2))
     return float("inf") if mse == 0 else 10 * float(np.log10(255.0**2 / mse))
@@ -81,24 +129,33 @@ def ssim_colour(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean([ssim(a[:, :, c], b[:, :, c]) for c in range(a.shape[2])]))
 
 
-def quality(first: tuple, second: tuple) -> tuple[float, float]:
-    """(SSIM, PSNR) of the gray planes of two decoded images (data, height, width, channels).
+def quality(first: tuple, second: tuple, method: str = "bilinear", colour: bool = False) -> tuple[float, float]:
+    """(SSIM, PSNR) of two decoded images (data, height, width, channels): of their gray planes, or of all channels.
 
-    The second takes the first's size.  (0, 0) if either is unreadable.
+    The second takes the first's size by a method of RESIZE.  (0, 0) if either is unreadable.
     """
     if min(first[1], second[1]) < 0:
         return 0.0, 0.0
     a, b = pixels(*first), pixels(*second)
     if a.shape[:2] != b.shape[:2]:
-        b = np.floor(resize(b, *a.shape[:2]) + 0.5).clip(0, 255).astype(np.uint8)
-    return ssim(gray(a), gray(b)), psnr(gray(a), gray(b))
+        b = to_bytes(RESIZE[method](b, *a.shape[:2]))
+    if not colour:
+        a, b = gray(a)[:, :, None], gray(b)[:, :, None]
+    return ssim_colour(a, b), psnr(a, b)
+
+
+def quality_by(method: str = "bilinear", colour: bool = False):
+    """``quality`` as a pandas UDF over two structs (pixels, height, width, channels)."""
+
+    @F.pandas_udf(T.StructType([T.StructField("ssim", T.DoubleType()), T.StructField("psnr", T.DoubleType())]))
+    def judged(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        take = lambda df: zip(df["pixels"], df["height"], df["width"], df["channels"])
+        return pd.DataFrame([quality(x, y, method, colour) for x, y in zip(take(a), take(b))], columns=["ssim", "psnr"])
+
+    return judged
 
 
-@F.pandas_udf(T.StructType([T.StructField("ssim", T.DoubleType()), T.StructField("psnr", T.DoubleType())]))
-def quality_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Over two structs (pixels, height, width, channels)."""
-    take = lambda df: zip(df["pixels"], df["height"], df["width"], df["channels"])
-    return pd.DataFrame([quality(x, y) for x, y in zip(take(a), take(b))], columns=["ssim", "psnr"])
+quality_udf = quality_by()
 
 
 def psnr_of(mse):
