@@ -1,12 +1,12 @@
 """Inserts, updates and deletes as new versions of a table.
 
 Nothing is changed in place: an update overlays a keyed set of new values, a delete is an anti join, and
-``publish`` writes the result beside the old version and then moves a pointer.
+``commits`` writes the result as a new version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE_CHARS = 500
@@ -81,26 +81,3 @@ def register(users: DataFrame, new: DataFrame, key: str = "email") -> DataFrame:
     first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), "id").alias("__row")).select("__row.*")
     held = users.select(F.col(key).alias("__held"))
     return users.unionByName(first.join(held, F.col(key) == F.col("__held"), "left_anti"), allowMissingColumns=True)
-
-
-def publish(df: DataFrame, root: str, version: int) -> str:
-    """Write a version of a table beside the others; a version that exists already is refused.
-
-    Nothing is overwritten.  Spark's commit writes ``_SUCCESS`` last, and a version counts from then on, so readers see the old
-    table or the new one, whole, and a job that dies leaves the old one current.
-    """
-    path = f"{root}/v={version}"
-    df.write.mode("error").parquet(path)
-    return path
-
-
-def committed(spark: SparkSession, root: str) -> list[int]:
-    """Versions whose commit is complete, in rising order."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/_SUCCESS")
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    return sorted(int(f.getPath().getParent().getName()[2:]) for f in found)
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The highest version that is committed."""
-    return spark.read.parquet(f"{root}/v={committed(spark, root)[-1]}")
