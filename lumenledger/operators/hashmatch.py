@@ -10,8 +10,6 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.functions.vectors import euclidean
-
 HASH = r"^[0-9a-f]{16}$"
 
 
@@ -67,14 +65,22 @@ def keys(hi: Column, lo: Column, most: int) -> Column:
     return F.posexplode(F.array(*[F.struct(a, b) for a, b in itertools.combinations(cut, 2)]))
 
 
+#: With this many bits a key has 64 * 2 / (MOST + 2) = 12 bits and a hash 36 keys.  Beyond it keys are so short that most pairs would meet.
+MOST = 8
+
+
+def _check(most: int) -> None:
+    if not 0 <= most <= MOST:
+        raise ValueError(f"most must be from 0 to {MOST}; wider distances need another index than pairs of bands")
+
+
 def near_pairs(hashes: DataFrame, most: int, key: str = "id") -> DataFrame:
     """Pairs (a, b, distance) of distinct hashes within ``most`` bits, each by its smallest key; columns key, hi, lo.
 
     An equi-join on pairs of bands finds all pairs (pigeonhole); the exact distance is part of the join.  Equal hashes are
     one row before the join.
     """
-    if most < 0 or most > 31:
-        raise ValueError("most must be from 0 to 31")
+    _check(most)
     rows = hashes.groupBy("hi", "lo").agg(F.min(key).alias("id"))
     cut = keys(F.col("hi"), F.col("lo"), most).alias("band", "value")
     left = rows.select("id", "hi", "lo", cut).select(*[F.col(c).alias(f"a_{c}") for c in ("id", "hi", "lo", "band", "value")])
@@ -92,6 +98,7 @@ def classes(hashes: DataFrame, key: str = "id") -> DataFrame:
 
 def search(queries: DataFrame, hashes: DataFrame, most: int) -> DataFrame:
     """For a stated query set all hashes within ``most`` bits: q_id, id, distance."""
+    _check(most)
     cut = lambda: keys(F.col("hi"), F.col("lo"), most).alias("band", "value")
     q = queries.select("id", "hi", "lo", cut()).select(*[F.col(c).alias(f"q_{c}") for c in ("id", "hi", "lo", "band", "value")])
     h = hashes.select("id", "hi", "lo", cut()).select(*[F.col(c).alias(f"h_{c}") for c in ("id", "hi", "lo", "band", "value")])
@@ -105,19 +112,6 @@ def candidates(full: Column, *crops: Column) -> Column:
     return F.array_compact(F.array_distinct(F.array(full, *crops)))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, below: float, block: int = 1024) -> DataFrame:
-    """For a stated query set the vectors at a Euclidean distance below a threshold: q_id, id, distance; columns id, vector.
-
-    Queries come in blocks of about ``block``, each an array that every row of ``vectors`` meets, so no pair is a row before it is near.
-    """
-    blocks = queries.select(F.struct(F.col("id").alias("q_id"), F.col("vector").alias("q")).alias("one"), F.xxhash64("id").alias("h"))
-    total = queries.count()
-    dealt = blocks.groupBy(F.pmod("h", F.lit(max(1, -(-total // block)))).alias("b")).agg(F.collect_list("one").alias("asked")).select("asked")
-    far = lambda q: euclidean(F.col("vector"), q["q"])
-    near = F.filter(F.transform("asked", lambda q: F.struct(q["q_id"].alias("q_id"), far(q).alias("distance"))), lambda d: d["distance"] < F.lit(below))
-    return vectors.join(dealt).select("id", F.explode(near).alias("n")).select("n.q_id", "id", "n.distance")
-
-
 def cascade(*strategies: tuple[str, DataFrame]) -> DataFrame:
     """The first strategy that finds anything for a query, with its nearest find: q_id, id, distance, method.
 
