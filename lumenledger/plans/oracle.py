@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumenledger.functions.image_metrics import lanczos_weights
 from lumenledger.sources.ledger import IMAGE_COLUMNS, USER_COLUMNS
 
 
@@ -51,6 +52,72 @@ def _pairs(most: int) -> str:
 DIGEST = f"{six('list_sum(v)')} as total, floor(list_sum(list_transform(v, lambda x, i: x * i)) * 1e4 + 0.5e0) / 1e4 as placed"
 
 
+#: Vectors as gray images of 8 x 8: id, k (place), p (byte).
+PLANES = """px as (select vec_id as id, k, least(greatest(floor((embedding[k + 1]::double + 0.5e0) * 255e0), 0), 255)::bigint as p
+    from (select vec_id, embedding, unnest(range(64)) as k from embeddings where len(embedding) = 64))"""
+#: Three vectors in a row as the channels of an image, and the same from a vector later on.
+_CHANNELS = "max(case when {at} % 3 = 0 then p end) as b, max(case when {at} % 3 = 1 then p end) as g, max(case when {at} % 3 = 2 then p end) as r"
+_WOVEN = "select {at} // 3 as id, k, {c} from px where {at} >= 0 group by all having count(*) = 3"
+COLOURS = f"{PLANES}, colour as ({_WOVEN.format(at='px.id', c=_CHANNELS.format(at='px.id'))}), later as ({_WOVEN.format(at='(px.id - 1)', c=_CHANNELS.format(at='(px.id - 1)'))})"
+SUMS = f"{six('sum(x)')} as total, floor(sum(x * (k + 1)) * 1e4 + 0.5e0) / 1e4 as placed"
+NEAR = "bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint))"
+
+
+def hashed(source: str, name: str, side: int = 8) -> str:
+    """Tables that end in ``name`` (id, place, hash_kind, phash) for images of ``side`` x ``side`` (id, k, p): two products with whole cosine weights, and the median."""
+    from lumenledger.functions.perceptual import CROPS, FULL, basis
+
+    cut = int(side * 0.75)
+    kinds = [(FULL, 0, 0, 0, side)] + [(c, i + 1, int(side * t), int(side * left), cut) for i, (c, (t, left, _, _)) in enumerate(CROPS.items())]
+    kind_rows = ", ".join(f"('{c}', {i}, {t}, {left}, {n})" for c, i, t, left, n in kinds)
+    weights = ", ".join(f"({n}, {u}, {i}, {int(w)})" for n in (cut, side) for u, row in enumerate(basis(n)) for i, w in enumerate(row))
+    return f"""{name}_k(hash_kind, place, t, l, n) as (values {kind_rows}), {name}_w(n, u, i, w) as (values {weights}), {name}_1 as (
+      select id, hash_kind, place, c.n, u, k % {side} - l as j, sum(w.w * p)::bigint as s from {source} px
+      join {name}_k c on k // {side} between t and t + c.n - 1 and k % {side} between l and l + c.n - 1 join {name}_w w on w.n = c.n and w.i = k // {side} - t group by all
+    ), {name}_2 as (
+      select id, hash_kind, place, a.u * 8 + w.u as spot, sum(s * w.w)::bigint as c from {name}_1 a join {name}_w w on w.n = a.n and w.i = a.j group by all
+    ), {name}_3 as (
+      select *, row_number() over (partition by id, place order by c) as r from {name}_2
+    ), {name}_4 as (
+      select *, sum(case when r in (32, 33) then c else 0 end) over (partition by id, place) as middle from {name}_3
+    ), {name}_5 as (
+      select id, place, hash_kind, lower(lpad(hex(sum(case when 2 * c > middle then 1::ubigint << (63 - spot) else 0 end)::ubigint), 16, '0')) as phash from {name}_4 group by all
+    ), {name} as (
+      select id, place::int as place, hash_kind, phash from {name}_5 qualify row_number() over (partition by id, phash order by place) = 1
+    )"""
+
+
+def similar(pair: str, key: str) -> str:
+    """A table sim (key, ssim) over pairs of planes (key, k, x, y) of 8 x 8: windows of 7 x 7."""
+    return f"""win as (select i, j from (values (0), (1)) s(i), (values (0), (1)) t(j)), mom as (
+      select {key}, avg(x) as mx, avg(y) as my, 49e0 / 48e0 * (avg(x * x) - avg(x) * avg(x)) as vx, 49e0 / 48e0 * (avg(y * y) - avg(y) * avg(y)) as vy,
+        49e0 / 48e0 * (avg(x * y) - avg(x) * avg(y)) as vxy
+      from {pair} join win on k // 8 between i and i + 6 and k % 8 between j and j + 6 group by {key}, i, j
+    ), sim as (
+      select {key}, avg((2 * mx * my + 6.5025e0) * (2 * vxy + 58.5225e0) / ((mx * mx + my * my + 6.5025e0) * (vx + vy + 58.5225e0))) as ssim from mom group by {key}
+    )"""
+
+
+def bilinear_weights(n: int, m: int) -> list[list[float]]:
+    """What each of n pixels gives to each of m: two neighbours by distance, centres at half steps."""
+    out = [[0.0] * n for _ in range(m)]
+    for i in range(m):
+        at = max((i + 0.5) * n / m - 0.5, 0)
+        low = min(int(at), n - 1)
+        out[i][low] += 1 - (at - low)
+        out[i][min(low + 1, n - 1)] += at - low
+    return out
+
+
+def resampled(weights) -> str:
+    """Planes of 8 x 8 taken to 5 x 12 by a table of weights along each side."""
+    rows = ", ".join(f"('{side}', {i}, {j}, {float(w)!r}::double)" for side, m in (("y", 5), ("x", 12)) for i, row in enumerate(weights(8, m)) for j, w in enumerate(row))
+    return f"""with {PLANES}, w(side, i, j, w) as (values {rows}), a as (
+          select id, w.i as i, k % 8 as x, sum(w.w * p) as s from px join w on side = 'y' and w.j = k // 8 group by all
+        ), v as (select id, a.i * 12 + w.i as k, sum(w.w * s) as x from a join w on side = 'x' and w.j = a.x group by all)
+        select id, {SUMS} from v group by id"""
+
+
 ORACLES: dict[str, str] = {
     "summary_one_user": f"{CTE} select {_measures()} from images where user_id = 7",
     "summary_all_users": f"{CTE} select u.id as user_id, {_measures('i.')} from users u left join images i on i.user_id = u.id group by u.id",
@@ -133,7 +200,8 @@ ORACLES: dict[str, str] = {
     "cosine_batch_mean": f"select label, {six(f'avg(list_cosine_similarity({E}, {ONE}))')} as mean_cosine, count(*)::bigint as n from embeddings group by label",
     "nearest_under_threshold": f"""select * from (select vec_id, {six(f'list_distance({E}, {ONE})')} as distance from embeddings where vec_id <> 3)
         where distance < 1.2e0 order by distance, vec_id limit 1""",
-    "dynamic_weights": "with d as (select vec_id, " + ", ".join(f"abs(embedding[{i + 1}]::double) as d{i}" for i in range(3)) + " from embeddings) select vec_id, " + ", ".join(f"{six(f'd{i} / (d0 + d1 + d2 + 1e-6)')} as w{i}" for i in range(3)) + " from d",
+    "dynamic_weights": "with d as (select vec_id, " + ", ".join(f"1e0 - list_cosine_similarity({E}, (select {E} from embeddings where vec_id = {i})) as d{i}" for i in (3, 4, 5))
+    + " from embeddings) select vec_id, " + ", ".join(f"{six(f'd{i} / (d3 + d4 + d5 + 1e-6)')} as w{i - 3}" for i in (3, 4, 5)) + " from d",
     "clamp_linf": f"""with x as (select vec_id, [least(greatest(least(greatest(p[1], p[2] - 0.03e0), p[2] + 0.03e0), 0e0), 1e0) for p in list_zip({E}, {ONE})] as v from embeddings)
         select vec_id, {DIGEST} from x""",
     "signed_step": f"""with x as (select vec_id, [p[1] - 2.5e0 * 0.0313e0 / 100e0 * sign(p[2]) for p in list_zip({E}, {ONE})] as v from embeddings)
@@ -171,12 +239,51 @@ ORACLES: dict[str, str] = {
     "hamming_pairs": _pairs(1),
     "hamming_banded": _pairs(4),
     "hamming_classes": f"with {HASHES} select h.id, r.id as class_id from h join r using (hi, lo)",
-    "match_cascade": f"""with {HASHES}, m as (
-          select a.id as q_id, b.id, 0 as place, {APART}::double as distance, 'whole' as method from h a join h b on a.id % 20 = 0 and b.id % 20 <> 0 and {APART} <= 1
+    "image_phash": f"with {PLANES}, {hashed('px', 'k0')} select id, place, hash_kind, phash from k0",
+    "gray_planes": f"""with {COLOURS}, v as (select id, k, ((114 * b + 587 * g + 299 * r + 500) // 1000)::double as x from colour)
+        select id, {SUMS} from v group by id""",
+    "unit_planes": f"""with {COLOURS}, v as (select id, k, r::double as x from colour union all select id, 64 + k, g from colour union all select id, 128 + k, b from colour)
+        select id, {SUMS} from v group by id""",
+    "quality_colour": f"""with {COLOURS}, pair as (
+          select id, ch, k, x, y from (select a.id, a.k, unnest([a.b, a.g, a.r]) as x, unnest([c.b, c.g, c.r]) as y, unnest([0, 1, 2]) as ch from colour a join later c using (id, k))
+        ), {similar('pair', 'id, ch')}, s as (select id, avg(ssim) as ssim from sim group by id), m as (select id, avg((x - y) * (x - y)) as mse from pair group by id)
+        select id, {six('ssim')} as ssim, case when mse = 0 then 'infinity'::double else {six("10e0 * log10(65025e0 / nullif(mse, 0))")} end as psnr from s join m using (id)""",
+    "quality_unreadable": f"""with {PLANES}, pair as (select a.id, a.k, a.p::double as x, c.p::double as y from px a join px c on c.id = a.id + 1 and c.k = a.k), {similar('pair', 'id')},
+        m as (select id, avg((x - y) * (x - y)) as mse from pair group by id)
+        select id, case when id % 5 = 0 then 0 else {six('ssim')} end as ssim, case when id % 5 = 0 then 0 when mse = 0 then 'infinity'::double else {six("10e0 * log10(65025e0 / nullif(mse, 0))")} end as psnr
+        from sim join m using (id)""",
+    "bilinear_planes": resampled(bilinear_weights),
+    "lanczos_planes": resampled(lanczos_weights),
+    "augment_boxes": f"""{CTE}, u as (
+          select id, height, width, iteration, {", ".join(f"('0x' || substr(md5(id || ':' || iteration || ':{j}'), 1, 8))::bigint / 4294967296e0 as u{j}" for j in range(4))}
+          from (select id, height, width, unnest([0, 1, 2])::int as iteration from images)
+        ), b as (select *, greatest(1, floor(height * (0.8e0 + u0 * (1 - 0.8e0))))::int as box_height, greatest(1, floor(width * (0.8e0 + u0 * (1 - 0.8e0))))::int as box_width from u)
+        select id, iteration, floor(u1 * (height - box_height + 1))::int as top, floor(u2 * (width - box_width + 1))::int as left, box_height, box_width,
+          {six("0.1e0 + u3 * (1e0 - 0.1e0)")} as sigma from b""",
+    "vector_range_search": f"""select a.vec_id as q_id, b.vec_id as id, {six("list_distance(a.embedding::double[], b.embedding::double[])")} as distance
+        from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id % 20 <> 0 where list_distance(a.embedding::double[], b.embedding::double[]) < 1.2e0""",
+    "match_cascade": f"""with {PLANES}, {hashed("(select * from px where id % 20 <> 0)", "stored")}, shade as (
+          select vec_id - 1 as id, k, least(greatest(floor((embedding[k + 1]::double + {20 / 255!r}::double + 0.5e0) * 255e0), 0), 255)::bigint as p
+          from (select vec_id, embedding, unnest(range(64)) as k from embeddings where vec_id % 20 = 1) where (vec_id - 1) % 60 = 0
+          union all
+          select vec_id, k, least(greatest(floor((embedding[64 - k]::double + 0.5e0) * 255e0), 0), 255)::bigint from (select vec_id, embedding, unnest(range(64)) as k from embeddings where vec_id % 60 = 40)
+        ), corner as (
+          select id - 1 as id, (k // 8) * 6 + k % 8 as k, p from px where id % 20 = 1 and (id - 1) % 60 = 20 and k // 8 < 6 and k % 8 < 6
+        ), {hashed("shade", "a8")}, {hashed("corner", "a6", 6)}, asked as (select * from a8 union all select * from a6), m as (
+          select a.id as q_id, b.id, 0 as place, {NEAR}::double as distance, 'whole' as method from asked a join stored b on a.place = 0 and b.place = 0 and {NEAR} <= 6
           union all
-          select a.id, b.id, 1, 0e0, 'region' from h a join h b on a.id % 20 = 0 and b.id % 20 <> 0 and a.hi = b.hi
+          select a.id, b.id, 1, {NEAR}::double, 'region' from asked a join stored b on {NEAR} <= 2
           union all
           select a.vec_id, b.vec_id, 2, list_distance(a.embedding::double[], b.embedding::double[]), 'vector' from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id % 20 <> 0
           where list_distance(a.embedding::double[], b.embedding::double[]) < 1.25e0)
         select q_id, id, floor(distance * 1e3 + 0.5e0) / 1e3 as distance, method from m qualify row_number() over (partition by q_id order by place, distance, id) = 1""",
+    "queue_schedule": f"""{CTE}, j as (
+          select user_id % 8 as lane, id, epoch_ms(created_at::date::timestamp)::bigint as submitted_ms, id % 30000000 as work_ms, ssim_score, error_message from images
+        ), s as (
+          select *, sum(work_ms) over w as total from j window w as (partition by lane order by submitted_ms, id rows unbounded preceding)
+        ), e as (
+          select *, total + max(submitted_ms - total + work_ms) over (partition by lane order by submitted_ms, id rows unbounded preceding) as ended from s
+        )
+        select lane, id, submitted_ms, (ended - work_ms)::bigint as begun_ms, ended::bigint as ended_ms, (ended - work_ms - submitted_ms)::bigint as waited_ms,
+          case when error_message is not null then 'failed' when ssim_score < 0.95e0 then 'quality_warning' else 'completed' end as status from e""",
 }

@@ -9,16 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenledger.functions import vectors
 from lumenledger.functions import image_metrics as im
+from lumenledger.functions import perceptual, vectors
+from lumenledger.functions.augment import crop_boxes
 from lumenledger.functions.image_metrics import psnr_of, ssim
 from lumenledger.functions.names import base, extension
 from lumenledger.functions.rounding import half_up
 from lumenledger.functions.values import as_uuid, expiry, has_prefix
-from lumenledger.operators import hashmatch, ingest, lookup, membership, mutate, paging, relations, summary
+from lumenledger.operators import hashmatch, ingest, lookup, membership, mutate, paging, rangesearch, relations, summary
 from lumenledger.sources import ledger
 from lumenledger.sources.schema import IMAGE_DEFAULTS, IMAGES, add_column, conform
 from lumenledger.streaming.jobs import finished, outcome
+from lumenledger.streaming.queue import schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -87,7 +89,7 @@ def list_page_past_end(spark, sf_dir):
 
 @query
 def list_page_ties(spark, sf_dir):
-    """Many equal timestamps: pages over all images cut to the day."""
+    """Many equal timestamps: pages over all images cut to the month."""
     rows = ledger.images(spark, sf_dir).withColumn("user_id", F.lit(USER)).withColumn("created_at", F.date_trunc("month", "created_at"))
     return paging.page_of(rows, USER, 3, 20).select("id", "status")
 
@@ -108,21 +110,22 @@ def list_response(spark, sf_dir):
 # ---- lookups and projections
 
 
-@query
-def status_lookup(spark, sf_dir):
-    return lookup.status_of(ledger.images(spark, sf_dir), 1, _owner(spark, sf_dir, 1))
+def _owner(images: DataFrame, image_id: int):
+    """The owner of an image, as a scalar subquery of the plan."""
+    return lookup.by_key(images, "id", image_id).select("user_id").scalar()
 
 
-def _owner(spark: SparkSession, sf_dir: str, image_id: int) -> int:
-    row = lookup.at_most_one(lookup.by_key(ledger.images(spark, sf_dir), "id", image_id))
-    return row["user_id"] if row else -1
+@query
+def status_lookup(spark, sf_dir):
+    images = ledger.images(spark, sf_dir)
+    return lookup.status_of(images, 1, _owner(images, 1))
 
 
 @query
 def image_by_owner(spark, sf_dir):
     """An image asked for by its owner and by another user: only the first sees it."""
     images = ledger.images(spark, sf_dir)
-    owner = _owner(spark, sf_dir, 2)
+    owner = _owner(images, 2)
     return lookup.owned(images, 2, owner).unionByName(lookup.owned(images, 2, owner + 1)).select("id", "user_id", "status")
 
 
@@ -392,10 +395,11 @@ def nearest_under_threshold(spark, sf_dir):
 
 @query
 def dynamic_weights(spark, sf_dir):
-    e = F.col("embedding")
-    d = [F.abs(e[i].cast("double")) for i in range(3)]
-    w = vectors.loss_weights(*d)
-    return _vectors(spark, sf_dir).select("vec_id", *[_six(x).alias(f"w{i}") for i, x in enumerate(w)])
+    """Weights of three losses of every vector: its cosine distances from three others."""
+    rows = _vectors(spark, sf_dir)
+    anchors = rows.where("vec_id in (3, 4, 5)").agg(*[F.max(F.when(F.col("vec_id") == i, F.col("embedding"))).alias(f"a{i}") for i in (3, 4, 5)])
+    d = [F.lit(1.0) - vectors.cosine(F.col("embedding"), F.col(f"a{i}")) for i in (3, 4, 5)]
+    return rows.join(F.broadcast(anchors)).select("vec_id", *[_six(x).alias(f"w{i}") for i, x in enumerate(vectors.loss_weights(*d))])
 
 
 @query
@@ -496,11 +500,13 @@ def known_hashes(spark, sf_dir):
 
 @query
 def known_by_bloom(spark, sf_dir):
-    """The same through a Bloom filter as a first sieve: what it lets through is joined."""
+    """The same through a Bloom filter of two generations as a first sieve: what it lets through is joined."""
     rows = _hashes(spark, sf_dir)
-    held = rows.where("id % 10 = 0").select("lo").distinct()
-    sieve = membership.Bloom(held, "lo", held.count())
-    return membership.known(rows.where(sieve.might_contain(F.col("lo"))), held, "lo").select("id")
+    held = rows.where("id % 10 = 0").select("id", "lo")
+    sizing = membership.Sizing.of(200_000)
+    bits = membership.merge(membership.build(held.where("id % 20 = 0"), "lo", sizing), membership.build(held.where("id % 20 != 0"), "lo", sizing))
+    likely = membership.probe(rows.select("id", "lo"), "lo", bits, sizing).where("might_contain")
+    return membership.known(likely, held, "lo").select("id")
 
 
 @query
@@ -526,14 +532,153 @@ def hamming_classes(spark, sf_dir):
     return hashmatch.classes(_hashes(spark, sf_dir))
 
 
+# ---- pixels
+
+
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a gray image of 8 x 8."""
+    return perceptual.plane_images(_vectors(spark, sf_dir))
+
+
+def _colours(spark: SparkSession, sf_dir: str, offset: int = 0) -> DataFrame:
+    """Three vectors in a row as the channels of a colour image of 8 x 8: id, pixels; ``offset`` takes the channels from later vectors."""
+
+    @F.pandas_udf("binary")
+    def woven(b: pd.Series, g: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([np.stack([np.frombuffer(x, np.uint8) for x in xs], axis=1).tobytes() for xs in zip(b, g, r)])
+
+    at = F.col("id") - offset
+    planes = _planes(spark, sf_dir).select(F.floor(at / 3).cast("long").alias("image"), F.pmod(at, F.lit(3)).alias("channel"), "pixels")
+    three = planes.groupBy("image").agg(*[F.max(F.when(F.col("channel") == c, F.col("pixels"))).alias(f"c{c}") for c in range(3)])
+    return three.where("c0 is not null and c1 is not null and c2 is not null").select(F.col("image").alias("id"), woven("c0", "c1", "c2").alias("pixels"))
+
+
+def _as_image(pixels, side: int, channels: int):
+    return F.struct(pixels.alias("pixels"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(channels).alias("channels"))
+
+
+@query
+def image_phash(spark, sf_dir):
+    """The hashes of every plane and of its crops, each once."""
+    return perceptual.image_hashes(_planes(spark, sf_dir), "id").select("id", "place", "hash_kind", "phash")
+
+
+@query
+def gray_planes(spark, sf_dir):
+    """Gray values of colour images: their sum and one weighted by place."""
+
+    @F.pandas_udf("array<double>")
+    def grayed(data: pd.Series) -> pd.Series:
+        return pd.Series([im.gray(im.pixels(d, 8, 8, 3)).ravel().astype(float) for d in data])
+
+    return _colours(spark, sf_dir).select("id", *_digest(grayed("pixels")))
+
+
+@query
+def unit_planes(spark, sf_dir):
+    """Colour images as red, green and blue planes of numbers from 0 to 1."""
+
+    @F.pandas_udf("array<double>")
+    def units(data: pd.Series) -> pd.Series:
+        return pd.Series([im.to_unit(im.pixels(d, 8, 8, 3)).ravel().astype(float) for d in data])
+
+    return _colours(spark, sf_dir).select("id", *_digest(F.transform(units("pixels"), lambda x: half_up(x * 255, 3))))
+
+
+@query
+def quality_colour(spark, sf_dir):
+    """Similarity and noise of each colour image against the one whose channels start a vector later."""
+    a, b = _colours(spark, sf_dir), _colours(spark, sf_dir, 1).withColumnRenamed("pixels", "other")
+    judged = im.quality_by(colour=True)(_as_image(F.col("pixels"), 8, 3), _as_image(F.col("other"), 8, 3))
+    return a.join(b, "id").select("id", judged.alias("q")).select("id", _six(F.col("q.ssim")).alias("ssim"), _six(F.col("q.psnr")).alias("psnr"))
+
+
+@query
+def quality_unreadable(spark, sf_dir):
+    """Gray similarity to the next plane; each fifth file can't be read and scores nothing."""
+    rows = _planes(spark, sf_dir)
+    nxt = rows.select((F.col("id") - 1).alias("id"), F.col("pixels").alias("other"))
+    broken = F.col("id") % 5 == 0
+    other = F.struct(F.when(broken, F.lit(b"")).otherwise(F.col("other")).alias("pixels"), *[F.when(broken, -1).otherwise(8).alias(n) for n in ("height", "width")], F.lit(1).alias("channels"))
+    judged = im.quality_udf(_as_image(F.col("pixels"), 8, 1), other)
+    return rows.join(nxt, "id").select("id", judged.alias("q")).select("id", _six(F.col("q.ssim")).alias("ssim"), _six(F.col("q.psnr")).alias("psnr"))
+
+
+def _resampled(spark: SparkSession, sf_dir: str, method: str, height: int, width: int) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def shown(data: pd.Series) -> pd.Series:
+        return pd.Series([im.RESIZE[method](im.pixels(d, 8, 8, 1)[:, :, 0], height, width).ravel() for d in data])
+
+    return _planes(spark, sf_dir).select("id", *_digest(shown("pixels")))
+
+
+@query
+def bilinear_planes(spark, sf_dir):
+    return _resampled(spark, sf_dir, "bilinear", 5, 12)
+
+
+@query
+def lanczos_planes(spark, sf_dir):
+    """Planes shrunk along columns and stretched along rows."""
+    return _resampled(spark, sf_dir, "lanczos", 5, 12)
+
+
+@query
+def augment_boxes(spark, sf_dir):
+    """Crop boxes and blurs of every image for three iterations."""
+    boxes = crop_boxes(ledger.images(spark, sf_dir).select("id", "height", "width"), 3)
+    return boxes.withColumn("sigma", _six(F.col("sigma")))
+
+
+# ---- matching
+
+
+@query
+def vector_range_search(spark, sf_dir):
+    """All vectors below a distance of every twentieth vector."""
+    rows = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = rangesearch.vector_search(rows.where("id % 20 = 0"), rows.where("id % 20 != 0"), 1.2)
+    return found.select("q_id", "id", _six(F.col("distance")).alias("distance"))
+
+
 @query
 def match_cascade(spark, sf_dir):
-    """Suspects against the others: by whole hash, by a region's hash (the high half), then by the nearest vector."""
-    rows = _hashes(spark, sf_dir)
-    suspects = rows.where("id % 20 = 0")
-    others = rows.where("id % 20 != 0")
-    whole = hashmatch.search(suspects, others, 1)
-    region = suspects.select(F.col("id").alias("q_id"), F.col("hi").alias("q_hi")).join(others, F.col("hi") == F.col("q_hi")).select("q_id", "id", F.lit(0).alias("distance"))
-    shown = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    faces = hashmatch.vector_search(shown.where("id % 20 = 0"), shown.where("id % 20 != 0"), 1.25)
-    return hashmatch.cascade(("whole", whole), ("region", region), ("vector", faces)).select("q_id", "id", half_up(F.col("distance"), 3).alias("distance"), "method")
+    """Suspect images against a library, by hashes of whole images, of regions, and by the nearest vector.
+
+    Of every sixty vectors three are left out of the library and stand for suspects: one shows the next image brighter, one a quarter of it cut
+    away, and one nothing of the library, so that only its vector can tell.
+    """
+    rows = _vectors(spark, sf_dir).where(F.size("embedding") == 64)
+    library = rows.where("vec_id % 20 != 0")
+    stored = perceptual.image_hashes(perceptual.plane_images(library), "id")
+    shown = rows.where("vec_id % 20 = 1").select((F.col("vec_id") - 1).alias("vec_id"), vectors.doubles(F.col("embedding")).alias("embedding"))
+    brighter = shown.where("vec_id % 60 = 0").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(20 / 255)))
+    corner = F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.element_at("embedding", F.floor(i / 6).cast("int") * 8 + i % 6 + 1))
+    cut = shown.where("vec_id % 60 = 20").withColumn("embedding", corner)
+    other = rows.where("vec_id % 60 = 40").select("vec_id", F.reverse(vectors.doubles(F.col("embedding"))).alias("embedding"))
+    suspects = perceptual.plane_images(brighter.unionByName(other)).unionByName(perceptual.plane_images(cut, 6))
+    asked = perceptual.image_hashes(suspects, "id")
+
+    def near(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+        hashed = lambda df: df.select("id", *[h.alias(n) for h, n in zip(hashmatch.halves(F.col("phash")), ("hi", "lo"))])
+        return hashmatch.search(hashed(a), hashed(b), most)
+
+    whole = near(asked.where("place = 0"), stored.where("place = 0"), 6)
+    region = near(asked, stored, 2)
+    as_vectors = lambda df: df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    faces = rangesearch.vector_search(as_vectors(rows.where("vec_id % 20 = 0")), as_vectors(library), 1.25)
+    found = hashmatch.cascade(("whole", whole), ("region", region), ("vector", faces))
+    return found.select("q_id", "id", half_up(F.col("distance"), 3).alias("distance"), "method")
+
+
+# ---- queue
+
+
+@query
+def queue_schedule(spark, sf_dir):
+    """When every image's job begins and ends in eight lanes that work one at a time, and how it ends."""
+    jobs = ledger.images(spark, sf_dir).select(
+        (F.col("user_id") % 8).alias("lane"), "id", (F.unix_date(F.col("created_at").cast("date")).cast("long") * 86_400_000).alias("submitted_ms"),
+        (F.col("id") % 30_000_000).cast("long").alias("work_ms"), "ssim_score", F.col("error_message").alias("error"),
+    )
+    return schedule(jobs)

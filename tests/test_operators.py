@@ -13,7 +13,7 @@ from lumenledger.functions import image_metrics as im
 from lumenledger.functions.names import allowed_set, base, extension
 from lumenledger.functions.rounding import half_up
 from lumenledger.functions.values import as_uuid, elapsed_ms, has_prefix, new_id
-from lumenledger.operators import hashmatch, ingest, lookup, membership, mutate, paging, relations, summary
+from lumenledger.operators import commits, hashmatch, ingest, lookup, mutate, paging, relations, summary
 from lumenledger.sources import files, ledger
 from lumenledger.sources.schema import IMAGE_DEFAULTS, IMAGES, conform
 from lumenledger.streaming import jobs
@@ -74,21 +74,12 @@ def test_names(spark):
     assert allowed_set(" jpg, PNG ,,webp ") == {"jpg", "png", "webp"}
 
 
-def test_mutations(spark, golden, tmp_path):
+def test_mutations(spark, golden):
     changes = spark.createDataFrame([(1, "failed", None), (9, "failed", 1.0)], "id long, status string, ssim_score double")
     rows = {r["id"]: (r["status"], r["ssim_score"]) for r in mutate.overlay(golden, changes, "id", "status", "ssim_score").collect()}
     assert rows[1] == ("failed", None) and rows[2] == ("completed", 0.95) and len(rows) == 4
     salts = spark.range(3).select(mutate.random_salt().alias("s")).collect()
     assert all(len(r["s"]) == 64 and int(r["s"], 16) >= 0 for r in salts)
-    root = str(tmp_path / "t")
-    mutate.publish(golden, root, 1)
-    mutate.publish(golden.where("id > 2"), root, 10)
-    assert mutate.current(spark, root).count() == 2 and mutate.committed(spark, root) == [1, 10]
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
-        mutate.publish(golden, root, 1)
-    (tmp_path / "t" / "v=11").mkdir()  # a job that died before its commit
-    (tmp_path / "t" / "v=11" / "part-0.parquet").write_bytes(b"half")
-    assert mutate.current(spark, root).count() == 2
     failed = mutate.mark_failed(golden.withColumn("error_message", F.lit(None).cast("string")), F.col("id") == 1, F.lit("x" * 600)).where("id = 1").first()
     assert failed["status"] == "failed" and len(failed["error_message"]) == 500 and failed["processing_time_ms"] == 100
 
@@ -187,19 +178,11 @@ def test_protect_chain(spark, tmp_path):
     jobs.run_queue(spark, str(tmp_path / "queue"), queued.schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     done = spark.read.schema(spark.read.parquet(str(tmp_path / "out")).schema).parquet(str(tmp_path / "out")).drop("batch")
     after = mutate.persist_results(mutate.mark_processing(images, F.col("status") == "pending"), done)
-    mutate.publish(after, str(tmp_path / "table"), 1)
-    rows = {r["id"]: (r["status"], r["processing_time_ms"], r["error_message"], r["watermark_enabled"]) for r in mutate.current(spark, str(tmp_path / "table")).collect()}
+    commits.publish(after, str(tmp_path / "table"))
+    rows = {r["id"]: (r["status"], r["processing_time_ms"], r["error_message"], r["watermark_enabled"]) for r in commits.read(spark, str(tmp_path / "table")).collect()}
     assert rows == {"a": ("completed", 29, None, True), "c": ("failed", 29, "no face", True)} and schema
 
 
-def test_vector_search(spark):
-    rows = [(i, [float(i), 0.0]) for i in range(40)]
-    df = spark.createDataFrame(rows, "id long, vector array<double>")
-    got = {(r["q_id"], r["id"]): r["distance"] for r in hashmatch.vector_search(df.where("id % 10 = 0"), df, 1.5, block=2).collect()}
-    assert got == {(q, q + d): float(abs(d)) for q in (0, 10, 20, 30) for d in (-1, 0, 1) if q + d >= 0}
-    assert hashmatch.vector_search(df.limit(0), df, 1.0).count() == 0
-
-
 def test_salts_are_sealed_once(spark):
     df = spark.createDataFrame([(1, False, 5, "p"), (2, True, 6, "v")], "id long, vault_sealed boolean, protected_size_bytes int, protected_path string")
     rows = mutate.seal(df, F.lit(True), F.lit(9), F.lit("vault/x")).orderBy("id").collect()
@@ -237,20 +220,6 @@ def test_hash_dedupe(spark):
     assert [r[0] for r in shapes.collect()] == [True, False, False, False]
 
 
-def test_bloom(spark):
-    held = spark.createDataFrame([("0123456789abcdef",), ("f" * 16,), (None,)], "h string")
-    b = membership.Bloom(held, "h", 3)
-    assert b.capacity == 10_000 and b.bits > 100_000 and b.hashes == 10
-    assert [r[0] for r in held.select(b.might_contain(F.col("h"))).collect()] == [True, True, None]
-    other = spark.range(2000).select(F.lpad(F.hex("id"), 16, "0").alias("h"))
-    assert other.where(b.might_contain(F.col("h"))).count() < 5
-    assert other.limit(0).where(b.might_contain(F.col("h"))).count() == 0
-    full = membership.Bloom(spark.range(5000), "id", 5000)
-    assert spark.range(5000).where(full.might_contain(F.col("id"))).count() == 5000
-    assert spark.range(10**6, 10**6 + 20_000).where(full.might_contain(F.col("id"))).count() < 60
-    assert membership.known(held, held.limit(0), "h").count() == 0
-
-
 def test_values(spark):
     rows = [("{12345678-1234-5678-1234-567812345678}",), ("12345678123456781234567812345678",), ("nope",), (None,), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(as_uuid(F.col("t"))).collect()]
