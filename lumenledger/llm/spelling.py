@@ -8,9 +8,10 @@ length L, share L - 5 trigrams: at the same place, or behind a deletion one plac
 the first shared one is among the first four of both words.  Hence each word is posted under its four rarest trigrams as
 (trigram, place, length), and asks there, and in the lists of words one letter shorter at the same place and one before.
 
-Merge.  Under a key, the members' trigrams make an inverted index; the postings of an asking word's trigrams, each a sorted run of
-members under the limits of length and place, are merged by a heap, members that come up less often than the overlap bound
-max(L, L') - 5 fall, and the rest are verified letter by letter.
+Merge.  Under a key, the members' trigrams make an inverted index.  An asking word takes the postings of its trigrams under the limits
+of length and place, each a sorted run of members; the shortest runs, of which every near member is in one, are merged by a heap, what
+comes up is looked for in the others, members found less often than the overlap bound max(L, L') - 5 fall, and the rest are
+verified letter by letter.
 
 Keys of many.  A near pair shares two trigrams of its five rarest unless both words have six letters.  A key with over ``CROWD`` members
 of seven or more letters is therefore split by a second trigram.  Keys of six-letter words are bounded by the alphabet: three letters
@@ -24,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,12 +49,16 @@ ONE_IN = 199
 #: Distinct words that a task holds before it passes counts on, and letters of text it splits at a time.
 FLUSH, STRETCH = 200_000, 1 << 20
 CROWD = 1024
+#: Members up to which all are verified at once.
+FEW = 4
 
 _RUNS = re.compile(f"[{LETTERS}]{{{SHORTEST},}}")
 _RUN = re.compile(f"[{LETTERS}]*")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 #: Trigrams as numbers: a-z are 0 to 25, U+00C0 to U+00FF are 26 to 89.
 ALPHABET = 90
+# A key holds the number of a trigram, its place and the members' length, 20 bits each of the last two; words so long that they
+# share keys cost time, and nothing is lost.
 
 
 def words_of(doc_id: object, text: str) -> Counter:
@@ -95,11 +101,16 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def trigrams(word: str) -> np.ndarray:
-    """The numbers of a word's trigrams, in order."""
-    c = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of all trigrams of some words, with the word that each is of and its place there."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     c = np.where(c < 0xC0, c - 97, c - 0xC0 + 26)
-    return (c[:-2] * ALPHABET + c[1:-1]) * ALPHABET + c[2:]
+    count = size - Q + 1
+    owner = np.repeat(np.arange(len(words)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(size) - size, count) + place
+    return (c[at] * ALPHABET + c[at + 1]) * ALPHABET + c[at + 2], owner, place
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -117,8 +128,8 @@ def one_edit(a: str, b: str) -> bool:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(ALPHABET**Q, np.int64)
     for batch in batches:
-        for word in batch.column(0).to_pylist():
-            np.add.at(held, np.unique(trigrams(word)), 1)
+        if batch.num_rows:
+            held += np.bincount(trigrams(batch.column(0).to_pylist())[0], minlength=len(held))
     some = np.flatnonzero(held)
     yield pa.record_batch([pa.array(some), pa.array(held[some])], names=["gram", "n"])
 
@@ -133,105 +144,133 @@ def _ranks(words: DataFrame) -> np.ndarray:
     return ranks
 
 
+def _lists(values: np.ndarray, live: np.ndarray) -> pa.Array:
+    """The live values of each row as a list."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live.sum(1))]), pa.int32()), pa.array(values[live]))
+
+
 def _post(ranks: np.ndarray):
-    """Words -> (key, asks, word) and, for splitting, the second keys: number of a trigram and place in one integer each."""
+    """Words -> (key, asks, word, places of its trigrams from the rarest to the key's) and, for splitting, the second keys."""
+    names = ["_k", "_asks", "_word", "_places", "_more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for word in batch.column(0).to_pylist():
-                grams, size = trigrams(word), len(word)
-                best = np.lexsort((np.arange(size - 2), ranks[grams]))[:5].tolist()
-                five = [(int(grams[p]), p) for p in best]
-                for i, (g, p) in enumerate(five[:4]):
-                    others = five[:i] + five[i + 1 :]
-                    rows.append((_key(g, p, size), False, word, [_spot(*o) for o in others]))
-                    if size > SHORTEST:
-                        late = [_spot(h, r - back) for h, r in others for back in (0, 1) if r >= back]
-                        rows += [(_key(g, p - back, size - 1), True, word, late) for back in (0, 1) if p >= back]
-            columns = list(zip(*rows)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["_k", "_asks", "_word", "_more"])
+            words = batch.column(0).to_pylist()
+            if not words:
+                continue
+            gram, owner, place = trigrams(words)
+            order = np.lexsort((place, ranks[gram], owner))
+            count = np.bincount(owner, minlength=len(words))
+            first = np.cumsum(count) - count
+            # every word has four trigrams, and a fifth unless it has six letters
+            five = order[np.minimum(first[:, None] + np.arange(5), len(order) - 1)]
+            there = np.arange(5) < count[:, None]
+            g, p, size = gram[five], place[five], count + Q - 1
+            for i in range(4):
+                others = [j for j in range(5) if j != i]
+                for asks, back in ((False, 0), (True, 0), (True, 1)):
+                    rows = np.flatnonzero((size > SHORTEST) & (p[:, i] >= back)) if asks else np.arange(len(words))
+                    h, r, live = g[rows][:, others], p[rows][:, others], there[rows][:, others]
+                    if asks:
+                        h, live, r = np.tile(h, 2), np.hstack([live, live & (r > 0)]), np.hstack([r, r - 1])
+                    keys = g[rows, i] << 40 | (p[rows, i] - back & 0xFFFFF) << 20 | size[rows] - asks & 0xFFFFF
+                    before = p[rows, : i + 1].astype(np.int32)
+                    yield pa.record_batch(
+                        [pa.array(keys), pa.array(np.full(len(rows), asks)), batch.column(0).take(pa.array(rows)), _lists(before, np.ones(before.shape, bool)), _lists(h << 40 | r, live)],
+                        names=names,
+                    )
 
     return run
 
 
-#: Lengths and places take 20 bits each in a key; longer words share keys, which costs time and loses nothing.
-def _key(gram: int, place: int, size: int) -> int:
-    return gram << 40 | (place & 0xFFFFF) << 20 | size & 0xFFFFF
-
-
-def _spot(gram: int, place: int) -> int:
-    return gram << 40 | place
+def _grams(word: str) -> list[str]:
+    return [word[p : p + Q] for p in range(len(word) - Q + 1)]
 
 
 class _Index:
-    """Members of one key by their trigrams."""
-
-    def __init__(self, members: list[str]):
-        self.members = members
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for i, word in enumerate(members):
-            for p, g in enumerate(trigrams(word).tolist()):
-                self.postings.setdefault(g, []).append((i, p))
-
-    def near(self, word: str, after: int = -1) -> Iterator[str]:
-        """Members behind the ``after``-th at one edit from ``word``."""
-        lists = []
-        for p, g in enumerate(trigrams(word).tolist()):
-            found = [i for i, at in self.postings.get(g, ()) if i > after and -1 <= p - at <= 1]
-            if found:
-                lists.append(found)
-        seen, times = -1, 0
-        for i in heapq.merge(*lists, [len(self.members)]):
+    """Members of one key, all of one length, by their trigrams and places."""
+
+    def __init__(self):
+        self.members: list[str] = []
+        self.postings: dict[tuple[str, int], list[int]] = {}
+
+    def add(self, word: str) -> None:
+        for p, g in enumerate(_grams(word)):
+            self.postings.setdefault((g, p), []).append(len(self.members))
+        self.members.append(word)
+
+    def near(self, word: str, places: list[int]) -> list[str]:
+        """The members at one edit from a word of their length or one letter longer, if the key's trigram is the first that both have.
+
+        ``places`` are those of the word's rarest trigrams up to the key's; a pair that shares one before has met under that one's key.  Of the
+        others the word and a near member share all but 3 less those passed over, so the member is in one of the shortest lists, one
+        more than may be missed.  These are merged by a heap; the long ones are only looked into for members that came up.
+        """
+        missed = 4 - len(places)
+        wanted = len(word) - Q + 1 - len(places) - missed
+        if len(self.members) <= FEW or wanted <= 0:
+            return [m for m in self.members if one_edit(word, m)]
+        backs = range(len(word) - len(self.members[0]) + 1)
+        lists = [[x for back in backs if (x := self.postings.get((g, p - back)))] for p, g in enumerate(_grams(word)) if p not in places]
+        lists.sort(key=lambda found: sum(map(len, found)))
+        short = missed + 1
+        out, seen, times = [], -1, 0
+        for i in heapq.merge(*[x for found in lists[:short] for x in found], [len(self.members)]):
             if i != seen:
-                if seen >= 0 and times >= max(len(word), len(self.members[seen])) - 2 * Q + 1 and one_edit(word, self.members[seen]):
-                    yield self.members[seen]
+                if seen >= 0 and self._enough(seen, wanted - times, lists[short:]) and one_edit(word, self.members[seen]):
+                    out.append(self.members[seen])
                 seen, times = i, 0
             times += 1
+        return out
 
+    def _enough(self, i: int, wanted: int, lists: list[list[list[int]]]) -> bool:
+        """Whether member i is in so many of the lists."""
+        for left, found in zip(range(len(lists), 0, -1), lists):
+            if wanted <= 0 or wanted > left:
+                break
+            wanted -= any((at := bisect_left(x, i)) < len(x) and x[at] == i for x in found)
+        return wanted <= 0
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, part, asks) -> near pairs.  Members of a key are held, asking words stream past."""
-    last, members, index = None, [], None
 
-    def among(index: _Index) -> Iterator[tuple[str, str]]:
-        for i, word in enumerate(index.members[:-1]):
-            for other in index.near(word, i):
-                yield word, other
+class _Key:
+    """What is known of the rows of one key so far: members first, then asking words."""
 
+    def __init__(self):
+        self.index = _Index()
+
+    def member(self, word: str, places: list[int]) -> list[tuple[str, str]]:
+        found = self.asks(word, places)
+        self.index.add(word)
+        return found
+
+    def asks(self, word: str, places: list[int]) -> list[tuple[str, str]]:
+        return [(word, other) for other in self.index.near(word, places)] if self.index.members else []
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, part, asks) -> near pairs.  Members of a key are held, asking words stream past."""
+    last, key = None, _Key()
     for batch in batches:
         out = []
-        for k, part, asks, word in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, part, asks, word, places in zip(*(c.to_pylist() for c in batch.columns)):
             if (k, part) != last:
-                if index is None and len(members) > 1:
-                    out += among(_Index(members))
-                last, members, index = (k, part), [], None
-            if not asks:
-                members.append(word)
-            elif members:
-                if index is None:
-                    index = _Index(members)
-                    out += among(index)
-                out += [(word, other) for other in index.near(word)]
-        yield pa.record_batch([pa.array([o[j] for o in out], pa.string()) for j in range(2)], names=["a", "b"])
-    if index is None and len(members) > 1:
-        out = list(among(_Index(members)))
+                last, key = (k, part), _Key()
+            out += key.asks(word, places) if asks else key.member(word, places)
         yield pa.record_batch([pa.array([o[j] for o in out], pa.string()) for j in range(2)], names=["a", "b"])
 
 
 def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """All pairs (a, b) of different words at one edit, each once in either order.  ``words``: a column word, without repeats."""
-    posted = words.select("word").mapInArrow(_post(_ranks(words)), "_k long, _asks boolean, _word string, _more array<long>")
+    posted = words.select("word").mapInArrow(_post(_ranks(words)), "_k long, _asks boolean, _word string, _places array<int>, _more array<long>")
     posted = materialise(posted, "postings")
     full = posted.where(~F.col("_asks") & (F.col("_k").bitwiseAND(0xFFFFF) != SHORTEST)).groupBy("_k").count().where(F.col("count") > crowd)
     full = materialise(full.select(F.concat(F.lit("="), F.col("_k").cast("string")).alias("_j")), "crowded")
     if full.limit(1).count():
         marked = posted.join(full, fresh(F.col("_k")) == F.col("_j"), "left")
         parts = F.when(F.col("_j").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.col("_more"))
-        keyed = marked.select("_k", F.explode(parts).alias("_part"), "_asks", "_word")
+        keyed = marked.select("_k", F.explode(parts).alias("_part"), "_asks", "_word", "_places")
     else:
-        keyed = posted.select("_k", F.lit(-1).cast("long").alias("_part"), "_asks", "_word")
+        keyed = posted.select("_k", F.lit(-1).cast("long").alias("_part"), "_asks", "_word", "_places")
     dealt = keyed.repartition("_k", "_part").sortWithinPartitions("_k", "_part", "_asks")
     found = dealt.mapInArrow(_merge, "a string, b string")
     out = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_words")
