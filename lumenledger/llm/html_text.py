@@ -1,10 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-1.  Every page becomes a tree of groups: elements, with neighbouring siblings of one tag and class merged into one repeating
-    node.  A group's path is the chain of tags and classes to it.  Trees of a host are aligned by path.  That is what simple tree
-    matching finds wherever a parent's groups differ in tag or class, as the best matching of two trees then pairs
-    equal paths; it needs no reference page and no pair of pages, so a host with a third of all pages is a sum like any other.
-2.  Constant nodes are template: groups whose text recurs with almost all contents that have text at their path (``SHARE``, and
+1.  Every page becomes a tree of elements.  An element's path is the chain of tags and classes to it.  Trees of a host are aligned as
+    simple tree matching does: an element can only match one with its path, and of siblings that share a path, those of equal
+    text match one by one, whatever varies before and after them.  As the matched pairs are found by path and text, it needs no
+    reference page and no pair of pages, so a host with a third of all pages is a sum like any other.
+2.  Constant nodes are template: elements whose text recurs with almost all contents that have text at their path (``SHARE``, and
     ``MIN_VOTES`` beside the first at least).  Pages of one content (``content_key``) have one vote together, so copies don't make
     an article a template; nodes inside an article or main element keep their text however often it recurs.  So do paths
     where nearly all text is links: the menus, whatever is in them.
@@ -37,6 +37,8 @@ REGION, CONTENTS = 0.8, 3
 BROADCAST_BYTES = 32 << 20
 
 # Element names by what they do.
+AD_NAMES = frozenset("ad ads advert adverts advertisement advertising promo promoted sponsor sponsored".split())
+COMMENT_NAMES = frozenset("comment comments disqus replies respond".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes template svg canvas audio video annotation annotation-xml".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr
@@ -48,7 +50,7 @@ CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
-MAIN = frozenset("article main h1".split())
+MAIN = frozenset("main h1".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may be a host's region.
 REGIONS = frozenset("html body main article section div center table tbody tr td form".split())
@@ -63,19 +65,21 @@ NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other: its name, and its value if it has one.
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_KNOWN = re.compile("class|id|role|hidden|href", re.I)
 _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 class Node:
     __slots__ = ("tag", "sig", "skip", "kids", "texts", "content", "hard", "soft", "size", "main", "block", "links", "href")
 
-    def __init__(self, tag: str, sig: str, skip: bool, content: bool, hard: bool = False, soft: bool = False, parent: Node | None = None):
+    def __init__(self, tag: str, sig: str, skip: bool, content: bool, hard: bool = False, soft: int = 0, parent: Node | None = None):
         self.tag, self.sig, self.skip, self.content = tag, sig, skip, content
         # never holds content; or only if it holds the page's content
         self.hard, self.soft = hard, soft
-        # signs of text in it, and whether it is or holds an article, main or h1
-        self.size, self.main = 0, tag in MAIN and not hard
+        # signs of text in it, and whether it is or holds a main or h1 (2), or only the page's largest article (1)
+        self.size, self.main = 0, 2 if tag in MAIN and not hard else 0
         self.kids: list[Node] = []
         self.texts: list[str] = []
         # the block that its text goes to, and signs of its texts that are in links
@@ -83,36 +87,56 @@ class Node:
         self.links, self.href = 0, False
 
 
+def attributes(token: str, tag: str) -> dict[str, str]:
+    """The attributes of a start tag, lower-cased; of equal names the first counts."""
+    out: dict[str, str] = {}
+    if len(token) > len(tag) + 2 and _KNOWN.search(token, len(tag) + 1):
+        for name, a, b, c in _ATTR.findall(token, len(tag) + 1, len(token) - 1):
+            out.setdefault(name.lower(), (a or b or c).lower())
+    return out
+
+
+def _named(tag: str, said: dict[str, str], flow: bool) -> tuple[bool, int]:
+    """Whether an element's names say that it never holds content, and whether they make it doubtful: 1, or 2 for reader comments.
+
+    ``flow``: it is in an article.  There headings and paragraphs are content unless their class is that of adverts or comments, and an id
+    is but an anchor.  An article isn't content if its class says that it is an advert or a comment.
+    """
+    classes, ids = said.get("class", "").split(), said.get("id", "").split()
+    if tag in ("body", "html", "main", "h1"):
+        return False, 0
+    foreign = AD_NAMES | COMMENT_NAMES
+    if tag == "article":
+        return not foreign.isdisjoint(classes), 0
+    if flow and (tag in HEADINGS or tag == "p"):
+        return False, 0 if foreign.isdisjoint(classes) else 1
+    names = classes + ids
+    if not COMMENT_NAMES.isdisjoint(names):
+        return False, 2
+    return False, int(any(n in NEVER_NAMED or not NEVER_NAMED.isdisjoint(re.split(r"[-_]+", n)) for n in names))
+
+
 def _open(token: str, tag: str, parent: Node, number: int, spared: frozenset[int]) -> Node:
     """The node of a start tag."""
-    names: list[str] = []
+    said = attributes(token, tag)
     hard = tag in NEVER or (tag == "header" or tag in STAND_IN) and not parent.content
-    soft = tag == "form"
-    if len(token) > len(tag) + 2:
-        for name, a, b, c in _ATTR.findall(token):
-            value, name = (a or b or c).lower(), name.lower()
-            if name in ("class", "id"):
-                names += value.split()
-            elif name == "role":
-                hard = hard or value in NEVER_ROLES
-            elif name == "hidden" or value == "true":
-                hard = True
-    if names and tag not in ("body", "html", "main"):
-        for n in names:
-            if n in NEVER_NAMED:
-                hard = True
-            elif tag not in MAIN and not NEVER_NAMED.isdisjoint(re.split(r"[-_]+", n)):
-                soft = True
-    soft = soft and not hard
-    skip = parent.skip or hard or soft and number not in spared
-    return Node(tag, ".".join([tag, *sorted(set(names))]), skip, parent.content or tag in ("article", "main"), hard, soft, parent)
+    hard = hard or said.get("role") in NEVER_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
+    foreign, soft = _named(tag, said, parent.content)
+    hard = hard or foreign
+    soft = 0 if hard else max(soft, int(tag == "form"))
+    skip = parent.skip or hard or soft > 0 and number not in spared
+    names = set(said.get("class", "").split()) | set(said.get("id", "").split())
+    node = Node(tag, ".".join([tag, *sorted(names)]), skip, parent.content or tag in ("article", "main") and not hard, hard, soft, parent)
+    node.href = tag == "a" and "href" in said
+    return node
 
 
 def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of a page, and its blocks of text in page order with the nodes that hold them.
 
     Parsing forgives: unclosed elements end with their parents, stray end tags are ignored.  Forms and elements with a word of
-    ``NEVER_NAMED`` in a name hold no content, but not if an article, main or h1 is in them or nearly all of the page's text.
+    ``NEVER_NAMED`` as a name or in one hold no content, but not if a main or h1, the page's largest article, or nearly all of the page's
+    text is in them; for elements named as reader comments an article doesn't count.
     """
     root, out, spared = _parse(page, frozenset())
     return _parse(page, spared)[:2] if spared else (root, out)
@@ -217,7 +241,6 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[Node, list[tuple[Node, st
         stack[-1].kids.append(node)
         stack.append(node)
         count[tag] = count.get(tag, 0) + 1
-        node.href = tag == "a" and "href" in token.lower()
         count["href"] += node.href
     flush()
     if spared or not any(node.soft for node, _ in opened):
@@ -225,11 +248,17 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[Node, list[tuple[Node, st
     for node, parent in reversed(opened):
         if not node.hard:
             parent.size += node.size
-            parent.main = parent.main or node.main
-    return root, out, frozenset(n for n, (node, _) in enumerate(opened) if node.soft and (node.main or node.size and node.size >= SHARE * root.size))
+    largest = max((node for node, _ in opened if node.tag == "article" and not node.hard), key=lambda node: node.size, default=None)
+    if largest is not None:
+        largest.main = max(largest.main, 1)
+    for node, parent in reversed(opened):
+        if not node.hard:
+            parent.main = max(parent.main, node.main)
+    spare = frozenset(n for n, (node, _) in enumerate(opened) if node.soft and (node.main >= node.soft or node.size and node.size >= SHARE * root.size))
+    return root, out, spare
 
 
-# ---------------------------------------------------------------- trees of groups and their alignment by path
+# ---------------------------------------------------------------- trees and their alignment by path and text
 
 
 def host_of(url):
@@ -248,30 +277,20 @@ def _hash(path: int, text: str) -> int:
     return int.from_bytes(raw, "little", signed=True)
 
 
-def groups(root: Node) -> Iterator[tuple[int, int, list[Node]]]:
-    """(hashed path, number of the parent group, nodes) of all groups of a page; parents come first, the root with -1."""
-    todo: list[tuple[list[Node], int, int]] = [([root], 0, -1)]
+def elements(root: Node) -> Iterator[tuple[int, int, Node]]:
+    """(hashed path, number of the parent, node) of all elements of a page; parents come first, the root with -1."""
+    todo: list[tuple[Node, int, int]] = [(root, 0, -1)]
     number = -1
     while todo:
-        group, path, parent = todo.pop()
+        node, path, parent = todo.pop()
         number += 1
-        yield path, parent, group
-        merged: list[list[Node]] = []
-        for node in group:
-            for kid in node.kids:
-                if kid.tag in INLINE and not kid.kids and not kid.texts:
-                    continue
-                if merged and merged[-1][0].sig == kid.sig:
-                    merged[-1].append(kid)
-                else:
-                    merged.append([kid])
-        todo += [(g, _step(path, g[0].sig), number) for g in merged]
+        yield path, parent, node
+        todo += [(kid, _step(path, kid.sig), number) for kid in node.kids if kid.kids or kid.texts or kid.tag not in INLINE]
 
 
-def node_hash(path: int, group: list[Node]) -> int | None:
-    """The hash of a group's path and text; None for no text."""
-    texts = [t for n in group for t in n.texts]
-    return _hash(path, "\x1f".join(texts)) if texts else None
+def node_hash(path: int, node: Node) -> int | None:
+    """The hash of an element's path and text; None for no text."""
+    return _hash(path, "\x1f".join(node.texts)) if node.texts else None
 
 
 def content_key(found: list[tuple[Node, str]]) -> bytes:
@@ -288,7 +307,7 @@ def content_key(found: list[tuple[Node, str]]) -> bytes:
     return hashlib.blake2b("\x1f".join(key).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-#: What ``_slot_rows`` notes of each group: path, parent, hash of path and text, signs of its texts and of those in links, and whether
+#: What ``_slot_rows`` notes of each element: path, parent, hash of path and text, signs of its texts and of those in links, and whether
 #: it votes, may be a region, and never holds content.
 _GROUPS = "_host string, _key binary, _paths array<bigint>, _parents array<int>, _nodes array<bigint>, _signs array<int>, _links array<int>, _votes array<boolean>, _may array<boolean>, _skips array<boolean>"
 
@@ -303,20 +322,19 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(content_key(found))
             rows: list[tuple] = []
             within: list[bool] = []  # an article is a region as a whole
-            for path, parent, group in groups(root):
-                within.append(group[0].tag == "article" or parent >= 0 and within[parent])
-                votes = any(not n.content for n in group)
-                node = node_hash(path, group) if votes else None
-                signs = sum(len(t) - t.count(" ") for n in group for t in n.texts)
-                may = group[0].tag in REGIONS and not (parent >= 0 and within[parent])
-                rows.append((path, parent, node, signs, sum(n.links for n in group), votes, may, all(n.skip for n in group)))
+            for path, parent, node in elements(root):
+                within.append(node.tag == "article" or parent >= 0 and within[parent])
+                votes = not node.content
+                signs = sum(len(t) - t.count(" ") for t in node.texts)
+                may = node.tag in REGIONS and not (parent >= 0 and within[parent])
+                rows.append((path, parent, node_hash(path, node) if votes else None, signs, node.links, votes, may, node.skip))
             for column, values in zip(columns, zip(*rows)):
                 column.append(list(values))
         yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[x.split()[0] for x in _GROUPS.split(", ")])
 
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of pages with their host's constant nodes and link paths -> varying text of each path and all below, and its depth."""
+    """Elements of pages with their host's constant nodes and link paths -> varying text of each path and all below, and its depth."""
     for batch in batches:
         out: dict[tuple[str, int, int], int] = {}
         for host, paths, parents, nodes, signs, links, votes, may, skips, constant, menus in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_host", "_paths", "_parents", "_nodes", "_signs", "_links", "_votes", "_may", "_skips", "_constant", "_menus"))):
@@ -395,18 +413,17 @@ def main_text(page: str | None, constant: list[int] | None = None, menus: list[i
     before: set[int] = set()
     if constant or menus or region is not None:
         hashes, links = set(constant or []), set(menus or [])
-        within: list[bool] = []  # of each group: whether it is in the region
-        found_groups = list(groups(root))
-        holder = next((parent for path, parent, _ in found_groups if path == region), None)
-        for path, parent, group in found_groups:
+        within: list[bool] = []  # of each element: whether it is in the region
+        tree = list(elements(root))
+        holder = next((parent for path, parent, _ in tree if path == region), None)
+        for path, parent, node in tree:
             within.append(path == region or parent >= 0 and within[parent])
-            some = [n for n in group if not n.content]
-            if some and (path in links or hashes and node_hash(path, group) in hashes):
-                gone.update(id(n) for n in some)
+            if not node.content and (path in links or hashes and node_hash(path, node) in hashes):
+                gone.add(id(node))
             if within[-1]:
-                inside.update(id(n) for n in group)
-            elif holder is not None and parent == holder and (group[0].tag in HEADINGS or group[0].tag == "p"):
-                before.update(id(n) for n in group)
+                inside.add(id(node))
+            elif holder is not None and parent == holder and (node.tag in HEADINGS or node.tag == "p"):
+                before.add(id(node))
     left = [(node, text) for node, text in found if not node.skip and id(node) not in gone]
     if any(id(node) in inside for node, _ in left):
         first = next(k for k, (node, _) in enumerate(left) if id(node) in inside)

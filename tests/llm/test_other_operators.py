@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import time
 
 import duckdb
@@ -92,7 +93,7 @@ def test_archives_round_trip(spark, tmp_path, compress):
 
 def test_an_article_narrows_a_region():
     page = "<html><body><div class='x'>teaser of the day</div><h2>before</h2><article><h1>T</h1><p>one</p></article><div class='y'>more</div></body></html>"
-    path = {group[0].sig: path for path, _, group in html_text.groups(html_text.blocks(page)[0])}
+    path = {node.sig: path for path, _, node in html_text.elements(html_text.blocks(page)[0])}
     assert html_text.main_text(page, region=path["body"]) == "T one"
     assert html_text.main_text(page, region=path["article"]) == "before T one"
     assert html_text.main_text(page.replace("article", "section"), region=path["body"]) == "teaser of the day before T one more"
@@ -142,7 +143,7 @@ def test_paths_align_as_simple_tree_matching():
 
     for _ in range(200):
         one, two = tree(3), tree(3)
-        paths = [{p for p, parent, _ in html_text.groups(html_text.blocks(page(t))[0]) if parent >= 0} for t in (one, two)]
+        paths = [{p for p, parent, _ in html_text.elements(html_text.blocks(page(t))[0]) if parent >= 0} for t in (one, two)]
         assert [len(p) for p in paths] == [size(one), size(two)]
         assert len(paths[0] & paths[1]) == len(simple_tree_matching(one, two))
 
@@ -232,17 +233,66 @@ def test_names_do_not_drop_what_holds_the_article():
     assert text("<body><div class='top-banner'>b</div><p>a text of some length</p><form>search</form></body>") == "a text of some length"
 
 
+def test_only_exact_attributes_tell():
+    text = html_text.main_text
+    article = lambda inner: f"<body><nav>Home</nav><article><h1>T</h1>{inner}<p>end</p></article><footer>f</footer></body>"
+    kept = [
+        ('<div style="overflow:hidden"><p>one</p></div>', "one"), ('<p title="hidden gems">one</p>', "one"), ('<p data-id="ad">one</p>', "one"), ('<p data-role="menu">one</p>', "one"),
+        ("<div onclick=\"this.hidden=true\">one</div>", "one"), ('<p>see <a href="/x?id=menu">the link</a> there</p>', "see the link there"), ('<p>see <a href="/hidden/x">it</a></p>', "see it"),
+        ('<h2 id="related">Related work</h2>', "Related work"), ('<p id="notice">one</p>', "one"), ('<p class="notice">one</p>', "one"), ("<p class=x id=y title='a > b' hidden-note>one</p>", "one"),
+        ('<p title=a"b data-x=hidden>one</p>', "one"), ("<p class = 'lead' >one</p>", "one"),
+    ]
+    for inner, want in kept:
+        assert text(article(inner)) == f"T {want} end", inner
+        assert text("<body>" + inner.replace("notice", "lead").replace("related", "work") + "</body>") == want, inner
+    for inner in ("<p hidden>x</p>", "<p HIDDEN=''>x</p>", "<p aria-hidden='true'>x</p>", "<p class='lead ad'>x</p>", "<div id=ad>x</div>", "<div role=menu>x</div>", "<div class='comments'><p>x</p></div>", "<h2 class='advertisement'>x</h2>"):
+        assert text(article(inner)) == "T end", inner
+    assert html_text.attributes('<p class="a" CLASS="b" id=c/d hidden>', "p") == {"class": "a", "id": "c/d", "hidden": ""}
+
+
+def test_names_of_what_holds_the_content_do_not_count():
+    text = html_text.main_text
+    long = "<p>" + "word " * 30 + "</p>"
+    said = " ".join(["word"] * 30)
+    for page in ('<article class="post notice">{}</article>', '<div class="widget"><article>{}</article></div>', '<div class="comments"><main>{}</main></div>', '<section id="related"><div class="promo"><article>{}</article></div></section>'):
+        assert text(f"<body><nav>n</nav>{page.format(long)}<div class='widget'>w</div></body>") == said, page
+    assert text(f"<body><div id='banner'><h1>Title</h1></div>{long}</body>") == f"Title {said}"
+    # what readers wrote isn't content, in articles or not
+    for comment in ('<div class="comments"><article id="c1">mine</article></div>', '<section><article class="comment">mine</article></section>', '<div id="replies"><p>mine</p></div>'):
+        assert text(f"<body><article>{long}</article>{comment}</body>") == said, comment
+        assert text(f"<body><div><h1>T</h1>{long}</div>{comment}</body>") == f"T {said}", comment
+
+
+def test_siblings_of_one_signature_are_matched_one_by_one(spark):
+    """A constant paragraph among varying ones of the same tag and no class, at any place and in any number of siblings."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    rows, want = [], []
+    for i in range(8):
+        varying = [prose(30) for _ in range(2 + i % 3)]
+        lines = ["Read this first please", *varying, "All rights are reserved by us"]
+        lines.insert(2, "Follow us everywhere")
+        rows.append((i, f"http://one.example/{i}", "<body><div><div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div></div></body>"))
+        want.append(" ".join(varying))
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in sorted(got, key=lambda r: r["page_id"])] == want
+    # as a largest matching of the trees of two pages pairs them, with elements of equal text as the leaves that match
+    leaf = lambda html: ("body", [(x, []) for x in re.findall("<p>(.*?)</p>", html)])
+    paired = [a[0] for a, _ in simple_tree_matching(leaf(rows[0][2]), leaf(rows[1][2]))[1:]]
+    assert paired == ["Read this first please", "Follow us everywhere", "All rights are reserved by us"]
+
+
 def test_copies_do_not_make_an_article_a_template(spark):
-    page = "<body><div class='strap'>Daily News</div><div class='date'>{2} May</div><div class='offer'>Buy {2}</div><h2>{0}</h2><div class='story'><p>{1}</p><p>more of it</p></div></body>"
+    page = "<body><div class='strap'>Daily News</div><div class='date'>{2} May</div><div class='offer'>Buy {2}</div><h2>{0}</h2><div class='story'><p>{1}</p><p>more of {0}</p></div></body>"
     copies = [page.format("Storm over town", "Rain fell all night.", i) for i in range(30)]
-    assert host_texts(spark, copies[:3]) == [f"Daily News {i} May Buy {i} Storm over town Rain fell all night. more of it" for i in range(3)]
+    assert host_texts(spark, copies[:3]) == [f"Daily News {i} May Buy {i} Storm over town Rain fell all night. more of Storm over town" for i in range(3)]
     others = [page.format(f"Title {i}", f"Text of page {i}.", 40 + i) for i in range(3)]
     got = host_texts(spark, copies + others)
     # stories too short for a region of their own: what varies stays
-    assert got[0] == "0 May Buy 0 Storm over town Rain fell all night. more of it" and got[30] == "40 May Buy 40 Title 0 Text of page 0. more of it"
-    long = page.replace("more of it", "and on and on it went with no end in sight, until the river rose and the bridge was closed to all")
+    assert got[0] == "0 May Buy 0 Storm over town Rain fell all night. more of Storm over town" and got[30] == "40 May Buy 40 Title 0 Text of page 0. more of Title 0"
+    long = page.replace("more of {0}", "{0}, and on and on it went with no end in sight, until the river rose and the bridge was closed to all")
     got = host_texts(spark, [long.format(f"Title {i}", f"Text of page {i}, which is longer than what lies around it by far.", 40 + i) for i in range(4)])
-    assert got[0] == "Title 0 Text of page 0, which is longer than what lies around it by far. and on and on it went with no end in sight, until the river rose and the bridge was closed to all"
+    assert got[0] == "Title 0 Text of page 0, which is longer than what lies around it by far. Title 0, and on and on it went with no end in sight, until the river rose and the bridge was closed to all"
     inside = "<body><p>strap</p><article><h1>Recipe of the day</h1><p>Take {0} eggs</p><p class='end'>Serve hot</p></article></body>"
     assert host_texts(spark, [inside.format(i) for i in range(5)]) == [f"Recipe of the day Take {i} eggs Serve hot" for i in range(5)]
 
