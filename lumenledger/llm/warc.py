@@ -30,7 +30,7 @@ MEMBER_MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Bytes of records, before compression, that an archive holds on average at most; one task reads an archive.
+#: Bytes of records, before compression, with which an archive is full; one task reads an archive.
 ARCHIVE_BYTES = 64 << 20
 
 #: Bytes given to the inflater at once, so that what it hands back unused stays small.
@@ -82,40 +82,81 @@ class _Bad(Exception):
     pass
 
 
-def _parse_plain(data: bytes, at: int) -> tuple[Record, int]:
-    """The record whose version line starts at ``at``, and where it ends."""
-    if not data.startswith(b"WARC/", at):
-        raise _Bad("no version line")
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0:
-        raise _Bad("head without end")
-    try:
-        version, *lines = data[at:head_end].decode("utf-8").split("\r\n")
-    except UnicodeDecodeError:
-        raise _Bad("head is not UTF-8") from None
-    if not re.fullmatch(r"WARC/\d+\.\d+", version):
-        raise _Bad("bad version line")
-    headers = {}
-    for line in lines:
-        name, colon, value = line.partition(":")
-        if not colon:
+_VERSION_LINE = re.compile(rb"WARC/\d+\.\d+(?=\r\n)")
+_LINE_END = b"\r\n"
+
+
+class _Plain:
+    """Plain records in some bytes.
+
+    Damaged bytes may be full of version lines.  So that they are read once and not once a version line, what was found is kept: where the
+    next head ends, the next line that is no header, and up to where a head that has failed would fail again, since all heads before an
+    end share its last lines.
+    """
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._searched, self._end = 0, -1  # the first head end behind the place searched from
+        self._known = False
+        self._bad_line = -1
+        self._failed: tuple[int, int, str] = (-1, -1, "")  # head end, last place that fails alike, reason
+
+    def _head_end(self, at: int) -> int:
+        if not (self._known and self._searched <= at and (self._end < 0 or at <= self._end)):
+            self._searched, self._end, self._known = at, self.data.find(b"\r\n\r\n", at), True
+        return self._end
+
+    def _fail(self, head_end: int, upto: int, reason: str) -> _Bad:
+        self._failed = (head_end, upto, reason)
+        return _Bad(reason)
+
+    def record(self, at: int) -> tuple[Record, int]:
+        """The record whose version line starts at ``at``, and where it ends."""
+        data = self.data
+        if not data.startswith(b"WARC/", at):
+            raise _Bad("no version line")
+        version = _VERSION_LINE.match(data, at)
+        if not version:
+            raise _Bad("bad version line")
+        head_end = self._head_end(at)
+        if head_end < 0:
+            raise _Bad("head without end")
+        if at < self._bad_line < head_end:
             raise _Bad("bad header line")
-        headers[name.strip().lower()] = value.strip()
-    said = headers.get("content-length", "")
-    if not re.fullmatch(r"\d{1,18}", said):
-        raise _Bad("bad length")
-    start = head_end + 4
-    end = start + int(said)
-    if data[end : end + 4] != b"\r\n\r\n":
-        raise _Bad("length does not hold")
-    block = data[start:end]
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha256:") and digest[7:] != hashlib.sha256(block).hexdigest():
-        raise _Bad("block digest does not agree")
-    return Record(at, headers, block), end + 4
-
-
-def _parse(data: bytes, at: int) -> tuple[Record | None, int]:
+        if self._failed[0] == head_end and at < self._failed[1]:
+            raise _Bad(self._failed[2])
+        headers: dict[str, str] = {}
+        places: dict[str, int] = {}
+        pos = version.end() + 2
+        while pos < head_end:
+            stop = data.find(_LINE_END, pos, head_end + 2)
+            try:
+                name, colon, value = data[pos:stop].decode("utf-8").partition(":")
+            except UnicodeDecodeError:
+                self._bad_line = pos
+                raise _Bad("head is not UTF-8") from None
+            if not colon:
+                self._bad_line = pos
+                raise _Bad("bad header line")
+            headers[name.strip().lower()] = value.strip()
+            places[name.strip().lower()] = pos
+            pos = stop + 2
+        said = headers.get("content-length", "")
+        upto = places.get("content-length", head_end)
+        if not re.fullmatch(r"\d{1,18}", said):
+            raise self._fail(head_end, upto, "bad length")
+        start = head_end + 4
+        end = start + int(said)
+        if data[end : end + 4] != b"\r\n\r\n":
+            raise self._fail(head_end, upto, "length does not hold")
+        block = data[start:end]
+        digest = headers.get("warc-block-digest", "")
+        if digest.startswith("sha256:") and digest[7:] != hashlib.sha256(block).hexdigest():
+            raise self._fail(head_end, min(upto, places["warc-block-digest"]), "block digest does not agree")
+        return Record(at, headers, block), end + 4
+
+
+def _parse(data: bytes, at: int, plain: _Plain) -> tuple[Record | None, int]:
     """The record at ``at``, gzip member or plain; None for an empty member."""
     if data.startswith(MEMBER_MAGIC, at):
         z = zlib.decompressobj(31)
@@ -132,12 +173,12 @@ def _parse(data: bytes, at: int) -> tuple[Record | None, int]:
         inner = b"".join(parts)
         if not inner:
             return None, end
-        record, used = _parse_plain(inner, 0)
+        record, used = _Plain(inner).record(0)
         if used != len(inner):
             raise _Bad("member holds more than a record")
         record.offset = at
         return record, end
-    return _parse_plain(data, at)
+    return plain.record(at)
 
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d")
@@ -146,10 +187,10 @@ _START = re.compile(rb"\x1f\x8b\x08|WARC/\d")
 def salvage(data: bytes) -> Salvaged:
     """All records that pass their checks, and the byte gaps between that don't."""
     out, at, bad_from, reason = Salvaged(), 0, -1, ""
-    view = data
+    view, plain = data, _Plain(data)
     while at < len(view):
         try:
-            record, end = _parse(view, at)
+            record, end = _parse(view, at, plain)
         except _Bad as e:
             if bad_from < 0:
                 bad_from, reason = at, str(e)
@@ -169,12 +210,16 @@ def salvage(data: bytes) -> Salvaged:
     return out
 
 
-def _as_sink_value(compress: bool):
-    """Record columns -> the bytes that the text sink writes."""
+def _as_sink_value(compress: bool, full: int):
+    """Record columns -> the bytes that the text sink writes, and the archive of the task that they go to.
+
+    A task starts a new archive when the records of the last hold ``full`` bytes, so only a single record can make one larger.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = held = 0
         for batch in batches:
-            out = []
+            out, archives = [], []
             for id_, url, kind, digest, refers, html in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 block = b"" if kind == "revisit" else payload
@@ -185,14 +230,18 @@ def _as_sink_value(compress: bool):
                 if kind == "revisit":
                     headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:page:{refers}>"}
                 data = record_bytes(headers, block)
+                if held and held + len(data) > full:
+                    archive, held = archive + 1, 0
+                held += len(data)
+                archives.append(archive)
                 out.append(gzip_member(data) if compress else data[:-2])
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+            yield pa.record_batch([pa.array(out, pa.binary()), pa.array(archives, pa.int32())], names=["value", "archive"])
 
     return run
 
 
-def write_archives(pages: DataFrame, path: str, compress: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write one WARC record a row of ``pages`` under ``path``.
+def write_archives(pages: DataFrame, path: str, compress: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write one WARC record a row of ``pages`` under ``path``, in archives of about ``archive_bytes`` bytes before compression.
 
     The payload is the html in UTF-8, empty for null.  Among records with equal payloads of at least 100 bytes the one
     with the smallest id is a response and the others revisit it, without a block of their own; rows that share this
@@ -212,11 +261,9 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, id_col: s
     joined = slim.join(twice, fresh(F.col("_digest")) == F.col("_j"), "left")
     again = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     records = joined.select("_id", "_url", F.when(again, "revisit").otherwise("response").alias("_kind"), "_digest", F.when(again, F.col("_first")).alias("_refers"), "_html")
-    values = records.mapInArrow(_as_sink_value(compress), "value binary").select(F.col("value").cast("string").alias("value"))
+    values = records.mapInArrow(_as_sink_value(compress, archive_bytes), "value binary, archive int").select(F.col("value").cast("string").alias("value"), "archive")
     sep = EMPTY_MEMBER.decode("latin-1") if compress else "\r\n"
-    mean = slim.agg(F.avg(byte_length(F.col("_html")) + 500)).first()[0] or 500.0
-    most = max(1, int(ARCHIVE_BYTES / mean))
-    values.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", most).text(path)
+    values.write.partitionBy("archive").option("encoding", "ISO-8859-1").option("lineSep", sep).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
