@@ -6,7 +6,7 @@ bytes move over them in steps of four; a cell keeps each filter's maximum, and a
 overlapping the next chunk).  The chunks' maxima are combined over the document by their mean and their maximum, and
 one logistic unit turns these into a probability.  Nothing but bytes goes in.
 
-Fitting takes a bounded sample: at most ``sample`` labelled rows, whole, none of more than ``sample_bytes`` bytes.  Scoring reads
+Fitting takes a bounded sample: at most ``sample`` labelled rows, whole, of ``fit_bytes`` bytes together.  Scoring reads
 every byte of every text.
 """
 
@@ -182,19 +182,34 @@ def fold(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, sample_bytes: int = 16384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
-    """Fit on at most ``sample`` rows with labels outside fold 0 and texts of at most ``sample_bytes`` bytes.
+#: Bytes of labelled texts that a fit takes at most, but for its last text.
+FIT_BYTES = 16 << 20
 
-    They are those of lowest hash among the ``2 * sample`` labelled ids of lowest hash, which are broadcast.  Labels that are null, or
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, fit_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Net:
+    """Fit on at most ``sample`` rows with labels outside fold 0, whole texts of any length.
+
+    They are those of lowest hash among the ``2 * sample`` labelled ids of lowest hash, which are broadcast; the sample is full with the row
+    at which their texts reach ``fit_bytes`` bytes.  Labels that are null, or
     of null ids, don't count; an id with several takes their rounded mean.  Rows of one id come in the order of their texts' hashes,
-    equal ones once, so the sample is the same in every run.  The driver gets at most ``sample * sample_bytes`` bytes.
+    equal ones once, so the sample is the same in every run.  The driver gets these texts.
     """
     known = labels.select(F.col(id_col).cast("long").alias("_i"), F.col(label_col).cast("double").alias("_y")).dropna()
     known = known.where(fold(F.col("_i")) != 0).groupBy("_i").agg(F.round(F.avg("_y")).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_i"), "_i").limit(2 * sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text")).where(F.octet_length("_text") <= sample_bytes)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text"))
     joined = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_i")).select("_id", "_text", "_y")
-    lowest = joined.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_text").limit(sample).distinct().collect()
+    # sizes first, so that no more texts are sorted than are taken
+    order = [F.xxhash64("_id").alias("a"), F.col("_id"), F.xxhash64("_text").alias("b")]
+    sizes = joined.select(*order, F.octet_length("_text").alias("n")).distinct().orderBy("a", "_id", "b").limit(sample).collect()
+    held, taken = 0, []
+    for r in sizes:
+        if held >= fit_bytes:
+            break
+        held += r["n"]
+        taken.append((r["_id"], r["b"]))
+    names = docs.sparkSession.createDataFrame(taken, "_want long, _hash long")
+    lowest = joined.join(F.broadcast(names), (F.col("_id") == F.col("_want")) & (F.xxhash64("_text") == F.col("_hash"))).select("_id", "_text", "_y").distinct().collect()
     rows = sorted((zlib.crc32(str(r[0]).encode()), r[0], bytes(r[1]), r[2]) for r in lowest)
     return fit([r[2] for r in rows], [r[3] for r in rows])
 
