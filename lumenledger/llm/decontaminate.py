@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenledger.llm.common import batches_of, bound_batches, bytes_of, materialise, mix64
+from lumenledger.llm.common import batches_of, bound_batches, bytes_of, fresh_long, materialise, mix64, release, utf8
 from lumenledger.llm.shingles import shingles, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -130,11 +130,11 @@ class Sized:
 
 
 class Index:
-    """All items of a benchmark slice."""
+    """All items of a benchmark slice, lower-cased."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.ids = [i for i, _ in items]
-        raw = [t.lower().encode("utf-8", "surrogatepass") for _, t in items]
+        raw = [t.encode("utf-8", "surrogatepass") for _, t in items]
         at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         _, _, hashes, first = words(np.frombuffer(b"".join(raw), np.uint8), at, SEPARATORS)
         self.counts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -269,6 +269,8 @@ LEAKS = "array<struct<item_id:bigint,similarity:double,start:bigint,n_words:bigi
 def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
     """The benchmark in slices of bounded size, each collected when its turn comes."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("t != ''").distinct()
+    # lower-cased by Spark, as documents are
+    items = items.select("i", F.lower("t").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // SLICE_BYTES)
     for s in range(n):
@@ -295,14 +297,43 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", text_
     Null and empty texts hold nothing.  Equal items are all reported; an item with a null id is reported with a null id.  A
     text shorter than an item is one window.  With an empty benchmark the arrays are empty.
 
-    Slices of the benchmark are looked for one after another, SLICES_A_PASS of them in one pass over the texts.
+    SLICES_A_PASS slices of the benchmark are looked for in one pass over the texts.  Of a larger benchmark each pass keeps the leaks of the
+    texts that have any, by a key of the text, and they meet the rows in one join at the end; texts are never written.
     """
     bound_batches(docs.sparkSession)
-    out = docs.withColumn(name, F.expr(f"cast(array() as {LEAKS})"))
+    none = F.expr(f"cast(array() as {LEAKS})")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def find(index: Index):
+        # not deterministic, or the optimiser computes it once more for a filter on its result
+        return F.pandas_udf(_finder(docs.sparkSession.sparkContext.broadcast(index)), LEAKS).asNondeterministic()(F.lower(text))
+
+    passes: list[list[Index]] = []
+    written = None
     for n, index in enumerate(_slices(benchmark, item_col, item_text_col)):
         if n and n % SLICES_A_PASS == 0:
-            out = materialise(out, "leaks")
-        # not deterministic, or the optimiser computes it once more for a filter on its result
-        find = F.pandas_udf(_finder(docs.sparkSession.sparkContext.broadcast(index)), LEAKS).asNondeterministic()
-        out = out.withColumn(name, F.concat(F.col(name), find(F.lower(F.coalesce(F.col(text_col), F.lit(""))))))
+            written = _keyed_leaks(docs, text, [find(x) for x in passes.pop()], n, written)
+        if n % SLICES_A_PASS == 0:
+            passes.append([])
+        passes[-1].append(index)
+    last = [find(x) for x in passes.pop()] if passes else []
+    if written is None:
+        return docs.withColumn(name, F.concat(none, *last))
+    written = _keyed_leaks(docs, text, last, n + 1, written)
+    leaks = written.groupBy("_a", "_b").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_leaks"))), lambda x: x["_leaks"])).alias("_all"))
+    leaks = materialise(leaks.select(fresh_long(F.col("_a")).alias("_i"), F.col("_b").alias("_j"), "_all"), "leaks")
+    release(written)
+    box = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(box, fresh_long(F.xxhash64(text)).alias("_a"), F.crc32(utf8(text)).alias("_b"))
+    found = keyed.join(leaks, (F.col("_a") == F.col("_i")) & (F.col("_b") == F.col("_j")), "left").select("_row", F.coalesce("_all", none).alias("_all"))
+    return found.select("_row.*", F.col("_all").alias(name))
+
+
+def _keyed_leaks(docs: DataFrame, text, finds: list, number: int, before: DataFrame | None) -> DataFrame:
+    """Key of a text, number of the pass, and what it found, beside what those before did; equal texts are one row."""
+    found = docs.select(F.xxhash64(text).alias("_a"), F.crc32(utf8(text)).alias("_b"), F.concat(*finds).alias("_leaks")).where(F.size("_leaks") > 0)
+    rows = found.dropDuplicates(["_a", "_b"]).withColumn("_n", F.lit(number))
+    out = materialise(rows if before is None else rows.unionByName(before), "leaks")
+    if before is not None:
+        release(before)
     return out
