@@ -62,7 +62,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20, id_col: st
         (byte_length(F.col(text_col)) + 1).alias("size"),
         F.crc32(utf8(F.col(text_col))).alias("text_crc32"),
     )
-    numbered, n = number_rows(slim, "_id", "text_crc32", "size")
+    # the last key tells equal rows apart, so that many of them spread over partitions; it is the same in every scan
+    numbered, n = number_rows(slim.withColumn("_tie", F.monotonically_increasing_id()), "_id", "text_crc32", "size", "_tie")
 
     @F.pandas_udf("long")
     def permuted(numbers: pd.Series) -> pd.Series:
