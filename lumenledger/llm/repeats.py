@@ -150,16 +150,17 @@ def _stretches(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[n
 
 
 def _emit_segments(length: int):
+    """Rows (d1, d2, text, weight) -> segments; a repeated row is one of weight two."""
     names = ["_k", "_g", "_d1", "_d2", "_p", "_w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 2):
-            d1, d2 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            d1, d2, weight = (np.asarray(batch.column(j)) for j in (0, 1, 3))
             for raw, at, begin in _stretches(*bytes_of(batch.column(2)), length):
                 s = segments(raw, at, length)
                 place = (s["start"].astype(np.int64) + begin) << 20 | s["strings"].astype(np.int64) << 1 | s["twice"].astype(np.int64)
                 text = s["text"].astype(np.int64)
-                yield pa.record_batch([pa.array(x) for x in (s["key"].astype(np.int64), s["digest"].astype(np.int64), d1[text], d2[text], place, np.ones(len(text), np.int32))], names=names)
+                yield pa.record_batch([pa.array(x) for x in (s["key"].astype(np.int64), s["digest"].astype(np.int64), d1[text], d2[text], place, weight[text])], names=names)
 
     return run
 
@@ -271,11 +272,24 @@ def _sure_spans(sure: DataFrame, length: int) -> DataFrame:
     return sure.select("_d1", "_d2", start.alias("_from"), (start + F.shiftright("_p", 1).bitwiseAND(0x7FFFF) + (length - 1)).alias("_to"))
 
 
+def _once(slim: DataFrame) -> DataFrame:
+    """Each content once, with weight _w: 2 if rows share it.  Only rows that repeat are moved, one a task and content."""
+    again = slim.groupBy("_d1", "_d2").count().where("count > 1").select(fresh_long(F.col("_d1")).alias("_i"), fresh_long(F.col("_d2")).alias("_j"))
+    again = materialise(again, "repeated")
+    weighed = slim.withColumn("_w", F.lit(1))
+    if not again.limit(1).count():
+        return weighed
+    on = (fresh_long(F.col("_d1")) == F.col("_i")) & (fresh_long(F.col("_d2")) == F.col("_j"))
+    several = slim.join(again, on, "left_semi").dropDuplicates(["_d1", "_d2"]).withColumn("_w", F.lit(2))
+    return weighed.join(again, on, "left_anti").unionByName(materialise(several, "once"))
+
+
 def repeated_spans(slim: DataFrame, length: int = 200, heavy: int = HEAVY) -> DataFrame:
     """Spans (_d1, _d2, _from, _to) of repeated strings, not merged; ``slim``: _d1, _d2, _text (bytes).
 
-    (_d1, _d2) names a row by its content; rows that share it are equal and have equal spans.
+    (_d1, _d2) names a row by its content; rows that share it are equal, have equal spans, and are one row of weight two from here on.
     """
+    slim = _once(slim)
     rows = materialise(slim.mapInArrow(_emit_segments(length), "_k long, _g long, _d1 long, _d2 long, _p long, _w int"), "segments")
     near = materialise(_repeated_keys(rows), "near")
     discard(rows)
