@@ -8,7 +8,7 @@ the Jaccard similarity with concentration bounds as for independent MinHash.
 
 Linking.
 1.  Each document becomes (id, set size, class, band keys); the class is a 128-bit digest of its set, so copies of any number
-    are one row from here on, the row of their smallest id.
+    are one numbered node from here on, with or without ids.
 2.  Classes that share a band key are candidates.  Buckets aren't expanded into pairs: each class points to the smallest of
     its bucket, and the components of these pointers are the candidate groups.
 3.  A group is dealt into blocks of about ``BLOCK`` bytes of text.  In a block all sets are compared exactly, by counting along an
@@ -79,7 +79,7 @@ def sets_of(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def _sketch_rows(k: int):
-    names = ["_id", "_key", "_n", "_class", "_bands"]
+    names = ["_id", "_hash", "_key", "_n", "_class", "_bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1):
@@ -92,7 +92,7 @@ def _sketch_rows(k: int):
                     continue
                 classes.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(sketch(items)).tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.binary())], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.binary())], names=names)
 
     return run
 
@@ -251,13 +251,33 @@ def _join_blocks(many: DataFrame, edges: DataFrame, texts: DataFrame, k: int, pe
     return more.unionByName(last)
 
 
-def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links from ids with several texts to the stand-ins of all of them."""
-    several = full.groupBy("_id").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).where("_id is not null and _lo != _hi")
-    rows = full.select("_id", "_class").join(several.select(F.col("_id").alias("_want")), F.col("_id") == F.col("_want"), "left_semi")
+def _same_id(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of an id that has several: each to the smallest of them."""
+    several = entries.where("_id is not null").groupBy("_id").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).where("_lo != _hi")
+    rows = entries.select("_id", "_class").join(several.select(F.col("_id").alias("_want")), F.col("_id") == F.col("_want"), "left_semi").distinct()
     named = classes.select(fresh(F.hex("_class")).alias("_j"), "_node")
-    both = rows.join(named, fresh(F.hex("_class")) == F.col("_j")).where("_node != _id")
-    return both.select(F.least("_id", "_node").alias("a"), F.greatest("_id", "_node").alias("b"))
+    rows = rows.join(named, fresh(F.hex("_class")) == F.col("_j")).select("_id", "_node")
+    hubs = rows.groupBy(fresh_long(F.col("_id")).alias("_k")).agg(F.min("_node").alias("_hub"))
+    return rows.join(hubs, fresh_long(F.col("_id")) == F.col("_k")).where("_node != _hub").select(F.col("_hub").alias("a"), F.col("_node").alias("b"))
+
+
+#: Stands for a null id where rows are found by id and hash of their text.
+_NO_ID = -(2**63)
+
+
+def _texts_of(groups: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFrame:
+    """The text of each node of ``groups`` (_node), one row a node: that of the row which stands for its class."""
+    want = groups.select(fresh_long(F.col("_node")).alias("_l")).join(classes, fresh_long(F.col("_node")) == F.col("_l"))
+    want = materialise(want.select("_node", F.coalesce("_rep._id", F.lit(_NO_ID)).alias("_i"), F.col("_rep._hash").alias("_h"), F.col("_rep._m").alias("_m")), "wanted")
+    on = (F.coalesce("_id", F.lit(_NO_ID)) == F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    texts = slim.join(want.where("_m = 1"), on).select("_node", "_text")
+    again = want.where("_m > 1")
+    if again.limit(1).count():
+        # repeated rows: one a task, then one in all
+        texts = texts.unionByName(slim.join(again, on).select("_node", "_text").dropDuplicates(["_node"]))
+    texts = materialise(texts.select("_node", "_text", F.octet_length("_text").alias("_bytes")), "texts")
+    release(want)
+    return texts
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
@@ -267,20 +287,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     with ``with_key`` the ``row_key`` of the row as _key.
 
     Null, empty and blank texts have empty sets and link with nothing.  Rows that share an id are one document: they have the
-    same component and are kept alike.  Rows with a null id take the component of their equals and aren't kept;
-    without equals that have ids, their component is null and they are kept.  Empty tables give empty results.
+    same component and are kept alike.  Rows with a null id link like any other and aren't kept beside an id; in a component without any id
+    the component is null and one text of it is kept, with the rows that repeat it.  Empty tables give empty results.
     """
     bound_batches(docs.sparkSession)
     name = row_key(F.col(id_col), F.col(text_col)) if with_key else F.lit(None).cast("string")
-    slim = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text"), name.alias("_key"))
-    rows = materialise(slim.mapInArrow(_sketch_rows(k), "_id long, _key string, _n long, _class binary, _bands binary"), "sketches")
+    slim = docs.select(F.col(id_col).cast("long").alias("_id"), utf8(F.col(text_col)).alias("_text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"), name.alias("_key"))
+    rows = materialise(slim.mapInArrow(_sketch_rows(k), "_id long, _hash long, _key string, _n long, _class binary, _bands binary"), "sketches")
     full = rows.where("_class is not null")
-    classes = materialise(full.groupBy("_class").agg(F.min("_id").alias("_node")), "classes")
+    entries = materialise(full.groupBy("_class", "_id", "_hash").agg(F.count("*").alias("_m")), "entries")
+    # a class is a node from here on, numbered as it is written
+    classes = entries.groupBy("_class").agg(F.min("_id").alias("_least"), F.min(F.struct("_id", "_hash", "_m")).alias("_rep"))
+    classes = materialise(classes.withColumn("_node", F.monotonically_increasing_id()), "classes")
 
-    # of each class, the row of its smallest id stands for it
     key = fresh(F.hex("_class"))
-    rep = classes.where("_node is not null").select(key.alias("_j"), "_node")
-    stand = full.join(rep, (key == F.col("_j")) & (F.col("_id") == F.col("_node"))).select("_node", "_bands")
+    one = full.groupBy("_class").agg(F.first("_bands").alias("_bands"))
+    stand = one.join(classes.select(key.alias("_j"), "_node"), key == F.col("_j")).select("_node", "_bands")
     bands = materialise(stand.mapInArrow(_explode_bands, "_k long, _node long"), "bands")
     least = bands.groupBy("_k").agg(F.min("_node").alias("_c"), F.max("_node").alias("_top")).where("_c != _top")
     least = least.select(fresh_long(F.col("_k")).alias("_j"), "_c")
@@ -289,31 +311,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     release(bands)
     groups = found.select(F.col("root").alias("_q"), F.col("node").alias("_node"))
 
-    # rows that share a stand-in's id but not its text come along: they are the same document
-    want = groups.select(fresh_long(F.col("_node")).alias("_want"))
-    texts = slim.join(want, fresh_long(F.col("_id")) == F.col("_want"), "left_semi")
-    texts = materialise(texts.select(F.col("_id").alias("_node"), "_text", F.octet_length("_text").alias("_bytes")), "texts")
-    weights = texts.groupBy(F.col("_node").alias("_n")).agg(F.sum("_bytes").alias("_w"))
-    members = groups.join(weights, fresh_long(F.col("_node")) == fresh_long(F.col("_n"))).select("_q", "_node", "_w")
+    texts = _texts_of(groups, classes, slim)
+    weights = texts.select(fresh_long(F.col("_node")).alias("_n"), F.col("_bytes").alias("_w"))
+    members = groups.join(weights, fresh_long(F.col("_node")) == F.col("_n")).select("_q", "_node", "_w")
     members = materialise(_dealt(members, 1), "members")
     edges = _compared(members, texts.drop("_bytes"), k, percent)
     many = members.where("_m > 1")
     links = edges
     if many.limit(1).count():
         links = links.unionByName(_join_blocks(many, edges, texts.drop("_bytes"), k, percent))
-    links = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_same_id(full, classes))
+    links = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_same_id(entries, classes))
     labels = components(links)
     release(found, members, texts, edges)
 
-    root = labels.select(fresh(F.col("node")).alias("_l"), F.col("root").alias("_root"))
-    named = classes.join(root, fresh(F.col("_node")) == F.col("_l"), "left").select("_class", F.coalesce("_root", "_node").alias("_component"))
-    named = named.select(key.alias("_j"), "_component")
-    out = rows.select("_id", "_key", "_n", "_class").join(named, key == F.col("_j"), "left")
+    root = labels.select(fresh_long(F.col("node")).alias("_l"), F.col("root").alias("_root"))
+    named = classes.join(root, fresh_long(F.col("_node")) == F.col("_l"), "left").select("_class", "_node", "_least", "_rep", F.coalesce("_root", "_node").alias("_root"))
+    named = materialise(named, "named")
+    least = named.groupBy("_root").agg(F.min("_least").alias("_component")).select(fresh_long(F.col("_root")).alias("_r"), "_component")
+    # where there is no id, the text that stands for the root is the one to keep
+    alone = F.when(F.col("_component").isNull() & (F.col("_node") == F.col("_root")), F.col("_rep._hash"))
+    named = named.join(least, fresh_long(F.col("_root")) == F.col("_r")).select(key.alias("_j"), "_component", alone.alias("_alone"))
+    out = rows.select("_id", "_hash", "_key", "_n", "_class").join(named, key == F.col("_j"), "left")
     component = F.when(F.col("_class").isNull(), F.col("_id")).otherwise(F.col("_component"))
-    return out.select(
-        F.col("_id").alias(id_col),
-        F.col("_n").alias("n_shingles"),
-        component.alias("component_id"),
-        (component.isNull() | component.eqNullSafe(F.col("_id"))).alias("kept"),
-        *(["_key"] if with_key else []),
-    )
+    kept = F.when(F.col("_class").isNull(), True).when(F.col("_component").isNull(), F.col("_alone").eqNullSafe(F.col("_hash"))).otherwise(F.col("_id").eqNullSafe(F.col("_component")))
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *(["_key"] if with_key else []))

@@ -487,3 +487,55 @@ def test_very_long_texts(spark):
     assert leaks == {1: [], 2: [(9, 1.0)], 3: [], 4: [], 5: [], 6: [], 7: []}
     packed = packing.pack_documents(df.where("doc_id in (1, 5)")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
     assert all(r["pieces"] == -(-r["n"] // 2048) for r in packed)
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """20,000 rows of one id and text, and as many of null id: one text each is moved, compared and cut."""
+    monkeypatch.setattr(minhash, "release", lambda *frames: None)
+    monkeypatch.setattr(repeats, "discard", lambda frame: None)
+    kept = {}
+    for module in (minhash, repeats):
+        plain = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name="step", plain=plain: kept.setdefault(name, plain(df, name)))
+    text = " ".join(f"w{i % 97}x{i}" for i in range(120))
+    other = text.replace("w5x5 ", "w5y5 ")
+    hot = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = hot.unionByName(spark.createDataFrame([(9, other), (3, "nothing like it at all"), (None, other + " more")], "doc_id long, text string"))
+    got = {(r["doc_id"], r["component_id"], r["kept"]): r["n"] for r in minhash.near_duplicates(docs, k=2).groupBy("doc_id", "component_id", "kept").agg(F.count("*").alias("n")).collect()}
+    assert got == {(7, 7, True): 20_000, (None, 7, False): 20_001, (9, 7, False): 1, (3, 3, True): 1}
+    assert kept["texts"].count() == kept["texts"].select("_node").distinct().count() == 3
+    out = repeats.remove_repeats(docs)
+    assert {(r["doc_id"], r["n_removed"], r["n"]) for r in out.groupBy("doc_id", "n_removed").agg(F.count("*").alias("n")).collect()} >= {(7, len(text), 20_000), (None, len(text), 20_001), (3, 0, 1)}
+    assert kept["pieces"].count() == kept["pieces"].dropDuplicates(["_k", "_d1", "_d2", "_s"]).count() < 100
+    assert kept["segments"].count() < 200
+
+
+def test_null_ids_are_linked(spark):
+    rng = np.random.default_rng(8)
+    base = [f"t{rng.integers(10**6)}" for _ in range(200)]
+    near = lambda i: " ".join([*base[:i], f"edit{i}", *base[i + 1 :]])
+    lone = [f"u{rng.integers(10**6)}" for _ in range(100)]
+    rows = [(5, near(3)), (None, near(9)), (None, near(30)), (None, " ".join(lone)), (None, " ".join(lone[:50] + ["x"] + lone[50:])), (None, " ".join(lone)), (8, "far away"), (8, near(77))]
+    got = collections.defaultdict(list)
+    for r in minhash.near_duplicates(frame(spark, rows), k=2).collect():
+        got[r["doc_id"], r["n_shingles"]].append((r["component_id"], r["kept"]))
+    assert got[5, 199] == [(5, True)] and got[None, 199] == [(5, False)] * 2 and got[8, 1] == got[8, 199] == [(5, False)]
+    # no id in the component: one text is kept, with its equals
+    alone = got[None, 99] + got[None, 100]
+    assert {c for c, _ in alone} == {None} and sorted(k for _, k in alone) in ([False, True, True], [False, False, True])
+
+
+@pytest.mark.parametrize("a_pass", [1, 2])
+def test_leaks_of_a_benchmark_of_many_passes(spark, a_pass, monkeypatch):
+    """Beyond one pass leaks meet the rows by their texts; rows, repeated ones and columns with clashing names stay as they are."""
+    items = [(i, f"question {i} asks what the {i * 37} of {i * 11} things in the box of number {i} may be called") for i in range(24)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "So " + items[3][1] + " and " + items[17][1].upper(), "a"), (1, "So " + items[3][1] + " and " + items[17][1].upper(), "b"), (2, None, "c"), (3, "", "d"), (None, items[5][1], "e"), (4, "clean " * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _a string")
+    see = lambda df: sorted(repr((r["doc_id"], r["text"], r["_a"], sorted(tuple(x) for x in r["leaks"]))) for r in df.collect())
+    whole = see(decontaminate.with_leaks(docs, bench))
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 300)
+    monkeypatch.setattr(decontaminate, "SLICES_A_PASS", a_pass)
+    many = decontaminate.with_leaks(docs, bench)
+    assert many.columns == [*docs.columns, "leaks"] and see(many) == whole
+    assert sum("[(3, " in x and "(17, " in x for x in whole) == 2 and sum("[(5, " in x for x in whole) == 1
