@@ -37,17 +37,9 @@ BASE = """case when original_filename like '_%.%' then
   left(original_filename, length(original_filename) - strpos(reverse(original_filename), '.')) else original_filename end"""
 ONE = "(select embedding::double[] from embeddings where vec_id = 3)"
 E = "embedding::double[]"
-#: Halves of the stand-in hash.
-HASHES = """h as (select doc_id as id, ('0x' || substr(md5((doc_id // 3)::varchar), 1, 8))::bigint as hi,
-  xor(('0x' || substr(md5((doc_id // 3)::varchar), 9, 8))::bigint, doc_id % 3) as lo from documents),
- r as (select min(id) as id, hi, lo from h group by hi, lo)"""
 APART = "(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::int"
 
 
-def _pairs(most: int) -> str:
-    return f"with {HASHES} select a.id as a_id, b.id as b_id, {APART} as distance from r a join r b on a.id < b.id and {APART} <= {most}"
-
-
 #: Two sums over all components of v, the second weighted by place.
 DIGEST = f"{six('list_sum(v)')} as total, floor(list_sum(list_transform(v, lambda x, i: x * i)) * 1e4 + 0.5e0) / 1e4 as placed"
 
@@ -63,12 +55,12 @@ SUMS = f"{six('sum(x)')} as total, floor(sum(x * (k + 1)) * 1e4 + 0.5e0) / 1e4 a
 NEAR = "bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint))"
 
 
-def hashed(source: str, name: str, side: int = 8) -> str:
+def hashed(source: str, name: str, side: int = 8, crops: bool = True) -> str:
     """Tables that end in ``name`` (id, place, hash_kind, phash) for images of ``side`` x ``side`` (id, k, p): two products with whole cosine weights, and the median."""
     from lumenledger.functions.perceptual import CROPS, FULL, basis
 
     cut = int(side * 0.75)
-    kinds = [(FULL, 0, 0, 0, side)] + [(c, i + 1, int(side * t), int(side * left), cut) for i, (c, (t, left, _, _)) in enumerate(CROPS.items())]
+    kinds = [(FULL, 0, 0, 0, side)] + [(c, i + 1, int(side * t), int(side * left), cut) for i, (c, (t, left, _, _)) in enumerate(CROPS.items()) if crops]
     kind_rows = ", ".join(f"('{c}', {i}, {t}, {left}, {n})" for c, i, t, left, n in kinds)
     weights = ", ".join(f"({n}, {u}, {i}, {int(w)})" for n in (cut, side) for u, row in enumerate(basis(n)) for i, w in enumerate(row))
     return f"""{name}_k(hash_kind, place, t, l, n) as (values {kind_rows}), {name}_w(n, u, i, w) as (values {weights}), {name}_1 as (
@@ -87,6 +79,18 @@ def hashed(source: str, name: str, side: int = 8) -> str:
     )"""
 
 
+#: Four images of every vector (plain, brighter, of less contrast, and a copy), the halves of their hashes, and a row for each hash.
+HASHES = f"""edit as (
+    select vec_id * 4 + e as id, k, least(greatest(floor((case e when 1 then c + {12 / 255!r}::double when 2 then c * 0.8e0 else c end + 0.5e0) * 255e0), 0), 255)::bigint as p
+    from (select vec_id, e, k, embedding[k + 1]::double as c from (select vec_id, embedding, unnest(range(64)) as k from embeddings where len(embedding) = 64), (values (0), (1), (2), (3)) v(e))
+  ), {hashed("edit", "whole", crops=False)}, h as (select id, ('0x' || phash[1:8])::bigint as hi, ('0x' || phash[9:16])::bigint as lo from whole),
+  r as (select min(id) as id, hi, lo from h group by hi, lo)"""
+
+
+def _pairs(most: int) -> str:
+    return f"with {HASHES} select a.id as a_id, b.id as b_id, {APART} as distance from r a join r b on a.id < b.id and {APART} <= {most}"
+
+
 def similar(pair: str, key: str) -> str:
     """A table sim (key, ssim) over pairs of planes (key, k, x, y) of 8 x 8: windows of 7 x 7."""
     return f"""win as (select i, j from (values (0), (1)) s(i), (values (0), (1)) t(j)), mom as (
@@ -236,7 +240,7 @@ ORACLES: dict[str, str] = {
     "token_expiry": f"{CTE} select id, created_at + interval 90 minute as expires_at from images",
     "uuid_guard": f"""{CTE} select id, case when id % 4 <> 2 then substr(md5(id::varchar), 1, 8) || '-' || substr(md5(id::varchar), 9, 4) || '-'
         || substr(md5(id::varchar), 13, 4) || '-' || substr(md5(id::varchar), 17, 4) || '-' || substr(md5(id::varchar), 21, 12) end as uuid from users""",
-    "hamming_pairs": _pairs(1),
+    "hamming_pairs": _pairs(2),
     "hamming_banded": _pairs(4),
     "hamming_classes": f"with {HASHES} select h.id, r.id as class_id from h join r using (hi, lo)",
     "image_phash": f"with {PLANES}, {hashed('px', 'k0')} select id, place, hash_kind, phash from k0",

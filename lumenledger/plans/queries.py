@@ -468,10 +468,13 @@ def job_outcomes(spark, sf_dir):
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two 32-bit halves of a stand-in hash; three documents in a row differ in one or two bits."""
-    h = F.md5(F.floor(F.col("doc_id") / 3).cast("long").cast("string"))
-    hi, lo = hashmatch.halves(h)
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hi.alias("hi"), lo.bitwiseXOR(F.col("doc_id") % 3).alias("lo"))
+    """Hashes of four images of every vector, in two halves: plain, brighter, of less contrast, and a copy."""
+    v = vectors.doubles(F.col("embedding"))
+    edits = F.array(v, F.transform(v, lambda x: x + F.lit(12 / 255)), F.transform(v, lambda x: x * F.lit(0.8)), v)
+    shown = _vectors(spark, sf_dir).where(F.size("embedding") == 64).select("vec_id", F.posexplode(edits).alias("e", "embedding"))
+    images = perceptual.plane_images(shown.select((F.col("vec_id") * 4 + F.col("e")).alias("vec_id"), "embedding"))
+    hi, lo = hashmatch.halves(F.col("phash"))
+    return perceptual.image_hashes(images, "id", {}).select("id", hi.alias("hi"), lo.alias("lo"))
 
 
 @query
@@ -519,7 +522,7 @@ def hash_candidates(spark, sf_dir):
 
 @query
 def hamming_pairs(spark, sf_dir):
-    return hashmatch.near_pairs(_hashes(spark, sf_dir), 1)
+    return hashmatch.near_pairs(_hashes(spark, sf_dir), 2)
 
 
 @query
