@@ -14,9 +14,10 @@ Linking.
 3.  A group is dealt into blocks of about ``BLOCK`` bytes of text.  In a block all sets are compared exactly, by counting along an
     index from shingle to texts, and the texts come out with the smallest of their component in the block.
 4.  Groups of several blocks go on: a few texts of each component found so far are dealt and compared anew, so that what
-    belongs together joins across blocks.  Then every text outside its group's largest component is compared with all
-    texts of other components of the group, block by block.  So every pair of a group is linked, known to be
-    linked through others, or known to be below the threshold.
+    belongs together joins across blocks.  Then their texts go back to their buckets.  A bucket of one component is done; in the others
+    every text outside the bucket's largest component is compared with all texts of other components, block by block.  So every
+    pair that shares a band key is linked, known to be linked through others, or known to be below the threshold, and a
+    group that single hits have chained together costs what its buckets cost.
 
 A pair at similarity 0.8 shares no band key with probability (1 - 0.8**5)**32 = 3e-6; all that follows is exact.
 """
@@ -225,21 +226,26 @@ def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, fresh_long(F.col("_node")) == F.col("_l"), "left").withColumn("_root", F.coalesce("_root", "_node")).drop("_l")
 
 
-def _join_blocks(many: DataFrame, edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links across the blocks of groups that have several; ``many``: _q, _node, _w, _b, _m."""
+def _join_blocks(many: DataFrame, edges: DataFrame, texts: DataFrame, bands: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across the blocks of groups that have several; ``many``: _q, _node, _w; ``bands``: _k, _node."""
     few = Window.partitionBy("_root").orderBy(F.xxhash64("_node"))
     marked = materialise(_label(many, edges), "marked")
     stand_ins = marked.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= STAND_INS).select("_q", "_node", "_w")
     more = _compared(materialise(_dealt(stand_ins, 2), "stand_ins"), texts, k, percent)
     labels = components(edges.unionByName(more).select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", "root")
 
-    marked = materialise(_label(many, labels), "marked")
-    sizes = marked.groupBy("_q", "_root").agg(F.sum("_w").alias("_n"))
+    # from here on by bucket: only texts that share a band key can be near, and most buckets are of one component by now
+    named = _label(marked.select("_node", "_w"), labels).select(fresh_long(F.col("_node")).alias("_l"), "_w", "_root")
+    held = bands.join(named, fresh_long(F.col("_node")) == F.col("_l")).select(F.col("_k").alias("_q"), "_node", "_w", "_root")
+    held = materialise(held, "buckets")
+    mixed = held.groupBy("_q").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo != _hi").select(fresh_long(F.col("_q")).alias("_j"))
+    held = materialise(held.join(mixed, fresh_long(F.col("_q")) == F.col("_j"), "left_semi"), "mixed")
+    sizes = held.groupBy("_q", "_root").agg(F.sum("_w").alias("_n"))
     largest = sizes.groupBy("_q").agg(F.max(F.struct("_n", "_root"))["_root"].alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"))
-    largest = largest.where("_all > _most").select(
-        fresh_long(F.col("_q")).alias("_j"), "_main", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("long").alias("_s")
+    largest = largest.select(
+        fresh_long(F.col("_q")).alias("_i"), "_main", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("long").alias("_s")
     )
-    open_rows = materialise(marked.join(largest, fresh_long(F.col("_q")) == F.col("_j")).drop("_j"), "open")
+    open_rows = materialise(_dealt(held, 4).join(largest, fresh_long(F.col("_q")) == F.col("_i")).drop("_i"), "open")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     members = open_rows.select("_q", "_b", every(F.col("_s")).alias("_sb"), F.lit(False).alias("_stray"), "_node", "_root")
     strays = open_rows.where("_root != _main").withColumn("_sb", F.pmod(F.xxhash64(F.lit(3), "_node"), F.col("_s")))
@@ -248,6 +254,7 @@ def _join_blocks(many: DataFrame, edges: DataFrame, texts: DataFrame, k: int, pe
     shown = cells.withColumnRenamed("_node", "_node_").join(texts, fresh_long(F.col("_node_")) == fresh_long(F.col("_node")))
     shown = shown.select("_q", "_b", "_sb", "_stray", "_node", "_root", "_text").repartition("_q", "_b", "_sb").sortWithinPartitions("_q", "_b", "_sb")
     last = materialise(shown.mapInArrow(_across(k, percent), "node long, root long"), "across")
+    release(marked, held, open_rows)
     return more.unionByName(last)
 
 
@@ -308,7 +315,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least = least.select(fresh_long(F.col("_k")).alias("_j"), "_c")
     pointers = bands.join(least, fresh_long(F.col("_k")) == F.col("_j")).where("_node != _c").select(F.col("_node").alias("a"), F.col("_c").alias("b"))
     found = components(pointers)
-    release(bands)
     groups = found.select(F.col("root").alias("_q"), F.col("node").alias("_node"))
 
     texts = _texts_of(groups, classes, slim)
@@ -319,10 +325,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     many = members.where("_m > 1")
     links = edges
     if many.limit(1).count():
-        links = links.unionByName(_join_blocks(many, edges, texts.drop("_bytes"), k, percent))
+        links = links.unionByName(_join_blocks(many.select("_q", "_node", "_w"), edges, texts.drop("_bytes"), bands, k, percent))
     links = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_same_id(entries, classes))
     labels = components(links)
-    release(found, members, texts, edges)
+    release(found, members, texts, edges, bands)
 
     root = labels.select(fresh_long(F.col("node")).alias("_l"), F.col("root").alias("_root"))
     named = classes.join(root, fresh_long(F.col("_node")) == F.col("_l"), "left").select("_class", "_node", "_least", "_rep", F.coalesce("_root", "_node").alias("_root"))
