@@ -158,6 +158,26 @@ def quality_by(method: str = "bilinear", colour: bool = False):
 quality_udf = quality_by()
 
 
+def compare(first: tuple, second: tuple) -> tuple[float, float]:
+    """(SSIM of all channels, largest shift of a pixel as part of 1) of two decoded images; the second takes the first's size by Lanczos.
+
+    (0, 1) if either is unreadable.
+    """
+    if min(first[1], second[1]) < 0:
+        return 0.0, 1.0
+    a, b = pixels(*first), pixels(*second)
+    if a.shape[:2] != b.shape[:2]:
+        b = to_bytes(lanczos(b, *a.shape[:2]))
+    return ssim_colour(a, b), float(np.abs(a.astype(np.float64) - b).max() / 255)
+
+
+@F.pandas_udf(T.StructType([T.StructField("ssim", T.DoubleType()), T.StructField("shift", T.DoubleType())]))
+def compare_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """``compare`` over two structs (pixels, height, width, channels)."""
+    take = lambda df: zip(df["pixels"], df["height"], df["width"], df["channels"])
+    return pd.DataFrame([compare(x, y) for x, y in zip(take(a), take(b))], columns=["ssim", "shift"])
+
+
 def psnr_of(mse):
     """PSNR from a column of mean squared errors; infinite for 0."""
     return F.when(mse == 0, F.lit(float("inf"))).otherwise(F.lit(10.0) * F.log10(F.lit(65025.0) / mse))

@@ -258,6 +258,12 @@ ORACLES: dict[str, str] = {
         from sim join m using (id)""",
     "bilinear_planes": resampled(bilinear_weights),
     "lanczos_planes": resampled(lanczos_weights),
+    "benchmark_pairs": f"""with {COLOURS}, pair as (
+          select id, ch, k, x, x // 16 * 15 as y from (select id, k, unnest([b, g, r]) as x, unnest([0, 1, 2]) as ch from colour)
+        ), {similar('pair', 'id, ch')}, s as (select id, avg(ssim) as ssim from sim group by id), m as (select id, max(abs(x - y)) / 255e0 as shift from pair group by id)
+        select id, {six('ssim')} as ssim, {six('shift')} as shift, shift <= ceil(0.1e0 * 255e0) / 255e0 + 1e-4 as within from s join m using (id)""",
+    "image_files": f"""with {PLANES}, v as (select id, k, p::double as x from px)
+        select id, 8 as width, 8 as height, 1 as channels, {SUMS}, true as held from v group by id""",
     "augment_boxes": f"""{CTE}, u as (
           select id, height, width, iteration, {", ".join(f"('0x' || substr(md5(id || ':' || iteration || ':{j}'), 1, 8))::bigint / 4294967296e0 as u{j}" for j in range(4))}
           from (select id, height, width, unnest([0, 1, 2])::int as iteration from images)

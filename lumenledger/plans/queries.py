@@ -17,7 +17,7 @@ from lumenledger.functions.names import base, extension
 from lumenledger.functions.rounding import half_up
 from lumenledger.functions.values import as_uuid, expiry, has_prefix
 from lumenledger.operators import hashmatch, ingest, lookup, membership, mutate, paging, rangesearch, relations, summary
-from lumenledger.sources import ledger
+from lumenledger.sources import files, filesink, ledger
 from lumenledger.sources.schema import IMAGE_DEFAULTS, IMAGES, add_column, conform
 from lumenledger.streaming.jobs import finished, outcome
 from lumenledger.streaming.queue import schedule
@@ -626,6 +626,38 @@ def lanczos_planes(spark, sf_dir):
     return _resampled(spark, sf_dir, "lanczos", 5, 12)
 
 
+@query
+def benchmark_pairs(spark, sf_dir):
+    """Each colour image against a darker copy of it: similarity of all channels, largest shift, and whether that is within the bound."""
+    a = _colours(spark, sf_dir)
+
+    @F.pandas_udf("binary")
+    def darker(data: pd.Series) -> pd.Series:
+        return pd.Series([(np.frombuffer(d, np.uint8) // 16 * 15).tobytes() for d in data])
+
+    judged = im.compare_udf(_as_image(F.col("pixels"), 8, 3), _as_image(darker("pixels"), 8, 3))
+    rows = a.select("id", judged.alias("q"))
+    return rows.select("id", _six(F.col("q.ssim")).alias("ssim"), _six(F.col("q.shift")).alias("shift"), (F.col("q.shift") <= vectors.linf_bound(0.1)).alias("within"))
+
+
+@query
+def image_files(spark, sf_dir):
+    """Planes through files: written as PNG, listed with their sizes, their headers read, and decoded again."""
+    filesink.register(spark)
+    folder = files.scratch(spark, "images")
+    images = _planes(spark, sf_dir)
+    images.select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), "pixels", "height", "width", "channels").write.format(filesink.PNG).mode("append").save(folder)
+
+    @F.pandas_udf("array<double>")
+    def values(data: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(d, np.uint8).astype(float) for d in data])
+
+    number = F.regexp_extract("path", r"p(\d+)\.png$", 1).cast("long")
+    back = files.decoded(spark, folder).select(number.alias("id"), "width", "height", "channels", *_digest(values("pixels")))
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(number.alias("file_id"), (F.col("length") > 0).alias("held"))
+    return back.join(sizes, F.col("id") == F.col("file_id")).drop("file_id")
+
+
 @query
 def augment_boxes(spark, sf_dir):
     """Crop boxes and blurs of every image for three iterations."""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +17,28 @@ MAX_FILES = 10
 ALLOWED = ("jpg", "jpeg", "png", "webp")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """An unused path, deleted when the driver ends, in ``spark.checkpoint.dir``, which driver and executors share; without it, in tests, a temporary folder.
+
+    On a cluster the setting is needed, as executors would write to disks of their own.
+    """
+    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not said and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(said or 'file://' + tempfile.mkdtemp(prefix='lumen-')).rstrip('/')}/lumen-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def decoded(spark: SparkSession, path: str) -> DataFrame:
     """Decoded images in BGR order: path, height, width, channels, pixels; unreadable files have height -1."""
-    raw = spark.read.format("image").option("dropInvalid", "false").load(path)
+    raw = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path)
     return raw.select(
         F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"),

@@ -1,9 +1,10 @@
-"""A lossless image sink: PNG files written by tasks, which appear together when the write commits.
+"""Sinks that write one file a row, lossless images or blobs, and show all files of a write at once.
 
-``register(spark)`` makes the format known; ``df.write.format("lumen_png").mode("append").save(folder)`` then writes columns name, pixels,
-height, width, channels (as ``files.decoded`` shows them, channels in BGR order).  A task writes under a staging folder; the commit
-removes what tasks tried in vain and renames the folder, one step however many images there are; an abort deletes it.  So a reader never
-sees half of a write, and a task that fails leaves nothing.  Spark's ``image`` source reads the files back with ``recursiveFileLookup``.
+``register(spark)`` makes the formats known.  ``df.write.format("lumen_png").mode("append").save(folder)`` writes columns name, pixels,
+height, width, channels (as ``files.decoded`` shows them, channels in BGR order) as PNG files; ``lumen_blob`` writes name and content as they
+are, for ciphertexts and the like.  A task writes under a staging folder; the commit removes what tasks tried in vain and renames the
+folder, one step however many files there are; an abort deletes it.  So a reader never sees half of a write, and a task that fails
+leaves nothing.  Spark's ``image`` and ``binaryFile`` sources read the files back with ``recursiveFileLookup``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from lumenledger.functions.image_metrics import pixels
 
-FORMAT = "lumen_png"
-SCHEMA = "name string, pixels binary, height int, width int, channels int"
+PNG, BLOB = "lumen_png", "lumen_blob"
 #: Channels -> the format's number for gray, colour, and colour with opacity.
 _COLOUR = {1: 0, 3: 2, 4: 6}
 
@@ -60,14 +60,27 @@ def encode(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
 
 
-def file_name(name: str) -> str:
-    """The name with the ending png in place of another; a name can't hold a folder."""
+def plain_name(name: str | None) -> str:
+    """The name, which can't hold a folder or be hidden."""
     if not name or "/" in name or name.startswith((".", "_")):
         raise ValueError(f"not a file name: {name!r}")
-    base, dot, ending = name.rpartition(".")
+    return name
+
+
+def png_name(name: str | None) -> str:
+    """The name with the ending png in place of another."""
+    base, dot, _ = plain_name(name).rpartition(".")
     return f"{base if dot and base else name}.png"
 
 
+def _png(row: dict) -> tuple[str, bytes]:
+    return png_name(row["name"]), encode(pixels(row["pixels"], row["height"], row["width"], row["channels"]))
+
+
+def _blob(row: dict) -> tuple[str, bytes]:
+    return plain_name(row["name"]), row["content"] or b""
+
+
 @dataclass
 class _Done(WriterCommitMessage):
     folder: str
@@ -75,8 +88,8 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, made: Callable[[dict], tuple[str, bytes]]):
+        self.root, self.made = root, made
         self.job = uuid.uuid4().hex
 
     def _store(self) -> tuple[fs.FileSystem, str]:
@@ -89,10 +102,10 @@ class _Writer(DataSourceArrowWriter):
         written = 0
         for batch in iterator:
             for row in batch.to_pylist():
-                data = encode(pixels(row["pixels"], row["height"], row["width"], row["channels"]))
+                name, data = self.made(row)
                 if not written:
                     store.create_dir(f"{root}/_staging-{self.job}/{folder}")
-                with store.open_output_stream(f"{root}/_staging-{self.job}/{folder}/{file_name(row['name'])}") as out:
+                with store.open_output_stream(f"{root}/_staging-{self.job}/{folder}/{name}") as out:
                     out.write(data)
                 written += 1
         return _Done(folder, written)
@@ -114,23 +127,41 @@ class _Writer(DataSourceArrowWriter):
             store.delete_dir(f"{root}/_staging-{self.job}")
 
 
-class PngSink(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
+class _Sink(DataSource):
+    columns: dict[str, str]
+    made: Callable[[dict], tuple[str, bytes]]
 
     def schema(self) -> str:
-        return SCHEMA
+        return ", ".join(f"{n} {k}" for n, k in self.columns.items())
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         if overwrite:
-            raise ValueError("images are appended; overwriting isn't offered")
-        missing = {"name", "pixels", "height", "width", "channels"} - set(schema.names)
+            raise ValueError("files are appended; overwriting isn't offered")
+        missing = set(self.columns) - set(schema.names)
         if missing:
             raise ValueError(f"columns are missing: {sorted(missing)}")
         root = self.options["path"].rstrip("/")
-        return _Writer(root if "://" in root or not root.startswith("file:") else "file://" + root.removeprefix("file:"))
+        return _Writer(root if "://" in root or not root.startswith("file:") else "file://" + root.removeprefix("file:"), type(self).made)
+
+
+class PngSink(_Sink):
+    columns = {"name": "string", "pixels": "binary", "height": "int", "width": "int", "channels": "int"}
+    made = staticmethod(_png)
+
+    @classmethod
+    def name(cls) -> str:
+        return PNG
+
+
+class BlobSink(_Sink):
+    columns = {"name": "string", "content": "binary"}
+    made = staticmethod(_blob)
+
+    @classmethod
+    def name(cls) -> str:
+        return BLOB
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(PngSink)
+    for sink in (PngSink, BlobSink):
+        spark.dataSource.register(sink)

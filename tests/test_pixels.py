@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenledger.functions import augment, perceptual
 from lumenledger.functions import image_metrics as im
 from lumenledger.operators import hashmatch
-from lumenledger.sources import files, png
+from lumenledger.sources import files, filesink
 
 IMAGE = "name string, pixels binary, height int, width int, channels int"
 
@@ -64,7 +64,7 @@ def test_image_hashes_of_files(spark, tmp_path):
     for kind, rows in (("library", shown), ("suspects", asked)):
         (tmp_path / kind).mkdir()
         for name, plane in rows:
-            (tmp_path / kind / f"{name}.png").write_bytes(png.encode(plane[:, :, None]))
+            (tmp_path / kind / f"{name}.png").write_bytes(filesink.encode(plane[:, :, None]))
     (tmp_path / "library" / "broken.png").write_bytes(b"no image")
     hashes = {k: perceptual.image_hashes(files.decoded(spark, str(tmp_path / k))) for k in ("library", "suspects")}
     stored = hashes["library"].collect()
@@ -138,7 +138,7 @@ def test_png_bytes(h, w, c, seed):
     import zlib
 
     image = np.random.default_rng(seed).integers(0, 256, (h, w, c), dtype=np.uint8)
-    data, at, body = png.encode(image), 8, b""
+    data, at, body = filesink.encode(image), 8, b""
     while at < len(data):
         n, tag = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
@@ -161,13 +161,13 @@ def test_png_bytes(h, w, c, seed):
 
 
 def test_png_sink(spark, tmp_path):
-    png.register(spark)
+    filesink.register(spark)
     rng = np.random.default_rng(5)
     pictures = {f"p{i}.jpeg": rng.integers(0, 256, (3 + i, 5, (1, 3)[i % 2]), dtype=np.uint8) for i in range(8)}
     df = spark.createDataFrame([(n, x.tobytes(), *x.shape) for n, x in pictures.items()], IMAGE)
     root = str(tmp_path / "out")
     (tmp_path / "out").mkdir()
-    df.repartition(4).write.format(png.FORMAT).mode("append").save(root)
+    df.repartition(4).write.format(filesink.PNG).mode("append").save(root)
     read = lambda: spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*").collect()
     got = {r["origin"].rsplit("/", 1)[1]: np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"]) for r in read()}
     assert set(got) == {f"p{i}.png" for i in range(8)}
@@ -175,11 +175,35 @@ def test_png_sink(spark, tmp_path):
     # one bad image among good ones: nothing of the write is left
     bad = df.unionByName(spark.createDataFrame([("bad", b"", 0, 0, 3)], IMAGE))
     with pytest.raises(Exception, match="no image"):
-        bad.repartition(4).write.format(png.FORMAT).mode("append").save(root)
+        bad.repartition(4).write.format(filesink.PNG).mode("append").save(root)
     assert len(read()) == 8 and len(list((tmp_path / "out").iterdir())) == 1
-    df.limit(0).write.format(png.FORMAT).mode("append").save(root)
-    df.limit(2).write.format(png.FORMAT).mode("append").save(root)
+    df.limit(0).write.format(filesink.PNG).mode("append").save(root)
+    df.limit(2).write.format(filesink.PNG).mode("append").save(root)
     assert len(read()) == 10
     with pytest.raises(ValueError):
-        png.file_name("../x")
-    assert [png.file_name(n) for n in ("a.jpg", "a", "a.b.png")] == ["a.png", "a.png", "a.b.png"]
+        filesink.png_name("../x")
+    assert [filesink.png_name(n) for n in ("a.jpg", "a", "a.b.png")] == ["a.png", "a.png", "a.b.png"]
+
+
+def test_blob_sink(spark, tmp_path):
+    filesink.register(spark)
+    rows = [("a_vault.enc", bytes(range(256))), ("b_vault.enc", b""), ("c_vault.enc", None)]
+    root = str(tmp_path / "vault")
+    (tmp_path / "vault").mkdir()
+    spark.createDataFrame(rows, "name string, content binary").write.format(filesink.BLOB).mode("append").save(root)
+    got = {p.name: p.read_bytes() for p in (tmp_path / "vault").rglob("*_vault.enc")}
+    assert got == {n: b or b"" for n, b in rows}
+    with pytest.raises(Exception, match="not a file name"):
+        spark.createDataFrame([("../out", b"x")], "name string, content binary").write.format(filesink.BLOB).mode("append").save(root)
+    with pytest.raises(Exception, match="missing"):
+        spark.createDataFrame([("x",)], "name string").write.format(filesink.BLOB).mode("append").save(root)
+    assert len(list((tmp_path / "vault").iterdir())) == 1
+
+
+def test_compare():
+    a = scene()
+    row = lambda x: (x.tobytes(), *x.shape, 1)
+    assert im.compare(row(a), row(a)) == (1.0, 0.0) and im.compare(row(a), (b"", -1, -1, 1)) == (0.0, 1.0)
+    s, shift = im.compare(row(a), row(np.clip(a.astype(int) + 8, 0, 255).astype(np.uint8)))
+    assert 0.9 < s < 1 and abs(shift - 8 / 255) < 1e-12
+    assert im.compare(row(a), row(im.to_bytes(im.lanczos(a, 48, 64))))[0] > 0.98
