@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 result to the shared folder and reads it back, so lineage ends there.  All but the last return the columns of documents.
 
 Null ids: the classifier scores such rows like any other; for line dedup they are one document below all others; near-dedup keeps
-one of equal rows, and drops one whose text equals that of a row with an id; a benchmark item makes them go; they are packed.  Null
+one of equal rows, and drops one that is near a row with an id; a benchmark item makes them go; they are packed.  Null
 texts are empty ones: they are scored, link with nothing, and pack as one end token.
 """
 
