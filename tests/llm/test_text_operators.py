@@ -313,6 +313,44 @@ def test_quality(spark, sf):
     assert quality.train(docs, labels.limit(0)).out.shape == net.out.shape
 
 
+def slow_score(net, text):
+    """The network by its description, one window after another."""
+    cells = -(-(len(text) + quality.LAGS + quality.SAME) // quality.CELL)
+    flat = text + bytes(cells * quality.CELL - len(text) + quality.WIDTH)
+    again = [any(p - lag - quality.SAME + 1 >= 0 and flat[p - quality.SAME + 1 : p + 1] == flat[p - lag - quality.SAME + 1 : p - lag + 1] and 0 not in flat[p - quality.SAME + 1 : p + 1] for lag in range(2, quality.LAGS + 1)) for p in range(len(flat))]
+    x = np.concatenate([net.embed[list(flat)], np.array(again, np.float32)[:, None]], axis=1).astype(np.float64)
+    h = [np.maximum(max_of([x[c * quality.CELL + s * quality.STEP :][: quality.WIDTH].ravel() @ net.kernel for s in range(quality.SPOTS)]) + net.bias, 0) for c in range(cells)]
+    chunks = [np.maximum(a, b) for a, b in zip(h, [*h[1:], h[-1]])]
+    z = np.concatenate([np.mean(chunks, axis=0), max_of(h), [1.0]]) @ net.out
+    return 1 / (1 + np.exp(-z))
+
+
+def max_of(rows):
+    return np.max(np.stack(rows), axis=0)
+
+
+def test_quality_same_as_a_slow_network():
+    rng = np.random.default_rng(6)
+    net = quality.fit([b"good text here " * 20, b"$$$ ### buy " * 20] * 12, [1, 0] * 12, epochs=3)
+    net.embed += rng.normal(0, 0.05, net.embed.shape).astype(np.float32)
+    texts = [b"", b"x", b"abcdeabcdeabcde", bytes(rng.integers(0, 256, 700, dtype=np.uint8)), b"over and " * 60, b"n" * 256, "日本 é".encode() * 40]
+    at = np.cumsum([0, *map(len, texts)])
+    got = quality.scores(net, np.frombuffer(b"".join(texts), np.uint8), at)
+    assert np.abs(got - [slow_score(net, t) for t in texts]).max() < 1e-5
+
+
+def test_quality_learns_from_long_texts(spark):
+    """Labelled texts far above 16 KB, and a bound of bytes that is full after some of them."""
+    rows = [(i, ("good plain words in a row " if i % 2 else "$$$ ### !!! win now ") * 1500) for i in range(40)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    for fit_bytes in (64 << 20, 400_000):
+        net = quality.train(docs, labels, fit_bytes=fit_bytes)
+        scored = {r["doc_id"]: r["predicted"] for r in quality.score_documents(docs, net).collect()}
+        assert all(scored[i] == i % 2 for i, _ in rows)
+    assert np.abs(quality.train(docs, labels, fit_bytes=0).out[:-1]).max() == 0
+
+
 def test_quality_sees_the_whole_text():
     """A change anywhere changes what the filters see: every byte lies in some window."""
     net = quality.fit([b"good text " * 30, b"$$$ ### " * 30] * 20, [1, 0] * 20, epochs=4)
