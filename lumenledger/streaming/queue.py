@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from lumenledger.operators import commits, mutate
 from lumenledger.operators.mutate import MESSAGE_CHARS
 from lumenledger.streaming.jobs import SSIM_FLOOR, outcome
 
@@ -142,6 +143,15 @@ def statuses(log: DataFrame) -> DataFrame:
     return last.select("id", "s.lane", "s.status", "s.at", "s.error_message")
 
 
+def into_ledger(spark: SparkSession, root: str, log: DataFrame) -> int:
+    """Commit the last statuses of a log of transitions to the images under ``root``; the version's number.
+
+    Statuses and messages only: applied again they change nothing, so a run that was cut off is simply repeated.
+    """
+    last = statuses(log).select("id", "status", "error_message")
+    return commits.transact(spark, root, lambda images: mutate.overlay(images, last, "id", "status", "error_message"), action="statuses")
+
+
 def schedule(jobs: DataFrame) -> DataFrame:
     """When each job of a table begins and ends if a lane works one at a time, first come first served: the queue in one pass.
 

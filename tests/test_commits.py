@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lumenledger.operators import commits, membership
+from lumenledger.operators import commits, membership, mutate
 from lumenledger.sources import layout
 
 
@@ -65,6 +65,24 @@ def test_writers_at_once(spark, tmp_path):
     assert {r["id"] for r in commits.read(spark, root).where("id >= 1000").collect()} == {1000, 1001, 1002, 1003}
 
 
+def test_an_address_is_registered_once(spark, tmp_path):
+    """Requests for one address at the same time: the second sees what the first committed."""
+    root = str(tmp_path)
+    commits.publish(spark.createDataFrame([(1, "a@x", "first")], "id long, email string, display_name string"), root)
+
+    def ask(i):
+        new = spark.createDataFrame([(10 + i, "new@x", f"asker {i}"), (20 + i, f"own{i}@x", "")], "id long, email string, display_name string")
+        commits.transact(spark, root, lambda users: mutate.register(users, new), tries=20, action="register")
+
+    threads = [threading.Thread(target=ask, args=(i,)) for i in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    emails = sorted(r["email"] for r in commits.read(spark, root).collect())
+    assert emails == ["a@x", "new@x", "own0@x", "own1@x", "own2@x"]
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     root = str(tmp_path)
     commits.publish(spark.range(3), root)

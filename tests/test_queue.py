@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from lumenledger.operators import commits
 from lumenledger.streaming import queue
 
 START = dt.datetime(2024, 1, 1)
@@ -64,6 +65,14 @@ def test_queue(stateful, tmp_path):
     last = {r["id"]: r["status"] for r in queue.statuses(got).collect()}
     assert last == {"a": "completed", "b": "failed", "c": "failed", "d": "quality_warning", "e": "failed", "f": "processing", "g": "pending"}
 
+    # the ledger shows what the log says last, also if it is told twice
+    images = str(tmp_path / "images")
+    rows = [(x, "pending", None) for x in "abcdefg"] + [("other", "completed", None)]
+    commits.publish(stateful.createDataFrame(rows, "id string, status string, error_message string"), images)
+    assert [queue.into_ledger(stateful, images, got) for _ in range(2)] == [2, 3]
+    shown = {r["id"]: r["status"] for r in commits.read(stateful, images).collect()}
+    assert shown == {**last, "other": "completed"}
+
     # the same events with a restart from the checkpoint after every batch, and one killed between batches
     other = str(tmp_path / "again")
     for n in range(len(BATCHES)):
