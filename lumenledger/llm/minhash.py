@@ -276,6 +276,9 @@ def _texts_of(groups: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFra
     """The text of each node of ``groups`` (_node), one row a node: that of the row which stands for its class."""
     want = groups.select(fresh_long(F.col("_node")).alias("_l")).join(classes, fresh_long(F.col("_node")) == F.col("_l"))
     want = materialise(want.select("_node", F.coalesce("_rep._id", F.lit(_NO_ID)).alias("_i"), F.col("_rep._hash").alias("_h"), F.col("_rep._m").alias("_m")), "wanted")
+    # ids first: a narrow table, so that the other texts don't move where it is small
+    ids = materialise(want.select(F.col("_i").alias("_w")).distinct(), "ids")
+    slim = slim.join(ids, F.coalesce("_id", F.lit(_NO_ID)) == F.col("_w"), "left_semi")
     on = (F.coalesce("_id", F.lit(_NO_ID)) == F.col("_i")) & (F.col("_hash") == F.col("_h"))
     texts = slim.join(want.where("_m = 1"), on).select("_node", "_text")
     again = want.where("_m > 1")
@@ -283,7 +286,7 @@ def _texts_of(groups: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFra
         # repeated rows: one a task, then one in all
         texts = texts.unionByName(slim.join(again, on).select("_node", "_text").dropDuplicates(["_node"]))
     texts = materialise(texts.select("_node", "_text", F.octet_length("_text").alias("_bytes")), "texts")
-    release(want)
+    release(want, ids)
     return texts
 
 
