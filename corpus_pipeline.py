@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenledger.llm import decontaminate, line_dedup, minhash, packing, quality
-from lumenledger.llm.common import boxed, materialise, row_key, table
+from lumenledger.llm.common import boxed, materialise, release, row_key, scratch_scope, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +65,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before = docs
+        # a stage's own scratch and its input go once its result is written
+        with scratch_scope() as kept:
+            docs = materialise(stage(spark, before, sf_dir), name)
+            kept.append(docs)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

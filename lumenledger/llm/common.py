@@ -105,6 +105,21 @@ def release(*frames: DataFrame) -> None:
             _remove(path, _written.pop(path))
 
 
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[list[DataFrame]]:
+    """Delete at the end what was written inside, except what the frames put into the list stand for.
+
+    For work that is done with inside: frames that still read what goes become invalid.
+    """
+    before, kept = set(_written), []
+    try:
+        yield kept
+    finally:
+        held = {_paths.get(df) for df in kept}
+        for path in [p for p in _written if p not in before and p not in held]:
+            _remove(path, _written.pop(path))
+
+
 def discard(df: DataFrame) -> None:
     """``release``, and let Spark drop shuffles that nothing refers to.
 
