@@ -116,18 +116,28 @@ def _named(tag: str, said: dict[str, str], flow: bool) -> tuple[bool, int]:
     return False, int(any(n in NEVER_NAMED or not NEVER_NAMED.isdisjoint(re.split(r"[-_]+", n)) for n in names))
 
 
-def _open(token: str, tag: str, parent: Node, number: int, spared: frozenset[int]) -> Node:
-    """The node of a start tag."""
+def _judged(token: str, tag: str, flow: bool) -> tuple[bool, int, str, bool]:
+    """What a start tag says: whether its element never holds content or only perhaps, its signature, and whether it is a link."""
     said = attributes(token, tag)
-    hard = tag in NEVER or (tag == "header" or tag in STAND_IN) and not parent.content
+    hard = tag in NEVER or (tag == "header" or tag in STAND_IN) and not flow
     hard = hard or said.get("role") in NEVER_ROLES or "hidden" in said or said.get("aria-hidden") == "true"
-    foreign, soft = _named(tag, said, parent.content)
+    foreign, soft = _named(tag, said, flow)
     hard = hard or foreign
-    soft = 0 if hard else max(soft, int(tag == "form"))
-    skip = parent.skip or hard or soft > 0 and number not in spared
     names = set(said.get("class", "").split()) | set(said.get("id", "").split())
-    node = Node(tag, ".".join([tag, *sorted(names)]), skip, parent.content or tag in ("article", "main") and not hard, hard, soft, parent)
-    node.href = tag == "a" and "href" in said
+    return hard, 0 if hard else max(soft, int(tag == "form")), ".".join([tag, *sorted(names)]), tag == "a" and "href" in said
+
+
+#: Start tags recur; those of up to SHORT signs are judged once.
+SHORT = 120
+_judged_once = functools.lru_cache(1 << 15)(_judged)
+
+
+def _open(token: str, tag: str, parent: Node, number: int, spared: frozenset[int]) -> Node:
+    """The node of a start tag."""
+    hard, soft, sig, href = (_judged_once if len(token) <= SHORT else _judged)(token, tag, parent.content)
+    skip = parent.skip or hard or soft > 0 and number not in spared
+    node = Node(tag, sig, skip, parent.content or tag in ("article", "main") and not hard, hard, soft, parent)
+    node.href = href
     return node
 
 
