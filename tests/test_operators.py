@@ -74,6 +74,44 @@ def test_names(spark):
     assert allowed_set(" jpg, PNG ,,webp ") == {"jpg", "png", "webp"}
 
 
+def most_rows_read(spark, df, **conf):
+    """Of all tasks that run for the rows: the most rows that one of them reads from a shuffle."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"} | conf
+    before, sc, group = {k: spark.conf.get(k) for k in conf}, spark.sparkContext, f"rows-{id(df)}"
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = {k for job in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(job).stageIds}
+    lists = [store.taskList(k, 0, 1000) for k in stages]
+    return max(x.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for x in lists for i in range(x.size()))
+
+
+def test_downloads_of_images_without_a_path_are_many_tasks(spark):
+    image = F.col("id")
+    path = F.when(image % 4 == 0, F.concat(F.lit("store/"), image.cast("string"))).alias("protected_path")
+    status = F.when(image % 4 == 1, "pending").otherwise("completed").alias("status")
+    images = spark.range(4000).select("id", (image % 50).alias("user_id"), status, path, F.concat(F.lit("a"), image.cast("string"), F.lit(".jpg")).alias("original_filename"), (image % 8 == 0).alias("vault_sealed"))
+    listing = images.where("protected_path is not null and id % 3 != 0").select(F.col("protected_path").alias("path"))
+    listing = listing.unionAll(listing).unionAll(spark.createDataFrame([(None,), ("store/x",)], "path string"))
+    asked = images.select(image.alias("image_id"), (F.col("user_id") + F.when(image % 5 == 0, 1).otherwise(0)).alias("user_id")).unionAll(spark.createDataFrame([(9999, 1), (None, 1)], "image_id long, user_id long"))
+    got = {r["image_id"]: tuple(r)[2:] for r in lookup.resolved(asked, images, listing).collect()}
+    nothing = (None, None)
+    for i in range(4000):
+        kind = "unknown" if i % 5 == 0 else "not ready" if i % 4 == 1 else "missing" if i % 4 or i % 3 == 0 else "found"
+        shown = (f"protected_a{i}.enc", "application/octet-stream") if i % 8 == 0 else (f"protected_a{i}.png", "image/png")
+        assert got[i] == (kind, *(shown if kind == "found" else nothing))
+    assert got[9999] == got[None] == ("unknown", *nothing) and len(got) == 4002
+    assert most_rows_read(spark, lookup.resolved(asked, images, listing)) < 2000
+
+
 def test_mutations(spark, golden):
     changes = spark.createDataFrame([(1, "failed", None), (9, "failed", 1.0)], "id long, status string, ssim_score double")
     rows = {r["id"]: (r["status"], r["ssim_score"]) for r in mutate.overlay(golden, changes, "id", "status", "ssim_score").collect()}
