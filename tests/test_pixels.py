@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumenledger.functions import augment, perceptual
 from lumenledger.functions import image_metrics as im
 from lumenledger.operators import hashmatch
+from lumenledger.plans.queries import REGISTRY
 from lumenledger.sources import files, filesink
 
 IMAGE = "name string, pixels binary, height int, width int, channels int"
@@ -160,6 +161,29 @@ def test_png_bytes(h, w, c, seed):
     assert (back == image).all()
 
 
+def test_image_files_are_dealt_out_and_listed_once(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "scratch", lambda *_: str(tmp_path / "images"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a small table's files are as many tasks as a large one's
+    try:
+        (tmp_path / "images").mkdir()
+        found = REGISTRY["image_files"](spark, sf)
+        assert found.rdd.getNumPartitions() <= 64
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    held = [len(list(p.iterdir())) for p in (tmp_path / "images").glob("write=*/part=*")]
+    assert sum(held) == 500 and len(held) > 32 and max(held) < 50
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    rows = found.collect()
+    assert {r["id"] for r in rows} == set(range(500)) and all(r["held"] and (r["width"], r["height"], r["channels"]) == (8, 8, 1) for r in rows)
+
+
+def test_length_of_decoded_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.png").write_bytes(filesink.encode(np.full((2, 3 + i, 1), i, np.uint8)) if i else b"no image")
+    assert {r["path"].rsplit("/", 1)[1]: r["length"] for r in files.decoded(spark, str(tmp_path)).collect()} == {p.name: p.stat().st_size for p in tmp_path.iterdir()}
+
+
 def test_png_sink(spark, tmp_path):
     filesink.register(spark)
     rng = np.random.default_rng(5)
